@@ -226,10 +226,10 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
         slim.withColumn("_rank", F.row_number().over(within).cast("long") - 1)
         .join(starts, ["length", "_bucket"])
         .withColumn("_rank", F.col("_rank") + F.col("_before"))
-        .select(*pieces.columns, "_rank")
+        .select(*pieces.columns, F.col("_rank"))
     )
-    n_cols = len(pieces.columns)
-    at = pieces.columns.index("length")
+    names = list(pieces.columns)
+    n_cols, at = len(names), names.index("length")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = plan.value
@@ -244,7 +244,7 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
                     k = np.searchsorted(ranks, rank[own], side="right") - 1
                     sequence[own] = firsts[k] + rank[own] - ranks[k]
                     offset[own] = offsets[k]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n_cols], pa.array(sequence), pa.array(offset)], names=[*pieces.columns, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n_cols], pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
     return ranked.mapInArrow(place, f"{fields}, sequence_id long, offset long")
