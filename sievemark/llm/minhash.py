@@ -29,7 +29,8 @@ from . import components, scratch, words
 
 _U = np.uint64
 SIZE, ROWS = 128, 4
-BLOCK = 256
+#: Most members and most shingles of a block, and columns of a matrix.
+BLOCK, BLOCK_ITEMS, SLICE = 512, 1 << 21, 1 << 13
 _SEEDS = words.mix(np.arange(1, 2 * SIZE + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
 _BANDS = words.mix(np.arange(1, SIZE // ROWS + 1, dtype=_U) * _U(0xD1B54A32D192ED03))
 _FULL = _U(0xFFFFFFFFFFFFFFFF)
@@ -123,29 +124,60 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of one block's sets with another's, by products of 0/1 matrices.
+
+    Only shingles that occur twice have a column; columns are taken in slices, so memory is bounded by the blocks.
+    """
+    every = np.concatenate([*left, *right])
+    owner = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    new = np.concatenate([[True], every[1:] != every[:-1]])
+    column = np.cumsum(new) - 1
+    often = np.bincount(column)[column] > 1
+    owner, column = owner[often], column[often]
+    total = np.zeros((len(left), len(right)), np.float64)
+    if len(column) == 0:
+        return total
+    column = np.cumsum(np.concatenate([[0], np.diff(column) != 0]))
+    for first in range(0, int(column[-1]) + 1, SLICE):
+        a, b = np.searchsorted(column, [first, first + SLICE])
+        m = np.zeros((len(left) + len(right), SLICE), np.float32)
+        m[owner[a:b], column[a:b] - first] = 1
+        total += m[: len(left)] @ m[len(left) :].T
+    return total
+
+
 def _blocks(percent: int):
     """Compare two blocks of one bucket; a link leaves only if it joins what is not yet joined here."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys, comps, side = (table.column(c).to_pylist() for c in ("set_key", "comp", "side"))
+        keys, comps = (table.column(c).to_pylist() for c in ("set_key", "comp"))
+        side = np.array(table.column("side").to_pylist())
         items = [np.frombuffer(x, _U) for x in table.column("items").to_pylist()]
-        up: dict = {}
-
-        def root(x):
+        sizes = np.array([len(x) for x in items])
+        codes = np.unique(np.array([c.hex() for c in comps]), return_inverse=True)[1]
+        one = side.min() == side.max()
+        rows, cols = (np.arange(len(keys)),) * 2 if one else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        common = _common([items[i] for i in rows], [items[j] for j in cols])
+        near = 100 * common >= percent * (sizes[rows][:, None] + sizes[cols][None, :] - common)
+        near &= codes[rows][:, None] != codes[cols][None, :]
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
             while up.get(x, x) != x:
                 up[x] = up.get(up[x], up[x])
                 x = up[x]
             return x
 
-        one = len(set(side)) == 1
-        firsts = [i for i, s in enumerate(side) if one or s == 0]
         out = []
-        for i in firsts:
-            for j in range(i + 1, len(keys)) if one else (k for k, s in enumerate(side) if s == 1):
-                ri, rj = root(comps[i]), root(comps[j])
-                if ri != rj and _near(items[i], items[j], percent):
-                    up[ri] = rj
-                    out.append((keys[i], keys[j]))
+        for i, j in zip(*(x.tolist() for x in np.nonzero(near))):
+            i, j = int(rows[i]), int(cols[j])
+            ri, rj = root(int(codes[i])), root(int(codes[j]))
+            if ri != rj:
+                up[ri] = rj
+                out.append((keys[i], keys[j]))
         return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([y for _, y in out], pa.binary())})
 
     return run
@@ -163,10 +195,11 @@ def groups(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
     Further columns of ``docs`` are ignored.
     """
     rows = scratch.table(sketched(docs, width), "sketches")
-    classes = rows.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("first"), F.any_value("bands").alias("bands"))
-    members = scratch.table(classes.select("set_key", F.explode("bands").alias("band")), "bands")
-    buckets = members.groupBy("band").agg(F.min("set_key").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = scratch.table(members.join(buckets, "band").select("band", "set_key", "a", "n"), "shared")
+    classes = rows.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("first"), F.any_value("n_shingles").alias("items"), F.any_value("bands").alias("bands"))
+    members = scratch.table(classes.select("set_key", "items", F.explode("bands").alias("band")), "bands")
+    buckets = members.groupBy("band").agg(F.min("set_key").alias("a"), F.count(F.lit(1)).alias("n"), F.sum("items").alias("items")).where("n > 1")
+    nb = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("items") / BLOCK_ITEMS)).cast("int")
+    shared = scratch.table(members.drop("items").join(buckets, "band").select("band", "set_key", "a", "n", nb.alias("nb")), "shared")
     stars = scratch.table(shared.where(F.col("set_key") != F.col("a")).select("a", F.col("set_key").alias("b")).distinct(), "stars")
     if stars.isEmpty():
         links = None
@@ -177,7 +210,7 @@ def groups(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
         comps = components.connected(near)
         known = shared.where("n > 2").join(comps.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("comp", F.coalesce("root", "set_key"))
         mixed = known.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("band")
-        rest = known.join(mixed, "band").select("band", "set_key", "comp", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"))
+        rest = known.join(mixed, "band").select("band", "set_key", "comp", "nb")
         block = F.pmod(F.xxhash64("set_key"), F.col("nb")).cast("int")
         dealt = rest.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
         dealt = dealt.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "set_key", "comp")
