@@ -222,7 +222,7 @@ def groups(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
 def _wanted_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """Full sets of the classes in ``wanted``: their texts are read again, one document for each class."""
     ids = rows.join(wanted, "set_key", "left_semi").groupBy("set_key").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    texts = docs.select("doc_id", "text").join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
+    texts = scratch.by_ids(docs.select("doc_id", "text"), scratch.table(ids, "ids"), "left_semi")
     return full_sets(texts, width).join(wanted, "set_key", "left_semi").dropDuplicates(["set_key"])
 
 

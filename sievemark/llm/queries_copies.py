@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash
+from . import decontamination, minhash, passages
 from .tables import read
 
 
@@ -13,5 +13,20 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.groups(read(spark, sf_dir, "documents").select("doc_id", "text"), percent=75, width=5)
 
 
-QUERIES = {"op4_minhash_near_dedup": op4_minhash_near_dedup}
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches of at least 50 words that a document shares with another one."""
+    return passages.repeated(read(spark, sf_dir, "documents").select("doc_id", "text"), length=50)
+
+
+def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item, the place and the similarity."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.leaks(docs, read(spark, sf_dir, "benchmark"), threshold=0.75, width=5)
+
+
+QUERIES = {
+    "op3_repeated_passages": op3_repeated_passages,
+    "op8_benchmark_leaks": op8_benchmark_leaks,
+    "op4_minhash_near_dedup": op4_minhash_near_dedup,
+}
 ORACLES: dict[str, str] = {}

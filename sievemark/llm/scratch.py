@@ -13,6 +13,7 @@ import uuid
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -50,3 +51,16 @@ def drop(df: DataFrame) -> None:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Most ids of a broadcast set: a few tens of MB as a hashed relation.
+BROADCAST_IDS = 1_000_000
+
+
+def by_ids(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """``rows`` whose doc_id is (``left_semi``) or is not (``left_anti``) in the written table ``ids`` (doc_id).
+
+    The ids are counted first: up to BROADCAST_IDS of them are broadcast, more are joined by a shuffle.
+    """
+    small = ids.count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if small else ids, rows["doc_id"].eqNullSafe(ids["doc_id"]), how)
