@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import queries_copies, queries_prints, queries_shape, queries_tokens
+from . import queries_copies, queries_models, queries_prints, queries_shape, queries_tokens
 
-MODULES = [queries_tokens, queries_shape, queries_copies, queries_prints]
+MODULES = [queries_tokens, queries_shape, queries_copies, queries_prints, queries_models]
 
 
 def queries():
