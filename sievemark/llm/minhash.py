@@ -198,6 +198,7 @@ def groups(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
     classes = rows.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("first"), F.any_value("n_shingles").alias("items"), F.any_value("bands").alias("bands"))
     members = scratch.table(classes.select("set_key", "items", F.explode("bands").alias("band")), "bands")
     buckets = members.groupBy("band").agg(F.min("set_key").alias("a"), F.count(F.lit(1)).alias("n"), F.sum("items").alias("items")).where("n > 1")
+    buckets = scratch.table(buckets, "buckets")  # a plain shuffle again, so that Spark can split heavy buckets in the join
     nb = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("items") / BLOCK_ITEMS)).cast("int")
     shared = scratch.table(members.drop("items").join(buckets, "band").select("band", "set_key", "a", "n", nb.alias("nb")), "shared")
     stars = scratch.table(shared.where(F.col("set_key") != F.col("a")).select("a", F.col("set_key").alias("b")).distinct(), "stars")

@@ -116,10 +116,12 @@ def repeated(docs: DataFrame, length: int = 50) -> DataFrame:
     one = scratch.by_ids(some, copies, "left_anti")
     suffixes = scratch.table(_suffixes(one, length), "suffixes")
     heads = suffixes.groupBy("head").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).where("d0 <> d1").select("head")
+    heads = scratch.table(heads, "heads")  # both sides of the join are then plain shuffles, whose heavy keys Spark can split
     places = scratch.table(suffixes.join(heads, "head").groupBy("doc_id").agg(F.collect_set("place").alias("places")), "places")
     texts = scratch.by_ids(some, places.select("doc_id"), "left_semi")
     windows = scratch.table(_windows(texts.join(places, "doc_id"), length), "windows")
     twice = windows.groupBy("code").agg(F.min("doc_id").alias("least_doc_id"), F.max("doc_id").alias("d1")).where("least_doc_id <> d1").drop("d1")
+    twice = scratch.table(twice, "twice")
     marked = windows.join(twice, "code").select("doc_id", "first", "least_doc_id")
     of_class = marked.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("first", "least_doc_id"))).alias("marks"))
     spans = of_class.mapInArrow(_merged(length), f"least {kind}, first_word long, n_words long, least_doc_id {kind}")
