@@ -1,0 +1,107 @@
+"""JSON bodies as leaf rows, with the rules on which leaves may be masked."""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# Key names on which results depend.
+BUSINESS_KEYS = ["input", "arguments", "parameters", "partial_json", "documents"]
+PROTECTED_KEYS = ["id", "type", "role", "model", "object", "name", "tool_call_id", "call_id", "finish_reason", "stop_reason", "stream", "index"]
+NUMERIC_KEYS = ["max_tokens", "temperature", "top_p", "top_k", "n", "seed", "index", "created", "created_at", "prompt_tokens", "completion_tokens", "total_tokens", "input_tokens", "output_tokens", "presence_penalty", "frequency_penalty"]
+MAX_DEPTH = 24
+
+LEAF = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("ord", T.LongType()),
+            T.StructField("path", T.ArrayType(T.StringType())),
+            T.StructField("key", T.StringType()),
+            T.StructField("parent", T.StringType()),
+            T.StructField("depth", T.IntegerType()),
+            T.StructField("kind", T.StringType()),
+            T.StructField("value", T.StringType()),
+        ]
+    )
+)
+
+
+def walk(value, path=(), depth=0) -> Iterator[tuple]:
+    if isinstance(value, dict):
+        for k, v in value.items():
+            yield from walk(v, (*path, k), depth + 1)
+    elif isinstance(value, list):
+        for i, v in enumerate(value):
+            yield from walk(v, (*path, str(i)), depth + 1)
+    else:
+        names = [p for p in path if not p.isdigit()]
+        kind = "null" if value is None else "bool" if isinstance(value, bool) else "number" if isinstance(value, int | float) else "string"
+        text = None if value is None else str(value).lower() if isinstance(value, bool) else str(value)
+        yield path, names[-1] if names else "", names[-2] if len(names) > 1 else "", depth, kind, text
+
+
+def parsed_leaves(text: str | None) -> list[dict] | None:
+    try:
+        tree = json.loads(text)
+    except (TypeError, ValueError, RecursionError):
+        return None
+    return [{"ord": i, "path": list(p), "key": k, "parent": q, "depth": d, "kind": t, "value": v} for i, (p, k, q, d, t, v) in enumerate(walk(tree))]
+
+
+@F.pandas_udf(LEAF)
+def _leaves(texts: pd.Series) -> pd.Series:
+    return texts.map(parsed_leaves)
+
+
+def leaves(bodies: DataFrame, body: str = "body") -> DataFrame:
+    """One row for each leaf of each JSON body, in order: row_id, ord, path, key, parent, depth, kind, value, in_business.
+
+    The last of repeated keys counts. Bodies that are no JSON, and null ones, have no leaves.
+    """
+    rows = bodies.select("row_id", F.explode(_leaves(F.col(body))).alias("l")).select("row_id", "l.*")
+    return rows.withColumn("in_business", F.arrays_overlap(F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0))), F.array(*[F.lit(k) for k in BUSINESS_KEYS])))
+
+
+def exempt() -> Column:
+    """Whether a leaf keeps its value: protected names and numeric settings outside business content, caches, deep ones."""
+    outside = ~F.col("in_business")
+    return (
+        (outside & F.col("key").isin(PROTECTED_KEYS))
+        | (outside & (F.col("kind") == "number") & F.col("key").isin(NUMERIC_KEYS))
+        | F.col("kind").isin("bool", "null")
+        | F.array_contains("path", "cache_control")
+        | (F.col("depth") > MAX_DEPTH)
+    )
+
+
+def rebuilt(texts: DataFrame, changed: DataFrame, body: str = "body") -> DataFrame:
+    """``texts`` (row_id, body) with the leaves in ``changed`` (row_id, ord, value) replaced; bodies without one keep their bytes."""
+    of_row = changed.groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("ord"), F.col("value")))).alias("_new"))
+    joined = texts.join(of_row, "row_id", "left")
+
+    @F.pandas_udf(T.StringType())
+    def run(bodies: pd.Series, new: pd.Series) -> pd.Series:
+        return pd.Series([b if not m else put(b, dict(m)) for b, m in zip(bodies, new)], dtype=object)
+
+    return joined.withColumn(body, F.when(F.col("_new").isNull(), F.col(body)).otherwise(run(F.col(body), F.col("_new")))).drop("_new")
+
+
+def put(body: str, new: dict) -> str:
+    order = iter(range(1 << 62))
+
+    def again(v):
+        if isinstance(v, dict):
+            return {k: again(x) for k, x in v.items()}
+        if isinstance(v, list):
+            return [again(x) for x in v]
+        i = next(order)
+        return new.get(i, v)
+
+    return json.dumps(again(json.loads(body)), ensure_ascii="\\u" in body, separators=(",", ":"))
+
+

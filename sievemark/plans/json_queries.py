@@ -1,0 +1,58 @@
+"""JSON bodies: leaves, masking by leaf, duplicate keys, decompression, and restoring in fragments."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import json_leaves, udfs
+from ..functions.detectors import RULES
+from ..operators import detect
+
+KEY = "test-key"
+
+
+def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chat request around each conversation turn, with a mobile number in it."""
+    conv = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    phone = F.concat(F.lit("138"), F.lpad((F.col("conv_id") * 100 + F.col("turn")).cast("string"), 8, "0"))
+    message = F.struct(F.col("role"), F.concat(F.substring("text", 1, 200), F.lit(" call "), phone).alias("content"))
+    body = F.to_json(F.struct(F.lit("gamma").alias("model"), F.lit(9).alias("max_tokens"), F.array(message).alias("messages"), F.struct(F.col("turn").alias("id")).alias("input")))
+    return conv.select(F.concat_ws(":", "conv_id", "turn").alias("row_id"), body.alias("body"))
+
+
+def leaf_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All leaves of all bodies, and whether each is exempt."""
+    found = json_leaves.leaves(bodies(spark, sf_dir)).withColumn("exempt", json_leaves.exempt())
+    return found.select("row_id", "ord", "key", "parent", "depth", "kind", "in_business", "exempt", F.sha2(F.coalesce("value", F.lit("")), 256).alias("digest"))
+
+
+def tree_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies with the mobile numbers of leaves that are not exempt replaced by tokens."""
+    source = bodies(spark, sf_dir)
+    rule = next(r for r in RULES if r.key == "det18_mobile")
+    open_ = json_leaves.leaves(source).where(~json_leaves.exempt())
+    texts = open_.select(F.concat_ws("#", "row_id", "ord").alias("row_id"), F.lit("leaf").alias("src"), F.col("value").alias("text"))
+    masked = detect.mask(texts, rule, KEY).where("n_masked > 0")
+    changed = masked.select(F.split_part("row_id", F.lit("#"), F.lit(1)).alias("row_id"), F.split_part("row_id", F.lit("#"), F.lit(2)).cast("long").alias("ord"), F.col("text").alias("value"))
+    return json_leaves.rebuilt(source, changed)
+
+
+def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = F.when(F.col("turn") % 3 == 0, F.concat(F.lit('{"a":1,"a":'), F.col("turn"), F.lit("}"))).when(F.col("turn") % 3 == 1, F.lit('{"a":1}')).otherwise(F.lit("{"))
+    conv = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return conv.select("conv_id", "turn", udfs.duplicate_keys(made).alias("repeats"))
+
+
+def decompressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies by their encoding; what can't be decoded here is null."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    enc = F.when(F.col("page_id") % 2 == 0, "identity").otherwise("br")
+    return pages.select("page_id", F.octet_length(udfs.decompress(F.encode("html", "utf-8"), enc, 1 << 20)).cast("long").alias("n_bytes"))
+
+
+QUERIES = {"jsn_leaves": leaf_rows, "msk06_json_tree": tree_masked, "src03_duplicate_keys": duplicate_keys, "src08_decompressed": decompressed}
+ORACLES = {
+    "src03_duplicate_keys": "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS repeats FROM conversations",
+    "src08_decompressed": "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN CAST(strlen(html) AS BIGINT) END AS n_bytes FROM pages",
+}

@@ -1,0 +1,76 @@
+import random
+
+from pyspark.sql import functions as F
+
+from sievemark.functions import json_leaves, udfs
+from sievemark.streaming import restore
+
+KNOWN = {"{{PHONE_bcdfgh}}": "13812345678", "{{EMAIL_zzzzzz}}": "a@b.cn"}
+
+
+def test_any_split_restores_as_the_whole():
+    text = "call {{PHONE_bcdfgh}} or {{EMAIL_zzzzzz}}, not {{CARD_bbbbbb}} {{ {x} {{PHONE_"
+    whole = restore.feed("", text, KNOWN, True)
+    rng = random.Random(3)
+    for _ in range(500):
+        cuts = sorted(rng.sample(range(len(text) + 1), rng.randint(0, 8)))
+        parts = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])]
+        held, out, n, missing = "", "", 0, 0
+        for i, p in enumerate(parts):
+            shown, held, a, b = restore.feed(held, p, KNOWN, i == len(parts) - 1)
+            out, n, missing = out + shown, n + a, missing + b
+        assert (out, n, missing) == (whole[0], whole[2], whole[3])
+
+
+def test_stream_of_fragments_out_of_order(spark, tmp_path):
+    text = "call {{PHONE_bcdfgh}} or {{EMAIL_zzzzzz}}!"
+    rows = [("s1", "c", i, text[5 * i : 5 * i + 5], 5 * i + 5 >= len(text)) for i in range(-(-len(text) // 5))] + [("s2", "c", 0, "{{PHONE_", False), ("s2", "c", 1, "bcdfgh}}", True)]
+    random.Random(1).shuffle(rows)
+    schema = "sid string, channel string, seq long, text string, final boolean"
+    for k in range(3):
+        spark.createDataFrame(rows[k::3], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    chunks = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    q = restore.restore_stream(chunks, KNOWN).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = spark.read.parquet(f"{tmp_path}/out").orderBy("sid", "seq").collect()
+    assert "".join(r.text for r in got if r.sid == "s1") == "call 13812345678 or a@b.cn!"
+    assert "".join(r.text for r in got if r.sid == "s2") == "13812345678"
+    assert sum(r.restored for r in got) == 3
+
+
+def test_rollups_of_a_stream(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.repartition(3).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(events.schema).parquet(f"{tmp_path}/in")
+    restore.append_with_rollups(stream, f"{tmp_path}/log", f"{tmp_path}/roll", f"{tmp_path}/cp").awaitTermination(120)
+    assert spark.read.parquet(f"{tmp_path}/log").count() == events.count()
+    rolled = spark.read.parquet(f"{tmp_path}/roll").groupBy("day", "event_type").agg(F.sum("count").alias("n"))
+    want = events.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    assert sorted(map(tuple, rolled.collect())) == sorted(map(tuple, want.collect()))
+    daily = restore.daily_rollup(stream).writeStream.format("memory").queryName("daily").outputMode("complete").trigger(availableNow=True).start()
+    daily.awaitTermination(120)
+    assert spark.table("daily").agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_duplicate_keys_and_decompression(spark):
+    rows = [('{"a":1,"a":2}', True), ('{"a":{"b":1,"b":1}}', True), ('[{"a":1},{"a":1}]', False), ("{", None), (None, None)]
+    df = spark.createDataFrame(rows, "t string, want boolean")
+    assert all(r.got == r.want for r in df.select("want", udfs.duplicate_keys("t").alias("got")).collect())
+    data = b"hello " * 50
+    bodies = [(udfs.compress(data, "gzip") * 2, "GZIP ", data * 2), (udfs.compress(data, "deflate"), "deflate", data), (data, "identity", data), (data, "br", None), (b"junk", "gzip", None), (None, "gzip", None)]
+    df = spark.createDataFrame(bodies, "b binary, e string, want binary")
+    assert all(r.got == r.want for r in df.select("want", udfs.decompress("b", "e", 1000).alias("got")).collect())
+    assert udfs.decompressed(udfs.compress(data, "gzip"), "gzip", 100) is None
+
+
+def test_leaves_exemptions_and_write_back(spark):
+    body = '{"model":"m","max_tokens":5,"messages":[{"role":"user","content":"call 13812345678"}],"input":{"id":"x","n":7},"cache_control":{"k":"v"}}'
+    df = spark.createDataFrame([("r1", body), ("r2", "no json"), ("r3", None), ("r4", "[]")], "row_id string, body string")
+    found = json_leaves.leaves(df).withColumn("exempt", json_leaves.exempt()).orderBy("row_id", "ord").collect()
+    assert [(r.key, r.kind, r.in_business, r.exempt) for r in found] == [
+        ("model", "string", False, True), ("max_tokens", "number", False, True), ("role", "string", False, True), ("content", "string", False, False),
+        ("id", "string", True, False), ("n", "number", True, False), ("k", "string", False, True),
+    ]
+    changed = spark.createDataFrame([("r1", 3, "call {{PHONE_bcdfgh}}")], "row_id string, ord long, value string")
+    out = {r.row_id: r.body for r in json_leaves.rebuilt(df, changed).collect()}
+    assert out["r1"] == body.replace("13812345678", "{{PHONE_bcdfgh}}") and out["r2"] == "no json" and out["r3"] is None and out["r4"] == "[]"
