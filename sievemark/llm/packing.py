@@ -12,6 +12,8 @@ to which sequences and offsets; pieces find their place by their rank within the
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,6 +33,14 @@ PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LET
 _SIMPLE = re.compile("[!-~\xa1-\xff]*")
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit bytes."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class Encoder:
     """Ids of whole texts, as little-endian 32-bit bytes, as the library gives them for the same file.
 
@@ -44,14 +54,16 @@ class Encoder:
         self.merge = bpe.merger(path)
         self.library = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.memo = bpe.Memo(self.stretch)
+        self.memo = bpe.Memo(self.stretch, 500_000)
 
     def stretch(self, text: str) -> bytes:
+        if text.isascii() and text.isalpha():  # one piece, by far the most
+            return _packed(self.merge(text.lower().encode() + bpe.END))
         if _SIMPLE.fullmatch(text) is None or any(s in text for s in self.specials):
             ids = self.library.encode(text, add_special_tokens=False).ids
         else:
             ids = list(chain.from_iterable(self.merge(p.encode() + bpe.END) for p in PIECE.findall(text.lower())))
-        return np.array(ids, "<u4").tobytes()
+        return _packed(ids)
 
     def __call__(self, text: str) -> bytes:
         return b"".join(map(self.memo.__getitem__, text.replace("\n", " ").split(" ")))
