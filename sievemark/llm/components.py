@@ -31,5 +31,7 @@ def connected(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         if mark == before:
             break
         before = mark
+    else:
+        raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(edges.select("v", "v").distinct())

@@ -168,7 +168,8 @@ def scored(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMP
     rows = scratch.table(featured(docs), "features")
     some = labels.where(learn & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "quality").dropDuplicates(["doc_id"])
     taken = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    got = rows.join(F.broadcast(taken), "doc_id").select("features", "quality").toArrow()
+    one = rows.join(F.broadcast(taken), "doc_id").groupBy("doc_id").agg(F.min("features").alias("features"), F.min("quality").alias("quality"))
+    got = one.select("features", "quality").toArrow()  # at most ``sample`` rows
     x = np.array(got.column("features").to_pylist(), np.float32).reshape(-1, len(FEATURES))
     y = np.array(got.column("quality").to_pylist(), np.float64)
     order = np.lexsort([*x.T, y])  # the fit does not depend on the order of rows
