@@ -57,16 +57,16 @@ RULES = [
     Rule("det01_private_key", "PRIVATE_KEY", r"-----BEGIN (?:RSA |EC |DSA |OPENSSH |PGP |ENCRYPTED )?PRIVATE KEY-----[A-Za-z0-9+/=:, \t\r\n-]{20,900}?-----END[^-]{0,40}PRIVATE KEY-----", on=False),
     Rule("det02_ssh_pubkey", "SSH_PUBKEY", r"(?:ssh-(?:rsa|dss|ed25519|ed448)|ecdsa-sha2-nistp(?:256|384|521)|sk-(?:ssh-ed25519|ecdsa-sha2-nistp256)@openssh\.com)" + _WS + r"+AAAA[A-Za-z0-9+/]{50,}={0,3}",
          r"[A-Za-z0-9+/=_@.-]\z", r"\A[A-Za-z0-9+/=]", 0, _plain(V.ssh_key)),
-    Rule("det03_github_token", "API_KEY", "gh[oprsu]_[A-Za-z0-9_]{20,}", _L, _R),
+    Rule("det03_github_token", "API_KEY", "gh[pousr]_[A-Za-z0-9_]{20,}", _L, _R),
     Rule("det04_github_pat", "API_KEY", "github_pat_[A-Za-z0-9_]{50,}", _L, _R),
     Rule("det05_google_key", "API_KEY", "AIza[A-Za-z0-9_-]{35,38}", _L, _R),
     Rule("det06_aliyun_key", "ACCESS_KEY", "LTAI[A-Za-z0-9]{12,20}", _L, _R, on=False),
     Rule("det07_tencent_key", "ACCESS_KEY", "AKID[A-Za-z0-9]{13,32}", _L, _R, on=False),
-    Rule("det08_slack_token", "API_KEY", "xox[abprs]-[A-Za-z0-9-]{10,}", _L, _R),
-    Rule("det09_stripe_key", "API_KEY", "[rs]k_(?:live|test)_[A-Za-z0-9]{20,}", _L, r"\A[A-Za-z0-9]"),
+    Rule("det08_slack_token", "API_KEY", "xox[baprs]-[A-Za-z0-9-]{10,}", _L, _R),
+    Rule("det09_stripe_key", "API_KEY", "[sr]k_(?:live|test)_[A-Za-z0-9]{20,}", _L, r"\A[A-Za-z0-9]"),
     Rule("det10_feishu_app", "API_KEY", "cli_[a-z0-9]{16,}", _L, r"\A[a-z0-9]"),
     Rule("det11_dingtalk_key", "API_KEY", "ding[a-z0-9]{12,}", r"[A-Za-z]\z", r"\A[a-z0-9]", 0, lambda d, v, w, lft, r: d.has(v, "[0-9]")),
-    Rule("det12_aws_key_id", "ACCESS_KEY", "A(?:K|S)IA[A-Z0-9]{16}", r"[A-Z0-9]\z", r"\A[A-Z0-9]", on=False),
+    Rule("det12_aws_key_id", "ACCESS_KEY", "(?:AKIA|ASIA)[A-Z0-9]{16}", r"[A-Z0-9]\z", r"\A[A-Z0-9]", on=False),
     Rule("det13_aws_secret", "ACCESS_KEY", r"(?i:aws[_-]?secret[_-]?access[_-]?key[\x22\x27]?" + _WS + "*[:=]" + _WS + r"*[\x22\x27]?)([A-Za-z0-9/+=]{40})", "", r"\A[A-Za-z0-9/+=]", 1, on=False),
     Rule("det14_jwt", "JWT", rf"eyJ{_B64URL}\.{_B64URL}\.{_B64URL}", _L, _R, 0, _plain(V.jwt), False),
     Rule("det15_bearer", "TOKEN", "(?i:Bearer)" + _WS + "+([A-Za-z0-9._~+/=-]{20,})", _WORD_L, "", 1, lambda d, v, w, lft, r: d.has(v, "[^A-Za-z]"), False),

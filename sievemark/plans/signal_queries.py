@@ -17,7 +17,7 @@ from .event_log import items, log
 LEAKS = [
     ("sk_secret", "CRITICAL", r"sk-[A-Za-z0-9_-]{20,}"),
     ("bearer", "HIGH", r"Bearer[ \t\r\n]+[A-Za-z0-9._~+/-]{20,}=*"),
-    ("aws_key", "CRITICAL", r"A[KS]IA[0-9A-Z]{16}"),
+    ("aws_key", "CRITICAL", r"(?:AKIA|ASIA)[0-9A-Z]{16}"),
     ("google_key", "HIGH", r"AIza[0-9A-Za-z_-]{35}"),
     ("url_key", "HIGH", r"[?&]key=[A-Za-z0-9_-]{25,}"),
     ("gcp_token", "HIGH", r"ya29\.[A-Za-z0-9_.~+/-]{20,}"),
