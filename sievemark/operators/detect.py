@@ -36,12 +36,37 @@ def find(corpus: DataFrame, rule: Rule) -> DataFrame:
 
 
 def find_all(corpus: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    """Values of all rules, each on the text as it is: the scan of responses, where rules don't rewrite."""
-    found = None
-    for rule in rules if rules is not None else [r for r in RULES if r.on]:
-        one = find(corpus, rule).withColumn("rule", F.lit(rule.key))
-        found = one if found is None else found.unionByName(one)
-    return found
+    """Values of all rules, each on the text as it is: the scan of responses, where rules don't rewrite.
+
+    One scan for all rules: each cuts the text of a row where its pattern matches at all; the candidates of
+    all rules are exploded once and meet the condition of their rule. Columns as of ``find``, and rule.
+    """
+    rules = rules if rules is not None else [r for r in RULES if r.on]
+    none = F.array().cast("array<string>")
+    hit = F.lit(False)
+    for r in rules:
+        hit = hit | F.col("text").rlike(r.pattern)
+    cut = corpus.where(hit).select("row_id", "src", "text", *[F.when(F.col("text").rlike(r.pattern), F.regexp_extract_all("text", F.lit(r.pattern), F.lit(0))).otherwise(none).alias(f"v{k}") for k, r in enumerate(rules)])
+    cut = cut.select("row_id", "src", *[f"v{k}" for k in range(len(rules))], *[F.when(F.size(f"v{k}") > 0, F.split("text", r.pattern, -1)).otherwise(none).alias(f"g{k}") for k, r in enumerate(rules)])
+
+    def candidates_of(k: int, r: Rule):
+        v, g = F.col(f"v{k}"), F.col(f"g{k}")
+        return F.transform(
+            v,
+            lambda w, i: F.struct(
+                F.lit(r.key).alias("rule"),
+                F.lit(r.label).alias("label"),
+                i.cast("long").alias("ord"),
+                w.alias("whole"),
+                (F.regexp_extract(w, r.pattern, r.group) if r.group else w).alias("value"),
+                F.concat(F.coalesce(F.get(v, i - 1), F.lit("")), F.get(g, i)).alias("lft"),
+                F.concat(F.get(g, i + 1), F.coalesce(F.get(v, i + 1), F.lit(""))).alias("rgt"),
+            ),
+        )
+
+    each = cut.select("row_id", "src", F.explode(F.concat(*[candidates_of(k, r) for k, r in enumerate(rules)])).alias("c")).select("row_id", "src", "c.*")
+    kept = F.expr("CASE rule " + " ".join(f"WHEN '{r.key}' THEN {conditions(r, Spark)}" for r in rules) + " END")
+    return each.where(kept).select("row_id", "src", "ord", "label", "value", "rule")
 
 
 def redact(text, rules: list[Rule] | None = None):
