@@ -1,28 +1,33 @@
 """Language-model scores by logistic context mixing.
 
-Tokens are words and one end for each text. The corpus gives exact counts of all training tokens. A known token's
-probability is its share, less what is set aside for new words; a new word is spelled, byte by byte and
-bit by bit, with a space as its end. Each bit is predicted from several contexts, each hashed into a table of
-counts of zeros and ones over all training words: the position, the last one to four bytes, the whole word so
-far. The predictions are mixed in the logistic domain by weights that the bit and the position select (gates);
-the weights are learned online over the training words that occur once, each with its own share of the
-counts taken out, in every partition, and averaged. A table of what really came, by the mixed prediction, refines it.
-A word equal to the one before it may also be a copy, with a probability learned by the length of the run.
-
-Counts of known words are kept for each of a few classes of texts as well (their languages, mostly), found from which
-frequent words go together in a text. A text's score mixes the classes: each is one predictor, and its weight follows
-how well it has predicted the text so far, which comes to the sum over classes of their share times what
-they give the whole text.
-
-What executors share is of fixed size: the tables of counts, the weights, the classes of frequent words, and the
-counts of the most frequent words. All other words meet their counts by a join.
+Tokens are words and one end for each text; every one is coded, bit by bit, from mixed predictions. The corpus gives
+exact counts of all training tokens. Frequent words that the training texts hold twice or more, the end, and an escape
+for all other words have a prefix code each (Huffman's, by count). A token's first bit says whether it is the word
+before again; if not, the bits of its code follow. Each bit is predicted from the place in the code
+alone and with the class of the text so far, the word before, the two words before, and the run of equal words and
+the position; each context is hashed into a table of counts of zeros and ones over all training texts, whose size
+follows the vocabulary. The predictions are mixed in the logistic domain by weights that the depth and the contexts
+seen before select (gates). As in any such coder a bit is first predicted from what was counted before it, then the
+weights learn from it, then it is counted; partitions do so side by side, their counts are summed and their
+weights averaged. A table of what really came, by the mixed prediction, refines it.
+
+An escaped word is spelled, byte by byte and bit by bit, with a space as its end, by a mixer of the same kind
+whose contexts stay within the word: the position, the last one to four bytes, the whole word so far. Its tables
+count every training word once; its weights are learned over the training words that occur once, each with
+its own share of the counts taken out.
+
+The class of the text so far (mostly its language) is that of most of its marker words up to here; markers are frequent
+words, classed by which of them go together in a text.
+
+What executors share is of bounded size: tables, weights, and the codes and counts of the most frequent words. All other
+words meet their counts and their spelling by a join.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from math import log10
+from math import ceil, log2, log10
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +39,16 @@ from . import scratch, words
 _U = np.uint64
 ORDERS, SLOT_BITS, BLOCK = 6, 18, 4096
 GATES, INPUTS, REFINE, RUNS = 32, ORDERS + 1, 33, 8
+#: Contexts of a code's bits, depths told apart, gates (by depth and whether the two longest contexts were seen), least and most bits of a table's slots.
+VIEWS, DEPTHS = 5, 24
+WORD_GATES, LEAST_BITS, MOST_BITS = 4 * DEPTHS, 16, 20
 #: Most words whose counts are broadcast.
 HEAD = 200_000
 _FLUSH = 200_000
 #: Classes of texts, and the frequent words that tell them.
 CLASSES, MARKERS = 6, 256
 _SALT = words.mix(np.arange(1, ORDERS + 1, dtype=_U))
+_VIEW_SALT = words.mix(np.arange(101, 101 + VIEWS, dtype=_U))
 _C1, _C2 = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
 
 
@@ -187,21 +196,197 @@ def _weights(once: DataFrame, tables) -> tuple[np.ndarray, np.ndarray]:
     return (weights / total if total else np.full((GATES, INPUTS), 0.25)), refined
 
 
-def _runs(found: list[bytes]) -> list[int]:
-    """For each word after the first, 2 * (length of the run of equal words before it, up to RUNS - 1) + whether it goes on."""
-    out, run = [], 0
-    for a, b in zip(found, found[1:]):
-        same = a == b
-        out.append(2 * run + same)
-        run = min(run + 1, RUNS - 1) if same else 0
-    return out
+def prefix_codes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each symbol's code starts, and the nodes and bits of all codes: Huffman's, each after a zero at one more node, and last the code of a copy, a one there."""
+    n = len(counts)
+    order = np.argsort(counts, kind="stable")
+    weights = [*np.asarray(counts)[order].tolist(), *[0] * (n - 1)]
+    parent, side = np.zeros(2 * n - 1, np.int64), np.zeros(2 * n - 1, np.uint8)
+    leaf, inner = 0, n
+    for k in range(n, 2 * n - 1):
+        for bit in (0, 1):
+            if leaf < n and (inner >= k or weights[leaf] <= weights[inner]):
+                least, leaf = leaf, leaf + 1
+            else:
+                least, inner = inner, inner + 1
+            parent[least], side[least] = k, bit
+            weights[k] += weights[least]
+    root, here, climbed = 2 * n - 2, np.arange(n), []
+    depth = np.zeros(n, np.int64)
+    while (below := here != root).any():
+        climbed.append((np.flatnonzero(below), parent[here[below]], side[here[below]]))
+        depth[below] += 1
+        here = np.where(below, parent[here], here)
+    of_symbol = np.empty(n, np.int64)
+    of_symbol[order] = depth + 1
+    at = np.concatenate([[0], np.cumsum(of_symbol), [of_symbol.sum() + 1]])
+    node, bits = np.full(at[-1], n - 1, np.int32), np.zeros(at[-1], np.uint8)
+    for step, (those, up, which) in enumerate(climbed):
+        place = at[order[those]] + depth[those] - step
+        node[place], bits[place] = root - up, which
+    bits[-1] = 1
+    return at, node, bits
+
+
+class Coder:
+    """Codes of symbols: words by their place in ``coded``, then the end, then the escape, then a copy."""
+
+    def __init__(self, coded: list[bytes], counts: np.ndarray, ends: int, rest: int, class_of: dict[bytes, int], slot_bits: int):
+        self.coded, self.slot_bits = coded, slot_bits
+        self.end, self.escape, self.copy, self.start = len(coded), len(coded) + 1, len(coded) + 2, len(coded) + 3
+        self.at, self.node, self.bit = prefix_codes(np.concatenate([counts, [max(ends, 1), max(rest, 1)]]))
+        self.classes = np.full(len(coded) + 4, -1, np.int64)
+        for i, w in enumerate(coded[:MARKERS]):
+            self.classes[i] = class_of.get(w, -1)
+
+    def index(self) -> dict[bytes, int]:
+        return {w: i for i, w in enumerate(self.coded)}
+
+    def tokens(self, texts: list[list[bytes]], index: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Symbol of each token, ends included; the mixed contexts, a row for each view; where texts start."""
+        ids, starts = [], []
+        for found in texts:
+            starts.append(len(ids))
+            own = [index.get(w, -1) for w in found]
+            if -1 in own:
+                new: dict[bytes, int] = {}  # escaped words are told apart within their text
+                own = [i if i >= 0 else -1 - new.setdefault(w, len(new)) for i, w in zip(own, found)]
+            ids.extend(own)
+            ids.append(self.end)
+        ident, at = np.array(ids, np.int64), np.array(starts, np.int64)
+        n = len(ident)
+        begin = np.repeat(at, np.diff(np.append(at, n)))
+        place = np.arange(n) - begin
+        symbol = np.where(ident < 0, self.escape, ident)
+        before, two = np.full(n, self.start), np.full(n, self.start)
+        before[1:], two[2:] = symbol[:-1], symbol[:-2]
+        before[place < 1] = two[place < 2] = self.start
+        same = np.zeros(n, bool)
+        same[1:] = (ident[1:] == ident[:-1]) & (place[1:] > 0)
+        last = np.maximum.accumulate(np.where(same, 0, np.arange(n)))  # where the run of equal words began
+        run = np.zeros(n, np.int64)
+        run[1:] = np.where(place[1:] > 0, np.minimum(np.arange(n - 1) - last[:-1], RUNS - 1), 0)
+        votes = np.zeros((n + 1, CLASSES), np.int32)
+        kind = self.classes[symbol]
+        marks = np.flatnonzero(kind >= 0)
+        votes[marks + 1, kind[marks]] = 1
+        votes = np.cumsum(votes, axis=0)
+        votes = votes[:-1] - votes[begin]
+        of_text = np.where(votes.any(axis=1), votes.argmax(axis=1), CLASSES)
+        far = np.floor(np.log2(place + 1)).astype(np.int64)
+        rows = [np.zeros(n, np.int64), of_text, before, (two << 32) | before, (run << 32) | far]
+        return np.where(same, self.copy, symbol), np.stack([words.mix(r.astype(_U) + s) for r, s in zip(rows, _VIEW_SALT)]), at
+
+    def bits(self, symbol: np.ndarray, mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each bit of the symbols' codes: its symbol, depth, value and, a row for each view, table slot."""
+        sizes = self.at[symbol + 1] - self.at[symbol]
+        of = np.repeat(np.arange(len(symbol)), sizes)
+        depth = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        flat = np.repeat(self.at[symbol], sizes) + depth
+        node = (self.node[flat].astype(_U) + _U(1)) * _C1
+        place = np.stack([((m[of] ^ node) * _C2) >> _U(64 - self.slot_bits) for m in mixed]).astype(np.int64)
+        place[0] = self.node[flat]  # alone, nodes have slots of their own
+        return of, np.minimum(depth, DEPTHS - 1), self.bit[flat], place
+
+
+def _word_gate(depth: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return depth * 4 + (x[2] != 0) * 2 + (x[3] != 0)
+
+
+def _word_mix(x: np.ndarray, gates: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    total = weights[-1][gates] * np.float32(0.3)
+    for row, w in zip(x, weights):
+        total += row * w[gates]
+    return total
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], column: int, least: int) -> Iterator[tuple[pa.RecordBatch, int, list[list[bytes]]]]:
+    """Words of consecutive texts, ``least`` or more at a time but at the end of a batch: batch, first row, texts."""
+    for batch in batches:
+        first, held, size = 0, [], 0
+        for i, text in enumerate(batch.column(column)):
+            held.append((text.as_py() or "").encode().lower().split())
+            size += len(held[-1]) + 1
+            if size >= least:
+                yield batch, first, held
+                first, held, size = i + 1, [], 0
+        if held:
+            yield batch, first, held
+
+
+def _learned(docs: DataFrame, coder) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretched counts of all training texts (view, slot), mixing weights (input, gate) and refinement counts."""
+    size, shape = 1 << coder.value.slot_bits, (VIEWS + 1, WORD_GATES)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = coder.value
+        index, tables = own.index(), np.zeros((VIEWS, 2 * size), np.float32)
+        weights, refined, seen, steps = np.full(shape, 0.3, np.float32), np.zeros((2, DEPTHS * REFINE)), 0, 0
+        for _, _, texts in _chunks(batches, 0, 4096):
+            symbols, contexts, _ = own.tokens(texts, index)
+            step = 2048 if steps < 64 else 8192
+            for i in range(0, len(symbols), step):
+                _, depth, bit, place = own.bits(symbols[i : i + step], contexts[:, i : i + step])
+                x = np.stack([np.log((t[2 * p + 1] + np.float32(0.2)) / (t[2 * p] + np.float32(0.2))) for t, p in zip(tables, place)])
+                g = _word_gate(depth, x)
+                mixed = _word_mix(x, g, weights)
+                error = bit - squash(mixed)
+                rate = 0.1 / (1 + steps / 100) ** 0.5
+                n = np.maximum(np.bincount(g, minlength=WORD_GATES), 64)
+                for row, w in zip(x, weights):
+                    w += (rate * np.bincount(g, row * error, WORD_GATES) / n).astype(np.float32)
+                weights[-1] += (rate * 0.3 * np.bincount(g, error, WORD_GATES) / n).astype(np.float32)
+                where = depth * REFINE + _bucket(mixed)
+                for b in (0, 1):
+                    refined[b] += np.bincount(where[bit == b], minlength=DEPTHS * REFINE)
+                for t, p in zip(tables, place):
+                    np.add.at(t, 2 * p + bit, np.float32(1))
+                steps += 1
+                seen += len(bit)
+        if seen:
+            blocks = tables.reshape(-1, BLOCK)
+            used = np.flatnonzero(blocks.any(axis=1))
+            other = np.concatenate([[seen], (weights.astype(float) * seen).ravel(), refined.ravel()])
+            yield pa.RecordBatch.from_arrays([pa.array([-1, *used.tolist()], pa.int64()), pa.array([other.tobytes(), *[blocks[i].tobytes() for i in used]], pa.binary())], names=["block", "n"])
+
+    def add(group: pa.Table) -> pa.Table:
+        kind = np.float64 if group.column("block")[0].as_py() < 0 else np.float32
+        total = sum(np.frombuffer(x.as_py(), kind) for x in group.column("n"))
+        return pa.table({"block": group.column("block").slice(0, 1), "n": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "block long, n binary"
+    summed = docs.where("_train").select("text").mapInArrow(learn, schema).groupBy("block").applyInArrow(add, schema)
+    counts = np.zeros((VIEWS * 2 * size) // BLOCK * BLOCK, np.float32).reshape(-1, BLOCK)
+    weights, refined = np.full(shape, 0.3, np.float32), np.zeros((2, DEPTHS * REFINE))
+    for r in summed.collect():  # tables of bounded size
+        if r["block"] < 0:
+            other = np.frombuffer(bytes(r["n"]))
+            k = 1 + weights.size
+            weights, refined = (other[1:k] / other[0]).reshape(shape).astype(np.float32), other[k:].reshape(refined.shape)
+        else:
+            counts[r["block"]] = np.frombuffer(bytes(r["n"]), np.float32)
+    counts = counts.reshape(VIEWS, size, 2)
+    return np.log((counts[:, :, 1] + np.float32(0.2)) / (counts[:, :, 0] + np.float32(0.2))), weights, refined
+
+
+def log10_coded(symbols: np.ndarray, contexts: np.ndarray, coder: Coder, stretched: np.ndarray, weights: np.ndarray, refined: np.ndarray, step: int = 8192) -> np.ndarray:
+    """log10 probability of each symbol's code."""
+    out = []
+    part = ((3 * (refined[1] + 0.5) / (refined.sum(axis=0) + 1)) / 4).astype(np.float32)
+    for i in range(0, len(symbols), step):
+        of, depth, bit, place = coder.bits(symbols[i : i + step], contexts[:, i : i + step])
+        x = np.stack([t[p] for t, p in zip(stretched, place)])
+        mixed = _word_mix(x, _word_gate(depth, x), weights)
+        p = squash(mixed) / 4 + part[depth * REFINE + _bucket(mixed)]
+        out.append(np.bincount(of, np.log10(np.clip(np.where(bit == 1, p, 1 - p), 1e-9, 1)), len(symbols[i : i + step])))
+    return np.concatenate(out)
 
 
 def _counted(docs: DataFrame) -> DataFrame:
-    """kind 0: word, its training count n, its count m in all texts; 1: copy contexts; 2: training texts."""
+    """kind 0: word, its training count n, its count m in all texts; 2: training texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trained, other, copies, texts = Counter(), Counter(), Counter(), 0
+        trained, other, texts = Counter(), Counter(), 0
 
         def rows() -> pa.RecordBatch:
             every = list(trained.keys() | other.keys())
@@ -215,15 +400,13 @@ def _counted(docs: DataFrame) -> DataFrame:
                 (trained if train else other).update(found)
                 if train:
                     texts += 1
-                    copies.update(_runs(found))
                 if len(trained) + len(other) > _FLUSH:
                     yield rows()
                     trained.clear()
                     other.clear()
         if trained or other:
             yield rows()
-        extra = [(1, b"%d" % (c // 2), v if c % 2 == 0 else 0, v if c % 2 else 0) for c, v in copies.items()] + [(2, b"", texts, 0)]
-        yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in extra], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.int64(), pa.int64()))], names=["kind", "word", "n", "m"])
+        yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([b""], pa.binary()), pa.array([texts], pa.int64()), pa.array([0], pa.int64())], names=["kind", "word", "n", "m"])
 
     partial = docs.select("text", "_train").mapInArrow(count, "kind int, word binary, n long, m long")
     return partial.groupBy("kind", "word").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
@@ -272,32 +455,6 @@ def clusters(both: np.ndarray, rounds: int = 20) -> np.ndarray:
     return found
 
 
-def _by_class(docs: DataFrame, markers: dict[bytes, int]) -> DataFrame:
-    """word (null: texts themselves), class and count over the training texts; a text's class is that of most of its markers."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = [Counter() for _ in range(CLASSES)]
-
-        def rows() -> Iterator[pa.RecordBatch]:
-            for c, own in enumerate(counts):
-                if own:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(own.keys()), pa.binary()), pa.array([c] * len(own), pa.int32()), pa.array(list(own.values()), pa.int64())], names=["word", "class", "n"])
-                    own.clear()
-
-        for batch in batches:
-            for text in batch.column(0):
-                found = (text.as_py() or "").encode().lower().split()
-                votes = Counter(markers[w] for w in found if w in markers)
-                own = counts[min(votes, key=lambda c: (-votes[c], c)) if votes else 0]
-                own.update(found)
-                own[None] += 1
-            if sum(map(len, counts)) > _FLUSH:
-                yield from rows()
-        yield from rows()
-
-    return docs.where("_train").select("text").mapInArrow(count, "word binary, class int, n long").groupBy("word", "class").agg(F.sum("n").alias("n"))
-
-
 def score(docs: DataFrame, train) -> DataFrame:
     """doc_id, _train, n_tokens, n_known, train_tokens, base_score and score of each row of ``docs`` (doc_id, text).
 
@@ -310,16 +467,9 @@ def score(docs: DataFrame, train) -> DataFrame:
     docs = docs.select("doc_id", "text", F.coalesce(train, F.lit(True)).alias("_train"))
     counted = scratch.table(_counted(docs), "words")
     vocabulary = counted.where("kind = 0").select("word", "n", "m")
-    sums = vocabulary.agg(F.sum("n").alias("n"), F.sum((F.col("n") > 0).cast("long")).alias("v"), F.sum((F.col("n") == 1).cast("long")).alias("once")).first()
-    small = counted.where("kind > 0").collect()
-    ends = sum(r["n"] for r in small if r["kind"] == 2)
-    copied = np.full((RUNS, 2), 0.5)
-    for r in small:
-        if r["kind"] == 1:
-            copied[int(bytes(r["word"]))] += [r["n"], r["m"]]
-    p_copy = copied[:, 1] / copied.sum(axis=1)
+    sums = vocabulary.agg(F.sum("n").alias("n"), F.sum((F.col("n") > 0).cast("long")).alias("v")).first()
+    ends = sum(r["n"] for r in counted.where("kind > 0").collect())
     n, v = (sums["n"] or 0) + ends, (sums["v"] or 0) + (ends > 0)
-    new = ((sums["once"] or 0) + 1) / (n + 2)  # the share of words not seen before
     tables = _count_tables(vocabulary.where("n > 0"))
     shared = spark.sparkContext.broadcast(tables)
     weights, refined = _weights(vocabulary.where("n = 1"), shared)
@@ -332,80 +482,61 @@ def score(docs: DataFrame, train) -> DataFrame:
     marked = vocabulary.where("n > 0").orderBy(F.desc("n"), "word").limit(MARKERS).select("word").collect()
     markers = [bytes(r["word"]) for r in marked]
     of_marker = dict(zip(markers, _classes(docs, markers).tolist())) if markers else {}
-    classed = scratch.table(_by_class(docs, of_marker), "classed")
-    totals = {r["class"]: r for r in classed.groupBy("class").agg(F.sum("n").alias("n"), F.sum((F.col("n") == 1).cast("long")).alias("once"), F.sum(F.when(F.col("word").isNull(), F.col("n"))).alias("texts")).collect()}
-    size = np.array([totals[c]["n"] if c in totals else 0 for c in range(CLASSES)], float)
-    texts = np.array([(totals[c]["texts"] or 0) if c in totals else 0 for c in range(CLASSES)], float)
-    aside = np.array([totals[c]["once"] if c in totals else 0 for c in range(CLASSES)], float) + 1
-    unknown = min(0.95, max(0.05, new * (n + 1) / aside.sum()))  # of what classes set aside, the share of words that are new to all
-    share = np.log10((texts + 1) / (texts.sum() + CLASSES))
-    unseen = vocabulary.where("n = 0").mapInArrow(spell, "word binary, n long, m long, lp double")
-    spelled = F.array(*[F.col("lp") + float(np.log10(unknown * a / (z + a))) for a, z in zip(aside, size)])
-    per_class = classed.where("word IS NOT NULL").groupBy("word").agg(*[F.sum(F.when(F.col("class") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in range(CLASSES)])
-    back = F.col("n") * F.lit((1 - unknown) / max(n, 1))
-    known = F.array(*[F.log10((F.col(f"n{c}") + aside[c] * back) / F.lit(float(size[c] + aside[c]))) for c in range(CLASSES)])
-    seen = vocabulary.where("n > 0").join(per_class, "word").select("word", "n", "m", known.alias("lps"))
-    scored = scratch.table(seen.unionByName(unseen.select("word", "n", "m", spelled.alias("lps"))), "scored")
-    sizes = {r["b"]: r["c"] for r in scored.groupBy(F.floor(F.log2("m")).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("c")).collect()}
+    sizes = {r["b"]: r["c"] for r in vocabulary.groupBy(F.floor(F.log2("m")).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("c")).collect()}
     least, held = 64, 0
     while least > 0 and held + sizes.get(least - 1, 0) <= HEAD:
         least -= 1
         held += sizes.get(least, 0)
-    head = scored.where(F.col("m") >= (1 << least) if least < 63 else F.lit(False)).select("word", "n", "lps").toArrow()  # at most HEAD words
-    logs = head.column("lps").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, CLASSES)
-    top = spark.sparkContext.broadcast((head.column("word").to_pylist(), head.column("n").to_numpy(), logs))
+    frequent = F.col("m") >= (1 << least) if least < 63 else F.lit(False)
+    in_code = frequent & (F.col("n") > 1)
+    spelled = vocabulary.where(~in_code).mapInArrow(spell, "word binary, n long, m long, lp double")
+    scored = scratch.table(vocabulary.where(in_code).withColumn("lp", F.lit(0.0)).unionByName(spelled), "scored")
+    head = scored.where(frequent).select("word", "n", "lp").toArrow()  # at most HEAD words
+    names, counts, logs = head.column("word").to_pylist(), head.column("n").to_numpy(), head.column("lp").to_numpy()
+    coded = sorted(((w, int(c)) for w, c in zip(names, counts) if c > 1), key=lambda r: (-r[1], r[0]))
+    known = np.array([c for _, c in coded], np.int64)
+    slot_bits = min(MOST_BITS, max(LEAST_BITS, ceil(log2(16 * (v + 1)))))
+    coder = spark.sparkContext.broadcast(Coder([w for w, _ in coded], known, ends, n - ends - int(known.sum()), of_marker, slot_bits))
+    model = spark.sparkContext.broadcast(_learned(docs, coder))
+    top = spark.sparkContext.broadcast((names, counts, logs))
     base_of = -log10(n + v + 1)
-    if ends:
-        p_end = np.log10((texts + aside * ends * (1 - unknown) / n) / (size + aside))
-    else:
-        p_end = float(log10_spelled([b""], tables, weights, refined)[0]) + np.log10(unknown * aside / (size + aside))
-    end = (log10(ends + 1) + base_of, int(ends > 0), p_end)
-    stay, go = np.log10(1 - p_copy), np.log10(p_copy)
+    end = (log10(ends + 1) + base_of, int(ends > 0))
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, counts, logs = top.value
-        index = {w: i for i, w in enumerate(names)}
-        base, known, logs = np.append(np.log10(counts + 1.0) + base_of, 0.0), np.append(counts > 0, False).astype(np.int64), np.vstack([logs, np.zeros((1, CLASSES))])
+        own, (stretched, weights, refined) = coder.value, model.value
+        index, symbol_of = {w: i for i, w in enumerate(names)}, own.index()
+        base, known, logs = np.append(np.log10(counts + 1.0) + base_of, 0.0), np.append(counts > 0, False).astype(np.int64), np.append(logs, 0.0)
         missing = len(names)
-        for batch in batches:
+        for batch, first, texts in _chunks(batches, 1, 8192):
+            symbols, contexts, at = own.tokens(texts, symbol_of)
+            lps = np.add.reduceat(log10_coded(symbols, contexts, own, stretched, weights, refined), at)
             out = []
-            for text in batch.column(1):
-                found = (text.as_py() or "").encode().lower().split()
-                at = np.fromiter((index.get(w, missing) for w in found), np.int64, len(found))
-                lp = logs[at]
-                again = np.zeros(len(found), bool)
-                if len(found) > 1:
-                    moves = np.array(_runs(found))
-                    run, same = moves >> 1, (moves & 1).astype(bool)
-                    again[1:] = same
-                    lp[1:] += stay[run][:, None]
-                    copy = go[run][:, None]
-                    lp[1:] = np.where(same[:, None], np.where((at[1:] == missing)[:, None], copy, np.maximum(lp[1:], copy)), lp[1:])
-                rest = at == missing
-                copied_tail = Counter(w for w, r, a in zip(found, rest, again) if r and a) if (rest & again).any() else {}
-                tail = Counter(found[i] for i in np.flatnonzero(rest))
-                out.append((len(found) + 1, float(base[at].sum()) + end[0], int(known[at].sum()) + end[1], (lp.sum(axis=0) + end[2]).tolist(), [{"word": w, "c": c, "s": c - copied_tail.get(w, 0)} for w, c in tail.items()]))
+            for found, begin, lp in zip(texts, at.tolist(), lps.tolist()):
+                place = np.fromiter((index.get(w, missing) for w in found), np.int64, len(found))
+                fresh = symbols[begin : begin + len(found)] == own.escape  # spelled here, not copied
+                rest = place == missing
+                some = Counter(found[i] for i in np.flatnonzero(rest))
+                costs = Counter(found[i] for i in np.flatnonzero(rest & fresh))
+                out.append((len(found) + 1, float(base[place].sum()) + end[0], int(known[place].sum()) + end[1], lp + float(logs[place[fresh]].sum()), [{"word": w, "c": c, "s": costs[w]} for w, c in some.items()]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.float64()), pa.array([o[2] for o in out], pa.int64()), pa.array([o[3] for o in out], pa.list_(pa.float64())), pa.array([o[4] for o in out], pa.list_(pa.struct([("word", pa.binary()), ("c", pa.int64()), ("s", pa.int64())])))],
-                names=["doc_id", "_train", "n_tokens", "base", "known", "lps", "tail"],
+                [batch.column(0).slice(first, len(texts)), batch.column(2).slice(first, len(texts)), pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.float64()), pa.array([o[2] for o in out], pa.int64()), pa.array([o[3] for o in out], pa.float64()), pa.array([o[4] for o in out], pa.list_(pa.struct([("word", pa.binary()), ("c", pa.int64()), ("s", pa.int64())])))],
+                names=["doc_id", "_train", "n_tokens", "base", "known", "lp", "tail"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, _train boolean, n_tokens long, base double, known long, lps array<double>, tail array<struct<word: binary, c: long, s: long>>"
+    schema = f"doc_id {kind}, _train boolean, n_tokens long, base double, known long, lp double, tail array<struct<word: binary, c: long, s: long>>"
     rows = scratch.table(docs.mapInArrow(heads, schema).withColumn("_row", F.monotonically_increasing_id()), "heads")
-    tail = rows.select("_row", F.explode("tail").alias("t")).select("_row", "t.word", "t.c", "t.s").join(scored.where(F.col("m") < (1 << least)) if least < 63 else scored, "word")
+    tail = rows.select("_row", F.explode("tail").alias("t")).select("_row", "t.word", "t.c", "t.s").join(scored.where(~frequent), "word")
     of_row = tail.groupBy("_row").agg(
-        F.sum(F.col("c") * (F.log10(F.col("n") + 1.0) + F.lit(base_of))).alias("base2"), F.sum(F.when(F.col("n") > 0, F.col("c")).otherwise(0)).alias("known2"), *[F.sum(F.col("s") * F.element_at("lps", c + 1)).alias(f"t{c}") for c in range(CLASSES)]
+        F.sum(F.col("c") * (F.log10(F.col("n") + 1.0) + F.lit(base_of))).alias("base2"), F.sum(F.when(F.col("n") > 0, F.col("c")).otherwise(0)).alias("known2"), F.sum(F.col("s") * F.col("lp")).alias("lp2")
     )
-    every = F.array(*[F.element_at("lps", c + 1) + F.coalesce(f"t{c}", F.lit(0.0)) + float(share[c]) for c in range(CLASSES)])
-    most = F.array_max("_every")
-    mixed = most + F.log10(F.aggregate("_every", F.lit(0.0), lambda a, x: a + F.pow(F.lit(10.0), x - most)))
-    return rows.drop("tail").join(of_row, "_row", "left").withColumn("_every", every).select(
+    return rows.drop("tail").join(of_row, "_row", "left").select(
         "doc_id",
         "_train",
         "n_tokens",
         (F.col("known") + F.coalesce("known2", F.lit(0))).cast("long").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("base2", F.lit(0.0))).alias("base_score"),
-        mixed.alias("score"),
+        (F.col("lp") + F.coalesce("lp2", F.lit(0.0))).alias("score"),
     )

@@ -1,6 +1,7 @@
 """Each operator against brute force on one fixture with nulls, empty and long texts, copies and ties."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 from math import log10
@@ -349,6 +350,37 @@ def test_frequent_and_rare_words_meet_their_counts_alike(docs, monkeypatch):
     assert all(abs(r.base_score - whole[r.doc_id]) < 1e-6 for r in language_model.score(docs, F.lit(True)).collect())
 
 
+def test_words_are_scored_by_the_words_before_them(spark):
+    rng = random.Random(5)
+    follows = {f"w{i}": (f"w{(7 * i + 3) % 60}", f"w{(11 * i + 5) % 60}") for i in range(60)}
+
+    def walk():
+        out = [f"w{rng.randrange(60)}"]
+        while len(out) < 100:
+            out.append(follows[out[-1]][rng.randrange(2)])
+        return out
+
+    walks = [walk() for _ in range(260)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(walks)]
+    rows += [(1000 + i, " ".join(rng.sample(w, len(w)))) for i, w in enumerate(walks[200:])]
+    got = {r.doc_id: r for r in language_model.score(spark.createDataFrame(rows, SCHEMA), F.col("doc_id") < 200).collect()}
+    for i in range(60):
+        assert abs(got[200 + i].base_score - got[1000 + i].base_score) < 1e-6 and got[200 + i].score > got[1000 + i].score + 20
+    assert sum(got[200 + i].score for i in range(60)) > 0.6 * sum(got[200 + i].base_score for i in range(60))
+
+
+def test_codes_of_words_are_a_distribution(rng):
+    coder = language_model.Coder([b"w%d" % i for i in range(50)], np.array([rng.randint(1, 900) for _ in range(50)]), 7, 3, {}, 16)
+    some = np.random.default_rng(3)
+    model = some.normal(0, 2, (language_model.VIEWS, 1 << 16)).astype(np.float32), some.normal(0.3, 0.1, (language_model.VIEWS + 1, language_model.WORD_GATES)).astype(np.float32)
+    refined = some.integers(0, 50, (2, language_model.DEPTHS * language_model.REFINE)).astype(float)
+    _, contexts, _ = coder.tokens([[b"w3", b"w3", b"other"]], coder.index())
+    for at in range(4):
+        every = np.arange(coder.copy + 1)
+        total = (10.0 ** language_model.log10_coded(every, np.repeat(contexts[:, at : at + 1], len(every), axis=1), coder, *model, refined)).sum()
+        assert abs(total - 1) < 1e-4
+
+
 def test_quality(spark, rng, docs, empty):
     from .conftest import sentence
 
