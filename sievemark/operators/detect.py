@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.detectors import CREDENTIALS, RULES, Rule, conditions
@@ -79,29 +79,49 @@ def redact(text, rules: list[Rule] | None = None):
 def tokens(found: DataFrame, key: str) -> DataFrame:
     """label, value and token of each distinct value: ``{{LABEL_suffix}}`` with a keyed suffix of six consonants.
 
-    Two values of one suffix would share a token; the later one by value counts on, as often as needed.
+    Of values that share a token the least keeps it; the others count on, as often as needed, and give way to values
+    that have counted less. So every value has a token of its own, the same whenever the values are the same.
     """
-    distinct = found.select("label", "value").distinct()
-    return distinct.withColumn("token", token(F.col("label"), F.col("value"), key))
+    rows = _kept(found.select("label", "value").distinct().withColumn("counter", F.lit(0)).withColumn("token", token(F.col("label"), F.col("value"), key)))
+    first = Window.partitionBy("token").orderBy("counter", "value")
+    for _ in range(ROUNDS):
+        if rows.groupBy("token").count().where("count > 1").isEmpty():
+            return rows.select("label", "value", "token")
+        counted = rows.withColumn("late", F.row_number().over(first) > 1).withColumn("counter", F.col("counter") + F.col("late").cast("int"))
+        again = F.when(F.col("late"), token(F.col("label"), F.col("value"), key, F.col("counter"))).otherwise(F.col("token"))
+        rows = _kept(counted.select("label", "value", "counter", again.alias("token")))
+    raise ValueError("a label has too many values for suffixes of six consonants")
 
 
+def _kept(rows: DataFrame) -> DataFrame:
+    """``rows``, computed once: in the checkpoint folder where there is one."""
+    return rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows.localCheckpoint()
+
+
+#: Most times that values count on; only labels with nearly as many values as there are suffixes need so many.
+ROUNDS = 200
 CONSONANTS = "bcdfghjklmnpqrstvwxz"[:19]  # nineteen consonants
 
 
-def token(label, value, key: str, counter: int = 0):
-    digest = F.sha2(F.concat(F.lit(f"{key}|{counter}|"), value), 256)
+def token(label, value, key: str, counter=0):
+    """Placeholder of a value by one counter (a number or a column); ``tokens`` finds the counters that keep values apart."""
+    count = F.lit(counter) if isinstance(counter, int) else counter
+    digest = F.sha2(F.concat(F.lit(f"{key}|"), count.cast("string"), F.lit("|"), value), 256)
     letters = [F.substring(F.lit(CONSONANTS), (F.conv(F.substring(digest, 2 * i + 1, 2), 16, 10).cast("int") % 19 + 1), F.lit(1)) for i in range(6)]
     return F.concat(F.lit("{{"), label, F.lit("_"), *letters, F.lit("}}"))
 
 
-def mask(corpus: DataFrame, rule: Rule, key: str) -> DataFrame:
+def mask(corpus: DataFrame, rule: Rule, key: str, mapping: DataFrame | None = None) -> DataFrame:
     """``corpus`` (row_id, src, text) with each value that passes the rule replaced by its token, and their number.
 
     One stage of masking: stages run in the order of the rules, each on the text that the one before it left. A
-    text without candidates is untouched. row_id tells rows apart.
+    text without candidates is untouched. row_id tells rows apart. ``mapping`` (label, value, token) is that of
+    ``tokens``, by default for the values found here; it has to hold all of them.
     """
-    every = candidates(corpus, rule).withColumn("keep", F.expr(conditions(rule, Spark)))
-    shown = F.when(F.col("keep"), F.replace("whole", F.col("value"), token(F.lit(rule.label), F.col("value"), key)) if rule.group else token(F.lit(rule.label), F.col("value"), key)).otherwise(F.col("whole"))
+    mapping = tokens(find(corpus, rule), key) if mapping is None else mapping
+    own = mapping.where(F.col("label") == rule.label).select("value", "token")
+    every = candidates(corpus, rule).withColumn("keep", F.expr(conditions(rule, Spark))).join(own, "value", "left")
+    shown = F.when(F.col("keep"), F.replace("whole", F.col("value"), F.col("token")) if rule.group else F.col("token")).otherwise(F.col("whole"))
     pieces = every.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("ord", shown.alias("s")))).alias("p"), F.sum(F.col("keep").cast("long")).alias("n_masked"))
     gaps = F.split("text", rule.pattern, -1)
     joined = corpus.join(pieces, "row_id", "left")

@@ -78,8 +78,8 @@ def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mobile numbers masked, then restored from the mapping: texts as they were."""
     rule = next(r for r in RULES if r.key == "det18_mobile")
     source = corpus(spark, sf_dir)
-    masked = detect.mask(source, rule, KEY).where("n_masked > 0")
     mapping = detect.tokens(detect.find(source, rule), KEY)
+    masked = detect.mask(source, rule, KEY, mapping).where("n_masked > 0")
     return detect.restore(masked.drop("n_masked"), mapping).select("row_id", "restored", "unresolved", F.sha2("text", 256).alias("digest"))
 
 

@@ -3,6 +3,8 @@ import random
 from pyspark.sql import functions as F
 
 from sievemark.functions import json_leaves, udfs
+from sievemark.functions.detectors import RULES
+from sievemark.operators import detect
 from sievemark.streaming import restore
 
 KNOWN = {"{{PHONE_bcdfgh}}": "13812345678", "{{EMAIL_zzzzzz}}": "a@b.cn"}
@@ -74,3 +76,18 @@ def test_leaves_exemptions_and_write_back(spark):
     changed = spark.createDataFrame([("r1", 3, "call {{PHONE_bcdfgh}}")], "row_id string, ord long, value string")
     out = {r.row_id: r.body for r in json_leaves.rebuilt(df, changed).collect()}
     assert out["r1"] == body.replace("13812345678", "{{PHONE_bcdfgh}}") and out["r2"] == "no json" and out["r3"] is None and out["r4"] == "[]"
+
+
+def test_values_of_one_suffix_have_their_own_tokens(spark):
+    rule = next(r for r in RULES if r.key == "det18_mobile")
+    pair = spark.createDataFrame([("13800006076",), ("13800014602",)], "value string")
+    assert pair.select(detect.token(F.lit("PHONE"), F.col("value"), "test-key").alias("t")).distinct().count() == 1
+    rows = [("a", "s", "call 13800014602 or 13800006076, not 13800012768."), ("b", "s", "13800006162 and 13800014602"), ("c", "s", "none")]
+    corpus = spark.createDataFrame(rows, "row_id string, src string, text string")
+    mapping = detect.tokens(detect.find(corpus, rule), "test-key")
+    tokens = {r["value"]: r.token for r in mapping.collect()}
+    assert len(tokens) == 4 == len(set(tokens.values()))
+    masked = detect.mask(corpus, rule, "test-key")
+    assert {r.row_id: r.text for r in masked.collect()}["b"] == f"{tokens['13800006162']} and {tokens['13800014602']}"
+    back = {r.row_id: (r.text, r.restored, r.unresolved) for r in detect.restore(masked, mapping).collect()}
+    assert back == {"a": (rows[0][2], 3, 0), "b": (rows[1][2], 2, 0), "c": ("none", 0, 0)}
