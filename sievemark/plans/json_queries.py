@@ -13,10 +13,10 @@ KEY = "test-key"
 
 
 def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A chat request around each conversation turn, with a mobile number in it."""
+    """A chat request around the whole text of each conversation turn, with a mobile number after it."""
     conv = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     phone = F.concat(F.lit("138"), F.lpad((F.col("conv_id") * 100 + F.col("turn")).cast("string"), 8, "0"))
-    message = F.struct(F.col("role"), F.concat(F.substring("text", 1, 200), F.lit(" call "), phone).alias("content"))
+    message = F.struct(F.col("role"), F.concat("text", F.lit(" call "), phone).alias("content"))
     body = F.to_json(F.struct(F.lit("gamma").alias("model"), F.lit(9).alias("max_tokens"), F.array(message).alias("messages"), F.struct(F.col("turn").alias("id")).alias("input")))
     return conv.select(F.concat_ws(":", "conv_id", "turn").alias("row_id"), body.alias("body"))
 

@@ -1,3 +1,4 @@
+import json
 import random
 
 from pyspark.sql import functions as F
@@ -5,6 +6,7 @@ from pyspark.sql import functions as F
 from sievemark.functions import json_leaves, udfs
 from sievemark.functions.detectors import RULES
 from sievemark.operators import detect
+from sievemark.plans import json_queries
 from sievemark.streaming import restore
 
 KNOWN = {"{{PHONE_bcdfgh}}": "13812345678", "{{EMAIL_zzzzzz}}": "a@b.cn"}
@@ -91,3 +93,12 @@ def test_values_of_one_suffix_have_their_own_tokens(spark):
     assert {r.row_id: r.text for r in masked.collect()}["b"] == f"{tokens['13800006162']} and {tokens['13800014602']}"
     back = {r.row_id: (r.text, r.restored, r.unresolved) for r in detect.restore(masked, mapping).collect()}
     assert back == {"a": (rows[0][2], 3, 0), "b": (rows[1][2], 2, 0), "c": ("none", 0, 0)}
+
+
+def test_bodies_hold_whole_texts(spark, tmp_path):
+    text = "words of a long turn " * 60 + "call 13900001111 now"
+    spark.createDataFrame([(1, 0, "user", text)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    body = json_queries.bodies(spark, str(tmp_path)).first().body
+    assert json.loads(body)["messages"][0]["content"] == f"{text} call 13800000100"
+    masked = " ".join(str(x) for r in json_queries.tree_masked(spark, str(tmp_path)).collect() for x in r)
+    assert "words of a long turn" in masked and "13900001111" not in masked and "13800000100" not in masked
