@@ -3,8 +3,8 @@
 Of each text only the suffixes that start at content-selected positions are kept: the minimisers of every
 ``WINDOW`` consecutive ``GRAM``-word hashes. A passage of ``length`` words holds, within its first WINDOW
 positions, one that is selected wherever the passage stands, and from there on at least ``length`` - WINDOW + 1
-of its words follow. So suffixes are ordered by the hash of that many words and compared with their
-neighbours: those with an equal neighbour are candidates. Each is then extended left and right: every
+of its words follow. So suffixes are grouped by the hash of that many words, without sorting them: those of a group
+with two documents are candidates. Each is then extended left and right: every
 ``length``-word window around it is taken, by its hash, and is repeated if it stands in two documents. What repeated
 windows cover, joined, are the passages; that equals a comparison of all windows of all documents.
 """
@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch, words
@@ -61,17 +61,18 @@ def _suffixes(docs: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(row, pa.int64())),
+                        batch.column(2).take(pa.array(row, pa.int64())),
                         pa.array(words.signed(np.concatenate(keys) if keys else np.empty(0, _U))),
                         pa.array(np.concatenate(places) if places else np.empty(0, np.int64), pa.int64()),
                     ],
-                    names=["doc_id", "head", "place"],
+                    names=["doc_id", "most", "head", "place"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, head long, place long")
+    return docs.select("doc_id", "text", "most").mapInArrow(run, f"doc_id {kind}, most {kind}, head long, place long")
 
 
 def _windows(docs: DataFrame, length: int) -> DataFrame:
-    """Hashes of the windows around the candidate places: doc_id, first, code."""
+    """Hashes of the windows around the candidate places: doc_id, most, first, code."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,12 +89,13 @@ def _windows(docs: DataFrame, length: int) -> DataFrame:
                     rows.append(np.full(len(s), first + i))
                     starts.append(s)
                     codes.append(own[s])
+                row = pa.array(np.concatenate(rows), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(np.concatenate(rows), pa.int64())), pa.array(np.concatenate(starts), pa.int64()), pa.array(words.signed(np.concatenate(codes)))],
-                    names=["doc_id", "first", "code"],
+                    [batch.column(0).take(row), batch.column(3).take(row), pa.array(np.concatenate(starts), pa.int64()), pa.array(words.signed(np.concatenate(codes)))],
+                    names=["doc_id", "most", "first", "code"],
                 )
 
-    return docs.select("doc_id", "text", "places").mapInArrow(run, f"doc_id {kind}, first long, code long")
+    return docs.select("doc_id", "text", "places", "most").mapInArrow(run, f"doc_id {kind}, most {kind}, first long, code long")
 
 
 def repeated(docs: DataFrame, length: int = 50) -> DataFrame:
@@ -105,37 +107,54 @@ def repeated(docs: DataFrame, length: int = 50) -> DataFrame:
     null or shorter texts or rows without doc_id. Rows that repeat a doc_id are one document: a passage that
     only they share is not repeated, and their stretches are joined.
 
-    Texts equal in all bytes are compared once: their classes carry one text and the stretches of each member.
+    Of texts equal in all bytes that several documents have, one row stands for all: each is repeated as a whole, and its
+    windows only tell that other texts' windows are. A document's other rows are compared on their own.
     """
     if length < 2 * WINDOW:
         raise ValueError(f"length must be at least {2 * WINDOW}")
     kind = docs.schema["doc_id"].dataType.simpleString()
     some = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
     rows = scratch.table(_members(some), "members")
-    copies = scratch.table(rows.where("doc_id <> least").select("doc_id").distinct(), "copies")
-    one = scratch.by_ids(some, copies, "left_anti")
+    several = scratch.table(rows.where("least <> most").select("doc_id", "h1", "h2", "least", "most").distinct(), "several")
+    small = several.count() <= scratch.BROADCAST_IDS // 4  # of five columns
+    keyed = _keyed(some).join(F.broadcast(several) if small else several, ["doc_id", "h1", "h2"], "left")
+    one = keyed.where("least IS NULL OR doc_id = least").select("doc_id", "text", F.coalesce("most", "doc_id").alias("most"))
     suffixes = scratch.table(_suffixes(one, length), "suffixes")
-    heads = suffixes.groupBy("head").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).where("d0 <> d1").select("head")
+    alone = F.bool_or(F.col("doc_id") == F.col("most")).alias("alone")
+    heads = suffixes.groupBy("head").agg(F.min("doc_id").alias("d0"), F.max("most").alias("d1"), alone).where("d0 <> d1 AND alone").select("head")
     heads = scratch.table(heads, "heads")  # both sides of the join are then plain shuffles, whose heavy keys Spark can split
     places = scratch.table(suffixes.join(heads, "head").groupBy("doc_id").agg(F.collect_set("place").alias("places")), "places")
-    texts = scratch.by_ids(some, places.select("doc_id"), "left_semi")
+    texts = scratch.by_ids(one, places.select("doc_id"), "left_semi")
     windows = scratch.table(_windows(texts.join(places, "doc_id"), length), "windows")
-    twice = windows.groupBy("code").agg(F.min("doc_id").alias("least_doc_id"), F.max("doc_id").alias("d1")).where("least_doc_id <> d1").drop("d1")
+    twice = windows.groupBy("code").agg(F.min("doc_id").alias("least_doc_id"), F.max("most").alias("d1"), alone).where("least_doc_id <> d1 AND alone").drop("d1", "alone")
     twice = scratch.table(twice, "twice")
-    marked = windows.join(twice, "code").select("doc_id", "first", "least_doc_id")
-    of_class = marked.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("first", "least_doc_id"))).alias("marks"))
-    spans = of_class.mapInArrow(_merged(length), f"least {kind}, first_word long, n_words long, least_doc_id {kind}")
+    marked = windows.where("doc_id = most").join(twice, "code").select("doc_id", "first", "least_doc_id")
+    of_doc = marked.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("first", "least_doc_id"))).alias("marks"))
+    parts = of_doc.mapInArrow(_merged(length), f"doc_id {kind}, first_word long, n_words long, least_doc_id {kind}")
     whole = rows.where(f"least <> most AND n >= {length}").select("doc_id", F.lit(0).cast("long").alias("first_word"), F.col("n").alias("n_words"), F.col("least").alias("least_doc_id"))
-    parts = rows.where("least = most").select("doc_id", "least").join(spans, "least").select("doc_id", "first_word", "n_words", "least_doc_id")
-    return whole.unionByName(parts).distinct()
+    return _joined(whole.unionByName(parts))
+
+
+def _joined(stretches: DataFrame) -> DataFrame:
+    """Stretches of a document that meet or overlap as one: those of its several rows."""
+    order = Window.partitionBy("doc_id").orderBy("first_word", "n_words", "least_doc_id")
+    end = F.col("first_word") + F.col("n_words")
+    before = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begun = stretches.withColumn("_new", F.coalesce(F.col("first_word") > before, F.lit(True)).cast("long")).withColumn("_stretch", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    one = begun.groupBy("doc_id", "_stretch").agg(F.min(F.struct("first_word", "least_doc_id")).alias("first"), F.max(end).alias("end"))
+    return one.select("doc_id", "first.first_word", (F.col("end") - F.col("first.first_word")).alias("n_words"), "first.least_doc_id")
+
+
+def _keyed(some: DataFrame) -> DataFrame:
+    return some.withColumn("h1", F.xxhash64("text")).withColumn("h2", F.crc32("text"))
 
 
 def _members(some: DataFrame) -> DataFrame:
-    """doc_id, number of words n and the smallest and largest doc_id of an equal text, for each row."""
+    """doc_id, hashes h1 and h2, number of words n and the smallest and largest doc_id of an equal text, for each row."""
     n = F.size(F.split(F.btrim("text", F.lit(" \t\n\x0b\x0c\r")), "[ \\t-\\r]+")).cast("long")
-    keyed = some.select("doc_id", F.xxhash64("text").alias("h1"), F.crc32("text").alias("h2"), n.alias("n"))
+    keyed = _keyed(some).select("doc_id", "h1", "h2", n.alias("n"))
     same = keyed.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    return keyed.join(same, ["h1", "h2"]).drop("h1", "h2")
+    return keyed.join(same, ["h1", "h2"])
 
 
 def _merged(length: int):
@@ -153,7 +172,7 @@ def _merged(length: int):
                 least.extend(marks.field("least_doc_id").take(pa.array(begin)).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(least, batch.column(0).type)],
-                names=["least", "first_word", "n_words", "least_doc_id"],
+                names=["doc_id", "first_word", "n_words", "least_doc_id"],
             )
 
     return run

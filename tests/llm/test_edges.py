@@ -221,6 +221,31 @@ def test_repeated_passages(docs, texts, empty):
     assert passages.repeated(empty).count() == 0
 
 
+def test_repeated_passages_of_a_document_with_a_copied_and_another_text(spark):
+    rng, length = random.Random(9), 50
+    some = lambda n: " ".join(f"u{rng.randrange(10**9)}" for _ in range(n))
+    copied, shared, inner = some(120), some(60), some(55)
+    rows = [(1, copied), (5, copied), (5, f"{some(150)} {shared} {some(20)}"), (7, f"{some(40)} {shared} {some(20)}")]
+    rows += [(20, f"{some(9)} {inner} {some(9)}"), (20, f"{some(30)} {inner}"), (30, some(100)), (30, some(80)), (9, "short"), (8, "short")]
+    rows += [(21, rows[4][1]), (21, f"{some(9)} {inner} {some(9)}"), (40, f"{some(3)} {copied} {some(200)}")]
+    who, want = defaultdict(set), set()
+    for d, t in rows:
+        x = words_of(t)
+        for k in range(len(x) - length + 1):
+            who[tuple(x[k : k + length])].add(d)
+    for d in {d for d, _ in rows}:
+        marks = {k for e, t in rows if e == d for x in [words_of(t)] for k in range(len(x) - length + 1) if len(who[tuple(x[k : k + length])]) > 1}
+        runs = []
+        for k in sorted(marks):
+            if runs and k <= runs[-1][1] + length:
+                runs[-1][1] = k
+            else:
+                runs.append([k, k])
+        want |= {(d, a, b - a + length) for a, b in runs}
+    got = {(r.doc_id, r.first_word, r.n_words) for r in passages.repeated(spark.createDataFrame(rows, SCHEMA), length).collect()}
+    assert got == want and {(5, 150, 60), (7, 40, 60)} <= want
+
+
 def test_leaks(spark, docs, texts, empty, rng):
     near = texts[2][1].split()[20:60]
     near[17] = "altered"
