@@ -1,20 +1,23 @@
-"""Language-model scores by logistic context mixing.
+"""Language-model scores by online logistic context mixing.
 
 Tokens are words and one end for each text; every one is coded, bit by bit, from mixed predictions. The corpus gives
-exact counts of all training tokens. Frequent words that the training texts hold twice or more, the end, and an escape
-for all other words have a prefix code each (Huffman's, by count). A token's first bit says whether it is the word
+exact counts of all training tokens. Frequent words, the end, and an escape for all other words have a prefix code each
+(Huffman's, by count). A word that the training texts hold once also counts as an escape, as it was new when it came. A token's first bit says whether it is the word
 before again; if not, the bits of its code follow. Each bit is predicted from the place in the code
 alone and with the class of the text so far, the word before, the two words before, and the run of equal words and
-the position; each context is hashed into a table of counts of zeros and ones over all training texts, whose size
-follows the vocabulary. The predictions are mixed in the logistic domain by weights that the depth and the contexts
-seen before select (gates). As in any such coder a bit is first predicted from what was counted before it, then the
-weights learn from it, then it is counted; partitions do so side by side, their counts are summed and their
-weights averaged. A table of what really came, by the mixed prediction, refines it.
+the position. Each context is hashed into a table of counts of zeros and ones over all training texts, whose size
+follows the vocabulary; counts of partitions are summed, so they don't depend on how rows are dealt.
+
+The predictions are mixed in the logistic domain by weights that the depth and the contexts seen before select
+(gates). Mixing is online within each text: weights start from ``start_weights``, the same for all texts, and after
+each stretch of tokens (``STRETCHES``) they learn from what came; a table of what really came, by the mixed prediction,
+refines it in the same way. A text's score therefore depends on the counts and on itself only. Texts are worked
+on side by side, all at the same stretch, so numpy sees long arrays though no text waits for another.
 
 An escaped word is spelled, byte by byte and bit by bit, with a space as its end, by a mixer of the same kind
 whose contexts stay within the word: the position, the last one to four bytes, the whole word so far. Its tables
 count every training word once; its weights are learned over the training words that occur once, each with
-its own share of the counts taken out.
+its own share of the counts taken out, in groups by hash, each in the order of its words.
 
 The class of the text so far (mostly its language) is that of most of its marker words up to here; markers are frequent
 words, classed by which of them go together in a text.
@@ -27,7 +30,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from math import ceil, log2, log10
+from math import ceil, log, log2, log10
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +42,17 @@ from . import scratch, words
 _U = np.uint64
 ORDERS, SLOT_BITS, BLOCK = 6, 18, 4096
 GATES, INPUTS, REFINE, RUNS = 32, ORDERS + 1, 33, 8
-#: Contexts of a code's bits, depths told apart, gates (by depth and whether the two longest contexts were seen), least and most bits of a table's slots.
-VIEWS, DEPTHS = 5, 24
-WORD_GATES, LEAST_BITS, MOST_BITS = 4 * DEPTHS, 16, 20
+#: Contexts of a code's bits, depths told apart, gates (by depth and whether the two longest contexts were seen).
+VIEWS, DEPTHS = 5, 16
+WORD_GATES = 4 * DEPTHS
+#: Least bits of a table's slots, and most for each view; the first view's slots are the nodes themselves.
+LEAST_BITS, MOST_BITS = 16, (18, 20, 22, 22, 18)
+#: A text's stretches of tokens end here; further ones are of the last length each.
+STRETCHES = np.array([32, 64, 128, 256, 512, 1024, 2048, 4096], np.int64)
+#: Step of the weights, tokens' weight of their start, and of a mixed prediction against what came of its like.
+RATE, INERTIA, TRUST = 1.0, 8.0, 12.0
+#: Most words of a group in which spelling is learned.
+GROUP = 1 << 17
 #: Most words whose counts are broadcast.
 HEAD = 200_000
 _FLUSH = 200_000
@@ -155,41 +166,40 @@ def _count_tables(vocabulary: DataFrame) -> np.ndarray:
 
 
 def _weights(once: DataFrame, tables) -> tuple[np.ndarray, np.ndarray]:
-    """Mixing weights and refinement counts, learned online in each partition, then averaged and summed."""
+    """Mixing weights and refinement counts, learned online in groups of words by hash, then averaged and summed."""
+    groups = max(64, -(-once.count() // GROUP))
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def learn(group: pa.Table) -> pa.Table:
         weights, refined, seen = np.full((GATES, INPUTS), 0.25), np.zeros((2, 8, REFINE)), 0
-        for batch in batches:
-            for some in _batches(batch.column(0)):
-                flat, _, at, mixed = contexts(some)
-                rate = 0.3 / (1 + seen / 20_000) ** 0.5
-                for k in range(8):
-                    place, bit = slots(mixed, flat, k)
-                    x = inputs(tables.value, place, bit)
-                    g = gate(k, at)
-                    mixed_x = np.einsum("ij,ji->j", x, weights[g])
-                    error = bit - squash(mixed_x)
-                    for own in range(4 * k, 4 * k + 4):
-                        those = g == own
-                        if n := int(those.sum()):
-                            weights[own] += rate * (x[:, those] @ error[those]) / n
-                    where = _bucket(mixed_x)
-                    for b in (0, 1):
-                        refined[b, k] += np.bincount(where[bit == b], minlength=REFINE)
-                seen += len(some)
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([weights.tobytes()], pa.binary()), pa.array([refined.tobytes()], pa.binary())], names=["seen", "w", "r"])
+        for some in _batches(pa.array(sorted(group.column("word").to_pylist()), pa.binary())):
+            flat, _, at, mixed = contexts(some)
+            rate = 0.3 / (1 + seen / 20_000) ** 0.5
+            for k in range(8):
+                place, bit = slots(mixed, flat, k)
+                x = inputs(tables.value, place, bit)
+                g = gate(k, at)
+                mixed_x = np.einsum("ij,ji->j", x, weights[g])
+                error = bit - squash(mixed_x)
+                for own in range(4 * k, 4 * k + 4):
+                    those = g == own
+                    if n := int(those.sum()):
+                        weights[own] += rate * (x[:, those] @ error[those]) / n
+                where = _bucket(mixed_x)
+                for b in (0, 1):
+                    refined[b, k] += np.bincount(where[bit == b], minlength=REFINE)
+            seen += len(some)
+        return pa.table({"part": group.column("part").slice(0, 1), "seen": pa.array([seen], pa.int64()), "w": pa.array([weights.tobytes()], pa.binary()), "r": pa.array([refined.tobytes()], pa.binary())})
 
     def add(group: pa.Table) -> pa.Table:
-        seen = np.array(group.column("seen").to_pylist(), np.int64)
-        w = sum(n * np.frombuffer(x) for n, x in zip(seen, group.column("w").to_pylist()))
-        r = sum(np.frombuffer(x) for x in group.column("r").to_pylist())
-        return pa.table({"seen": [int(seen.sum())], "w": pa.array([w.tobytes()], pa.binary()), "r": pa.array([r.tobytes()], pa.binary())})
+        rows = sorted(zip(*(group.column(c).to_pylist() for c in ("part", "seen", "w", "r"))))
+        w = sum(n * np.frombuffer(x) for _, n, x, _ in rows)
+        r = sum(np.frombuffer(x) for *_, x in rows)
+        return pa.table({"part": [rows[0][0]], "seen": [sum(n for _, n, _, _ in rows)], "w": pa.array([w.tobytes()], pa.binary()), "r": pa.array([r.tobytes()], pa.binary())})
 
-    schema = "seen long, w binary, r binary"
-    learned = once.select("word").mapInArrow(learn, schema).withColumn("part", F.spark_partition_id() % 64)
+    schema = "part long, seen long, w binary, r binary"
+    learned = once.select("word", F.pmod(F.xxhash64("word"), F.lit(groups)).alias("part")).groupBy("part").applyInArrow(learn, schema)
     total, weights, refined = 0, np.zeros((GATES, INPUTS)), np.zeros((2, 8, REFINE))
-    for r in learned.groupBy("part").applyInArrow(add, schema).collect():  # at most 64 rows
+    for r in sorted(learned.groupBy(F.pmod("part", F.lit(64))).applyInArrow(add, schema).collect()):  # at most 64 rows
         total += r["seen"]
         weights += np.frombuffer(bytes(r["w"])).reshape(GATES, INPUTS)
         refined += np.frombuffer(bytes(r["r"])).reshape(2, 8, REFINE)
@@ -232,9 +242,13 @@ class Coder:
     """Codes of symbols: words by their place in ``coded``, then the end, then the escape, then a copy."""
 
     def __init__(self, coded: list[bytes], counts: np.ndarray, ends: int, rest: int, class_of: dict[bytes, int], slot_bits: int):
-        self.coded, self.slot_bits = coded, slot_bits
+        self.coded, self.slot_bits = coded, [min(slot_bits, most) for most in MOST_BITS]
+        self.once = np.append(counts == 1, np.zeros(4, bool))
         self.end, self.escape, self.copy, self.start = len(coded), len(coded) + 1, len(coded) + 2, len(coded) + 3
         self.at, self.node, self.bit = prefix_codes(np.concatenate([counts, [max(ends, 1), max(rest, 1)]]))
+        self.mixed_node = (self.node.astype(_U) + _U(1)) * _C1
+        #: Number of slots of each view's table, whole blocks of them.
+        self.slots = [-(-max(1 << b, (len(coded) + 3) * (v == 0)) // BLOCK) * BLOCK for v, b in enumerate(self.slot_bits)]
         self.classes = np.full(len(coded) + 4, -1, np.int64)
         for i, w in enumerate(coded[:MARKERS]):
             self.classes[i] = class_of.get(w, -1)
@@ -277,27 +291,30 @@ class Coder:
         rows = [np.zeros(n, np.int64), of_text, before, (two << 32) | before, (run << 32) | far]
         return np.where(same, self.copy, symbol), np.stack([words.mix(r.astype(_U) + s) for r, s in zip(rows, _VIEW_SALT)]), at
 
-    def bits(self, symbol: np.ndarray, mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of each bit of the symbols' codes: its symbol, depth, value and, a row for each view, table slot."""
-        sizes = self.at[symbol + 1] - self.at[symbol]
+    def bits(self, symbol: np.ndarray, mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Of each bit of the symbols' codes: its symbol, depth and value; and its table slot for each view."""
+        begin = self.at[symbol]
+        sizes = self.at[symbol + 1] - begin
+        ends = np.cumsum(sizes)
         of = np.repeat(np.arange(len(symbol)), sizes)
-        depth = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        flat = np.repeat(self.at[symbol], sizes) + depth
-        node = (self.node[flat].astype(_U) + _U(1)) * _C1
-        place = np.stack([((m[of] ^ node) * _C2) >> _U(64 - self.slot_bits) for m in mixed]).astype(np.int64)
-        place[0] = self.node[flat]  # alone, nodes have slots of their own
+        depth = np.arange(len(of)) - (ends - sizes)[of]
+        flat = begin[of] + depth
+        node = self.mixed_node[flat]
+        place = [self.node[flat]]  # alone, nodes have slots of their own
+        for m, b in zip(mixed[1:], self.slot_bits[1:]):
+            place.append((((m[of] ^ node) * _C2) >> _U(64 - b)).view(np.int64))
         return of, np.minimum(depth, DEPTHS - 1), self.bit[flat], place
 
 
-def _word_gate(depth: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return depth * 4 + (x[2] != 0) * 2 + (x[3] != 0)
+def start_weights() -> np.ndarray:
+    """Weights from which every text starts (input, gate): the longer a context that was seen, the more it counts."""
+    # By whether the word before and the two words before were seen; inputs are the views and a bias.
+    by_seen = np.array([[-0.2, 1.0, 0.0, 0.0, 0.2, 0.0], [-0.2, 0.8, 0.0, 0.5, 0.2, 0.0], [-0.3, 0.75, 0.35, 0.0, 0.3, 0.0], [-0.4, 0.65, 0.5, 0.35, 0.3, 0.0]], np.float32)
+    return np.ascontiguousarray(np.tile(by_seen, (DEPTHS, 1)).T)
 
 
-def _word_mix(x: np.ndarray, gates: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    total = weights[-1][gates] * np.float32(0.3)
-    for row, w in zip(x, weights):
-        total += row * w[gates]
-    return total
+def _gates(depth: np.ndarray, x: list[np.ndarray]) -> np.ndarray:
+    return depth * 4 + (x[2] != 0) * 2 + (x[3] != 0)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], column: int, least: int) -> Iterator[tuple[pa.RecordBatch, int, list[list[bytes]]]]:
@@ -314,72 +331,86 @@ def _chunks(batches: Iterator[pa.RecordBatch], column: int, least: int) -> Itera
             yield batch, first, held
 
 
-def _learned(docs: DataFrame, coder) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Stretched counts of all training texts (view, slot), mixing weights (input, gate) and refinement counts."""
-    size, shape = 1 << coder.value.slot_bits, (VIEWS + 1, WORD_GATES)
+def _tables(docs: DataFrame, coder) -> list[np.ndarray]:
+    """Stretched counts of the bits of all training texts, a table for each view."""
+    sizes = coder.value.slots
+    first = np.cumsum([0, *sizes]) // BLOCK
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder.value
-        index, tables = own.index(), np.zeros((VIEWS, 2 * size), np.float32)
-        weights, refined, seen, steps = np.full(shape, 0.3, np.float32), np.zeros((2, DEPTHS * REFINE)), 0, 0
+        index, tables = own.index(), [np.zeros(2 * n, np.int32) for n in sizes]
         for _, _, texts in _chunks(batches, 0, 4096):
             symbols, contexts, _ = own.tokens(texts, index)
-            step = 2048 if steps < 64 else 8192
-            for i in range(0, len(symbols), step):
-                _, depth, bit, place = own.bits(symbols[i : i + step], contexts[:, i : i + step])
-                x = np.stack([np.log((t[2 * p + 1] + np.float32(0.2)) / (t[2 * p] + np.float32(0.2))) for t, p in zip(tables, place)])
-                g = _word_gate(depth, x)
-                mixed = _word_mix(x, g, weights)
-                error = bit - squash(mixed)
-                rate = 0.1 / (1 + steps / 100) ** 0.5
-                n = np.maximum(np.bincount(g, minlength=WORD_GATES), 64)
-                for row, w in zip(x, weights):
-                    w += (rate * np.bincount(g, row * error, WORD_GATES) / n).astype(np.float32)
-                weights[-1] += (rate * 0.3 * np.bincount(g, error, WORD_GATES) / n).astype(np.float32)
-                where = depth * REFINE + _bucket(mixed)
-                for b in (0, 1):
-                    refined[b] += np.bincount(where[bit == b], minlength=DEPTHS * REFINE)
-                for t, p in zip(tables, place):
-                    np.add.at(t, 2 * p + bit, np.float32(1))
-                steps += 1
-                seen += len(bit)
-        if seen:
-            blocks = tables.reshape(-1, BLOCK)
+            new = own.once[symbols]
+            symbols = np.concatenate([symbols, np.full(int(new.sum()), own.escape)])
+            _, _, bit, place = own.bits(symbols, np.concatenate([contexts, contexts[:, new]], axis=1))
+            one = np.ones(len(bit), np.int32)
+            for t, p in zip(tables, place):
+                np.add.at(t, 2 * p + bit, one)
+        for v, t in enumerate(tables):
+            blocks = t.reshape(-1, 2 * BLOCK)
             used = np.flatnonzero(blocks.any(axis=1))
-            other = np.concatenate([[seen], (weights.astype(float) * seen).ravel(), refined.ravel()])
-            yield pa.RecordBatch.from_arrays([pa.array([-1, *used.tolist()], pa.int64()), pa.array([other.tobytes(), *[blocks[i].tobytes() for i in used]], pa.binary())], names=["block", "n"])
+            for i in range(0, len(used), 256):
+                some = used[i : i + 256]
+                packed = [blocks[k].astype(np.uint16 if blocks[k].max() < 1 << 16 else np.uint32).tobytes() for k in some]
+                yield pa.RecordBatch.from_arrays([pa.array(first[v] + some, pa.int64()), pa.array(packed, pa.binary())], names=["block", "n"])
 
     def add(group: pa.Table) -> pa.Table:
-        kind = np.float64 if group.column("block")[0].as_py() < 0 else np.float32
-        total = sum(np.frombuffer(x.as_py(), kind) for x in group.column("n"))
-        return pa.table({"block": group.column("block").slice(0, 1), "n": pa.array([total.tobytes()], pa.binary())})
+        total = np.zeros(2 * BLOCK, np.int64)
+        for x in group.column("n"):
+            x = x.as_py()
+            total += np.frombuffer(x, np.uint16 if len(x) == 4 * BLOCK else np.uint32)
+        x = np.log((total[1::2] + 0.2) / (total[::2] + 0.2)).astype(np.float32)
+        return pa.table({"block": group.column("block").slice(0, 1), "n": pa.array([x.tobytes()], pa.binary())})
 
     schema = "block long, n binary"
-    summed = docs.where("_train").select("text").mapInArrow(learn, schema).groupBy("block").applyInArrow(add, schema)
-    counts = np.zeros((VIEWS * 2 * size) // BLOCK * BLOCK, np.float32).reshape(-1, BLOCK)
-    weights, refined = np.full(shape, 0.3, np.float32), np.zeros((2, DEPTHS * REFINE))
-    for r in summed.collect():  # tables of bounded size
-        if r["block"] < 0:
-            other = np.frombuffer(bytes(r["n"]))
-            k = 1 + weights.size
-            weights, refined = (other[1:k] / other[0]).reshape(shape).astype(np.float32), other[k:].reshape(refined.shape)
-        else:
-            counts[r["block"]] = np.frombuffer(bytes(r["n"]), np.float32)
-    counts = counts.reshape(VIEWS, size, 2)
-    return np.log((counts[:, :, 1] + np.float32(0.2)) / (counts[:, :, 0] + np.float32(0.2))), weights, refined
-
-
-def log10_coded(symbols: np.ndarray, contexts: np.ndarray, coder: Coder, stretched: np.ndarray, weights: np.ndarray, refined: np.ndarray, step: int = 8192) -> np.ndarray:
-    """log10 probability of each symbol's code."""
-    out = []
-    part = ((3 * (refined[1] + 0.5) / (refined.sum(axis=0) + 1)) / 4).astype(np.float32)
-    for i in range(0, len(symbols), step):
-        of, depth, bit, place = coder.bits(symbols[i : i + step], contexts[:, i : i + step])
-        x = np.stack([t[p] for t, p in zip(stretched, place)])
-        mixed = _word_mix(x, _word_gate(depth, x), weights)
-        p = squash(mixed) / 4 + part[depth * REFINE + _bucket(mixed)]
-        out.append(np.bincount(of, np.log10(np.clip(np.where(bit == 1, p, 1 - p), 1e-9, 1)), len(symbols[i : i + step])))
-    return np.concatenate(out)
+    summed = docs.where("_train").select("text").mapInArrow(count, schema).groupBy("block").applyInArrow(add, schema)
+    stretched = np.zeros((first[-1], BLOCK), np.float32)
+    for r in summed.toLocalIterator():  # tables of bounded size
+        stretched[r["block"]] = np.frombuffer(bytes(r["n"]), np.float32)
+    return [stretched[a:b].ravel() for a, b in zip(first[:-1], first[1:])]
+
+
+def log10_coded(symbols: np.ndarray, contexts: np.ndarray, starts: np.ndarray, coder: Coder, stretched: list[np.ndarray]) -> np.ndarray:
+    """log10 probability of each symbol's code; texts begin at ``starts``, and each learns by itself."""
+    texts = len(starts)
+    text = np.repeat(np.arange(texts), np.diff(np.append(starts, len(symbols))))
+    place = np.arange(len(symbols)) - starts[text]
+    stretch = np.searchsorted(STRETCHES, place, side="right")
+    late = stretch == len(STRETCHES)
+    stretch[late] += (place[late] - STRETCHES[-1]) // (STRETCHES[-1] - STRETCHES[-2])
+    order = np.argsort(stretch, kind="stable")
+    cuts = np.searchsorted(stretch[order], np.arange(stretch.max() + 2))
+    weights = np.tile(start_weights(), (1, texts))
+    came = [np.zeros(texts * DEPTHS * REFINE, np.float32) for _ in (0, 1)]
+    out = np.empty(len(symbols))
+    for t in range(len(cuts) - 1):
+        those = order[cuts[t] : cuts[t + 1]]
+        of, depth, bit, slot = coder.bits(symbols[those], contexts[:, those])
+        x = [table[p] for table, p in zip(stretched, slot)]
+        own = text[those][of]
+        g = own * WORD_GATES + _gates(depth, x)
+        mixed = weights[-1][g] * np.float32(0.3)
+        for row, w in zip(x, weights):
+            mixed += row * w[g]
+        np.clip(mixed, -12, 12, out=mixed)
+        p = 1 / (1 + np.exp(-mixed))
+        like = (own * DEPTHS + depth) * REFINE + np.clip(np.rint(mixed * 2), -16, 16).astype(np.int64) + 16
+        zeros, ones = (n[like] for n in came)
+        fine = (ones + np.float32(TRUST) * p) / (zeros + ones + np.float32(TRUST))
+        fine = (p + fine) / 2
+        hit = bit == 1
+        out[those] = np.bincount(of, np.log(np.maximum(np.where(hit, fine, 1 - fine), 1e-9)), len(those)) / log(10)
+        if t == len(cuts) - 2:
+            break
+        error = bit - p
+        n = np.bincount(g, minlength=texts * WORD_GATES) + np.float32(INERTIA)
+        for row, w in zip(x, weights):
+            w += (RATE * np.bincount(g, row * error, texts * WORD_GATES) / n).astype(np.float32)
+        weights[-1] += (RATE * 0.3 * np.bincount(g, error, texts * WORD_GATES) / n).astype(np.float32)
+        came[0] += np.bincount(like[~hit], minlength=texts * DEPTHS * REFINE)
+        came[1] += np.bincount(like[hit], minlength=texts * DEPTHS * REFINE)
+    return out
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -488,29 +519,30 @@ def score(docs: DataFrame, train) -> DataFrame:
         least -= 1
         held += sizes.get(least, 0)
     frequent = F.col("m") >= (1 << least) if least < 63 else F.lit(False)
-    in_code = frequent & (F.col("n") > 1)
+    in_code = frequent & (F.col("n") > 0)
     spelled = vocabulary.where(~in_code).mapInArrow(spell, "word binary, n long, m long, lp double")
     scored = scratch.table(vocabulary.where(in_code).withColumn("lp", F.lit(0.0)).unionByName(spelled), "scored")
     head = scored.where(frequent).select("word", "n", "lp").toArrow()  # at most HEAD words
     names, counts, logs = head.column("word").to_pylist(), head.column("n").to_numpy(), head.column("lp").to_numpy()
-    coded = sorted(((w, int(c)) for w, c in zip(names, counts) if c > 1), key=lambda r: (-r[1], r[0]))
+    coded = sorted(((w, int(c)) for w, c in zip(names, counts) if c > 0), key=lambda r: (-r[1], r[0]))
     known = np.array([c for _, c in coded], np.int64)
-    slot_bits = min(MOST_BITS, max(LEAST_BITS, ceil(log2(16 * (v + 1)))))
-    coder = spark.sparkContext.broadcast(Coder([w for w, _ in coded], known, ends, n - ends - int(known.sum()), of_marker, slot_bits))
-    model = spark.sparkContext.broadcast(_learned(docs, coder))
+    slot_bits = max(LEAST_BITS, ceil(log2(16 * (v + 1))))
+    escapes = n - ends - int(known.sum()) + int((known == 1).sum())
+    coder = spark.sparkContext.broadcast(Coder([w for w, _ in coded], known, ends, escapes, of_marker, slot_bits))
+    model = spark.sparkContext.broadcast(_tables(docs, coder))
     top = spark.sparkContext.broadcast((names, counts, logs))
     base_of = -log10(n + v + 1)
     end = (log10(ends + 1) + base_of, int(ends > 0))
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, counts, logs = top.value
-        own, (stretched, weights, refined) = coder.value, model.value
+        own, stretched = coder.value, model.value
         index, symbol_of = {w: i for i, w in enumerate(names)}, own.index()
         base, known, logs = np.append(np.log10(counts + 1.0) + base_of, 0.0), np.append(counts > 0, False).astype(np.int64), np.append(logs, 0.0)
         missing = len(names)
         for batch, first, texts in _chunks(batches, 1, 8192):
             symbols, contexts, at = own.tokens(texts, symbol_of)
-            lps = np.add.reduceat(log10_coded(symbols, contexts, own, stretched, weights, refined), at)
+            lps = np.add.reduceat(log10_coded(symbols, contexts, at, own, stretched), at)
             out = []
             for found, begin, lp in zip(texts, at.tolist(), lps.tolist()):
                 place = np.fromiter((index.get(w, missing) for w in found), np.int64, len(found))

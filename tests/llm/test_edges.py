@@ -394,18 +394,67 @@ def test_words_are_scored_by_the_words_before_them(spark):
     assert sum(got[200 + i].score for i in range(60)) > 0.6 * sum(got[200 + i].base_score for i in range(60))
 
 
-def test_codes_of_words_are_a_distribution(rng):
-    coder = language_model.Coder([b"w%d" % i for i in range(50)], np.array([rng.randint(1, 900) for _ in range(50)]), 7, 3, {}, 16)
+def coded_texts(rng):
+    coder = language_model.Coder([b"w%d" % i for i in range(50)], np.array([rng.randint(1, 900) for _ in range(50)]), 7, 3, {b"w1": 2, b"w2": 3}, 16)
     some = np.random.default_rng(3)
-    model = some.normal(0, 2, (language_model.VIEWS, 1 << 16)).astype(np.float32), some.normal(0.3, 0.1, (language_model.VIEWS + 1, language_model.WORD_GATES)).astype(np.float32)
-    refined = some.integers(0, 50, (2, language_model.DEPTHS * language_model.REFINE)).astype(float)
+    tables = [some.normal(0, 2, n).astype(np.float32) for n in coder.slots]
+    texts = [[b"w%d" % rng.randrange(55) for _ in range(n)] for n in (3, 0, 700, 40, 1, 2500)]
+    return coder, tables, texts
+
+
+def test_codes_of_words_are_a_distribution(rng):
+    coder, tables, _ = coded_texts(rng)
     _, contexts, _ = coder.tokens([[b"w3", b"w3", b"other"]], coder.index())
     for at in range(4):
         every = np.arange(coder.copy + 1)
-        total = (10.0 ** language_model.log10_coded(every, np.repeat(contexts[:, at : at + 1], len(every), axis=1), coder, *model, refined)).sum()
+        same = np.repeat(contexts[:, at : at + 1], len(every), axis=1)
+        total = (10.0 ** language_model.log10_coded(every, same, every, coder, tables)).sum()
         assert abs(total - 1) < 1e-4
 
 
+def test_mixing_learns_as_a_plain_loop_does(rng):
+    """Every bit by itself, in plain Python, in each text by itself."""
+    coder, tables, texts = coded_texts(rng)
+    symbols, contexts, starts = coder.tokens(texts, coder.index())
+    got = language_model.log10_coded(symbols, contexts, starts, coder, tables)
+    bounds = [int(x) for x in language_model.STRETCHES]
+    start = language_model.start_weights().astype(float)
+    for first, end in zip(starts, [*starts[1:], len(symbols)]):
+        weights, came, learned = start.copy(), Counter(), []
+        for i in range(first, end):
+            if i - first in bounds:
+                sums, n = np.zeros_like(weights), Counter(g for g, *_ in learned)
+                for g, x, error, cell in learned:
+                    sums[:, g] += np.array(x) * error
+                    came[cell] += 1
+                for g, m in n.items():
+                    weights[:, g] += language_model.RATE * sums[:, g] / (m + language_model.INERTIA)
+                learned = []
+            total = 0.0
+            _, depth, bit, place = coder.bits(symbols[i : i + 1], contexts[:, i : i + 1])
+            for k in range(len(bit)):
+                x = [float(t[p[k]]) for t, p in zip(tables, place)] + [0.3]
+                g = int(depth[k]) * 4 + (x[2] != 0) * 2 + (x[3] != 0)
+                mixed = min(12.0, max(-12.0, float(weights[:, g] @ x)))
+                p = 1 / (1 + np.exp(-mixed))
+                cell = (int(depth[k]), min(16, max(-16, round(mixed * 2))))
+                zeros, ones = came[(*cell, 0)], came[(*cell, 1)]
+                fine = (p + (ones + language_model.TRUST * p) / (zeros + ones + language_model.TRUST)) / 2
+                total += log10(max(fine if bit[k] else 1 - fine, 1e-9))
+                learned.append((g, x, int(bit[k]) - p, (*cell, int(bit[k]))))
+            assert abs(total - got[i]) < 0.02 + 0.002 * abs(total), i
+    alone = [language_model.log10_coded(*coder.tokens([t], coder.index()), coder, tables).sum() for t in texts]
+    assert np.allclose(alone, np.add.reduceat(got, starts), rtol=1e-6)
+
+
+def test_scores_do_not_depend_on_how_rows_are_dealt(spark, docs):
+    scores = []
+    for parts in (1, 7):
+        dealt = docs.repartition(parts, F.xxhash64("text", "doc_id"))
+        scores.append({r.doc_id: r.score for r in language_model.score(dealt, F.col("doc_id") % 5 != 2).collect()})
+    assert scores[0].keys() == scores[1].keys() and all(abs(scores[1][d] - s) < 1e-6 for d, s in scores[0].items())
+
+
 def test_quality(spark, rng, docs, empty):
     from .conftest import sentence
 
