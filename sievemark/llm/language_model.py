@@ -3,9 +3,9 @@
 Tokens are words and one end for each text; every one is coded, bit by bit, from mixed predictions. The corpus gives
 exact counts of all training tokens. Frequent words, the end, and an escape for all other words have a prefix code each
 (Huffman's, by count). A word that the training texts hold once also counts as an escape, as it was new when it came. A token's first bit says whether it is the word
-before again; if not, the bits of its code follow. Each bit is predicted from the place in the code
-alone and with the class of the text so far, the word before, the two words before, and the run of equal words and
-the position. Each context is hashed into a table of counts of zeros and ones over all training texts, whose size
+before again; if not, the bits of its code follow. Each bit is predicted from its place in the code together with
+the last very frequent word before it (which tells the language, and the grammar's place), the word before, and the
+two words before. Each context is hashed into a table of counts of zeros and ones over all training texts, whose size
 follows the vocabulary; counts of partitions are summed, so they don't depend on how rows are dealt.
 
 The predictions are mixed in the logistic domain by weights that the depth and the contexts seen before select
@@ -19,9 +19,6 @@ whose contexts stay within the word: the position, the last one to four bytes, t
 count every training word once; its weights are learned over the training words that occur once, each with
 its own share of the counts taken out, in groups by hash, each in the order of its words.
 
-The class of the text so far (mostly its language) is that of most of its marker words up to here; markers are frequent
-words, classed by which of them go together in a text.
-
 What executors share is of bounded size: tables, weights, and the codes and counts of the most frequent words. All other
 words meet their counts and their spelling by a join.
 """
@@ -41,12 +38,12 @@ from . import scratch, words
 
 _U = np.uint64
 ORDERS, SLOT_BITS, BLOCK = 6, 18, 4096
-GATES, INPUTS, REFINE, RUNS = 32, ORDERS + 1, 33, 8
+GATES, INPUTS, REFINE = 32, ORDERS + 1, 33
 #: Contexts of a code's bits, depths told apart, gates (by depth and whether the two longest contexts were seen).
-VIEWS, DEPTHS = 5, 16
+VIEWS, DEPTHS = 3, 16
 WORD_GATES = 4 * DEPTHS
-#: Least bits of a table's slots, and most for each view; the first view's slots are the nodes themselves.
-LEAST_BITS, MOST_BITS = 16, (18, 20, 22, 22, 18)
+#: Least bits of a table's slots, and most for each view.
+LEAST_BITS, MOST_BITS = 16, (20, 21, 21)
 #: A text's stretches of tokens end here; further ones are of the last length each.
 STRETCHES = np.array([32, 64, 128, 256, 512, 1024, 2048, 4096], np.int64)
 #: Step of the weights, tokens' weight of their start, and of a mixed prediction against what came of its like.
@@ -56,8 +53,8 @@ GROUP = 1 << 17
 #: Most words whose counts are broadcast.
 HEAD = 200_000
 _FLUSH = 200_000
-#: Classes of texts, and the frequent words that tell them.
-CLASSES, MARKERS = 6, 256
+#: Very frequent words, one of which is a context until the next comes.
+MARKERS = 64
 _SALT = words.mix(np.arange(1, ORDERS + 1, dtype=_U))
 _VIEW_SALT = words.mix(np.arange(101, 101 + VIEWS, dtype=_U))
 _C1, _C2 = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
@@ -101,18 +98,24 @@ def gate(k: int, at: np.ndarray) -> np.ndarray:
     return k * 4 + np.minimum(at, 3)
 
 
-def inputs(tables: np.ndarray, place: np.ndarray, bit: np.ndarray | None = None) -> np.ndarray:
-    """Stretched predictions of all orders and a bias; given ``bit``, without the word's own share."""
-    n = np.stack([tables[o][:, place[o]] for o in range(ORDERS)])
-    zeros, ones = n[:, 0, :], n[:, 1, :]
-    if bit is not None:
-        zeros, ones = zeros - (bit == 0), ones - (bit == 1)
-    out = np.empty((INPUTS, place.shape[1]))
-    out[:-1] = np.log((ones + 0.2) / (zeros + 0.2))
+def inputs(tables: np.ndarray, place: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    """Stretched predictions of all orders and a bias, without the word's own share; tables of zeros and ones, slot by slot."""
+    out = np.empty((INPUTS, place.shape[1]), np.float32)
+    own = bit.astype(np.float32)
+    for o in range(ORDERS):
+        twice = 2 * place[o]
+        out[o] = np.log((tables[o][twice + 1] - own + np.float32(0.2)) / (tables[o][twice] - (1 - own) + np.float32(0.2)))
     out[-1] = 0.3
     return out
 
 
+def mixed_of(x: np.ndarray, weights: np.ndarray, gates: np.ndarray) -> np.ndarray:
+    total = x[0] * weights[0][gates]
+    for row, w in zip(x[1:], weights[1:]):
+        total += row * w[gates]
+    return total
+
+
 def squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -12, 12)))
 
@@ -121,48 +124,54 @@ def _bucket(x: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(x * 2), -16, 16).astype(np.int64) + 16
 
 
-def log10_spelled(some: list[bytes], tables: np.ndarray, weights: np.ndarray, refined: np.ndarray) -> np.ndarray:
+def log10_spelled(some: list[bytes], stretched: np.ndarray, weights: np.ndarray, refined: np.ndarray) -> np.ndarray:
     """log10 probability of each word's spelling, its end included."""
     flat, starts, at, mixed = contexts(some)
     total = np.zeros(len(flat))
+    weights, part = weights.T.astype(np.float32), (3 * (refined[1] + 0.5) / (refined.sum(axis=0) + 1)) / 4
+    x = np.full((INPUTS, len(flat)), 0.3, np.float32)
     for k in range(8):
         place, bit = slots(mixed, flat, k)
-        g = gate(k, at)
-        x = np.einsum("ij,ji->j", inputs(tables, place), weights[g])
-        n = refined[:, k, _bucket(x)]
-        p = (squash(x) + 3 * (n[1] + 0.5) / (n.sum(axis=0) + 1)) / 4
-        total += np.log10(np.clip(np.where(bit == 1, p, 1 - p), 1e-9, 1))
-    return np.add.reduceat(total, starts)
+        for o in range(ORDERS):
+            x[o] = stretched[o][place[o]]
+        y = mixed_of(x, weights, gate(k, at))
+        p = squash(y) / 4 + part[k][_bucket(y)]
+        total += np.log(np.clip(np.where(bit == 1, p, 1 - p), 1e-9, 1))
+    return np.add.reduceat(total, starts) / log(10)
+
+
+def stretched_counts(tables: np.ndarray) -> np.ndarray:
+    return np.log((tables[:, 1::2] + np.float32(0.2)) / (tables[:, ::2] + np.float32(0.2)))
 
 
 def _count_tables(vocabulary: DataFrame) -> np.ndarray:
-    """Counts of zeros and ones over all training words: (order, bit, slot)."""
+    """Counts of zeros and ones over all training words, slot by slot: (order, 2 * slot + bit)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = 1 << SLOT_BITS
-        tables = np.zeros((ORDERS, 2, size), np.float32)
+        tables = np.zeros((ORDERS, 2 << SLOT_BITS), np.int32)
         for batch in batches:
-            for some in _batches(batch.column(0), 8192):
+            for some in _batches(batch.column(0), 4096):
                 flat, _, _, mixed = contexts(some)
+                one = np.ones(len(flat), np.int32)
                 for k in range(8):
                     place, bit = slots(mixed, flat, k)
                     for o in range(ORDERS):
-                        tables[o] += np.bincount(place[o] + bit.astype(np.int64) * size, minlength=2 * size).reshape(2, size)
-        if tables.any():
-            flat = tables.reshape(-1, BLOCK)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int64()), pa.array([x.tobytes() for x in flat], pa.binary())], names=["block", "n"])
+                        np.add.at(tables[o], 2 * place[o] + bit, one)
+        flat = tables.reshape(-1, BLOCK)
+        used = np.flatnonzero(flat.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([flat[i].tobytes() for i in used], pa.binary())], names=["block", "n"])
 
     def add(group: pa.Table) -> pa.Table:
-        total = np.zeros(BLOCK, np.float32)
+        total = np.zeros(BLOCK, np.int64)
         for x in group.column("n"):
-            total += np.frombuffer(x.as_py(), np.float32)
-        return pa.table({"block": group.column("block").slice(0, 1), "n": pa.array([total.tobytes()], pa.binary())})
+            total += np.frombuffer(x.as_py(), np.int32)
+        return pa.table({"block": group.column("block").slice(0, 1), "n": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
     summed = vocabulary.select("word").mapInArrow(count, "block long, n binary").groupBy("block").applyInArrow(add, "block long, n binary")
     out = np.zeros((ORDERS * 2 << SLOT_BITS) // BLOCK * BLOCK, np.float32).reshape(-1, BLOCK)
-    for r in summed.collect():  # a table of fixed size
+    for r in summed.toLocalIterator():  # a table of fixed size
         out[r["block"]] = np.frombuffer(bytes(r["n"]), np.float32)
-    return out.reshape(ORDERS, 2, 1 << SLOT_BITS)
+    return out.reshape(ORDERS, 2 << SLOT_BITS)
 
 
 def _weights(once: DataFrame, tables) -> tuple[np.ndarray, np.ndarray]:
@@ -170,7 +179,7 @@ def _weights(once: DataFrame, tables) -> tuple[np.ndarray, np.ndarray]:
     groups = max(64, -(-once.count() // GROUP))
 
     def learn(group: pa.Table) -> pa.Table:
-        weights, refined, seen = np.full((GATES, INPUTS), 0.25), np.zeros((2, 8, REFINE)), 0
+        weights, refined, seen = np.full((INPUTS, GATES), 0.25, np.float32), np.zeros((2, 8, REFINE)), 0
         for some in _batches(pa.array(sorted(group.column("word").to_pylist()), pa.binary())):
             flat, _, at, mixed = contexts(some)
             rate = 0.3 / (1 + seen / 20_000) ** 0.5
@@ -178,17 +187,16 @@ def _weights(once: DataFrame, tables) -> tuple[np.ndarray, np.ndarray]:
                 place, bit = slots(mixed, flat, k)
                 x = inputs(tables.value, place, bit)
                 g = gate(k, at)
-                mixed_x = np.einsum("ij,ji->j", x, weights[g])
-                error = bit - squash(mixed_x)
-                for own in range(4 * k, 4 * k + 4):
-                    those = g == own
-                    if n := int(those.sum()):
-                        weights[own] += rate * (x[:, those] @ error[those]) / n
+                mixed_x = mixed_of(x, weights, g)
+                error = (bit - squash(mixed_x)).astype(np.float32)
+                n = np.maximum(np.bincount(g, minlength=GATES), 1)
+                for row, w in zip(x, weights):
+                    w += (rate * np.bincount(g, row * error, GATES) / n).astype(np.float32)
                 where = _bucket(mixed_x)
                 for b in (0, 1):
                     refined[b, k] += np.bincount(where[bit == b], minlength=REFINE)
             seen += len(some)
-        return pa.table({"part": group.column("part").slice(0, 1), "seen": pa.array([seen], pa.int64()), "w": pa.array([weights.tobytes()], pa.binary()), "r": pa.array([refined.tobytes()], pa.binary())})
+        return pa.table({"part": group.column("part").slice(0, 1), "seen": pa.array([seen], pa.int64()), "w": pa.array([weights.T.astype(float).tobytes()], pa.binary()), "r": pa.array([refined.tobytes()], pa.binary())})
 
     def add(group: pa.Table) -> pa.Table:
         rows = sorted(zip(*(group.column(c).to_pylist() for c in ("part", "seen", "w", "r"))))
@@ -241,55 +249,52 @@ def prefix_codes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray
 class Coder:
     """Codes of symbols: words by their place in ``coded``, then the end, then the escape, then a copy."""
 
-    def __init__(self, coded: list[bytes], counts: np.ndarray, ends: int, rest: int, class_of: dict[bytes, int], slot_bits: int):
+    def __init__(self, coded: list[bytes], counts: np.ndarray, ends: int, rest: int, slot_bits: int):
         self.coded, self.slot_bits = coded, [min(slot_bits, most) for most in MOST_BITS]
         self.once = np.append(counts == 1, np.zeros(4, bool))
         self.end, self.escape, self.copy, self.start = len(coded), len(coded) + 1, len(coded) + 2, len(coded) + 3
         self.at, self.node, self.bit = prefix_codes(np.concatenate([counts, [max(ends, 1), max(rest, 1)]]))
         self.mixed_node = (self.node.astype(_U) + _U(1)) * _C1
-        #: Number of slots of each view's table, whole blocks of them.
-        self.slots = [-(-max(1 << b, (len(coded) + 3) * (v == 0)) // BLOCK) * BLOCK for v, b in enumerate(self.slot_bits)]
-        self.classes = np.full(len(coded) + 4, -1, np.int64)
-        for i, w in enumerate(coded[:MARKERS]):
-            self.classes[i] = class_of.get(w, -1)
+        #: Number of slots of each view's table.
+        self.slots = [1 << b for b in self.slot_bits]
 
     def index(self) -> dict[bytes, int]:
         return {w: i for i, w in enumerate(self.coded)}
 
-    def tokens(self, texts: list[list[bytes]], index: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Symbol of each token, ends included; the mixed contexts, a row for each view; where texts start."""
+    def tokens(self, texts: list[list[bytes]], index: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Symbol of each token, ends included; the mixed contexts, a row for each view; where texts start; places in ``index``.
+
+        ``index`` holds the coded words first, by their symbols; further words are escaped. Words outside it have
+        negative places.
+        """
         ids, starts = [], []
         for found in texts:
             starts.append(len(ids))
             own = [index.get(w, -1) for w in found]
             if -1 in own:
-                new: dict[bytes, int] = {}  # escaped words are told apart within their text
+                new: dict[bytes, int] = {}  # these words are told apart within their text
                 own = [i if i >= 0 else -1 - new.setdefault(w, len(new)) for i, w in zip(own, found)]
             ids.extend(own)
             ids.append(self.end)
         ident, at = np.array(ids, np.int64), np.array(starts, np.int64)
         n = len(ident)
-        begin = np.repeat(at, np.diff(np.append(at, n)))
-        place = np.arange(n) - begin
-        symbol = np.where(ident < 0, self.escape, ident)
-        before, two = np.full(n, self.start), np.full(n, self.start)
+        ends = np.append(at[1:], n) - 1
+        begin = np.repeat(at, ends - at + 1)
+        first, second = at, at[ends > at] + 1
+        symbol = np.where((ident < 0) | (ident >= len(self.coded)), self.escape, ident)
+        symbol[ends] = self.end
+        before, two = np.empty(n, np.int64), np.empty(n, np.int64)
         before[1:], two[2:] = symbol[:-1], symbol[:-2]
-        before[place < 1] = two[place < 2] = self.start
+        before[first] = two[first] = two[second] = self.start
         same = np.zeros(n, bool)
-        same[1:] = (ident[1:] == ident[:-1]) & (place[1:] > 0)
-        last = np.maximum.accumulate(np.where(same, 0, np.arange(n)))  # where the run of equal words began
-        run = np.zeros(n, np.int64)
-        run[1:] = np.where(place[1:] > 0, np.minimum(np.arange(n - 1) - last[:-1], RUNS - 1), 0)
-        votes = np.zeros((n + 1, CLASSES), np.int32)
-        kind = self.classes[symbol]
-        marks = np.flatnonzero(kind >= 0)
-        votes[marks + 1, kind[marks]] = 1
-        votes = np.cumsum(votes, axis=0)
-        votes = votes[:-1] - votes[begin]
-        of_text = np.where(votes.any(axis=1), votes.argmax(axis=1), CLASSES)
-        far = np.floor(np.log2(place + 1)).astype(np.int64)
-        rows = [np.zeros(n, np.int64), of_text, before, (two << 32) | before, (run << 32) | far]
-        return np.where(same, self.copy, symbol), np.stack([words.mix(r.astype(_U) + s) for r, s in zip(rows, _VIEW_SALT)]), at
+        same[1:] = ident[1:] == ident[:-1]
+        same[first] = same[ends] = False
+        marked = np.maximum.accumulate(np.where(symbol < min(MARKERS, len(self.coded)), np.arange(n), -1))
+        marker = np.full(n, self.start)
+        marker[1:] = np.where(marked[:-1] >= begin[1:], symbol[marked[:-1]], self.start)
+        marker[first] = self.start
+        rows = [marker, before, (two << 32) | before]
+        return np.where(same, self.copy, symbol), np.stack([words.mix(r.astype(_U) + s) for r, s in zip(rows, _VIEW_SALT)]), at, ident
 
     def bits(self, symbol: np.ndarray, mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
         """Of each bit of the symbols' codes: its symbol, depth and value; and its table slot for each view."""
@@ -300,21 +305,19 @@ class Coder:
         depth = np.arange(len(of)) - (ends - sizes)[of]
         flat = begin[of] + depth
         node = self.mixed_node[flat]
-        place = [self.node[flat]]  # alone, nodes have slots of their own
-        for m, b in zip(mixed[1:], self.slot_bits[1:]):
-            place.append((((m[of] ^ node) * _C2) >> _U(64 - b)).view(np.int64))
+        place = [(((m[of] ^ node) * _C2) >> _U(64 - b)).view(np.int64) for m, b in zip(mixed, self.slot_bits)]
         return of, np.minimum(depth, DEPTHS - 1), self.bit[flat], place
 
 
 def start_weights() -> np.ndarray:
     """Weights from which every text starts (input, gate): the longer a context that was seen, the more it counts."""
     # By whether the word before and the two words before were seen; inputs are the views and a bias.
-    by_seen = np.array([[-0.2, 1.0, 0.0, 0.0, 0.2, 0.0], [-0.2, 0.8, 0.0, 0.5, 0.2, 0.0], [-0.3, 0.75, 0.35, 0.0, 0.3, 0.0], [-0.4, 0.65, 0.5, 0.35, 0.3, 0.0]], np.float32)
+    by_seen = np.array([[1.0, 0.0, 0.0, 0.0], [0.8, 0.0, 0.5, 0.0], [0.75, 0.35, 0.0, 0.0], [0.65, 0.5, 0.35, 0.0]], np.float32)
     return np.ascontiguousarray(np.tile(by_seen, (DEPTHS, 1)).T)
 
 
 def _gates(depth: np.ndarray, x: list[np.ndarray]) -> np.ndarray:
-    return depth * 4 + (x[2] != 0) * 2 + (x[3] != 0)
+    return depth * 4 + (x[1] != 0) * 2 + (x[2] != 0)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], column: int, least: int) -> Iterator[tuple[pa.RecordBatch, int, list[list[bytes]]]]:
@@ -340,7 +343,7 @@ def _tables(docs: DataFrame, coder) -> list[np.ndarray]:
         own = coder.value
         index, tables = own.index(), [np.zeros(2 * n, np.int32) for n in sizes]
         for _, _, texts in _chunks(batches, 0, 4096):
-            symbols, contexts, _ = own.tokens(texts, index)
+            symbols, contexts, _, _ = own.tokens(texts, index)
             new = own.once[symbols]
             symbols = np.concatenate([symbols, np.full(int(new.sum()), own.escape)])
             _, _, bit, place = own.bits(symbols, np.concatenate([contexts, contexts[:, new]], axis=1))
@@ -387,7 +390,7 @@ def log10_coded(symbols: np.ndarray, contexts: np.ndarray, starts: np.ndarray, c
     for t in range(len(cuts) - 1):
         those = order[cuts[t] : cuts[t + 1]]
         of, depth, bit, slot = coder.bits(symbols[those], contexts[:, those])
-        x = [table[p] for table, p in zip(stretched, slot)]
+        x = [np.take(table, p, mode="wrap") for table, p in zip(stretched, slot)]  # all are within; the mode spares a check
         own = text[those][of]
         g = own * WORD_GATES + _gates(depth, x)
         mixed = weights[-1][g] * np.float32(0.3)
@@ -443,49 +446,6 @@ def _counted(docs: DataFrame) -> DataFrame:
     return partial.groupBy("kind", "word").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
-def _classes(docs: DataFrame, markers: list[bytes]) -> np.ndarray:
-    """Class of each marker word, by which of them stand in the same training texts."""
-    at = {w: i for i, w in enumerate(markers)}
-
-    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(markers), len(markers)))
-        for batch in batches:
-            seen = np.zeros((batch.num_rows, len(markers)), np.float32)
-            for i, text in enumerate(batch.column(0)):
-                own = at.keys() & set((text.as_py() or "").encode().lower().split())
-                seen[i, [at[w] for w in own]] = 1
-            total += seen.T @ seen
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(markers)), pa.int64()), pa.array([x.tobytes() for x in total], pa.binary())], names=["row", "n"])
-
-    def add(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py()) for x in group.column("n"))
-        return pa.table({"row": group.column("row").slice(0, 1), "n": pa.array([total.tobytes()], pa.binary())})
-
-    both = np.zeros((len(markers), len(markers)))
-    summed = docs.where("_train").select("text").mapInArrow(together, "row long, n binary").groupBy("row").applyInArrow(add, "row long, n binary")
-    for r in summed.collect():  # one row a marker
-        both[r["row"]] = np.frombuffer(bytes(r["n"]))
-    return clusters(both)
-
-
-def clusters(both: np.ndarray, rounds: int = 20) -> np.ndarray:
-    """k-means of the words by the company they keep, from the farthest seeds; the same for the same counts."""
-    own = np.maximum(both.diagonal(), 1)
-    shape = both / np.sqrt(own[:, None] * own[None, :])
-    shape = shape - shape.mean(axis=0)
-    shape = shape / np.maximum(np.linalg.norm(shape, axis=1, keepdims=True), 1e-12)
-    seeds = [0]
-    while len(seeds) < min(CLASSES, len(shape)):
-        seeds.append(int(np.argmin((shape @ shape[seeds].T).max(axis=1))))
-    centres = shape[seeds]
-    found = np.zeros(len(shape), np.int64)
-    for _ in range(rounds):
-        found = np.argmax(shape @ centres.T, axis=1)
-        centres = np.stack([shape[found == c].sum(axis=0) if (found == c).any() else centres[c] for c in range(len(centres))])
-        centres = centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
-    return found
-
-
 def score(docs: DataFrame, train) -> DataFrame:
     """doc_id, _train, n_tokens, n_known, train_tokens, base_score and score of each row of ``docs`` (doc_id, text).
 
@@ -504,15 +464,13 @@ def score(docs: DataFrame, train) -> DataFrame:
     tables = _count_tables(vocabulary.where("n > 0"))
     shared = spark.sparkContext.broadcast(tables)
     weights, refined = _weights(vocabulary.where("n = 1"), shared)
+    spelling = spark.sparkContext.broadcast((stretched_counts(tables), weights, refined))
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [log10_spelled(some, shared.value, weights, refined) for some in _batches(batch.column(0), 4096)]
+            found = [log10_spelled(some, *spelling.value) for some in _batches(batch.column(0), 4096)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(found), pa.float64())], names=["word", "n", "m", "lp"])
 
-    marked = vocabulary.where("n > 0").orderBy(F.desc("n"), "word").limit(MARKERS).select("word").collect()
-    markers = [bytes(r["word"]) for r in marked]
-    of_marker = dict(zip(markers, _classes(docs, markers).tolist())) if markers else {}
     sizes = {r["b"]: r["c"] for r in vocabulary.groupBy(F.floor(F.log2("m")).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("c")).collect()}
     least, held = 64, 0
     while least > 0 and held + sizes.get(least - 1, 0) <= HEAD:
@@ -528,24 +486,28 @@ def score(docs: DataFrame, train) -> DataFrame:
     known = np.array([c for _, c in coded], np.int64)
     slot_bits = max(LEAST_BITS, ceil(log2(16 * (v + 1))))
     escapes = n - ends - int(known.sum()) + int((known == 1).sum())
-    coder = spark.sparkContext.broadcast(Coder([w for w, _ in coded], known, ends, escapes, of_marker, slot_bits))
+    coder = spark.sparkContext.broadcast(Coder([w for w, _ in coded], known, ends, escapes, slot_bits))
     model = spark.sparkContext.broadcast(_tables(docs, coder))
-    top = spark.sparkContext.broadcast((names, counts, logs))
+    scratch.drop(counted)
+    order = {w: i for i, (w, _) in enumerate(coded)}
+    place = np.array(sorted(range(len(names)), key=lambda i: (order.get(names[i], len(order)), names[i])), np.int64)  # coded words first
+    top = spark.sparkContext.broadcast(([names[i] for i in place], counts[place], logs[place]))
     base_of = -log10(n + v + 1)
     end = (log10(ends + 1) + base_of, int(ends > 0))
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, counts, logs = top.value
         own, stretched = coder.value, model.value
-        index, symbol_of = {w: i for i, w in enumerate(names)}, own.index()
+        index = {w: i for i, w in enumerate(names)}
         base, known, logs = np.append(np.log10(counts + 1.0) + base_of, 0.0), np.append(counts > 0, False).astype(np.int64), np.append(logs, 0.0)
         missing = len(names)
         for batch, first, texts in _chunks(batches, 1, 8192):
-            symbols, contexts, at = own.tokens(texts, symbol_of)
+            symbols, contexts, at, ident = own.tokens(texts, index)
             lps = np.add.reduceat(log10_coded(symbols, contexts, at, own, stretched), at)
             out = []
             for found, begin, lp in zip(texts, at.tolist(), lps.tolist()):
-                place = np.fromiter((index.get(w, missing) for w in found), np.int64, len(found))
+                place = ident[begin : begin + len(found)]
+                place = np.where(place < 0, missing, place)
                 fresh = symbols[begin : begin + len(found)] == own.escape  # spelled here, not copied
                 rest = place == missing
                 some = Counter(found[i] for i in np.flatnonzero(rest))
