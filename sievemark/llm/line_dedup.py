@@ -3,7 +3,9 @@
 A run holds, for each line key, the number of documents and the largest doc_id that hold it, sorted by key.
 Batches of documents add runs at level 0; as soon as a level has ``fanout`` runs they are merged into one run
 of the next level, so each key is rewritten once a level. Runs of different documents merge by sum and
-maximum. Lines are then merge-anti-joined with the runs. All steps are DataFrame operations.
+maximum. Each batch's lines meet the runs of the batches before it in a sort-merge join that tells the lines seen
+before from new ones, and then add their own run. ``dedup`` takes batches by falling doc_id, so a line that is new is
+that of the largest doc_id. All steps are DataFrame operations.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ import string
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import scratch
 
@@ -47,25 +50,44 @@ class LineRuns:
 
     def add(self, lines: DataFrame) -> None:
         """Add a batch of keyed lines as a run. No document may be in two batches."""
+        self._put(self._run(lines), 0)
+
+    def _run(self, lines: DataFrame, level: int = 0) -> DataFrame:
         once = lines.select("k1", "k2", "doc_id").distinct()
-        self._put(once.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last")), 0)
+        run = once.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+        return scratch.table(run.sortWithinPartitions("k1", "k2"), f"line-run-{level}")
 
     def _put(self, run: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(scratch.table(run.sortWithinPartitions("k1", "k2"), f"line-run-{level}"))
+        self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
             merged, self.levels[level] = self.levels[level], []
-            self._put(self._merge(merged), level + 1)
+            self._put(scratch.table(self._merge(merged).sortWithinPartitions("k1", "k2"), f"line-run-{level + 1}"), level + 1)
             for r in merged:
                 scratch.drop(r)
 
+    def meet(self, lines: DataFrame, keeper: str) -> DataFrame:
+        """Those of a batch's lines that the runs hold or that stand in the batch's ``keeper`` (first or last) document too.
+
+        The others are new and stay. The batch is then a run itself.
+        """
+        own, state = self._run(lines), self.state()
+        joined = lines.join(own.select("k1", "k2", F.col(keeper).alias("_keeper")), ["k1", "k2"])
+        again = F.col("doc_id") != F.col("_keeper")
+        if state is not None:
+            joined = joined.join(state.select("k1", "k2", F.lit(True).alias("_held")), ["k1", "k2"], "left")
+            again = again | F.col("_held").isNotNull()
+        seen = scratch.table(joined.where(again).select(*lines.columns), "line-seen")
+        self._put(own, 0)
+        return seen
+
     @staticmethod
     def _merge(runs: list[DataFrame]) -> DataFrame:
         union = runs[0]
         for r in runs[1:]:
             union = union.unionByName(r)
-        return union.groupBy("k1", "k2").agg(F.sum("n_docs").alias("n_docs"), F.max("last").alias("last"))
+        return union.groupBy("k1", "k2").agg(F.sum("n_docs").alias("n_docs"), F.min("first").alias("first"), F.max("last").alias("last"))
 
     def state(self) -> DataFrame | None:
         """All keys with their number of documents and largest doc_id; None before the first batch."""
@@ -77,16 +99,10 @@ class LineRuns:
     def ingest(self, docs: DataFrame, min_chars: int = 20) -> DataFrame:
         """For arriving batches: ``docs`` without lines that earlier batches or smaller doc_ids of this one hold.
 
-        The batch's lines are anti-joined with the runs, then added to them.
+        The batch's lines are merge-joined with the runs, then added to them.
         """
         lines = scratch.table(keyed_lines(docs, min_chars), "line-batch")
-        own = lines.groupBy("k1", "k2").agg(F.min("doc_id").alias("_first"))
-        again = lines.join(own, ["k1", "k2"]).where(F.col("doc_id") > F.col("_first")).drop("_first")
-        if (state := self.state()) is not None:
-            again = again.unionByName(lines.join(state, ["k1", "k2"], "left_semi")).distinct()
-        again = scratch.table(again.select("doc_id", "_text", "_pos"), "line-again")
-        self.add(lines)
-        return without_lines(docs, again)
+        return without_lines(docs, self.meet(lines, "first").select("doc_id", "_text", "_pos"))
 
 
 def without_lines(docs: DataFrame, dropped: DataFrame) -> DataFrame:
@@ -118,12 +134,23 @@ def dedup(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, batches: int
     one document to the count; rows without doc_id count for nothing and stay as they are. A document
     left without lines has an empty text.
     """
-    spark = docs.sparkSession
-    batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")
-    lines = scratch.table(keyed_lines(docs, min_chars).withColumn("_batch", batch), "lines")
-    runs = LineRuns(spark, fanout)
-    for b in range(batches):
-        runs.add(lines.where(F.col("_batch") == b))
-    common = runs.state().where(F.col("n_docs") >= min_docs)
-    dropped = lines.join(common, ["k1", "k2"]).where(F.col("doc_id") < F.col("last")).select("doc_id", "_text", "_pos")
-    return without_lines(docs, dropped)
+    lines = scratch.table(keyed_lines(docs, min_chars), "lines")
+    runs = LineRuns(docs.sparkSession, fanout)
+    seen = None
+    for own in _falling(lines, batches):
+        again = runs.meet(own, "last")
+        seen = again if seen is None else seen.unionByName(again)
+    common = scratch.table(runs.state().where(F.col("n_docs") >= min_docs).select("k1", "k2"), "line-common")
+    return without_lines(docs, seen.join(common, ["k1", "k2"], "left_semi").select("doc_id", "_text", "_pos"))
+
+
+def _falling(lines: DataFrame, batches: int) -> list[DataFrame]:
+    """``lines`` in batches of near equal numbers, those of larger doc_ids first; ids that are no numbers are one batch."""
+    if batches < 2 or not isinstance(lines.schema["doc_id"].dataType, T.IntegralType):
+        return [lines]
+    found = lines.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
+    out, above = [], F.lit(True)
+    for cut in sorted(set(found), reverse=True):
+        out.append(lines.where(above & (F.col("doc_id") > cut)))
+        above = F.col("doc_id") <= cut
+    return [*out, lines.where(above)]
