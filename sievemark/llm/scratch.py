@@ -1,7 +1,8 @@
 """Intermediate tables in the shared folder that the cluster names in ``spark.checkpoint.dir``.
 
 Writing a table cuts the lineage: a lost executor costs the tasks it ran, not what came before.
-Only where that setting is absent (tests, a laptop) is a folder of our own made and deleted at exit.
+Only where that setting is absent and all of Spark runs in this process (tests, a laptop) is a folder of our own made
+and deleted at exit; on a cluster without it there is no shared folder, and an error says so.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ def folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     app = spark.sparkContext.applicationId
     if not named:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if app not in _own:
             _own[app] = tempfile.mkdtemp(prefix="sievemark-")
             atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
@@ -53,6 +56,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of a part that one task sorts, and the most parts that are made for that reason.
+PART_BYTES, MOST_PARTS = 64 << 20, 4096
+
+
+def parts_for(spark: SparkSession, n_bytes: int) -> int:
+    """Number of parts for ``n_bytes`` to be sorted in: they grow in number before they grow in size."""
+    return max(shuffle_partitions(spark), min(MOST_PARTS, -(-n_bytes // PART_BYTES)))
+
+
 #: Most ids of a broadcast set: a few tens of MB as a hashed relation.
 BROADCAST_IDS = 1_000_000
 

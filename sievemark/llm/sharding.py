@@ -17,8 +17,8 @@ def shard(docs: DataFrame, shards: int = 40, tolerance: float = 0.001, overhead:
     texts are one group, null doc_ids one key. slot counts from 0 without gaps in each shard. An empty
     table gives an empty result; existing columns named size, shard or slot are replaced.
 
-    Shards are cut into as many parts as the session has shuffle partitions, and slots are numbered in parts, from
-    the exact number of rows before each: no task holds a whole shard when there are more machines than shards.
+    Shards are cut into parts of bounded bytes, and slots are numbered in parts, from the exact number of rows before
+    each: no task holds a whole shard when there are more machines than shards.
     """
     spark = docs.sparkSession
     kept = [c for c in docs.columns if c not in ("size", "shard", "slot")]
@@ -29,13 +29,15 @@ def shard(docs: DataFrame, shards: int = 40, tolerance: float = 0.001, overhead:
         F.xxhash64("doc_id").alias("k2"),
     )
     keys = scratch.table(keyed.select("k1", "k2", "size"), "shard-keys")
-    each = max(1, -(-scratch.shuffle_partitions(spark) // shards))
+    total = keys.agg(F.sum("size")).first()[0] or 0
+    each = max(1, -(-scratch.parts_for(spark, total) // shards))
     cut = splitters.find(keys, shards * each, tolerance / each)
     before = cut.rows_before + [cut.total_rows] * (shards * each - len(cut.rows_before))
     offsets = F.array(*[F.lit(before[p] - before[p - p % each]).cast("long") for p in range(shards * each)])
     within = Window.partitionBy("_part").orderBy("k1", "k2", "doc_id")
     return (
         cut.part(keyed, "k1", "k2", "_part")
+        .repartition(shards * each, "_part")
         .withColumn("_row", F.row_number().over(within).cast("long") - 1)
         .select(
             *kept,
