@@ -11,21 +11,24 @@ from . import scratch
 def connected(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable node (``root``) of each ``node`` in ``links`` (a, b; any orderable type, undirected).
 
-    Only nodes with a link to another node appear. A round moves a few times the links; a node with very many
-    neighbours is reduced by a partial minimum, never gathered. Links and nodes stay in tables throughout.
+    Only nodes with a link to another node appear. A round moves a few times the links; least neighbours are partial
+    minima, written before they are joined, so that both sides of a join are plain shuffles whose heavy nodes Spark
+    can split. Links and nodes stay in tables throughout.
     """
     edges = links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = scratch.table(edges, "cc")
     before = None
     for _ in range(max_rounds):
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = scratch.table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-least")
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = scratch.table(large, "cc-large")
+        low = scratch.table(large.groupBy("u").agg(F.min("v").alias("m")), "cc-low")
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e"))
         after = small.select("e.u", "e.v").where(F.col("u") != F.col("v")).distinct()
         now = scratch.table(after, "cc")
-        scratch.drop(edges)
+        for t in (edges, least, large, low):
+            scratch.drop(t)
         edges = now
         mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if mark == before:

@@ -196,9 +196,10 @@ def groups(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
     """
     rows = scratch.table(sketched(docs, width), "sketches")
     classes = rows.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("first"), F.any_value("n_shingles").alias("items"), F.any_value("bands").alias("bands"))
+    classes = scratch.table(classes, "classes")  # here and below: both sides of a join plain shuffles, so that Spark can split heavy keys
     members = scratch.table(classes.select("set_key", "items", F.explode("bands").alias("band")), "bands")
     buckets = members.groupBy("band").agg(F.min("set_key").alias("a"), F.count(F.lit(1)).alias("n"), F.sum("items").alias("items")).where("n > 1")
-    buckets = scratch.table(buckets, "buckets")  # a plain shuffle again, so that Spark can split heavy buckets in the join
+    buckets = scratch.table(buckets, "buckets")
     nb = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("items") / BLOCK_ITEMS)).cast("int")
     shared = scratch.table(members.drop("items").join(buckets, "band").select("band", "set_key", "a", "n", nb.alias("nb")), "shared")
     stars = scratch.table(shared.where(F.col("set_key") != F.col("a")).select("a", F.col("set_key").alias("b")).distinct(), "stars")
@@ -210,7 +211,8 @@ def groups(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
         near = scratch.table(confirmed(stars, sets, percent), "near")
         comps = components.connected(near)
         known = shared.where("n > 2").join(comps.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("comp", F.coalesce("root", "set_key"))
-        mixed = known.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("band")
+        known = scratch.table(known, "known")
+        mixed = scratch.table(known.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("band"), "mixed")
         rest = known.join(mixed, "band").select("band", "set_key", "comp", "nb")
         block = F.pmod(F.xxhash64("set_key"), F.col("nb")).cast("int")
         dealt = rest.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
@@ -235,7 +237,8 @@ def _labelled(rows: DataFrame, classes: DataFrame, links: DataFrame | None) -> D
         roots = scratch.table(components.connected(links), "roots")
         named = classes.join(roots.withColumnRenamed("node", "set_key"), "set_key").groupBy("root").agg(F.min("first").alias("of_root"))
         of_class = roots.join(named, "root").select(F.col("node").alias("set_key"), "of_root")
-        joined = slim.join(classes.join(of_class, "set_key", "left").withColumn("least", F.coalesce("of_root", "first")), "set_key", "left")
+        final = scratch.table(classes.join(of_class, "set_key", "left").withColumn("least", F.coalesce("of_root", "first")), "final")
+        joined = slim.join(final, "set_key", "left")
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("least"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
