@@ -154,7 +154,7 @@ def _members(some: DataFrame) -> DataFrame:
     n = F.size(F.split(F.btrim("text", F.lit(" \t\n\x0b\x0c\r")), "[ \\t-\\r]+")).cast("long")
     keyed = _keyed(some).select("doc_id", "h1", "h2", n.alias("n"))
     same = keyed.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    return keyed.join(same, ["h1", "h2"])
+    return keyed.join(scratch.table(same, "same"), ["h1", "h2"])
 
 
 def _merged(length: int):
