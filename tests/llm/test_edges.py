@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import unicodedata
 import re
 from collections import Counter, defaultdict
 from math import log10
@@ -9,6 +10,7 @@ from zlib import crc32
 
 import numpy as np
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -268,6 +270,12 @@ def test_leaks(spark, docs, texts, empty, rng):
     assert got == want and len(want) >= 4
     left = {r.doc_id for r in decontamination.clean(docs, bench).collect()}
     assert left == {d for d, _ in texts} - {x[0] for x in want}
+    numbered = bench.withColumn("item_id", F.col("item_id").cast("int"))
+    assert {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, numbered).collect()} == {x[:2] for x in want}
+    named = bench.withColumn("item_id", F.concat(F.lit("i"), "item_id"))
+    assert {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, named).collect()} == {(d, f"i{i}") for d, i, *_ in want}
+    unnamed = spark.createDataFrame([(None, texts[0][1]), (None, "nothing of the kind"), (None, None)], SCHEMA)
+    assert {r.text for r in decontamination.clean(unnamed, bench).collect()} == {"nothing of the kind", None}
     assert decontamination.leaks(empty, bench).count() == 0 and decontamination.leaks(docs, bench.limit(0)).count() == 0
 
 
@@ -302,18 +310,35 @@ def test_line_ingest_drops_what_came_before(spark):
     assert len(runs.levels[0]) == 0 and len(runs.levels[1]) == 1
 
 
+def units_of(t):
+    """Runs of letters or of digits; other visible characters and those of scripts without spaces by themselves."""
+    kind = lambda c: None if c in " \t\n\x0b\x0c\r" else "one" if regex.match(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]", c) else "a" if unicodedata.category(c)[0] in "LM" else "1" if unicodedata.category(c)[0] == "N" else "one"
+    out, before = [], None
+    for c in t:
+        k = kind(c)
+        if k in ("a", "1") and k == before:
+            out[-1] += c
+        elif k:
+            out.append(c)
+        before = k
+    return out
+
+
 def brute_print(t):
-    w = re.split("[ \t-\r]+", (t or "").strip(" \t\n\x0b\x0c\r"))
-    if w == [""]:
-        return []
+    prime, base = (1 << 31) - 1, 1_000_003
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    u = [signed(xxhash.xxh64_intdigest(x.encode(), 42)) % prime for x in units_of(t or "")]
+    width = winnowing.K
+    while width > 1 and len(u) < width:
+        width //= 2
     grams = []
-    for i in range(max(1, len(w) - winnowing.K + 1)):
-        h = 42
-        for x in w[i : i + winnowing.K]:
-            h = xxhash.xxh64_intdigest(x.encode(), h)
-        grams.append(h >> 32)
+    for i in range(max(0, len(u) - width + 1)):
+        h = 0
+        for x in u[i : i + width]:
+            h = (h * base + x) % prime
+        grams.append(h)
     out = {}
-    for i in range(max(1, len(grams) - winnowing.W + 1)):
+    for i in range(max(1, len(grams) - winnowing.W + 1) if grams else 0):
         own = grams[i : i + winnowing.W]
         out[(min(own), i + max(k for k, x in enumerate(own) if x == min(own)))] = None
     return list(out)
@@ -325,6 +350,19 @@ def test_winnowing(docs, texts, empty):
     assert winnowing.with_fingerprint(empty, "text", "p").count() == 0
 
 
+def test_fingerprints_of_short_and_unspaced_texts_are_near_after_an_edit(spark):
+    rng = random.Random(4)
+    chinese = "".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(3000))
+    code = "".join(rng.choice("abcdefgh0123456789+/=") for _ in range(3000))
+    short = "one two three four five six seven eight nine ten eleven"
+    rows = [(1, chinese, chinese[:2000] + chinese[:1000]), (2, code, code[:2000] + code[:1000]), (3, short, " ".join(short.split()[:8]) + " x y z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, changed string")
+    both = winnowing.with_fingerprint(winnowing.with_fingerprint(df, "text", "a"), "changed", "b")
+    got = {r.doc_id: r.s for r in both.select("doc_id", winnowing.likeness(winnowing.hashes(F.col("a")), winnowing.hashes(F.col("b"))).alias("s")).collect()}
+    assert got[1] > 0.6 and got[2] > 0.6 and got[3] > 0
+
+
+
 @pytest.mark.parametrize("parts", [1, 4, 30])
 def test_next_document(spark, docs, texts, empty, parts):
     got = {r.doc_id: r.next_text for r in winnowing.with_next(docs, ["text"], parts).collect()}
@@ -362,7 +400,7 @@ def test_language_model(spark, docs, texts, empty):
 
 
 def test_spelling_is_a_distribution():
-    tables = np.zeros((language_model.ORDERS, 2, 1 << language_model.SLOT_BITS), np.float32)
+    tables = np.zeros((language_model.ORDERS, 1 << language_model.SLOT_BITS), np.float32)
     weights, refined = np.full((language_model.GATES, language_model.INPUTS), 0.25), np.zeros((2, 8, language_model.REFINE))
     one = [bytes([b]) for b in range(256) if b != 32]
     total = (10.0 ** language_model.log10_spelled([b"", *one], tables, weights, refined)).sum()
@@ -395,7 +433,7 @@ def test_words_are_scored_by_the_words_before_them(spark):
 
 
 def coded_texts(rng):
-    coder = language_model.Coder([b"w%d" % i for i in range(50)], np.array([rng.randint(1, 900) for _ in range(50)]), 7, 3, {b"w1": 2, b"w2": 3}, 16)
+    coder = language_model.Coder([b"w%d" % i for i in range(50)], np.array([rng.randint(1, 900) for _ in range(50)]), 7, 3, 16)
     some = np.random.default_rng(3)
     tables = [some.normal(0, 2, n).astype(np.float32) for n in coder.slots]
     texts = [[b"w%d" % rng.randrange(55) for _ in range(n)] for n in (3, 0, 700, 40, 1, 2500)]
@@ -404,7 +442,7 @@ def coded_texts(rng):
 
 def test_codes_of_words_are_a_distribution(rng):
     coder, tables, _ = coded_texts(rng)
-    _, contexts, _ = coder.tokens([[b"w3", b"w3", b"other"]], coder.index())
+    _, contexts, _, _ = coder.tokens([[b"w3", b"w3", b"other"]], coder.index())
     for at in range(4):
         every = np.arange(coder.copy + 1)
         same = np.repeat(contexts[:, at : at + 1], len(every), axis=1)
@@ -415,7 +453,7 @@ def test_codes_of_words_are_a_distribution(rng):
 def test_mixing_learns_as_a_plain_loop_does(rng):
     """Every bit by itself, in plain Python, in each text by itself."""
     coder, tables, texts = coded_texts(rng)
-    symbols, contexts, starts = coder.tokens(texts, coder.index())
+    symbols, contexts, starts, _ = coder.tokens(texts, coder.index())
     got = language_model.log10_coded(symbols, contexts, starts, coder, tables)
     bounds = [int(x) for x in language_model.STRETCHES]
     start = language_model.start_weights().astype(float)
@@ -434,7 +472,7 @@ def test_mixing_learns_as_a_plain_loop_does(rng):
             _, depth, bit, place = coder.bits(symbols[i : i + 1], contexts[:, i : i + 1])
             for k in range(len(bit)):
                 x = [float(t[p[k]]) for t, p in zip(tables, place)] + [0.3]
-                g = int(depth[k]) * 4 + (x[2] != 0) * 2 + (x[3] != 0)
+                g = int(depth[k]) * 4 + (x[1] != 0) * 2 + (x[2] != 0)
                 mixed = min(12.0, max(-12.0, float(weights[:, g] @ x)))
                 p = 1 / (1 + np.exp(-mixed))
                 cell = (int(depth[k]), min(16, max(-16, round(mixed * 2))))
@@ -443,7 +481,7 @@ def test_mixing_learns_as_a_plain_loop_does(rng):
                 total += log10(max(fine if bit[k] else 1 - fine, 1e-9))
                 learned.append((g, x, int(bit[k]) - p, (*cell, int(bit[k]))))
             assert abs(total - got[i]) < 0.02 + 0.002 * abs(total), i
-    alone = [language_model.log10_coded(*coder.tokens([t], coder.index()), coder, tables).sum() for t in texts]
+    alone = [language_model.log10_coded(*coder.tokens([t], coder.index())[:3], coder, tables).sum() for t in texts]
     assert np.allclose(alone, np.add.reduceat(got, starts), rtol=1e-6)
 
 
