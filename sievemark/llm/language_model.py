@@ -48,6 +48,8 @@ LEAST_BITS, MOST_BITS = 16, (20, 21, 21)
 STRETCHES = np.array([32, 64, 128, 256, 512, 1024, 2048, 4096], np.int64)
 #: Step of the weights, tokens' weight of their start, and of a mixed prediction against what came of its like.
 RATE, INERTIA, TRUST = 1.0, 8.0, 12.0
+#: Tokens, and words, that a task counts at least where there are so many, as each task hands on tables of one size.
+TASK_TOKENS, TASK_WORDS = 2_000_000, 250_000
 #: Most words of a group in which spelling is learned.
 GROUP = 1 << 17
 #: Most words whose counts are broadcast.
@@ -144,8 +146,8 @@ def stretched_counts(tables: np.ndarray) -> np.ndarray:
     return np.log((tables[:, 1::2] + np.float32(0.2)) / (tables[:, ::2] + np.float32(0.2)))
 
 
-def _count_tables(vocabulary: DataFrame) -> np.ndarray:
-    """Counts of zeros and ones over all training words, slot by slot: (order, 2 * slot + bit)."""
+def _count_tables(vocabulary: DataFrame, n_words: int) -> np.ndarray:
+    """Counts of zeros and ones over all ``n_words`` training words, slot by slot: (order, 2 * slot + bit)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = np.zeros((ORDERS, 2 << SLOT_BITS), np.int32)
@@ -167,7 +169,7 @@ def _count_tables(vocabulary: DataFrame) -> np.ndarray:
             total += np.frombuffer(x.as_py(), np.int32)
         return pa.table({"block": group.column("block").slice(0, 1), "n": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
-    summed = vocabulary.select("word").mapInArrow(count, "block long, n binary").groupBy("block").applyInArrow(add, "block long, n binary")
+    summed = vocabulary.select("word").coalesce(max(8, n_words // TASK_WORDS)).mapInArrow(count, "block long, n binary").groupBy("block").applyInArrow(add, "block long, n binary")
     out = np.zeros((ORDERS * 2 << SLOT_BITS) // BLOCK * BLOCK, np.float32).reshape(-1, BLOCK)
     for r in summed.toLocalIterator():  # a table of fixed size
         out[r["block"]] = np.frombuffer(bytes(r["n"]), np.float32)
@@ -316,10 +318,6 @@ def start_weights() -> np.ndarray:
     return np.ascontiguousarray(np.tile(by_seen, (DEPTHS, 1)).T)
 
 
-def _gates(depth: np.ndarray, x: list[np.ndarray]) -> np.ndarray:
-    return depth * 4 + (x[1] != 0) * 2 + (x[2] != 0)
-
-
 def _chunks(batches: Iterator[pa.RecordBatch], column: int, least: int) -> Iterator[tuple[pa.RecordBatch, int, list[list[bytes]]]]:
     """Words of consecutive texts, ``least`` or more at a time but at the end of a batch: batch, first row, texts."""
     for batch in batches:
@@ -334,8 +332,8 @@ def _chunks(batches: Iterator[pa.RecordBatch], column: int, least: int) -> Itera
             yield batch, first, held
 
 
-def _tables(docs: DataFrame, coder) -> list[np.ndarray]:
-    """Stretched counts of the bits of all training texts, a table for each view."""
+def _tables(docs: DataFrame, coder, n_tokens: int) -> list[np.ndarray]:
+    """Stretched counts of the bits of all training texts (of ``n_tokens`` tokens), a table for each view."""
     sizes = coder.value.slots
     first = np.cumsum([0, *sizes]) // BLOCK
 
@@ -367,7 +365,7 @@ def _tables(docs: DataFrame, coder) -> list[np.ndarray]:
         return pa.table({"block": group.column("block").slice(0, 1), "n": pa.array([x.tobytes()], pa.binary())})
 
     schema = "block long, n binary"
-    summed = docs.where("_train").select("text").mapInArrow(count, schema).groupBy("block").applyInArrow(add, schema)
+    summed = docs.where("_train").select("text").coalesce(max(8, n_tokens // TASK_TOKENS)).mapInArrow(count, schema).groupBy("block").applyInArrow(add, schema)
     stretched = np.zeros((first[-1], BLOCK), np.float32)
     for r in summed.toLocalIterator():  # tables of bounded size
         stretched[r["block"]] = np.frombuffer(bytes(r["n"]), np.float32)
@@ -385,21 +383,21 @@ def log10_coded(symbols: np.ndarray, contexts: np.ndarray, starts: np.ndarray, c
     order = np.argsort(stretch, kind="stable")
     cuts = np.searchsorted(stretch[order], np.arange(stretch.max() + 2))
     weights = np.tile(start_weights(), (1, texts))
-    came = [np.zeros(texts * DEPTHS * REFINE, np.float32) for _ in (0, 1)]
+    came = np.zeros(2 * texts * DEPTHS * REFINE, np.float32)  # zeros and ones, cell by cell
     out = np.empty(len(symbols))
     for t in range(len(cuts) - 1):
         those = order[cuts[t] : cuts[t + 1]]
         of, depth, bit, slot = coder.bits(symbols[those], contexts[:, those])
         x = [np.take(table, p, mode="wrap") for table, p in zip(stretched, slot)]  # all are within; the mode spares a check
-        own = text[those][of]
-        g = own * WORD_GATES + _gates(depth, x)
+        own = text[those][of] * DEPTHS + depth
+        g = own * 4 + (x[1] != 0) * 2 + (x[2] != 0)
         mixed = weights[-1][g] * np.float32(0.3)
         for row, w in zip(x, weights):
             mixed += row * w[g]
         np.clip(mixed, -12, 12, out=mixed)
         p = 1 / (1 + np.exp(-mixed))
-        like = (own * DEPTHS + depth) * REFINE + np.clip(np.rint(mixed * 2), -16, 16).astype(np.int64) + 16
-        zeros, ones = (n[like] for n in came)
+        like = 2 * (own * REFINE + (np.rint(np.clip(mixed * 2, -16, 16)).astype(np.int64) + 16))
+        zeros, ones = came[like], came[like + 1]
         fine = (ones + np.float32(TRUST) * p) / (zeros + ones + np.float32(TRUST))
         fine = (p + fine) / 2
         hit = bit == 1
@@ -411,8 +409,7 @@ def log10_coded(symbols: np.ndarray, contexts: np.ndarray, starts: np.ndarray, c
         for row, w in zip(x, weights):
             w += (RATE * np.bincount(g, row * error, texts * WORD_GATES) / n).astype(np.float32)
         weights[-1] += (RATE * 0.3 * np.bincount(g, error, texts * WORD_GATES) / n).astype(np.float32)
-        came[0] += np.bincount(like[~hit], minlength=texts * DEPTHS * REFINE)
-        came[1] += np.bincount(like[hit], minlength=texts * DEPTHS * REFINE)
+        came += np.bincount(like + bit, minlength=len(came))
     return out
 
 
@@ -461,7 +458,7 @@ def score(docs: DataFrame, train) -> DataFrame:
     sums = vocabulary.agg(F.sum("n").alias("n"), F.sum((F.col("n") > 0).cast("long")).alias("v")).first()
     ends = sum(r["n"] for r in counted.where("kind > 0").collect())
     n, v = (sums["n"] or 0) + ends, (sums["v"] or 0) + (ends > 0)
-    tables = _count_tables(vocabulary.where("n > 0"))
+    tables = _count_tables(vocabulary.where("n > 0"), v)
     shared = spark.sparkContext.broadcast(tables)
     weights, refined = _weights(vocabulary.where("n = 1"), shared)
     spelling = spark.sparkContext.broadcast((stretched_counts(tables), weights, refined))
@@ -487,7 +484,7 @@ def score(docs: DataFrame, train) -> DataFrame:
     slot_bits = max(LEAST_BITS, ceil(log2(16 * (v + 1))))
     escapes = n - ends - int(known.sum()) + int((known == 1).sum())
     coder = spark.sparkContext.broadcast(Coder([w for w, _ in coded], known, ends, escapes, slot_bits))
-    model = spark.sparkContext.broadcast(_tables(docs, coder))
+    model = spark.sparkContext.broadcast(_tables(docs, coder, n))
     scratch.drop(counted)
     order = {w: i for i, (w, _) in enumerate(coded)}
     place = np.array(sorted(range(len(names)), key=lambda i: (order.get(names[i], len(order)), names[i])), np.int64)  # coded words first
@@ -501,7 +498,7 @@ def score(docs: DataFrame, train) -> DataFrame:
         index = {w: i for i, w in enumerate(names)}
         base, known, logs = np.append(np.log10(counts + 1.0) + base_of, 0.0), np.append(counts > 0, False).astype(np.int64), np.append(logs, 0.0)
         missing = len(names)
-        for batch, first, texts in _chunks(batches, 1, 8192):
+        for batch, first, texts in _chunks(batches, 1, 16384):
             symbols, contexts, at, ident = own.tokens(texts, index)
             lps = np.add.reduceat(log10_coded(symbols, contexts, at, own, stretched), at)
             out = []
