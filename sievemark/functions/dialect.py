@@ -13,7 +13,8 @@ class Spark:
 
     @staticmethod
     def lit(p: str) -> str:
-        assert "'" not in p
+        if "'" in p:  # a raw literal can't hold the quote that ends it
+            return "'" + p.replace("\\", "\\\\").replace("'", "\\'") + "'"
         return f"r'{p}'" if "\\" in p else f"'{p}'"
 
     @classmethod
@@ -70,8 +71,7 @@ class Duck(Spark):
 
     @staticmethod
     def lit(p: str) -> str:
-        assert "'" not in p
-        return f"'{p}'"
+        return "'" + p.replace("'", "''") + "'"
 
     @classmethod
     def has(cls, x: str, p: str) -> str:

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .json_spans import valid
+
 
 def has_duplicate_keys(text: str) -> bool | None:
     """Whether a JSON text repeats a key in some object; None if it is no JSON."""
@@ -27,6 +29,12 @@ def has_duplicate_keys(text: str) -> bool | None:
     return found
 
 
+@F.pandas_udf(T.BooleanType())
+def json_valid(texts: pd.Series) -> pd.Series:
+    """Whether the whole text is one JSON value; the built-in parser stops at its end and refuses repeated keys."""
+    return texts.map(valid)
+
+
 @F.pandas_udf(T.BooleanType())
 def duplicate_keys(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else has_duplicate_keys(t))
@@ -74,3 +82,8 @@ def decompress(body, encoding, cap: int = 128 << 20):
 
 def compress(data: bytes, encoding: str) -> bytes:
     return gzip.compress(data) if encoding in ("gzip", "x-gzip") else zlib.compress(data) if encoding == "deflate" else data
+
+
+@F.pandas_udf(T.BinaryType())
+def compress_column(body: pd.Series, encoding: pd.Series) -> pd.Series:
+    return pd.Series([None if b is None else compress(bytes(b), (e or "").strip().lower()) for b, e in zip(body, encoding)], dtype=object)

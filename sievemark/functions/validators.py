@@ -124,7 +124,7 @@ def ssh_key(d, x: str) -> str:
 def connstr(d, password: str, whole: str, right: str) -> str:
     """A real password in a connection string: no wildcard, no template, no known dummy combination."""
     user = f"lower({d.first(whole, r'://([^ \t\r\n:@/]+):', 1)})"
-    auth = d.first(f"substr({right}, 1, 256)", r"\A[^ \t\r\n/?#\x22\x27`)>},;]*", 0)
+    auth = d.first(f"substr({right}, 1, 256)", "\\A[^ \\t\\r\\n/?#\"'`)>},;]*", 0)
     host = f"lower({d.first(auth, r'\A\[?([^\]:]*)', 1)})"
     port = d.first(auth, r":([^:\]]*)\z", 1)
     template = r"\A(\{[A-Za-z_][A-Za-z0-9_]*\}|<[A-Za-z_][A-Za-z0-9_]*>|\[[A-Za-z_][A-Za-z0-9_]*\]|\$\{[A-Za-z_][A-Za-z0-9_]*\}|\$[A-Za-z_][A-Za-z0-9_]+|%[A-Za-z_][A-Za-z0-9_]*%)\z"

@@ -2,17 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.detectors import CREDENTIALS, RULES, Rule, conditions
 from ..functions.dialect import Spark
 
 
+#: Ten digits in close order, as all rules of numbers need.
+TEN_DIGITS = "[0-9](?:[^0-9]{0,2}[0-9]){9}"
+
+
+def may_hit(text: Column, rule: Rule) -> Column:
+    """Whether a text can hold a candidate, by plain substrings where the rule has any: much cheaper than its pattern."""
+    if rule.digits:
+        return text.rlike(TEN_DIGITS)
+    found = F.lit(not rule.markers)
+    for m in rule.markers:
+        found = found | F.contains(text, F.lit(m))
+    return found
+
+
 def candidates(corpus: DataFrame, rule: Rule) -> DataFrame:
     """row_id, src, ord, whole, value, lft and rgt of each candidate; lft and rgt reach over one neighbour."""
     pattern = F.lit(rule.pattern)
-    hit = corpus.where(F.col("text").rlike(rule.pattern))
+    hit = corpus.where(may_hit(F.col("text"), rule) & F.col("text").rlike(rule.pattern))
     cut = hit.select("row_id", "src", F.regexp_extract_all("text", pattern, F.lit(0)).alias("vals"), F.split("text", rule.pattern, -1).alias("gaps"))
     each = cut.select("row_id", "src", "vals", "gaps", F.posexplode("vals").alias("i", "whole"))
     return each.select(
@@ -43,10 +57,12 @@ def find_all(corpus: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """
     rules = rules if rules is not None else [r for r in RULES if r.on]
     none = F.array().cast("array<string>")
+    seen = corpus.select("row_id", "src", "text", F.col("text").rlike(TEN_DIGITS).alias("ten"))
+    may = lambda r: F.col("ten") if r.digits else may_hit(F.col("text"), r)
     hit = F.lit(False)
     for r in rules:
-        hit = hit | F.col("text").rlike(r.pattern)
-    cut = corpus.where(hit).select("row_id", "src", "text", *[F.when(F.col("text").rlike(r.pattern), F.regexp_extract_all("text", F.lit(r.pattern), F.lit(0))).otherwise(none).alias(f"v{k}") for k, r in enumerate(rules)])
+        hit = hit | may(r)
+    cut = seen.where(hit).select("row_id", "src", "text", *[F.when(may(r), F.regexp_extract_all("text", F.lit(r.pattern), F.lit(0))).otherwise(none).alias(f"v{k}") for k, r in enumerate(rules)])
     cut = cut.select("row_id", "src", *[f"v{k}" for k in range(len(rules))], *[F.when(F.size(f"v{k}") > 0, F.split("text", r.pattern, -1)).otherwise(none).alias(f"g{k}") for k, r in enumerate(rules)])
 
     def candidates_of(k: int, r: Rule):
@@ -70,83 +86,16 @@ def find_all(corpus: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
 
 
 def redact(text, rules: list[Rule] | None = None):
-    """Column with the whole match of every credential rule replaced, without checks: for logs, where excess does no harm."""
-    for rule in rules or [r for r in RULES if r.label in CREDENTIALS]:
-        text = F.regexp_replace(text, rule.pattern, "[REDACTED]")
-    return text
-
-
-def tokens(found: DataFrame, key: str) -> DataFrame:
-    """label, value and token of each distinct value: ``{{LABEL_suffix}}`` with a keyed suffix of six consonants.
-
-    Of values that share a token the least keeps it; the others count on, as often as needed, and give way to values
-    that have counted less. So every value has a token of its own, the same whenever the values are the same.
-    """
-    rows = _kept(found.select("label", "value").distinct().withColumn("counter", F.lit(0)).withColumn("token", token(F.col("label"), F.col("value"), key)))
-    first = Window.partitionBy("token").orderBy("counter", "value")
-    for _ in range(ROUNDS):
-        if rows.groupBy("token").count().where("count > 1").isEmpty():
-            return rows.select("label", "value", "token")
-        counted = rows.withColumn("late", F.row_number().over(first) > 1).withColumn("counter", F.col("counter") + F.col("late").cast("int"))
-        again = F.when(F.col("late"), token(F.col("label"), F.col("value"), key, F.col("counter"))).otherwise(F.col("token"))
-        rows = _kept(counted.select("label", "value", "counter", again.alias("token")))
-    raise ValueError("a label has too many values for suffixes of six consonants")
-
-
-def _kept(rows: DataFrame) -> DataFrame:
-    """``rows``, computed once: in the checkpoint folder where there is one."""
-    return rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows.localCheckpoint()
-
+    """Column with the whole match of every credential rule replaced, without checks: for logs, where excess does no harm.
 
-#: Most times that values count on; only labels with nearly as many values as there are suffixes need so many.
-ROUNDS = 200
-CONSONANTS = "bcdfghjklmnpqrstvwxz"[:19]  # nineteen consonants
-
-
-def token(label, value, key: str, counter=0):
-    """Placeholder of a value by one counter (a number or a column); ``tokens`` finds the counters that keep values apart."""
-    count = F.lit(counter) if isinstance(counter, int) else counter
-    digest = F.sha2(F.concat(F.lit(f"{key}|"), count.cast("string"), F.lit("|"), value), 256)
-    letters = [F.substring(F.lit(CONSONANTS), (F.conv(F.substring(digest, 2 * i + 1, 2), 16, 10).cast("int") % 19 + 1), F.lit(1)) for i in range(6)]
-    return F.concat(F.lit("{{"), label, F.lit("_"), *letters, F.lit("}}"))
-
-
-def mask(corpus: DataFrame, rule: Rule, key: str, mapping: DataFrame | None = None) -> DataFrame:
-    """``corpus`` (row_id, src, text) with each value that passes the rule replaced by its token, and their number.
-
-    One stage of masking: stages run in the order of the rules, each on the text that the one before it left. A
-    text without candidates is untouched. row_id tells rows apart. ``mapping`` (label, value, token) is that of
-    ``tokens``, by default for the values found here; it has to hold all of them.
+    Only the prefix rule keeps its checks, as without them parts of plain identifiers would go; it comes last.
     """
-    mapping = tokens(find(corpus, rule), key) if mapping is None else mapping
-    own = mapping.where(F.col("label") == rule.label).select("value", "token")
-    every = candidates(corpus, rule).withColumn("keep", F.expr(conditions(rule, Spark))).join(own, "value", "left")
-    shown = F.when(F.col("keep"), F.replace("whole", F.col("value"), F.col("token")) if rule.group else F.col("token")).otherwise(F.col("whole"))
-    pieces = every.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("ord", shown.alias("s")))).alias("p"), F.sum(F.col("keep").cast("long")).alias("n_masked"))
-    gaps = F.split("text", rule.pattern, -1)
-    joined = corpus.join(pieces, "row_id", "left")
-    woven = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(F.col("p"), i)["s"], F.lit("")))), "")
-    return joined.select("row_id", "src", F.when(F.col("p").isNull(), F.col("text")).otherwise(woven).alias("text"), F.coalesce("n_masked", F.lit(0)).cast("long").alias("n_masked"))
-
+    rules = rules or [r for r in RULES if r.label in CREDENTIALS]
+    for rule in rules:
+        if rule.key != "det00_prefix_key":
+            text = F.regexp_replace(text, rule.pattern, "[REDACTED]")
+    return F.regexp_replace(text, PREFIXED, "[REDACTED]") if any(r.key == "det00_prefix_key" for r in rules) else text
 
-PLACEHOLDER = r"\{\{([A-Z0-9]{1,12})_([bcdfghj-np-tv-z]{6})\}\}"
 
-
-def restore(masked: DataFrame, mapping: DataFrame) -> DataFrame:
-    """``masked`` (row_id, src, text) with known placeholders of ``mapping`` (token, value) put back; counts of both kinds.
-
-    Unknown placeholders stay as they are and count as unresolved.
-    """
-    pattern = F.lit(PLACEHOLDER)
-    cut = masked.select("row_id", F.posexplode(F.regexp_extract_all("text", pattern, F.lit(0))).alias("ord", "token"))
-    known = cut.join(mapping.select("token", F.col("value").alias("orig")), "token", "left")
-    pieces = known.groupBy("row_id").agg(
-        F.array_sort(F.collect_list(F.struct("ord", F.coalesce("orig", "token").alias("s")))).alias("p"),
-        F.count("orig").alias("restored"),
-        F.sum(F.col("orig").isNull().cast("long")).alias("unresolved"),
-    )
-    gaps = F.split("text", PLACEHOLDER, -1)
-    woven = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(F.col("p"), i)["s"], F.lit("")))), "")
-    return masked.join(pieces, "row_id", "left").select(
-        "row_id", "src", F.when(F.col("p").isNull(), F.col("text")).otherwise(woven).alias("text"), F.coalesce("restored", F.lit(0)).alias("restored"), F.coalesce("unresolved", F.lit(0)).alias("unresolved")
-    )
+#: The prefix rule with its checks: the left neighbour, the security key's type, and a digit in short tails.
+PREFIXED = r"(?<![A-Za-z0-9_-])(?:sk|ah)[-_](?=[A-Za-z0-9][A-Za-z0-9_-]{0,18}[0-9]|[0-9]|[A-Za-z0-9][A-Za-z0-9_-]{19})[A-Za-z0-9][A-Za-z0-9_-]{7,}+(?!@openssh\.com)"

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.detectors import CREDENTIALS, RULES, Rule, conditions
 from ..functions.dialect import Duck
-from ..operators import detect
+from ..functions.masking import CONSONANTS, PLACEHOLDER, Settings, safe_label
+from ..operators import detect, masking
 from ..sources.corpus import corpus, corpus_sql
 
 KEY = "test-key"
@@ -32,20 +33,23 @@ def find_sql(rule: Rule, source: str | None = None) -> str:
 
 def token_sql(label: str, value: str) -> str:
     digest = f"sha256('{KEY}|0|' || {value})"
-    letters = " || ".join(f"substr('{detect.CONSONANTS}', (('0x' || substr({digest}, {2 * i + 1}, 2))::INT % 19 + 1)::INT, 1)" for i in range(6))
-    return f"('{{{{{label}_' || {letters} || '}}}}')"
+    letters = " || ".join(f"substr('{CONSONANTS}', (('0x' || substr({digest}, {2 * i + 1}, 2))::INT % 19 + 1)::INT, 1)" for i in range(6))
+    return f"('{{{{{safe_label(label)}_' || {letters} || '}}}}')"
 
 
 def mask_sql(rule: Rule, source: str) -> str:
+    """One rule's stage: its values replaced within their candidates, unless a placeholder is touched."""
     p = Duck.lit(rule.pattern)
     token = token_sql(rule.label, "value")
-    shown = f"replace(whole, value, {token})" if rule.group else token
+    before = f"left(whole, length(whole) - length(value) - {rule.after})"
+    shown = f"({before} || {token} || right(whole, {rule.after}))" if rule.after else f"({before} || {token})" if rule.group else token
+    free = f"NOT regexp_matches(whole, {Duck.lit(PLACEHOLDER)})"
     return f"""
 SELECT c.row_id, c.src, CASE WHEN p.row_id IS NULL THEN c.text ELSE list_aggregate(list_transform(regexp_split_to_array(c.text, {p}), lambda g, i: g || coalesce(p.p[i], '')), 'string_agg', '') END AS text,
        coalesce(p.n, 0)::BIGINT AS n_masked
 FROM ({source}) c LEFT JOIN (
   SELECT row_id, list(s ORDER BY ord) AS p, sum(keep::INT) AS n FROM (
-    SELECT row_id, ord, keep, CASE WHEN keep THEN {shown} ELSE whole END AS s FROM (SELECT *, ({conditions(rule, Duck)}) AS keep FROM ({candidates_sql(rule, source)})))
+    SELECT row_id, ord, keep, CASE WHEN keep THEN {shown} ELSE whole END AS s FROM (SELECT *, ({conditions(rule, Duck)} AND {free}) AS keep FROM ({candidates_sql(rule, source)})))
   GROUP BY row_id) p ON c.row_id = p.row_id
 """
 
@@ -55,7 +59,9 @@ def _find(rule: Rule, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mask(rule: Rule, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.mask(corpus(spark, sf_dir), rule, KEY).where("n_masked > 0")
+    """Texts that one rule changes."""
+    masked = masking.mask(corpus(spark, sf_dir), Settings(rules=frozenset([rule.key])), KEY)
+    return masked.where(F.size("hits") > 0).select("row_id", "src", "text", F.regexp_count("text", F.lit(PLACEHOLDER)).cast("long").alias("n_tokens"))
 
 
 def all_default(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,29 +70,29 @@ def all_default(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MASKED = [r for r in RULES if r.key in ("det17_connection_string", "det18_mobile", "det19_email", "det31_card", "det24_idcard_18")]
+#: The rules of default masking, in order.
+DEFAULT = [r for r in RULES if r.on]
 
 
-def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Masking by several rules in order, each on the text that the one before it left."""
-    df = corpus(spark, sf_dir)
-    for rule in MASKED[:3]:
-        df = detect.mask(df, rule, KEY).drop("n_masked")
-    return df.where(F.col("text").rlike(detect.PLACEHOLDER)).select("row_id", "src", F.sha2("text", 256).alias("digest"), F.regexp_count("text", F.lit(detect.PLACEHOLDER)).cast("long").alias("n_tokens"))
+def all_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masking by all rules that are on, in order, each on the text that the ones before it left."""
+    masked = masking.mask(corpus(spark, sf_dir), Settings(), KEY)
+    return masked.where(F.size("hits") > 0).select("row_id", "src", F.sha2("text", 256).alias("digest"), F.regexp_count("text", F.lit(PLACEHOLDER)).cast("long").alias("n_tokens"))
 
 
 def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mobile numbers masked, then restored from the mapping: texts as they were."""
-    rule = next(r for r in RULES if r.key == "det18_mobile")
+    """Texts masked by all rules that are on, then restored from the mapping: as they were."""
     source = corpus(spark, sf_dir)
-    mapping = detect.tokens(detect.find(source, rule), KEY)
-    masked = detect.mask(source, rule, KEY, mapping).where("n_masked > 0")
-    return detect.restore(masked.drop("n_masked"), mapping).select("row_id", "restored", "unresolved", F.sha2("text", 256).alias("digest"))
+    mapping = masking.tokens(masking.found(masking.mask(source, Settings(), KEY)), KEY)
+    masked = masking.mask(source, Settings(), KEY, mapping).where(F.size("hits") > 0)
+    back = masking.restore(masked, mapping)
+    return back.select("row_id", (F.col("restored") > 0).alias("restored"), F.sha2("text", 256).alias("digest"))
 
 
 def mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """label, value and token of every mobile number and e-mail address."""
     rules = [r for r in RULES if r.key in ("det18_mobile", "det19_email")]
-    return detect.tokens(detect.find_all(corpus(spark, sf_dir), rules), KEY)
+    return masking.tokens(detect.find_all(corpus(spark, sf_dir), rules), KEY).select("label", "value", "token")
 
 
 def redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,33 +103,41 @@ def redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _redacted_sql() -> str:
     text = "text"
-    for r in RULES:
+    for r in RULES[1:]:
         if r.label in CREDENTIALS:
             text = f"regexp_replace({text}, {Duck.lit(r.pattern)}, '[REDACTED]', 'g')"
-    return f"SELECT row_id, clean FROM (SELECT row_id, text, {text} AS clean FROM ({corpus_sql()})) WHERE clean <> text"
+    # the prefix rule with its checks, as a stage of its own over candidates and gaps
+    rule, p = RULES[0], Duck.lit(RULES[0].pattern)
+    source = f"SELECT row_id, '' AS src, {text} AS text FROM ({corpus_sql()})"
+    pieces = f"SELECT row_id, list(CASE WHEN {conditions(rule, Duck)} THEN '[REDACTED]' ELSE whole END ORDER BY ord) AS p FROM ({candidates_sql(rule, 'SELECT * FROM red')}) GROUP BY row_id"
+    woven = f"CASE WHEN p.row_id IS NULL THEN red.text ELSE list_aggregate(list_transform(regexp_split_to_array(red.text, {p}), lambda g, i: g || coalesce(p.p[i], '')), 'string_agg', '') END"
+    return f"WITH red AS MATERIALIZED ({source}), p AS ({pieces}), c AS ({corpus_sql()}) SELECT c.row_id, {woven} AS clean FROM red JOIN c ON c.row_id = red.row_id LEFT JOIN p ON p.row_id = red.row_id WHERE c.text <> {woven}"
 
 
-def _staged_sql() -> str:
+def _all_rules_sql() -> str:
     source = corpus_sql()
-    ctes = [f"s0 AS ({source})"]
-    for i, rule in enumerate(MASKED[:3]):
-        ctes.append(f"s{i + 1} AS (SELECT row_id, src, text FROM ({mask_sql(rule, f'SELECT * FROM s{i}')}))")
-    p = Duck.lit(detect.PLACEHOLDER)
-    return f"WITH {', '.join(ctes)} SELECT row_id, src, sha256(text) AS digest, len(regexp_extract_all(text, {p}))::BIGINT AS n_tokens FROM s3 WHERE regexp_matches(text, {p})"
+    ctes = [f"s0 AS MATERIALIZED ({source})"]
+    for i, rule in enumerate(DEFAULT):
+        ctes.append(f"s{i + 1} AS MATERIALIZED (SELECT row_id, src, text FROM ({mask_sql(rule, f'SELECT * FROM s{i}')}))")
+    p, last = Duck.lit(PLACEHOLDER), len(DEFAULT)
+    return f"WITH {', '.join(ctes)} SELECT a.row_id, a.src, sha256(a.text) AS digest, len(regexp_extract_all(a.text, {p}))::BIGINT AS n_tokens FROM s{last} a JOIN s0 b ON a.row_id = b.row_id WHERE a.text <> b.text"
 
 
 _MOBILE = next(r for r in RULES if r.key == "det18_mobile")
 _EMAIL = next(r for r in RULES if r.key == "det19_email")
 
 QUERIES = {r.key: partial(_find, r) for r in RULES} | {f"msk_{r.key[6:]}": partial(_mask, r) for r in MASKED}
-QUERIES |= {"det37_all_default": all_default, "msk01_staged": staged, "rst01_round_trip": round_trip, "msk04_mapping": mapping, "det38_redacted": redacted}
-ORACLES = {r.key: find_sql(r) for r in RULES} | {f"msk_{r.key[6:]}": f"SELECT * FROM ({mask_sql(r, corpus_sql())}) WHERE n_masked > 0" for r in MASKED}
+QUERIES |= {"det37_all_default": all_default, "msk01_all_rules": all_rules, "rst01_round_trip": round_trip, "msk04_mapping": mapping, "det38_redacted": redacted}
+ORACLES = {r.key: find_sql(r) for r in RULES}
+ORACLES |= {
+    f"msk_{r.key[6:]}": f"SELECT row_id, src, text, len(regexp_extract_all(text, {Duck.lit(PLACEHOLDER)}))::BIGINT AS n_tokens FROM ({mask_sql(r, corpus_sql())}) WHERE n_masked > 0" for r in MASKED
+}
 ORACLES |= {
     "det37_all_default": "SELECT label, src, count(*)::BIGINT AS n, count(DISTINCT value)::BIGINT AS n_values FROM ("
     + " UNION ALL ".join(f"({find_sql(r)})" for r in RULES if r.on)
     + ") GROUP BY label, src",
-    "msk01_staged": _staged_sql(),
-    "rst01_round_trip": f"SELECT c.row_id, f.n::BIGINT AS restored, (len(regexp_extract_all(c.text, {Duck.lit(detect.PLACEHOLDER)})))::BIGINT AS unresolved, sha256(c.text) AS digest FROM ({corpus_sql()}) c JOIN (SELECT row_id, count(*) AS n FROM ({find_sql(_MOBILE)}) GROUP BY row_id) f ON c.row_id = f.row_id",
+    "msk01_all_rules": _all_rules_sql(),
+    "rst01_round_trip": f"SELECT c.row_id, TRUE AS restored, sha256(c.text) AS digest FROM ({corpus_sql()}) c JOIN ({_all_rules_sql()}) m ON c.row_id = m.row_id",
     "msk04_mapping": f"SELECT DISTINCT label, value, {token_sql('PHONE', 'value')} AS token FROM ({find_sql(_MOBILE)}) UNION SELECT DISTINCT label, value, {token_sql('EMAIL', 'value')} AS token FROM ({find_sql(_EMAIL)})",
     "det38_redacted": _redacted_sql(),
 }
