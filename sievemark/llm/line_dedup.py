@@ -76,6 +76,7 @@ class LineRuns:
         joined = lines.join(own.select("k1", "k2", F.col(keeper).alias("_keeper")), ["k1", "k2"])
         again = F.col("doc_id") != F.col("_keeper")
         if state is not None:
+            state = scratch.table(state, "line-state") if len(self.levels) > 1 or len(self.levels[0]) > 1 else state  # merged runs: both sides plain shuffles
             joined = joined.join(state.select("k1", "k2", F.lit(True).alias("_held")), ["k1", "k2"], "left")
             again = again | F.col("_held").isNotNull()
         seen = scratch.table(joined.where(again).select(*lines.columns), "line-seen")
