@@ -206,7 +206,7 @@ def groups(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
     if stars.isEmpty():
         links = None
     else:
-        wanted = shared.select("set_key").distinct()
+        wanted = scratch.table(shared.select("set_key").distinct(), "wanted")
         sets = scratch.table(_wanted_sets(docs, rows, wanted, width), "sets")
         near = scratch.table(confirmed(stars, sets, percent), "near")
         comps = components.connected(near)
