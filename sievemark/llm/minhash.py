@@ -30,7 +30,7 @@ from . import components, scratch, words
 _U = np.uint64
 SIZE, ROWS = 128, 4
 #: Most members and most shingles of a block, and columns of a matrix.
-BLOCK, BLOCK_ITEMS, SLICE = 512, 1 << 21, 1 << 13
+BLOCK, BLOCK_ITEMS, SLICE = 512, 1 << 20, 1 << 13
 _SEEDS = words.mix(np.arange(1, 2 * SIZE + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
 _BANDS = words.mix(np.arange(1, SIZE // ROWS + 1, dtype=_U) * _U(0xD1B54A32D192ED03))
 _FULL = _U(0xFFFFFFFFFFFFFFFF)
@@ -111,13 +111,20 @@ def _near(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
+def _views(sets: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All hashes of a column of binary sets, without a copy, and where each begins."""
+    kind = np.int64 if pa.types.is_large_binary(sets.type) else np.int32
+    at = np.frombuffer(sets.buffers()[1], kind)[sets.offset : sets.offset + len(sets) + 1] // 8
+    return np.frombuffer(sets.buffers()[2] or b"", _U), at
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b: set keys) that are near on their full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (batch.column(k).to_pylist() for k in (2, 3))
-            ok = [_near(np.frombuffer(p, _U), np.frombuffer(q, _U), percent) for p, q in zip(x, y)]
+            (x, at), (y, to) = (_views(batch.column(k)) for k in (2, 3))
+            ok = [_near(x[at[i] : at[i + 1]], y[to[i] : to[i + 1]], percent) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     left, right = sets.select(F.col("set_key").alias("a"), F.col("items").alias("x")), sets.select(F.col("set_key").alias("b"), F.col("items").alias("y"))
