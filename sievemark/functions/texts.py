@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .masking import PLACEHOLDER
 from .patterns import ECHOES, ORDERED, SECRETS
 
 #: Fenced code: from the line of a fence to that of the next one, or to the end.
@@ -127,3 +131,28 @@ def safe_label(label: Column) -> Column:
     plain = F.substring(F.regexp_replace(F.upper(label), "[^A-Z0-9]", ""), 1, 12)
     return F.when(plain == "", "TERM").otherwise(plain)
 
+
+
+def derived(text: Column, items: Column) -> Column:
+    """``text`` with the original of each item (array of original and token) replaced by its token, the longest first."""
+    order = F.array_sort(F.transform(items, lambda x: F.struct((-F.length(x["original"])).alias("n"), x["original"].alias("o"), x["token"].alias("t"))))
+    return F.aggregate(order, text, lambda acc, x: F.when(x["o"] == "", acc).otherwise(F.replace(acc, x["o"], x["t"])))
+
+
+def marked(text: Column, needles: Column) -> Column:
+    """start, end and kind (placeholder or value) of what a display shows: placeholders first, then the longest needles, none overlapping."""
+
+    @F.pandas_udf("array<struct<start: int, end: int, kind: string>>")
+    def run(texts: pd.Series, all_needles: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else _marks(t, [n for n in (s if s is not None else []) if n]) for t, s in zip(texts, all_needles)], dtype=object)
+
+    return run(text, needles)
+
+
+def _marks(text: str, needles: list[str]) -> list[dict]:
+    found = [(m.start(), m.end(), "placeholder") for m in re.finditer(PLACEHOLDER, text)]
+    for needle in sorted(set(needles), key=lambda n: (-len(n), n)):
+        for m in re.finditer(re.escape(needle), text):
+            if all(m.end() <= a or m.start() >= b for a, b, _ in found):
+                found.append((m.start(), m.end(), "value"))
+    return [{"start": a, "end": b, "kind": k} for a, b, k in sorted(found)]

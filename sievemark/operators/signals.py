@@ -63,11 +63,13 @@ def error_leak(rows: DataFrame) -> DataFrame:
     return _rows(seen, parts)
 
 
-def _family(model: Column) -> Column:
+def family(model: Column) -> Column:
+    """The first word of a model's name, without its owner."""
     return F.regexp_extract(F.regexp_replace(F.lower(F.trim(model)), r"\A.*/", ""), r"\A([a-z0-9]*)", 1)
 
 
-def _tiers(model: Column) -> Column:
+def tiers(model: Column) -> Column:
+    """Size and kind words of a model's name, sorted, repeats kept."""
     words = F.split(F.regexp_replace(F.lower(F.trim(model)), r"\A.*/", ""), "[^a-z0-9]", -1)
     return F.array_sort(F.filter(words, lambda w: w.isin(P.TIERS)))
 
@@ -75,12 +77,12 @@ def _tiers(model: Column) -> Column:
 def identity_swap(rows: DataFrame) -> DataFrame:
     """Another model than was asked for: ``rows`` of row_id, asked and got. Another family is HIGH, another tier MEDIUM; blank names tell nothing."""
     a, b = F.trim(F.coalesce("asked", F.lit(""))), F.trim(F.coalesce("got", F.lit("")))
-    named, same = (a != "") & (b != "") & (_family(a) != "") & (_family(b) != ""), _family(a) == _family(b)
-    tier = lambda m: F.when(F.size(_tiers(m)) == 0, " [none]").otherwise(F.concat(F.lit(" ["), F.array_join(_tiers(m), ","), F.lit("]")))
+    named, same = (a != "") & (b != "") & (family(a) != "") & (family(b) != ""), family(a) == family(b)
+    tier = lambda m: F.when(F.size(tiers(m)) == 0, " [none]").otherwise(F.concat(F.lit(" ["), F.array_join(tiers(m), ","), F.lit("]")))
     cut = lambda m: F.substring(m, 1, 60)
     other = F.concat(F.lit("model_mismatch: req="), cut(a), F.lit(" resp="), cut(b))
     level = F.concat(F.lit("model_tier_mismatch: req="), cut(a), tier(a), F.lit(" resp="), cut(b), tier(b))
-    return _rows(rows, [_one(named & ~same, _finding("identity_swap", "HIGH", "model_mismatch", other)), _one(named & same & (_tiers(a) != _tiers(b)), _finding("identity_swap", "MEDIUM", "model_tier_mismatch", level))])
+    return _rows(rows, [_one(named & ~same, _finding("identity_swap", "HIGH", "model_mismatch", other)), _one(named & same & (tiers(a) != tiers(b)), _finding("identity_swap", "MEDIUM", "model_tier_mismatch", level))])
 
 
 def _unwrapped(text: Column) -> Column:

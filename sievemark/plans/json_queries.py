@@ -71,6 +71,32 @@ def described(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.described(made).select("row_id", "protocol", "model", "stream", F.sha2("dialog", 256).alias("dialog"), (F.col("first_user").isNotNull()).alias("has_user"))
 
 
+def stream_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a request asks for a stream: only by the literal true."""
+    flag = F.element_at(F.array(*[F.lit(x) for x in ("true", "false", '"true"', "1", "null")]), (F.col("turn") % 5 + 1).cast("int"))
+    made = _conversations(spark, sf_dir).select(F.concat_ws(":", "conv_id", "turn").alias("row_id"), F.concat(F.lit('{"model":"m","stream":'), flag, F.lit("}")).alias("body"))
+    return B.described(made).select("row_id", "stream")
+
+
+USAGES = ['{"usage":{"prompt_tokens":7,"completion_tokens":3}}', '{"usage":{"input_tokens":5,"output_tokens":2}}', '{"message":{"usage":{"input_tokens":4}}}', '{"response":{"usage":{"output_tokens":6}}}', '{"meta":{"tokens":{"input_tokens":1,"output_tokens":1}}}', '{"usage":{"total_tokens":9}}', '{"usage":{"prompt_tokens":-1}}', "{}"]
+
+
+def usages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usage by all its names and places."""
+    body = F.element_at(F.array(*[F.lit(x) for x in USAGES]), (F.col("turn") % 8 + 1).cast("int"))
+    made = _conversations(spark, sf_dir).select(F.concat_ws(":", "conv_id", "turn").alias("row_id"), body.alias("body"))
+    return B.usage(made).select("row_id", "prompt", "completion")
+
+
+def dialog_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a log shows of a body: its dialog, or the first 512 characters of what is none."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL")
+    body = F.when(F.col("doc_id") % 2 == 0, F.to_json(F.struct(F.substring("text", 1, 600).alias("content")))).otherwise(F.col("text"))
+    made = docs.select("doc_id", body.alias("body"))
+    shown = B.described(made, key="doc_id").select("doc_id", "dialog")
+    return made.join(shown, "doc_id", "left").select("doc_id", F.sha2(F.coalesce(F.nullif(F.trim("dialog"), F.lit("")), F.substring("body", 1, 512)), 256).alias("digest"))
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each assistant text as deltas of twelve characters, the last with usage, in a chat stream: sid, seq and data."""
     conv = _conversations(spark, sf_dir).where("role = 'assistant'")
@@ -120,7 +146,7 @@ def decompressed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "jsn_leaves": leaf_rows, "msk06_json_tree": tree_masked, "rst07_tree_round_trip": tree_round_trip, "jsn01_protocol": described, "jsn05_slots": slot_texts, "jsn04_stream_usage": stream_usage,
+    "jsn_leaves": leaf_rows, "msk06_json_tree": tree_masked, "rst07_tree_round_trip": tree_round_trip, "jsn01_protocol": described, "jsn05_slots": slot_texts, "jsn04_stream_usage": stream_usage, "jsn02_stream_flag": stream_flags, "jsn03_usage": usages, "prj09_dialog_head": dialog_heads,
     "src04_sse_events": frames_of_streams, "src03_duplicate_keys": duplicate_keys, "src08_decompressed": decompressed,
 }
 _MOBILE = next(r for r in RULES if r.key == "det18_mobile")
@@ -144,6 +170,9 @@ SELECT row_id, CASE turn % 4 WHEN 0 THEN 'chat' WHEN 1 THEN 'anthropic' WHEN 2 T
     "jsn05_slots": f"SELECT row_id AS sid, 'c0.content' AS channel, sha256(text) AS digest, CAST(1 AS BIGINT) AS n_ends FROM ({_CONV}) WHERE role = 'assistant'",
     "jsn04_stream_usage": f"SELECT row_id AS sid, length(text)::BIGINT AS prompt, CAST(3 AS BIGINT) AS completion FROM ({_CONV}) WHERE role = 'assistant'",
     "src04_sse_events": f"SELECT row_id AS sid, (length(text) // 12 + 2)::BIGINT AS n_events, CAST(1 AS BIGINT) AS n_done, 'sse' AS framing FROM ({_CONV}) WHERE role = 'assistant'",
+    "jsn02_stream_flag": f"SELECT row_id, turn % 5 = 0 AS stream FROM ({_CONV})",
+    "jsn03_usage": f"SELECT row_id, [7, 5, 4, 0, 1, 9, 0, 0][turn % 8 + 1]::BIGINT AS prompt, [3, 2, 0, 6, 1, 0, 0, 0][turn % 8 + 1]::BIGINT AS completion FROM ({_CONV})",
+    "prj09_dialog_head": "SELECT doc_id, sha256(CASE WHEN doc_id % 2 = 0 AND trim(left(text, 600), ' ') <> '' THEN trim(left(text, 600), ' ') WHEN doc_id % 2 = 0 THEN left('{\"content\":\"' || text || '\"}', 512) ELSE left(text, 512) END) AS digest FROM documents WHERE text IS NOT NULL",
     "src03_duplicate_keys": "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS repeats FROM conversations",
     "src08_decompressed": "SELECT page_id, CASE WHEN page_id % 4 < 3 THEN sha256(html) END AS digest FROM pages",
 }

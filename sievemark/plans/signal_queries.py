@@ -238,6 +238,29 @@ def _judged(spark: SparkSession, sf_dir: str, mode: str, channels: tuple[str, ..
     return commands.judged(rows, mode, channels)
 
 
+def first_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rule that hits each text, in any channel."""
+    hit = responses(spark, sf_dir).select("row_id", commands.first_hit(F.col("text")).alias("hit")).where("hit IS NOT NULL")
+    return hit.select("row_id", "hit.id", "hit.snippet")
+
+
+def families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Family and tier words of model names."""
+    names = [*dict.fromkeys(n for m in MODELS for n in m), "Org/Omega-Pro-Mini-pro", "x"]
+    log = spark.read.parquet(f"{sf_dir}/events.parquet")
+    name = F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("event_id") % len(names) + 1).cast("int"))
+    return log.select("event_id", signals.family(name).alias("family"), F.array_join(signals.tiers(name), ",").alias("tiers"))
+
+
+def displayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of words for display in all turns, and the texts with those words replaced, the longest first."""
+    conv = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    needles = F.array(F.lit("the"), F.lit("them"), F.lit("e"))
+    items = F.array(*[F.struct(F.lit(o).alias("original"), F.lit(t).alias("token")) for o, t in (("the", "<1>"), ("them", "<2>"))])
+    spans = T.marked(F.col("text"), needles)
+    return conv.select("conv_id", "turn", F.size(spans).cast("long").alias("n_spans"), F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]).alias("covered"), F.sha2(T.derived(F.col("text"), items), 256).alias("digest"))
+
+
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = _judged(spark, sf_dir, "rewrite").where("hit IS NOT NULL")
     return got.select("sid", "kind", F.concat_ws("|", "hit.id", "hit.label", "hit.snippet").alias("hit"), "blocked", F.sha2("out", 256).alias("digest"))
@@ -304,7 +327,7 @@ FROM (SELECT row_id, text, regexp_split_to_array(text, '[\\n\\r,，、;；\\s]+'
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "aud01_error_leak": leaks, "aud05_response_poison": poison, "aud12_dangerous_action": danger, "agg12_worst_findings": worst, "aud02_identity_swap": identity, "aud03_tool_echo": rewrites, "aud04_stream_anomaly": anomalies,
     "jon10_canaries": canaries, "det37_response_scan": new_values, "cmd04_channel_kind": channel_kinds, "cmd05_rewritten": judged, "cmd09_record": recorded, "cmd10_unechoed": unechoed, "cmd07_fragments": fragment_hits,
-    "cmd11_redistributed": redistributed, "cmd03_scan_window": scan_windows, "str_text_functions": text_functions,
+    "cmd11_redistributed": redistributed, "cmd03_scan_window": scan_windows, "str_text_functions": text_functions, "cmd02_first_rule": first_rules, "str12_model_family": families, "spn01_display_spans": displayed,
 }
 _NAMED = f"SELECT *, length(coalesce(text, '')) AS n FROM ({responses_sql()})"
 _KIND = "CASE n % 11 " + " ".join(f"WHEN {i} THEN '{k}'" for i, (_, k) in enumerate(CHANNELS)) + " END"
@@ -327,6 +350,9 @@ UNION ALL SELECT row_id, 'sse_anomaly', 'LOW', 'usage_inconsistent', 'input_toke
     "det37_response_scan": _values_sql(),
     "cmd04_channel_kind": "SELECT event_id, " + _KIND.replace("n %", "event_id %") + " AS kind FROM events",
     "cmd05_rewritten": f"SELECT sid, kind, hit, TRUE AS blocked, sha256({_rewritten_sql('text')}) AS digest FROM ({_HITS}) WHERE hit IS NOT NULL",
+    "cmd02_first_rule": f"SELECT row_id, split_part(hit, '|', 1) AS id, substr(hit, length(split_part(hit, '|', 1)) + length(split_part(hit, '|', 2)) + 3) AS snippet FROM (SELECT row_id, {_hit_sql('text')} AS hit FROM ({responses_sql()})) WHERE hit IS NOT NULL",
+    "str12_model_family": "SELECT event_id, ['gamma', 'gamma', 'delta', 'gamma', 'delta', '', 'gamma', 'omega', 'x'][event_id % 9 + 1] AS family, ['large', 'large', 'small', 'mini', 'small', '', '', 'mini,pro,pro', ''][event_id % 9 + 1] AS tiers FROM events",
+    "spn01_display_spans": "SELECT conv_id, turn, len(v)::BIGINT AS n_spans, coalesce(list_sum(list_transform(v, lambda x: length(x))), 0)::BIGINT AS covered, sha256(replace(replace(text, 'them', '<2>'), 'the', '<1>')) AS digest FROM (SELECT *, regexp_extract_all(text, 'them|the|e') AS v FROM conversations)",
     "cmd09_record": f"SELECT sid, split_part(hit, '|', 1) || ' ' || split_part(hit, '|', 2) AS rule, kind, n AS ts, TRUE AS blocked FROM ({_HITS}) WHERE hit IS NOT NULL",
     "cmd10_unechoed": f"SELECT row_id AS sid, split_part(hit, '|', 1) AS id FROM (SELECT row_id, request, {_hit_sql('text')} AS hit FROM ({responses_sql()})) WHERE hit IS NOT NULL AND request IS NULL",
     "cmd07_fragments": f"SELECT row_id AS sid, split_part(hit, '|', 1) AS id, substr(hit, length(split_part(hit, '|', 1)) + length(split_part(hit, '|', 2)) + 3) AS snippet FROM (SELECT row_id, {_hit_sql('text')} AS hit FROM ({responses_sql()})) WHERE hit IS NOT NULL",
