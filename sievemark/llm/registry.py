@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import queries_copies, queries_models, queries_prints, queries_shape, queries_tokens
+from . import queries_copies, queries_models, queries_prints, queries_search, queries_shape, queries_tokens
 
-MODULES = [queries_tokens, queries_shape, queries_copies, queries_prints, queries_models]
+MODULES = [queries_tokens, queries_shape, queries_copies, queries_prints, queries_models, queries_search]
 
 
 def queries():
