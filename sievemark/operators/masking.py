@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -147,7 +147,7 @@ def restore_bodies(bodies: DataFrame, mapping: DataFrame) -> DataFrame:
     return restore(bodies, mapping, json=True)
 
 
-def restore(masked: DataFrame, mapping: DataFrame, escape: bool = False, json: bool = False) -> DataFrame:
+def restore(masked: DataFrame, mapping: DataFrame, escape: bool = False, json: bool = False, each: Callable[..., M.Restored] | None = None, beside: str = "") -> DataFrame:
     """``masked`` (row_id, text, ...) with known placeholders of ``mapping`` (token, value) put back, and counts.
 
     Placeholders are known with white space or in other case within their braces, with escaped braces, and bare or half
@@ -155,7 +155,8 @@ def restore(masked: DataFrame, mapping: DataFrame, escape: bool = False, json: b
     their suffix; samples holds the first five. ``escape``: values go into JSON strings. A boolean column ``known``
     (null: true) says whether the row's session is; where it isn't, nothing is restored and placeholders only count.
     Null texts stay null. A mapping of at most BROADCAST_ROWS tokens is broadcast, a larger one is joined to the suffixes that
-    texts hold. Two values of one token are refused.
+    texts hold. Two values of one token are refused. ``each`` restores a text in a way of its own: it gets the text, the known tokens by
+    suffix, whether the session is known, and the row's value of the column ``beside``.
     """
     pairs = mapping.select("token", "value").distinct()
     if not pairs.groupBy("token").count().where("count > 1").isEmpty():
@@ -179,6 +180,7 @@ def restore(masked: DataFrame, mapping: DataFrame, escape: bool = False, json: b
             texts = batch.column(n).to_pylist()
             mine = batch.column(n + 1).to_pylist() if own else None
             sessions = batch.column(session).to_pylist() if session >= 0 else [True] * len(texts)
+            others = batch.column(kept_columns.index(beside)).to_pylist() if beside else [None] * len(texts)
             done = []
             for i, t in enumerate(texts):
                 known = shared.value if shared else {}
@@ -187,7 +189,10 @@ def restore(masked: DataFrame, mapping: DataFrame, escape: bool = False, json: b
                     for x in mine[i] or []:
                         known.setdefault(x["token"][-8:-2], {})[x["token"]] = x["value"]
                 here = sessions[i] is not False
-                done.append(M.Restored(t) if not t else json_spans.restored(t, known, here) if json and json_spans.valid(t) else M.restored(t, known, escape, here))
+                if t and each:
+                    done.append(each(t, known, here, others[i]))
+                else:
+                    done.append(M.Restored(t) if not t else json_spans.restored(t, known, here) if json and json_spans.valid(t) else M.restored(t, known, escape, here))
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns[:n],

@@ -50,6 +50,7 @@ class Session:
     pending: dict[str, str] = field(default_factory=dict)
     templates: dict[str, str] = field(default_factory=dict)
     counts: list[int] = field(default_factory=lambda: [0, 0, 0])
+    samples: list[str] = field(default_factory=list)
 
     def decoded(self, data: bytes, final: bool) -> str:
         """Text of the bytes so far; up to three of a cut character wait."""
@@ -82,6 +83,7 @@ class Session:
     def count(self, one: M.Restored) -> str:
         for i, n in enumerate((one.restored, one.degraded, one.unresolved)):
             self.counts[i] += n
+        self.samples = list(dict.fromkeys([*self.samples, *one.samples]))[:5]
         return one.text
 
     def frame(self, frame: str, framing: str, known: dict, final: bool) -> str:
