@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 
 from . import checks as C
 from .detectors import RULES, Rule
+from .matching import WORD_CHARS, Dictionary, Pattern
 
 # The placeholder's format, and how models are known to deform it.
 CONSONANTS = "bcdfghjkmnpqrstvwxz"
@@ -18,8 +19,6 @@ BRACED = rf"\{{\{{\s*([A-Za-z0-9_]{{1,12}})_((?i:{SUFFIX}))\s*\}}\}}"
 ESCAPED = rf"(?i)(?:\\{{0,3}}\{{){{1,3}}(?:\\{{0,3}})\s*([A-Za-z0-9_]{{1,12}})_({SUFFIX})\s*(?:\\{{0,3}}\}}){{1,3}}"
 LOOSE = rf"\{{{{1,2}}\s*([A-Za-z0-9_]{{1,12}}_(?i:{SUFFIX}))\s*\}}{{0,2}}|([A-Z0-9]{{1,12}}_(?i:{SUFFIX}))"
 PREFIXES = ("sk-", "ah-")
-#: Longest dictionary word.
-WORD_CHARS = 200
 
 _PLACEHOLDER, _BRACED, _ESCAPED, _LOOSE = (re.compile(p) for p in (PLACEHOLDER, BRACED, ESCAPED, LOOSE))
 _CREDENTIAL = frozenset(("PRIVATE_KEY", "API_KEY", "ACCESS_KEY", "JWT", "TOKEN", "SECRET", "CONNSTR"))
@@ -122,13 +121,13 @@ class Masker:
         for w, label in kept:
             if not w.startswith("re:"):
                 self.words.setdefault(_lower(w), (w, label))
-        self.dictionary = _alternatives(list(self.words)) if self.words else None
+        self.dictionary = Dictionary(list(self.words)).find if self.words else None
         self.whole = {w.lower() for w in settings.whole}
         self.patterns = []
         for label, pattern in [*((n, w[3:]) for w, n in kept if w.startswith("re:")), *((safe_label(n.strip() or "CUSTOM"), p) for n, p in settings.patterns if p.strip())]:
             try:
-                self.patterns.append((label, re.compile(pattern)))
-            except re.error:
+                self.patterns.append((label, Pattern(pattern)))
+            except ValueError:
                 continue
         self.rules = [(r, compiled(r.pattern), compiled(r.left) if r.left else None, compiled(r.right) if r.right else None, _VALID.get(r.key)) for r in RULES[1:] if settings.runs(r)]
 
@@ -194,12 +193,12 @@ class Masker:
             if not any(s <= a and b <= e for s, e in held):
                 yield a, b, word, label
 
-    def _pattern_spans(self, label: str, pattern: re.Pattern):
+    def _pattern_spans(self, label: str, pattern: Pattern):
         def spans(text: str) -> Iterator[tuple[int, int, str, str]]:
             held = [m.span() for m in _PLACEHOLDER.finditer(text)] if "{{" in text else []
-            for m in pattern.finditer(text):
-                if m[0] and not any(s <= m.start() and m.end() <= e for s, e in held):
-                    yield m.start(), m.end(), m[0], label
+            for a, b in pattern.find(text):
+                if not any(s <= a and b <= e for s, e in held):
+                    yield a, b, text[a:b], label
 
         return spans
 
@@ -232,22 +231,6 @@ def _lower(text: str) -> str:
 _FOLD = {c: c + 32 for c in range(65, 91)}
 
 
-def _alternatives(words: list[str]):
-    """Finder of (start, end, word) from left to right, the longest word first; an automaton if there are many words."""
-    try:
-        import ahocorasick
-    except ImportError:
-        ahocorasick = None
-    if ahocorasick is None or len(words) < 50:
-        pattern = re.compile("|".join(map(re.escape, sorted(words, key=len, reverse=True))))
-        return lambda text: ((m.start(), m.end(), m[0]) for m in pattern.finditer(text))
-    automaton = ahocorasick.Automaton()
-    for w in words:
-        automaton.add_word(w, w)
-    automaton.make_automaton()
-    return lambda text: ((end + 1 - len(w), end + 1, w) for end, w in automaton.iter_long(text))
-
-
 def spliced(text: str, spans: list[tuple[int, int, str]]) -> str:
     """``text`` with each span, in order, replaced."""
     if not spans:

@@ -18,16 +18,27 @@ def windows(text: Column) -> Column:
     return F.when(F.octet_length(text) <= P.SCAN_WHOLE, F.array(text)).otherwise(F.array(T.truncated(text, P.SCAN_EDGE), T.last_bytes(text, P.SCAN_EDGE)))
 
 
+#: Words without which a built-in rule can't hit, in lower case; they are looked for first.
+HINTS = {
+    "builtin-rm-root": ("rm",), "builtin-rm-root-nopreserve": ("no-preserve-root",), "builtin-rm-home": ("rm",), "builtin-del-win": ("del", "erase", "remove-item"),
+    "builtin-format": ("format", "mkfs"), "builtin-drop-db": ("drop", "truncate"), "builtin-dd": ("/dev/",), "builtin-forkbomb": (":()",),
+}
+
+
 def first_hit(text: Column, rules: Rules | None = None, allow: tuple[str, ...] = ()) -> Column:
     """id, label and snippet (120 characters) of the first rule that hits, null if none does.
 
     Of each window of a rule only its first hit is looked at; one that an allowed pattern matches doesn't count.
     """
     hits = []
+    low = F.lower(text)
     for id_, label, pattern in P.COMMANDS if rules is None else rules:
+        may = F.lit(id_ not in HINTS)
+        for word in HINTS.get(id_, ()):
+            may = may | F.contains(low, F.lit(word))
         found = F.transform(windows(text), lambda w: F.btrim(F.regexp_extract(w, pattern, 0), F.lit(" \t\n\r\x0b\x0c")))  # noqa: B023
         kept = F.filter(found, lambda v: (v != "") & ~F.coalesce(*[F.when(v.rlike(a), True) for a in allow], F.lit(False)))
-        hits.append(F.when(F.size(kept) > 0, F.struct(F.lit(id_).alias("id"), F.lit(label).alias("label"), F.substring(F.get(kept, F.lit(0)), 1, P.SNIPPET).alias("snippet"))))
+        hits.append(F.when(may & (F.size(kept) > 0), F.struct(F.lit(id_).alias("id"), F.lit(label).alias("label"), F.substring(F.get(kept, F.lit(0)), 1, P.SNIPPET).alias("snippet"))))
     return F.coalesce(*hits)
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,8 +64,10 @@ def mask(corpus: DataFrame, settings: M.Settings = M.Settings(), key: str = "",
     own = "late" in rows.columns
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in kept_columns), MASKED, *(["status string"] if json else [])])
 
+    sent, name = corpus.sparkSession.sparkContext.broadcast(settings), uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        masker = M.Masker(settings, key)
+        masker = _masker(name, sent, key)
         known = shared.value if shared else {}
         for batch in batches:
             texts = batch.column(len(kept_columns)).to_pylist()
@@ -88,6 +92,17 @@ def mask(corpus: DataFrame, settings: M.Settings = M.Settings(), key: str = "",
     return rows.mapInArrow(run, schema)
 
 
+_maskers: dict[str, M.Masker] = {}
+
+
+def _masker(name: str, settings: Broadcast, key: str) -> M.Masker:
+    """The masker of a call, built once for each worker: a dictionary may have hundreds of thousands of words."""
+    if name not in _maskers:
+        _maskers.clear()
+        _maskers[name] = M.Masker(settings.value, key)
+    return _maskers[name]
+
+
 def _with_late(rows: DataFrame, masked: DataFrame, late: DataFrame) -> DataFrame:
     """``rows`` (row_id, ...) with the late tokens of the values that each holds."""
     found = masked.select("row_id", F.explode("hits").alias("h")).select("row_id", "h.label", "h.value")

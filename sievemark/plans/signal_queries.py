@@ -11,7 +11,7 @@ from ..functions import patterns as P
 from ..functions import texts as T
 from ..functions.detectors import RULES
 from ..operators import bodies as B
-from ..operators import commands, detect, signals
+from ..operators import commands, containment, detect, signals
 from ..sources.corpus import corpus, corpus_sql
 from .detector_queries import find_sql
 
@@ -126,7 +126,7 @@ g AS (SELECT *, list_filter([CASE WHEN len(bidi) > 0 THEN 'bidi_override' END, C
     return f"WITH {base} {_distinct(parts)}"
 
 
-def _danger_sql() -> str:
+def _danger_sql(request: str = "request") -> str:
     parts: dict[str, list[str]] = {}
     for kind, name, p in P.DANGERS:
         vals, gaps = f"regexp_extract_all(text, {_q(p)})", f"regexp_split_to_array(text, {_q(p)})"
@@ -134,7 +134,7 @@ def _danger_sql() -> str:
         if name.startswith("UPDATE"):
             kept = f"list_filter(range(len({vals})), lambda i: NOT regexp_matches(left(split_part({gaps}[i + 2] || coalesce({vals}[i + 2], ''), ';', 1), 400), '(?i)where'))"
             hits = f"list_transform({kept}, lambda i: trim({vals}[i + 1], {SPACE}))"
-        first = f"list_filter({hits}, lambda v: NOT coalesce(contains(request, v), FALSE))[1]"
+        first = f"list_filter({hits}, lambda v: NOT coalesce(contains({request}, v), FALSE))[1]"
         parts.setdefault(kind, []).append(f"'{name}: ' || CASE WHEN length({first}) > 120 THEN left({first}, 117) || '...' ELSE {first} END")
     each = [f"SELECT row_id, 'dangerous_action' AS signal, 'LOW' AS severity, '{k}' AS kind, coalesce({', '.join(v)}) AS evidence FROM r" for k, v in parts.items()]
     return f"WITH r AS MATERIALIZED ({responses_sql()}) SELECT * FROM ({' UNION ALL '.join(each)}) WHERE evidence IS NOT NULL"
@@ -169,9 +169,41 @@ def danger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def worst(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings of all signals from the floor up, by row: worst severity and number."""
-    both = signals.dangerous_action(responses(spark, sf_dir)).unionByName(signals.response_poison(responses(spark, sf_dir)))
-    return signals.passive(signals.recorded(both)).select("row_id", "rank", "total")
+    """Findings of dangerous actions and poison from the floor up, by row, in one pass: worst severity and number."""
+    return signals.passive(signals.recorded(signals.response_hook(_whole(spark, sf_dir), off=frozenset(["identity_swap", "error_leak", "sse_anomaly"])))).select("row_id", "rank", "total")
+
+
+def _whole(spark: SparkSession, sf_dir: str, hits: bool = False) -> DataFrame:
+    """All texts as responses with status, models and headers, and with what their channels and their reasoning held."""
+    n = F.length(F.coalesce("text", F.lit("")))
+    pick = lambda k: F.element_at(F.array(*[F.lit(m[k]) for m in MODELS]), (n % 7 + 1).cast("int"))
+    rows = responses(spark, sf_dir).withColumns({"status": F.when(n % 3 == 0, 200).otherwise(400), "asked": pick(0), "got": pick(1), "headers": F.lit("x-request: 1"), "reasons": F.when(n % 4 == 0, F.array(F.lit("rm -rf /")))})
+    kind = "array<struct<id: string, label: string, kind: string, snippet: string, blocked: boolean>>"
+    if not hits:
+        return rows.withColumns({"reasons": F.lit(None).cast("array<string>"), "hits": F.lit(None).cast(kind)})
+    judged_ = commands.judged(rows.withColumn("n", n).withColumn("channel", _channel("n")), "block")
+    return judged_.withColumn("hits", F.when(F.col("hit").isNotNull(), F.array(F.struct("hit.id", "hit.label", "kind", "hit.snippet", "blocked"))))
+
+
+def hook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of all signals over all texts and the command hits of their channels, in one pass."""
+    return signals.response_hook(_whole(spark, sf_dir, True)).drop("ord")
+
+
+def unheard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commands in texts, of any channel, that no text of the row's request holds."""
+    rows = responses(spark, sf_dir)
+    hits = rows.select(F.col("row_id").alias("sid"), commands.first_hit(F.col("text")).alias("hit")).where("hit IS NOT NULL").select("sid", "hit.id", "hit.snippet")
+    return containment.without_held(hits, rows.select(F.col("row_id").alias("sid"), F.col("request").alias("text")), "sid", "snippet").select("sid", "id", "snippet")
+
+
+def thought_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dangerous actions in turns, but for those whose evidence holds a command that an earlier even turn of the conversation named."""
+    turns = responses(spark, sf_dir).where("row_id LIKE 'turn:%'")
+    conv, turn = F.split_part("row_id", F.lit(":"), F.lit(2)), F.split_part("row_id", F.lit(":"), F.lit(3)).cast("int")
+    found = signals.dangerous_action(turns.withColumn("request", F.lit(None).cast("string"))).withColumn("sid", conv)
+    named = turns.where(turn % 2 == 0).select(conv.alias("sid"), commands.first_hit(F.col("text")).alias("hit")).select("sid", "hit.snippet")
+    return containment.without_parts(found, named).select("row_id", "kind", "evidence")
 
 
 MODELS = [("org/gamma-large", "gamma-large"), ("delta-small", "gamma-mini"), ("org/gamma-large", "delta-small"), ("delta-small", "gamma-large"), ("org/gamma-large", "gamma-mini"), ("delta-small", "delta-small-0613"), (" ", "gamma")]
@@ -198,10 +230,11 @@ def anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def canaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold the first 60 characters of a benchmark item: recurring marks."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("row_id"), "text")
-    marks = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.substring("text", 1, 60).alias("nonce"))
-    return signals.cross_request_pollution(docs, marks, 24).select("row_id", "evidence")
+    """Texts that hold a whole benchmark item or a whole turn of a conversation: recurring marks."""
+    marks = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("text").alias("nonce"))
+    marks = marks.unionByName(spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("text").alias("nonce")))
+    found = signals.cross_request_pollution(corpus(spark, sf_dir).select("row_id", "text"), marks)
+    return found.select("row_id", F.sha2("evidence", 256).alias("digest"))
 
 
 def new_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -326,14 +359,25 @@ FROM (SELECT row_id, text, regexp_split_to_array(text, '[\\n\\r,，、;；\\s]+'
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "aud01_error_leak": leaks, "aud05_response_poison": poison, "aud12_dangerous_action": danger, "agg12_worst_findings": worst, "aud02_identity_swap": identity, "aud03_tool_echo": rewrites, "aud04_stream_anomaly": anomalies,
-    "jon10_canaries": canaries, "det37_response_scan": new_values, "cmd04_channel_kind": channel_kinds, "cmd05_rewritten": judged, "cmd09_record": recorded, "cmd10_unechoed": unechoed, "cmd07_fragments": fragment_hits,
+    "jon10_canaries": canaries, "jon08_not_in_request": unheard, "jon11_reasoning": thought_of, "aud13_response_hook": hook, "det37_response_scan": new_values, "cmd04_channel_kind": channel_kinds, "cmd05_rewritten": judged, "cmd09_record": recorded, "cmd10_unechoed": unechoed, "cmd07_fragments": fragment_hits,
     "cmd11_redistributed": redistributed, "cmd03_scan_window": scan_windows, "str_text_functions": text_functions, "cmd02_first_rule": first_rules, "str12_model_family": families, "spn01_display_spans": displayed,
 }
 _NAMED = f"SELECT *, length(coalesce(text, '')) AS n FROM ({responses_sql()})"
 _KIND = "CASE n % 11 " + " ".join(f"WHEN {i} THEN '{k}'" for i, (_, k) in enumerate(CHANNELS)) + " END"
 _HITS = f"SELECT row_id AS sid, text, request, n, {_KIND} AS kind, {_hit_sql('text')} AS hit FROM ({_NAMED}) WHERE {_KIND} = 'tool'"
 _WANT_MODELS = {1: ("HIGH", "model_mismatch", "model_mismatch: req=delta-small resp=gamma-mini"), 2: ("HIGH", "model_mismatch", "model_mismatch: req=org/gamma-large resp=delta-small"), 3: ("HIGH", "model_mismatch", "model_mismatch: req=delta-small resp=gamma-large"), 4: ("MEDIUM", "model_tier_mismatch", "model_tier_mismatch: req=org/gamma-large [large] resp=gamma-mini [mini]")}
+_WANT_HOOK = [(1, *_WANT_MODELS[1]), (2, *_WANT_MODELS[2]), (3, *_WANT_MODELS[3]), (4, *_WANT_MODELS[4])]
+_LENGTHS = f"SELECT row_id, length(coalesce(text, '')) AS n FROM ({responses_sql()})"
 ORACLES = {
+    "jon08_not_in_request": f"SELECT row_id AS sid, split_part(hit, '|', 1) AS id, snippet FROM (SELECT *, substr(hit, length(split_part(hit, '|', 1)) + length(split_part(hit, '|', 2)) + 3) AS snippet FROM (SELECT row_id, request, {_hit_sql('text')} AS hit FROM ({responses_sql()})) WHERE hit IS NOT NULL) WHERE NOT coalesce(contains(request, snippet), FALSE)",
+    "jon11_reasoning": f"""
+WITH n AS (SELECT split_part(row_id, ':', 2) AS sid, substr(hit, length(split_part(hit, '|', 1)) + length(split_part(hit, '|', 2)) + 3) AS snippet FROM (SELECT row_id, {_hit_sql('text')} AS hit FROM ({responses_sql()}) WHERE row_id LIKE 'turn:%' AND split_part(row_id, ':', 3)::INT % 2 = 0) WHERE hit IS NOT NULL)
+SELECT row_id, kind, evidence FROM ({_danger_sql('NULL')}) f WHERE row_id LIKE 'turn:%' AND NOT EXISTS (SELECT 1 FROM n WHERE n.sid = split_part(f.row_id, ':', 2) AND contains(f.evidence, n.snippet))""",
+    "aud13_response_hook": f"""
+WITH l AS ({_LENGTHS}), d AS (SELECT f.* FROM ({_danger_sql()}) f JOIN l USING (row_id) WHERE NOT (n % 4 = 0 AND contains(evidence, 'rm -rf /'))),
+i AS (SELECT row_id, 'identity_swap' AS signal, severity, kind, evidence FROM l JOIN (VALUES {', '.join(f"({k}, '{s}', '{n}', '{e}')" for k, s, n, e in _WANT_HOOK)}) w(k, severity, kind, evidence) ON n % 7 = k),
+c AS (SELECT sid AS row_id, 'dangerous_action' AS signal, 'HIGH' AS severity, 'cmd_hit:' || rule AS kind, 'cmd_hit channel=tool kind=' || rule || ' snippet=' || substr(hit, length(split_part(hit, '|', 1)) + length(split_part(hit, '|', 2)) + 3) AS evidence FROM (SELECT *, split_part(hit, '|', 1) || ' ' || split_part(hit, '|', 2) AS rule FROM ({_HITS}) WHERE hit IS NOT NULL))
+SELECT * FROM d UNION ALL SELECT * FROM i UNION ALL SELECT * FROM c UNION ALL SELECT * FROM ({_poison_sql()}) UNION ALL SELECT * FROM ({_leaks_sql()})""",
     "aud01_error_leak": _leaks_sql(),
     "aud05_response_poison": _poison_sql(),
     "aud12_dangerous_action": _danger_sql(),
@@ -346,7 +390,7 @@ WITH e AS (SELECT conv_id AS row_id, turn, turn = 0 AS start, turn > 0 AND turn
 SELECT row_id, 'sse_anomaly' AS signal, 'LOW' AS severity, 'unknown_event' AS kind, 'unknown_event: odd' || turn AS evidence FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY turn) AS r FROM e WHERE odd) WHERE r <= 6
 UNION ALL SELECT row_id, 'sse_anomaly', 'LOW', 'usage_regress', 'output_tokens_regress: ' || a || ' -> ' || b FROM falls
 UNION ALL SELECT row_id, 'sse_anomaly', 'LOW', 'usage_inconsistent', 'input_tokens_inconsistent: first=5 samples=[' || array_to_string(list_slice(list(i ORDER BY turn), 1, 5), ', ') || ']' FROM d WHERE i <> 5 AND row_id IN (SELECT row_id FROM e WHERE start) GROUP BY row_id""",
-    "jon10_canaries": "SELECT DISTINCT doc_id AS row_id, 'prior_canary_recur: ' || nonce AS evidence FROM documents JOIN (SELECT DISTINCT left(text, 60) AS nonce FROM benchmark) ON contains(text, nonce)",
+    "jon10_canaries": f"SELECT row_id, sha256('prior_canary_recur: ' || nonce) AS digest FROM ({corpus_sql()}) JOIN (SELECT text AS nonce FROM benchmark UNION SELECT text FROM conversations) n ON contains(text, nonce) WHERE nonce <> ''",
     "det37_response_scan": _values_sql(),
     "cmd04_channel_kind": "SELECT event_id, " + _KIND.replace("n %", "event_id %") + " AS kind FROM events",
     "cmd05_rewritten": f"SELECT sid, kind, hit, TRUE AS blocked, sha256({_rewritten_sql('text')}) AS digest FROM ({_HITS}) WHERE hit IS NOT NULL",
