@@ -7,6 +7,8 @@ import re
 
 # Shapes of embedded files.
 MIN_BASE64 = 8192
+#: No shorter body holds an embedded file.
+LEAST = len('"data:;base64,"')
 _URI = re.compile(r"data:[^\0]{0,1011}?;base64,", re.I)
 _PAYLOAD = re.compile(r"[A-Za-z0-9+/=_\s-]+", re.A)
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
@@ -42,8 +44,13 @@ def taken_out(body: str) -> tuple[str, list[tuple[str, str]], int]:
 
 def put_back(body: str, found: list[tuple[str, str]]) -> str | None:
     """The body with its embedded files again; None if a token is gone."""
-    for token, value in found:
-        if token not in body:
-            return None
-        body = body.replace(token, value)
-    return body
+    if not found:
+        return body
+    by, seen = dict(found), set()
+
+    def back(m: re.Match) -> str:
+        seen.add(m[0])
+        return by.get(m[0], m[0])
+
+    out = re.sub("kmb-[0-9a-f]{12}-[0-9]{6}", back, body)
+    return out if set(by) <= seen else None

@@ -156,3 +156,25 @@ def _marks(text: str, needles: list[str]) -> list[dict]:
             if all(m.end() <= a or m.start() >= b for a, b, _ in found):
                 found.append((m.start(), m.end(), "value"))
     return [{"start": a, "end": b, "kind": k} for a, b, k in sorted(found)]
+
+
+def target(url: Column) -> Column:
+    """scheme, host, port and path prefix of an upstream's address; null for one without a scheme or a host.
+
+    The port is the scheme's unless a valid one is given; what follows a colon and is no port belongs to the host.
+    Addresses of six parts stand in brackets. The path loses the slashes at its end.
+    """
+    t = F.trim(url)
+    scheme = F.regexp_extract(t, r"\A(https?)://", 1)
+    rest = F.substr(t, F.length(scheme) + F.lit(4))
+    authority = F.regexp_extract(rest, r"\A([^/]*)", 1)
+    path = F.substr(rest, F.length(authority) + F.lit(1))
+    closed = F.regexp_extract(authority, r"\A\[([^\]]*)\]", 1)
+    six = F.startswith(authority, F.lit("["))
+    after = F.when(six, F.regexp_extract(authority, r"\]:(\+?[0-9]+)\z", 1)).otherwise(F.regexp_extract(authority, r":(\+?[0-9]+)\z", 1))
+    port = F.when((after != "") & (after.try_cast("bigint") <= 65535), after.try_cast("int"))
+    plain = F.when(port.isNotNull(), F.regexp_replace(authority, r":\+?[0-9]+\z", "")).otherwise(authority)
+    host = F.when(six, closed).otherwise(plain)
+    usual = F.when(scheme == "https", 443).otherwise(80)
+    parts = F.struct(scheme.alias("scheme"), host.alias("host"), F.coalesce(port, usual).alias("port"), F.regexp_replace(path, r"/+\z", "").alias("path_prefix"))
+    return F.when((scheme != "") & (host != ""), parts)

@@ -10,7 +10,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import json_spans
+from ..functions import blobs, json_spans
 from ..functions import masking as M
 from .tables import BROADCAST_ROWS, kept
 
@@ -21,21 +21,30 @@ _HIT = pa.list_(pa.struct([("label", pa.string()), ("value", pa.string()), ("tok
 
 
 def _masked_body(masker: M.Masker, body: str, late: dict) -> tuple[M.Masked, str]:
-    """A JSON body masked within its strings, numbers and keys, and what became of it."""
-    if not json_spans.valid(body):
+    """A JSON body masked within its strings, numbers and keys, and what became of it.
+
+    Embedded files are taken out before it is parsed and put back after; a token of theirs that is gone leaves the body as it was.
+    """
+    slim, files, _ = blobs.taken_out(body) if len(body) >= blobs.LEAST else (body, [], 0)
+    if not json_spans.valid(slim):
         return M.Masked(body), "invalid"
     try:
-        done = json_spans.masked(body, masker, late)
+        done = json_spans.masked(slim, masker, late)
     except json_spans.TooDeep:
         return M.Masked(body), "json_depth_exceeded"
+    if files:
+        whole = blobs.put_back(done.text, files)
+        if whole is None:
+            return M.Masked(body), "blob_lost"
+        done.text = whole
     return done, "unchanged" if done.text == body else "masked"
 
 
 def mask_bodies(bodies: DataFrame, settings: M.Settings = M.Settings(), key: str = "", mapping: DataFrame | None = None) -> DataFrame:
     """JSON ``bodies`` (text, ...) masked by spans: bytes of all that isn't masked stay as they are, repeated keys too.
 
-    Columns as of ``mask``, and status: masked, unchanged, invalid (no JSON) or json_depth_exceeded (over 24 levels); the last
-    two keep their text, and it is up to the caller not to send it on. Exempt are protocol names, ids, settings and embedded
+    Columns as of ``mask``, and status: masked, unchanged, invalid (no JSON), json_depth_exceeded (over 24 levels) or blob_lost (an
+    embedded file could not be put back); the last three keep their text, and it is up to the caller not to send it on. Exempt are protocol names, ids, settings and embedded
     files (see ``json_spans.exempt``); masked numbers become strings; JSON within tool arguments is masked inside.
     """
     return mask(bodies, settings, key, mapping, True)

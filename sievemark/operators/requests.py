@@ -87,6 +87,19 @@ def items(hits: DataFrame, most: int = 30) -> DataFrame:
     )
 
 
+def restore_items(mapping: DataFrame, restored: DataFrame, most: int = 30) -> DataFrame:
+    """Items of what a session's responses may restore: of ``mapping`` (sid, label, value, token) the first ``most`` values, in order, each with whether ``restored`` (sid, token) has its token.
+
+    Credentials keep a digest in the place of the value. A value that a session holds by several labels has the least.
+    """
+    used = restored.select("sid", "token").distinct().withColumn("_used", F.lit(True))
+    once = mapping.where("value <> ''").groupBy("sid", "value").agg(F.min(F.struct("label", "token")).alias("m")).select("sid", "value", "m.*")
+    order = Window.partitionBy("sid").orderBy("value")
+    first = once.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most)
+    secret = F.col("label").isin(*detect.CREDENTIALS)
+    return first.join(used, ["sid", "token"], "left").select("sid", F.col("_r").alias("ord"), "label", "token", F.when(~secret, F.col("value")).alias("original"), T.digest(F.col("value")).alias("digest"), F.coalesce("_used", F.lit(False)).alias("restored"))
+
+
 def mask_events(requests: DataFrame, hits: DataFrame, plain: bool = False) -> DataFrame:
     """A MASK event for each request (sid, dialog, masked_dialog, warned, warned_labels): count of hits, distinct originals, items; dialogs are redacted unless ``plain``."""
     counted = hits.groupBy("sid").agg(F.count_if("hit").alias("count"), F.countDistinct("value").alias("masked_total"))

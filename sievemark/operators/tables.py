@@ -6,19 +6,27 @@ import atexit
 import shutil
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: Most rows of a table of short values that is broadcast.
 BROADCAST_ROWS = 250_000
 
 
-def kept(rows: DataFrame) -> DataFrame:
-    """``rows``, computed once and written. Without a shared folder only a session within one process has a place for them."""
-    context = rows.sparkSession.sparkContext
-    if not context.getCheckpointDir():
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the session names it. Without one only a session within one process has a place of its own."""
+    context = spark.sparkContext
+    named = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
         if context.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        own = tempfile.mkdtemp(prefix="sievemark-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        context.setCheckpointDir(own)
+        named = tempfile.mkdtemp(prefix="sievemark-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def kept(rows: DataFrame) -> DataFrame:
+    """``rows``, computed once and written."""
+    shared_folder(rows.sparkSession)
     return rows.checkpoint()
