@@ -9,18 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import masking as M
+from ..functions.texts import safe_label
 from .masking import token
 from .tables import kept
 
 MAPPING = "value string, label string, token string, custom boolean, created timestamp, touched timestamp"
 
 
-def safe_label(label: Column) -> Column:
-    """What of a label stands in a placeholder, as ``functions.masking.safe_label``."""
-    plain = F.substring(F.regexp_replace(F.upper(label), "[^A-Z0-9]", ""), 1, 12)
-    return F.when(plain == "", "TERM").otherwise(plain)
-
-
 def suffix(token_: Column) -> Column:
     return F.substring(token_, -8, 6)
 

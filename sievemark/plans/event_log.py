@@ -76,7 +76,7 @@ SELECT day, count(*) AS requests, count(DISTINCT sid) AS distinct_sids, sum(CASE
     "srt02_top_words": "SELECT label, word, count(*) AS n FROM items GROUP BY label, word ORDER BY n DESC, label, word LIMIT 50",
     "srt03_top_models": "SELECT model, sum(prompt_tokens + completion_tokens) AS tokens FROM log WHERE trim(coalesce(model, '')) <> '' GROUP BY model ORDER BY tokens DESC, model LIMIT 5",
     "srt06_page_clamp": "SELECT CAST(floor((count(*) - 1) / 200) * 200 AS BIGINT) AS page_start FROM log",
-    "set01_union_pages": "SELECT id, type FROM log WHERE id > (SELECT max(id) FROM log) - 25 UNION ALL SELECT id, type FROM log WHERE id <= (SELECT max(id) FROM log) - 25",
+    "set01_union_pages": "SELECT id, type, 'ring' AS held FROM (SELECT id, type FROM log WHERE status = 200 ORDER BY id DESC LIMIT 60) r UNION ALL SELECT p.id, p.type, 'page' FROM (SELECT id, type FROM log ORDER BY id DESC LIMIT 200) p LEFT ANTI JOIN (SELECT id FROM log WHERE status = 200 ORDER BY id DESC LIMIT 60) r ON p.id = r.id",
     "set02_union_labels": "SELECT DISTINCT sid, label FROM (SELECT sid, label FROM items WHERE type = 'MASK' UNION SELECT sid, label FROM items WHERE type = 'RESTORE') q",
     "set05_difference": "SELECT DISTINCT word FROM items WHERE type = 'MASK' EXCEPT SELECT DISTINCT word FROM items WHERE type = 'RESTORE' AND restored",
     "jon01_value_to_token": "SELECT i.id, i.k, i.word, m.first_id, c.first_id AS custom_id, coalesce(c.first_id, m.first_id) AS token_id FROM items i LEFT JOIN (SELECT label, word, min(id) AS first_id FROM items GROUP BY label, word) m ON i.label = m.label AND i.word = m.word LEFT JOIN (SELECT word, min(id) AS first_id FROM items WHERE label = 'CARD' GROUP BY word) c ON i.word = c.word",
@@ -94,7 +94,7 @@ SELECT day, count(*) AS requests, count(DISTINCT sid) AS distinct_sids, sum(CASE
     "prj03_point_lookup": "SELECT id, payload FROM log WHERE id = 77",
     "prj04_audit_scan": "SELECT id, severity, kind FROM log WHERE type = 'ALERT' ORDER BY id DESC LIMIT 100",
     "prj05_has_trace": "SELECT count(*) > 0 AS found FROM log WHERE sid = 'S8'",
-    "flt01_type": "SELECT id FROM log WHERE upper(trim(' mask ')) = type",
+    "flt01_type": "SELECT l.id, w.label FROM log l JOIN (SELECT DISTINCT label FROM items) w ON lower(l.type) = lower(trim(CASE w.label WHEN 'CARD' THEN ' mask' WHEN 'EMAIL' THEN 'Block ' ELSE w.label END))",
     "flt02_search": "SELECT id FROM log WHERE lower(payload) LIKE '%\"n\":1%'",
     "flt03_search_fields": "SELECT id FROM log WHERE type LIKE '%LO%' OR reason LIKE '%pipe%' OR sid LIKE '%S7%' OR payload LIKE '%m2%' OR kind LIKE '%urch%' OR model LIKE '%large%' OR severity LIKE '%CRIT%' OR id IN (SELECT id FROM items WHERE word LIKE '%w39%')",
     "flt05_audit_list": "SELECT id FROM log WHERE severity = 'HIGH' AND lower(kind || ' ' || sid) LIKE '%error%'",
@@ -158,11 +158,11 @@ def all_sql(d) -> dict[str, str]:
 
 
 def _run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    for t in TABLES:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    spark.sql(log(Spark)).createOrReplaceTempView("log")
-    spark.sql(items(Spark)).createOrReplaceTempView("items")
-    return spark.sql(all_sql(Spark)[name])
+    """The query over ``sf_dir`` alone: tables are named by their paths within the statement, and no view of the session's is touched."""
+    body = all_sql(Spark)[name].strip()
+    read = [f"{t} AS (SELECT * FROM parquet.`{sf_dir}/{t}.parquet`)" for t in TABLES]
+    head = ", ".join([*read, f"log AS ({log(Spark)})", f"items AS ({items(Spark)})"])
+    return spark.sql(f"WITH {head}, {body[5:]}" if body.startswith("WITH ") else f"WITH {head} {body}")
 
 
 def _oracle(sql: str) -> str:

@@ -78,12 +78,17 @@ def stream_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.described(made).select("row_id", "stream")
 
 
-USAGES = ['{"usage":{"prompt_tokens":7,"completion_tokens":3}}', '{"usage":{"input_tokens":5,"output_tokens":2}}', '{"message":{"usage":{"input_tokens":4}}}', '{"response":{"usage":{"output_tokens":6}}}', '{"meta":{"tokens":{"input_tokens":1,"output_tokens":1}}}', '{"usage":{"total_tokens":9}}', '{"usage":{"prompt_tokens":-1}}', "{}"]
-
-
 def usages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Usage by all its names and places."""
-    body = F.element_at(F.array(*[F.lit(x) for x in USAGES]), (F.col("turn") % 8 + 1).cast("int"))
+    """Usage by all its names and places: characters of a turn as its prompt, the turn's number as its completion."""
+    n, k = F.length("text"), F.col("turn")
+    prompt, into = F.struct(n.alias("prompt_tokens"), k.alias("completion_tokens")), F.struct(n.alias("input_tokens"), k.alias("output_tokens"))
+    shapes = [
+        F.struct(prompt.alias("usage")), F.struct(into.alias("usage")), F.struct(F.struct(into.alias("usage")).alias("message")), F.struct(F.struct(prompt.alias("usage")).alias("response")),
+        F.struct(F.struct(into.alias("tokens")).alias("meta")), F.struct(F.struct(n.alias("total_tokens")).alias("usage")), F.struct(F.struct((-n).alias("prompt_tokens")).alias("usage")), F.struct(n.alias("usage")),
+    ]
+    body = F.lit(None).cast("string")
+    for i, shape in enumerate(shapes):
+        body = F.when(n % len(shapes) == i, F.to_json(shape)).otherwise(body)
     made = _conversations(spark, sf_dir).select(F.concat_ws(":", "conv_id", "turn").alias("row_id"), body.alias("body"))
     return B.usage(made).select("row_id", "prompt", "completion")
 
@@ -91,15 +96,15 @@ def usages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dialog_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a log shows of a body: its dialog, or the first 512 characters of what is none."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL")
-    body = F.when(F.col("doc_id") % 2 == 0, F.to_json(F.struct(F.substring("text", 1, 600).alias("content")))).otherwise(F.col("text"))
+    body = F.when(F.col("doc_id") % 2 == 0, F.to_json(F.struct(F.col("text").alias("content")))).otherwise(F.col("text"))
     made = docs.select("doc_id", body.alias("body"))
     shown = B.described(made, key="doc_id").select("doc_id", "dialog")
     return made.join(shown, "doc_id", "left").select("doc_id", F.sha2(F.coalesce(F.nullif(F.trim("dialog"), F.lit("")), F.substring("body", 1, 512)), 256).alias("digest"))
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each assistant text as deltas of twelve characters, the last with usage, in a chat stream: sid, seq and data."""
-    conv = _conversations(spark, sf_dir).where("role = 'assistant'")
+    """The text of each turn as deltas of twelve characters, the last with usage, in a chat stream: sid, seq and data."""
+    conv = _conversations(spark, sf_dir)
     pieces = F.transform(F.sequence(F.lit(0), F.floor(F.length("text") / 12).cast("int")), lambda i: F.substr(F.col("text"), i * 12 + 1, F.lit(12)))
     cut = conv.select(F.concat_ws(":", "conv_id", "turn").alias("sid"), F.posexplode(pieces).alias("seq", "piece"), F.length("text").alias("n"))
     last = F.col("seq") == F.floor(F.col("n") / 12)
@@ -133,8 +138,11 @@ def frames_of_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = F.when(F.col("turn") % 3 == 0, F.concat(F.lit('{"a":1,"a":'), F.col("turn"), F.lit("}"))).when(F.col("turn") % 3 == 1, F.lit('{"a":1}')).otherwise(F.lit("{"))
-    return _conversations(spark, sf_dir).select("conv_id", "turn", udfs.duplicate_keys(made).alias("repeats"))
+    """Whether an object of all words of a text as keys repeats one; every third text is cut off before its end and no JSON."""
+    words = F.filter(F.split("text", "[^A-Za-z]+", -1), lambda w: w != "")
+    pairs = F.array_join(F.transform(words, lambda w: F.concat(F.lit('"'), w, F.lit('":{"n":1}'))), ",")
+    end = F.when(F.col("turn") % 3 == 2, "").otherwise("}")
+    return _conversations(spark, sf_dir).select("conv_id", "turn", udfs.duplicate_keys(F.concat(F.lit("{"), pairs, end)).alias("repeats"))
 
 
 def decompressed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,12 +175,14 @@ SELECT row_id, key, parent, depth, kind, in_business, exempt, sha256(value) AS d
     "jsn01_protocol": f"""
 SELECT row_id, CASE turn % 4 WHEN 0 THEN 'chat' WHEN 1 THEN 'anthropic' WHEN 2 THEN 'responses' ELSE 'unknown' END AS protocol, CASE turn % 4 WHEN 3 THEN '' ELSE 'm' END AS model, turn % 4 = 0 AS stream,
   sha256(CASE WHEN turn % 4 = 3 OR trim(text, chr(32) || chr(9) || chr(10) || chr(13)) = '' THEN '' WHEN length(text) > 8000 THEN left(text, 8000) || chr(10) || '…（已截断，原文更长）' ELSE text END) AS dialog, turn % 4 IN (0, 1) AND role = 'user' AS has_user FROM ({_CONV})""",
-    "jsn05_slots": f"SELECT row_id AS sid, 'c0.content' AS channel, sha256(text) AS digest, CAST(1 AS BIGINT) AS n_ends FROM ({_CONV}) WHERE role = 'assistant'",
-    "jsn04_stream_usage": f"SELECT row_id AS sid, length(text)::BIGINT AS prompt, CAST(3 AS BIGINT) AS completion FROM ({_CONV}) WHERE role = 'assistant'",
-    "src04_sse_events": f"SELECT row_id AS sid, (length(text) // 12 + 2)::BIGINT AS n_events, CAST(1 AS BIGINT) AS n_done, 'sse' AS framing FROM ({_CONV}) WHERE role = 'assistant'",
+    "jsn05_slots": f"SELECT row_id AS sid, 'c0.content' AS channel, sha256(text) AS digest, CAST(1 AS BIGINT) AS n_ends FROM ({_CONV})",
+    "jsn04_stream_usage": f"SELECT row_id AS sid, length(text)::BIGINT AS prompt, CAST(3 AS BIGINT) AS completion FROM ({_CONV})",
+    "src04_sse_events": f"SELECT row_id AS sid, (length(text) // 12 + 2)::BIGINT AS n_events, CAST(1 AS BIGINT) AS n_done, 'sse' AS framing FROM ({_CONV})",
     "jsn02_stream_flag": f"SELECT row_id, turn % 5 = 0 AS stream FROM ({_CONV})",
-    "jsn03_usage": f"SELECT row_id, [7, 5, 4, 0, 1, 9, 0, 0][turn % 8 + 1]::BIGINT AS prompt, [3, 2, 0, 6, 1, 0, 0, 0][turn % 8 + 1]::BIGINT AS completion FROM ({_CONV})",
-    "prj09_dialog_head": "SELECT doc_id, sha256(CASE WHEN doc_id % 2 = 0 AND trim(left(text, 600), ' ') <> '' THEN trim(left(text, 600), ' ') WHEN doc_id % 2 = 0 THEN left('{\"content\":\"' || text || '\"}', 512) ELSE left(text, 512) END) AS digest FROM documents WHERE text IS NOT NULL",
-    "src03_duplicate_keys": "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS repeats FROM conversations",
+    "jsn03_usage": f"SELECT row_id, CASE WHEN length(text) % 8 <= 5 THEN length(text) ELSE 0 END::BIGINT AS prompt, CASE WHEN length(text) % 8 <= 4 THEN turn ELSE 0 END::BIGINT AS completion FROM ({_CONV})",
+    "prj09_dialog_head": r"""
+SELECT doc_id, sha256(CASE WHEN doc_id % 2 = 1 OR blank THEN left(CASE WHEN doc_id % 2 = 1 THEN text ELSE body END, 512) WHEN length(text) > 8000 THEN trim(left(text, 8000) || chr(10) || '…（已截断，原文更长）', ' ') ELSE trim(text, ' ') END) AS digest
+FROM (SELECT doc_id, text, trim(text, chr(32) || chr(9) || chr(10) || chr(13)) = '' AS blank, '{"content":' || to_json(text)::VARCHAR || '}' AS body FROM documents WHERE text IS NOT NULL)""",
+    "src03_duplicate_keys": "SELECT conv_id, turn, CASE WHEN turn % 3 <> 2 THEN len(list_distinct(w)) < len(w) END AS repeats FROM (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '[^A-Za-z]+'), lambda x: x <> '') AS w FROM conversations)",
     "src08_decompressed": "SELECT page_id, CASE WHEN page_id % 4 < 3 THEN sha256(html) END AS digest FROM pages",
 }

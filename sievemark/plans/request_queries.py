@@ -11,7 +11,7 @@ from ..functions.masking import Settings
 from ..operators import bodies as B
 from ..operators import masking, requests
 from ..sources.corpus import corpus, corpus_sql
-from .detector_queries import KEY, find_sql, token_sql
+from .detector_queries import KEY, _redacted_sql, find_sql, token_sql
 from .json_queries import bodies
 
 
@@ -109,8 +109,13 @@ def embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def restore_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = _log(spark, sf_dir).select(F.col("id").cast("string").alias("sid"), _every(31).alias("blocked"), (F.col("id") % 5).alias("restored"), (F.col("id") % 4 % 2).alias("unresolved"), F.array().cast("array<string>").alias("samples"), (F.col("id") % 3 * 10).alias("first_byte_ms"), F.lit(0).alias("upstream_ms"))
-    return requests.restore_events(made).drop("samples")
+    """Events of responses: those that masked texts give when restored from a mapping that misses every value of odd length; one without a text of its own is blocked."""
+    settings = Settings(rules=frozenset(["det18_mobile", "det19_email"]))
+    masked = masking.mask(corpus(spark, sf_dir), settings, KEY)
+    known = masking.tokens(masking.found(masked), KEY).where(F.length("value") % 2 == 0)
+    back = masking.restore(masked, known)
+    made = back.select(F.col("row_id").alias("sid"), F.coalesce(F.length("text") < 3, F.lit(True)).alias("blocked"), "restored", "unresolved", "samples", F.length("text").alias("first_byte_ms"), F.lit(0).alias("upstream_ms"))
+    return requests.restore_events(made.where("sid NOT LIKE 'case:%'")).select("sid", "restore_status", "restored", "unresolved", F.col("first_byte_ms").isNull().alias("no_time"))
 
 
 def trace_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,8 +127,8 @@ def trace_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Newest documents for export: redacted, within a row and byte limit."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), F.concat(F.substring("text", 1, 400), F.lit(" sk-abcdefghijklmnopqrstuvwxyz123456")).alias("payload"))
-    return requests.exported(docs, rows=100, most_bytes=20_000).select("id", F.sha2("payload", 256).alias("digest"), "truncated")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), F.concat("text", F.lit(" sk-abcdefghijklmnopqrstuvwxyz123456")).alias("payload"))
+    return requests.exported(docs, rows=100, most_bytes=200_000).select("id", F.sha2("payload", 256).alias("digest"), "truncated")
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,10 +153,14 @@ SELECT c_custkey, string_agg(name || '=' || length(value), ',' ORDER BY pos) FIL
     "det36_custom_regex": f"SELECT row_id, sha256(list_aggregate(list_transform(regexp_split_to_array(text, '{PATTERN}'), lambda g, i: g || coalesce(list_transform(regexp_extract_all(text, '{PATTERN}'), lambda v: {token_sql('cust', 'v')})[i], '')), 'string_agg', '')) AS digest FROM ({corpus_sql()}) WHERE regexp_matches(text, '{PATTERN}')",
     "msk03_policy": "WITH f AS (" + " UNION ALL ".join(f"({find_sql(r)})" for r in RULES if r.key in ("det18_mobile", "det31_card", "det19_email")) + ") SELECT * FROM (SELECT row_id, count(*) FILTER (label = 'PHONE') AS warned, count(DISTINCT value) FILTER (label = 'EMAIL' AND lower(value) NOT IN ('c1@mail15.example.com', 'ann.lee@corp.cn')) AS n_email, CAST(0 AS BIGINT) AS n_phone, count(*) FILTER (label = 'CARD') > 0 AS blocked FROM f GROUP BY row_id) WHERE warned > 0 OR n_email > 0 OR blocked",
     "flt18_blobs": "SELECT conv_id || ':' || turn AS row_id, (turn % 3 = 0)::BIGINT AS n_blobs, CASE WHEN turn % 3 = 0 THEN 22 + 4 * ((turn + 12) // 3) ELSE 0 END::BIGINT AS blob_bytes FROM conversations",
-    "evt02_restore_events": "SELECT event_id::VARCHAR AS sid, 'RESTORE' AS type, CASE WHEN event_id % 31 = 0 THEN 'blocked' WHEN event_id % 4 % 2 > 0 THEN 'unresolved' WHEN event_id % 5 > 0 THEN 'restored' ELSE 'no_sensitive_data' END AS restore_status, event_id % 5 AS restored, event_id % 4 % 2 AS unresolved, nullif(event_id % 3 * 10, 0) AS first_byte_ms, NULL::INT AS upstream_ms FROM events",
+    "evt02_restore_events": f"""
+WITH f AS (SELECT row_id, count(*) FILTER (length(value) % 2 = 0) AS good, count(*) FILTER (length(value) % 2 = 1) AS bad FROM ({' UNION ALL '.join(f'({find_sql(r)})' for r in RULES if r.key in ('det18_mobile', 'det19_email'))}) GROUP BY row_id)
+SELECT c.row_id AS sid, CASE WHEN coalesce(length(text), 0) < 3 THEN 'blocked' WHEN bad > 0 THEN 'unresolved' WHEN good > 0 THEN 'restored' ELSE 'no_sensitive_data' END AS restore_status, coalesce(good, 0) AS restored, coalesce(bad, 0) AS unresolved, coalesce(length(text), 0) = 0 AS no_time
+FROM ({corpus_sql()}) c LEFT JOIN f ON c.row_id = f.row_id WHERE c.row_id NOT LIKE 'case:%'""",
     "trc01_capture_gate": f"SELECT doc_id AS sid, sha256({_CUT.format('text')}) AS primary_digest, coalesce(strlen(text), 0)::BIGINT AS primary_bytes, coalesce(strlen(text), 0) > 500 AS truncated FROM documents",
-    "snk05_export": """
-WITH n AS (SELECT doc_id AS id, left(text, 400) || ' [REDACTED]' AS payload FROM documents WHERE text IS NOT NULL ORDER BY doc_id DESC LIMIT 101), s AS (SELECT *, row_number() OVER (ORDER BY id DESC) <= 100 AND sum(strlen(payload) + 1) OVER (ORDER BY id DESC) <= 20000 AS fits FROM n)
+    "snk05_export": f"""
+WITH c AS ({_redacted_sql()}), n AS (SELECT doc_id AS id, coalesce(clean, text) || ' [REDACTED]' AS payload FROM documents LEFT JOIN c ON row_id = 'doc:' || doc_id WHERE text IS NOT NULL ORDER BY doc_id DESC LIMIT 101),
+s AS (SELECT *, row_number() OVER (ORDER BY id DESC) <= 100 AND sum(strlen(payload) + 1) OVER (ORDER BY id DESC) <= 200000 AS fits FROM n)
 SELECT id, sha256(payload) AS digest, (SELECT count(*) FROM s WHERE NOT fits) > 0 AS truncated FROM s WHERE fits""",
     "str17_session_id": "SELECT conv_id, turn, left(sha256('10.0.0.1' || chr(34) || conv_id || chr(34)), 16) || '-n' AS session FROM conversations WHERE role = 'user'",
 }

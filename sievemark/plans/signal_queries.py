@@ -239,7 +239,8 @@ def canaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def new_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most ten distinct values of each text by all rules that are on, less those that its session knows: here, e-mail addresses."""
-    found = detect.find_all(corpus(spark, sf_dir)).withColumn("sid", F.col("row_id"))
+    window = T.truncated(F.col("text"), 512 << 10)
+    found = detect.find_all(corpus(spark, sf_dir).withColumn("text", window)).withColumn("sid", F.col("row_id"))
     rules = [r.key for r in RULES]
     number = F.create_map(*[x for i, k in enumerate(rules) for x in (F.lit(k), F.lit(i))])
     known = found.where("label = 'EMAIL'").select("sid", "value")
@@ -335,13 +336,13 @@ def scan_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Previews, escapes, truncation and entropy of all short texts."""
+    """Previews, escapes, truncation and entropy of all texts."""
     t = F.col("text")
-    rows = corpus(spark, sf_dir).where("src IN ('case', 'cust', 'conv')")
+    rows = corpus(spark, sf_dir).where("text IS NOT NULL")
     return rows.select(
         "row_id", T.preview(t).alias("preview"), T.credential_preview(t, F.lit("API_KEY")).alias("cred"), F.sha2(T.json_escaped(t), 256).alias("escaped"), F.sha2(T.json_unescaped(T.json_escaped(t)), 256).alias("unescaped"),
         F.round(T.entropy(t), 6).alias("entropy"), T.ordered(t).alias("ordered"), T.evidence(t, F.lit("k")).alias("evidence"), T.human_bytes(F.octet_length(t) * 1777).alias("size"),
-        T.first_difference(t, F.concat(F.substring(t, 1, 3), F.lit("\x01"))).alias("differs"), F.length(T.truncated(t, 7)).cast("long").alias("kept"), F.array_join(T.split_words(t), "|").alias("words"),
+        T.first_difference(t, F.concat(F.substring(t, 1, 3), F.lit("\x01"))).alias("differs"), F.length(T.truncated(t, 7)).cast("long").alias("kept"), F.sha2(F.array_join(T.split_words(t), "|"), 256).alias("words"),
     )
 
 
@@ -349,12 +350,14 @@ def _texts_sql() -> str:
     n = "length(text)"
     esc = "replace(replace(replace(replace(replace(text, '\\', '\\\\'), '\"', '\\\"'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t')"
     return f"""
+WITH c AS MATERIALIZED (SELECT row_id, text FROM ({corpus_sql()}) WHERE text IS NOT NULL), l AS (SELECT row_id, regexp_split_to_array(text, '[\\n\\r,，、;；\\s]+') AS l FROM c),
+u AS (SELECT row_id, word, min(i) AS i FROM (SELECT row_id, unnest(l) AS word, unnest(range(len(l))) AS i FROM l) WHERE word <> '' GROUP BY row_id, word), w AS (SELECT row_id, string_agg(word, '|' ORDER BY i) AS words FROM u GROUP BY row_id)
 SELECT row_id, CASE WHEN {n} = 0 THEN '' WHEN {n} <= 2 THEN left(text, 1) || '*' WHEN {n} <= 5 THEN left(text, 1) || repeat('*', {n} - 1) WHEN {n} <= 12 THEN left(text, 1) || repeat('*', {n} - 2) || right(text, 1) ELSE left(text, 2) || '**' || right(text, 2) END AS preview,
   CASE WHEN {n} >= 20 THEN left(text, 4) || '…' || right(text, 4) ELSE '<API_KEY ' || {n} || ' 位>' END AS cred, sha256({esc}) AS escaped, sha256(text) AS unescaped, round({_entropy('text')}, 6) AS entropy, {_ordered('text')} AS ordered, {_shown('text', 'k')} AS evidence,
   CASE WHEN strlen(text) * 1777 >= 1048576 THEN printf('%.1f', strlen(text) * 1777 / 1048576.0) || ' MiB' ELSE (strlen(text) * 1777) // 1024 || ' KiB' END AS size, least({n}, 3)::BIGINT AS differs,
   CASE WHEN strlen(text) <= 7 THEN length(text) ELSE list_max(list_filter([0, 1, 2, 3, 4, 5, 6, 7], lambda k: strlen(left(text, k)) <= 7)) END::BIGINT AS kept,
-  coalesce(array_to_string(list_filter(list_transform(range(len(w)), lambda i: CASE WHEN w[i + 1] <> '' AND list_position(w, w[i + 1]) = i + 1 THEN w[i + 1] END), lambda x: x IS NOT NULL), '|'), '') AS words
-FROM (SELECT row_id, text, regexp_split_to_array(text, '[\\n\\r,，、;；\\s]+') AS w FROM ({corpus_sql()}) WHERE src IN ('case', 'cust', 'conv'))"""
+  sha256(coalesce(words, '')) AS words
+FROM c LEFT JOIN w USING (row_id)"""
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
