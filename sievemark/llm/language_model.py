@@ -52,8 +52,10 @@ RATE, INERTIA, TRUST = 1.0, 8.0, 12.0
 TASK_TOKENS, TASK_WORDS = 2_000_000, 250_000
 #: Most words of a group in which spelling is learned.
 GROUP = 1 << 17
-#: Most words whose counts are broadcast.
+#: Most words that have codes, and most others whose counts are broadcast.
 HEAD = 200_000
+#: Most tables of counting tasks that are summed in one group; where there are more, they are summed in two levels.
+SUMMED = 256
 _FLUSH = 200_000
 #: Very frequent words, one of which is a context until the next comes.
 MARKERS = 64
@@ -356,16 +358,27 @@ def _tables(docs: DataFrame, coder, n_tokens: int) -> list[np.ndarray]:
                 packed = [blocks[k].astype(np.uint16 if blocks[k].max() < 1 << 16 else np.uint32).tobytes() for k in some]
                 yield pa.RecordBatch.from_arrays([pa.array(first[v] + some, pa.int64()), pa.array(packed, pa.binary())], names=["block", "n"])
 
-    def add(group: pa.Table) -> pa.Table:
+    def total_of(group: pa.Table) -> np.ndarray:
         total = np.zeros(2 * BLOCK, np.int64)
         for x in group.column("n"):
             x = x.as_py()
-            total += np.frombuffer(x, np.uint16 if len(x) == 4 * BLOCK else np.uint32)
+            total += np.frombuffer(x, {4: np.uint16, 8: np.uint32, 16: np.int64}[len(x) // BLOCK])
+        return total
+
+    def some(group: pa.Table) -> pa.Table:
+        return pa.table({"block": group.column("block").slice(0, 1), "n": pa.array([total_of(group).tobytes()], pa.binary())})
+
+    def add(group: pa.Table) -> pa.Table:
+        total = total_of(group)
         x = np.log((total[1::2] + 0.2) / (total[::2] + 0.2)).astype(np.float32)
         return pa.table({"block": group.column("block").slice(0, 1), "n": pa.array([x.tobytes()], pa.binary())})
 
     schema = "block long, n binary"
-    summed = docs.where("_train").select("text").coalesce(max(8, n_tokens // TASK_TOKENS)).mapInArrow(count, schema).groupBy("block").applyInArrow(add, schema)
+    tasks = max(8, n_tokens // TASK_TOKENS)
+    counted = docs.where("_train").select("text").coalesce(tasks).mapInArrow(count, schema)
+    if tasks > SUMMED:
+        counted = counted.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(ceil(tasks / SUMMED)))).groupBy("block", "part").applyInArrow(some, schema)
+    summed = counted.groupBy("block").applyInArrow(add, schema)
     stretched = np.zeros((first[-1], BLOCK), np.float32)
     for r in summed.toLocalIterator():  # tables of bounded size
         stretched[r["block"]] = np.frombuffer(bytes(r["n"]), np.float32)
@@ -443,6 +456,16 @@ def _counted(docs: DataFrame) -> DataFrame:
     return partial.groupBy("kind", "word").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
+def _least_count(vocabulary: DataFrame, count: str) -> int:
+    """The least power of two such that no more than HEAD words have this many, or more, of ``count``."""
+    sizes = {r["b"]: r["c"] for r in vocabulary.where(F.col(count) > 0).groupBy(F.floor(F.log2(count)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("c")).collect()}
+    least, held = 62, 0
+    while least > 0 and held + sizes.get(least - 1, 0) <= HEAD:
+        least -= 1
+        held += sizes.get(least, 0)
+    return 1 << least
+
+
 def score(docs: DataFrame, train) -> DataFrame:
     """doc_id, _train, n_tokens, n_known, train_tokens, base_score and score of each row of ``docs`` (doc_id, text).
 
@@ -468,18 +491,13 @@ def score(docs: DataFrame, train) -> DataFrame:
             found = [log10_spelled(some, *spelling.value) for some in _batches(batch.column(0), 4096)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(found), pa.float64())], names=["word", "n", "m", "lp"])
 
-    sizes = {r["b"]: r["c"] for r in vocabulary.groupBy(F.floor(F.log2("m")).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("c")).collect()}
-    least, held = 64, 0
-    while least > 0 and held + sizes.get(least - 1, 0) <= HEAD:
-        least -= 1
-        held += sizes.get(least, 0)
-    frequent = F.col("m") >= (1 << least) if least < 63 else F.lit(False)
-    in_code = frequent & (F.col("n") > 0)
+    in_code = F.col("n") >= _least_count(vocabulary, "n")  # by training counts alone: held-out texts change no code
+    near = in_code | (F.col("m") >= _least_count(vocabulary, "m"))  # whose counts are broadcast; this changes no score
     spelled = vocabulary.where(~in_code).mapInArrow(spell, "word binary, n long, m long, lp double")
     scored = scratch.table(vocabulary.where(in_code).withColumn("lp", F.lit(0.0)).unionByName(spelled), "scored")
-    head = scored.where(frequent).select("word", "n", "lp").toArrow()  # at most HEAD words
+    head = scored.where(near).select("word", "n", "lp", in_code.alias("coded")).toArrow()  # at most 2 * HEAD words
     names, counts, logs = head.column("word").to_pylist(), head.column("n").to_numpy(), head.column("lp").to_numpy()
-    coded = sorted(((w, int(c)) for w, c in zip(names, counts) if c > 0), key=lambda r: (-r[1], r[0]))
+    coded = sorted(((w, int(c)) for w, c, own in zip(names, counts, head.column("coded").to_pylist()) if own), key=lambda r: (-r[1], r[0]))
     known = np.array([c for _, c in coded], np.int64)
     slot_bits = max(LEAST_BITS, ceil(log2(16 * (v + 1))))
     escapes = n - ends - int(known.sum()) + int((known == 1).sum())
@@ -518,7 +536,7 @@ def score(docs: DataFrame, train) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, _train boolean, n_tokens long, base double, known long, lp double, tail array<struct<word: binary, c: long, s: long>>"
     rows = scratch.table(docs.mapInArrow(heads, schema).withColumn("_row", F.monotonically_increasing_id()), "heads")
-    tail = rows.select("_row", F.explode("tail").alias("t")).select("_row", "t.word", "t.c", "t.s").join(scored.where(~frequent), "word")
+    tail = rows.select("_row", F.explode("tail").alias("t")).select("_row", "t.word", "t.c", "t.s").join(scored.where(~near), "word")
     of_row = tail.groupBy("_row").agg(
         F.sum(F.col("c") * (F.log10(F.col("n") + 1.0) + F.lit(base_of))).alias("base2"), F.sum(F.when(F.col("n") > 0, F.col("c")).otherwise(0)).alias("known2"), F.sum(F.col("s") * F.col("lp")).alias("lp2")
     )
