@@ -112,7 +112,8 @@ def without_lines(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     Documents that lose nothing keep their text as it is, null included. Kept lines are the stretches between
     dropped positions, so the work is in proportion to a document's lines.
     """
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    docs, named = scratch.apart(docs, "doc_id", "text", without=("n_lines", "n_dropped"))
+    kept = docs.columns
     gone = dropped.groupBy("doc_id", "_text").agg(F.array_sort(F.collect_set("_pos")).alias("_gone"))
     rows = docs.select(*kept, F.xxhash64("text").alias("_text")).join(gone, ["doc_id", "_text"], "left")
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
@@ -120,10 +121,12 @@ def without_lines(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     ends = F.concat(F.array(F.lit(-1)), F.col("_gone"), F.array(F.size("_lines")))
     stretches = F.transform(F.sequence(F.lit(1), m + 1), lambda j: F.slice("_lines", F.element_at("_ends", j) + 2, F.element_at("_ends", j + 1) - F.element_at("_ends", j) - 1))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(stretches), "\n"))
-    return rows.withColumn("_lines", lines).withColumn("_ends", ends).select(
-        *[text.alias("text") if c == "text" else F.col(c) for c in kept],
-        F.size("_lines").cast("long").alias("n_lines"),
-        F.when(F.col("_gone").isNull(), 0).otherwise(m).cast("long").alias("n_dropped"),
+    return named(
+        rows.withColumn("_lines", lines).withColumn("_ends", ends).select(
+            *[text.alias("text") if c == "text" else F.col(c) for c in kept],
+            F.size("_lines").cast("long").alias("n_lines"),
+            F.when(F.col("_gone").isNull(), 0).otherwise(m).cast("long").alias("n_dropped"),
+        )
     )
 
 

@@ -260,4 +260,5 @@ def keep_one(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
     some = docs.join(once.select("doc_id"), docs["doc_id"].eqNullSafe(once["doc_id"]), "left_semi")
     if once.where("n > 1").isEmpty():
         return some
-    return some.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    some, named = scratch.apart(some, "doc_id", "text")
+    return named(some.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text"))

@@ -226,6 +226,7 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     hash, so that a length shared by a third of all rows is no single task; equal rows take different places.
     """
     spark: SparkSession = pieces.sparkSession
+    pieces, named = scratch.apart(pieces, "doc_id", "piece", "length", without=("sequence_id", "offset"))
     buckets = max(8, 2 * scratch.shuffle_partitions(spark))
     slim = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
     counts = slim.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
@@ -233,7 +234,7 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     starts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     histogram = {r["length"]: r["n"] for r in slim.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = spark.sparkContext.broadcast(places(pack_lengths(histogram, capacity)))  # bounded by the capacity, not by rows
-    within = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece")
+    within = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", F.xxhash64(*[f.name for f in pieces.schema if "map<" not in f.dataType.simpleString()]))
     ranked = (
         slim.withColumn("_rank", F.row_number().over(within).cast("long") - 1)
         .join(starts, ["length", "_bucket"])
@@ -259,7 +260,7 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:n_cols], pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return ranked.mapInArrow(place, f"{fields}, sequence_id long, offset long")
+    return named(ranked.mapInArrow(place, f"{fields}, sequence_id long, offset long"))
 
 
 def sequences(packed: DataFrame) -> DataFrame:

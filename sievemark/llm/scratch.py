@@ -11,7 +11,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,6 +62,20 @@ def drop(df: DataFrame) -> None:
             p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def apart(df: DataFrame, *own: str, without: tuple[str, ...] = ()) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with plain names (c0, c1, ...) for all columns but ``own``, so that none can meet an operator's working names, and what gives them back.
+
+    Columns in ``without`` are left out. The names are given back in their order, before the columns that came since.
+    """
+    kept = [c for c in df.columns if c not in without]
+    plain = {c: c if c in own else f"c{i}" for i, c in enumerate(kept)}
+
+    def back(out: DataFrame) -> DataFrame:
+        return out.select(*[F.col(plain[c]).alias(c) for c in kept], *[c for c in out.columns if c not in set(plain.values())])
+
+    return df.select(*[F.col(f"`{c}`").alias(plain[c]) for c in kept]), back
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -21,9 +21,9 @@ def shard(docs: DataFrame, shards: int = 40, tolerance: float = 0.001, overhead:
     each: no task holds a whole shard when there are more machines than shards.
     """
     spark = docs.sparkSession
-    kept = [c for c in docs.columns if c not in ("size", "shard", "slot")]
-    keyed = docs.select(
-        *kept,
+    rows, named = scratch.apart(docs, "doc_id", "text", without=("size", "shard", "slot"))
+    keyed = rows.select(
+        "*",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + overhead).cast("long").alias("size"),
         F.xxhash64("text").alias("k1"),
         F.xxhash64("doc_id").alias("k2"),
@@ -35,12 +35,12 @@ def shard(docs: DataFrame, shards: int = 40, tolerance: float = 0.001, overhead:
     before = cut.rows_before + [cut.total_rows] * (shards * each - len(cut.rows_before))
     offsets = F.array(*[F.lit(before[p] - before[p - p % each]).cast("long") for p in range(shards * each)])
     within = Window.partitionBy("_part").orderBy("k1", "k2", "doc_id")
-    return (
+    return named(
         cut.part(keyed, "k1", "k2", "_part")
         .repartition(shards * each, "_part")
         .withColumn("_row", F.row_number().over(within).cast("long") - 1)
         .select(
-            *kept,
+            *rows.columns,
             "size",
             F.floor(F.col("_part") / each).cast("int").alias("shard"),
             (F.col("_row") + F.element_at(offsets, F.col("_part") + 1)).alias("slot"),

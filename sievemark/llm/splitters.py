@@ -98,11 +98,13 @@ def find(keys: DataFrame, parts: int, tolerance: float = 0.001) -> Splitters:
             if len(next(iter(active))) == 1:
                 where, up = F.col("k1").isin([p[0] for p in active]), [F.col("k1")]
             else:
-                where, up = F.lit(False), [F.col("k1"), F.shiftright("k2", last_bits).cast("long")]
-                for p in active:
-                    where = where | ((F.col("k1") == p[0]) & (F.shiftright("k2", last_bits) == p[1]))
+                where, up = F.lit(True), [F.col("k1"), F.shiftright("k2", last_bits).cast("long")]
+        some = keys.where(where)
+        if level == "k2" and len(up) == 2:  # as many cells as splitters, as a table: a condition for each is too deep to plan
+            cells = keys.sparkSession.createDataFrame(list(active), "_cell1 long, _cell2 long")
+            some = some.join(F.broadcast(cells), (up[0] == F.col("_cell1")) & (up[1] == F.col("_cell2")), "left_semi")
         counted = (
-            keys.where(where)
+            some
             .groupBy(*[u.alias(f"u{i}") for i, u in enumerate(up)], *cell)
             .agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n"))
             .collect()

@@ -10,6 +10,8 @@ where. The fingerprint is the chosen hashes with their positions, in order.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +39,7 @@ def with_fingerprint(docs: DataFrame, text: str, out: str) -> DataFrame:
 
     Texts of fewer than K units have the grams of the longest half of K that they hold; of fewer than W grams, one window.
     """
-    v, g = f"_{out}_v", f"_{out}_g"
+    v, g = (next(n for i in count() if (n := f"{x}{i}") not in docs.columns) for x in ("grams", "hashes"))
     units = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(UNIT), F.lit(0))
     df = docs.withColumn(g, F.transform(units, lambda u: F.pmod(F.xxhash64(u), F.lit(_PRIME))))
     span = 1
@@ -78,6 +80,7 @@ def with_next(docs: DataFrame, columns: list[str], parts: int | None = None) ->
     of each range is also sent to the range before it, so no task holds more than its range.
     """
     spark = docs.sparkSession
+    docs, named = scratch.apart(docs, "doc_id", "text", *columns)
     rows = docs.withColumn("k1", F.coalesce(F.bitwise_not(F.col("doc_id").cast("long")), F.lit((1 << 63) - 1))).withColumn("k2", F.xxhash64("text"))
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
     keys = scratch.table(rows.select("k1", "k2", size.alias("size")), "order-keys")
@@ -93,7 +96,7 @@ def with_next(docs: DataFrame, columns: list[str], parts: int | None = None) ->
     spread = spread.withColumn("_range", F.col("_copy.part")).withColumn("_shadow", F.col("_copy.shadow"))
     order = Window.partitionBy("_range").orderBy("_shadow", "k1", "k2")
     following = spread.repartition(parts, "_range").select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns])
-    return following.where("_shadow = 0").select(*docs.columns, *[f"next_{c}" for c in columns])
+    return named(following.where("_shadow = 0").select(*docs.columns, *[f"next_{c}" for c in columns]))
 
 
 def edited(text: Column, following: Column) -> Column:

@@ -518,3 +518,54 @@ def test_word_hashes_follow_words(rng):
         for x, h in zip(w, found[at[i] : at[i + 1]].tolist()):
             assert seen.setdefault(x, h) == h
     assert len(set(seen.values())) == len(seen)
+
+
+def test_many_parts_over_one_key(spark):
+    """1,500 parts that all cut through the copies of one text."""
+    from sievemark.llm import scratch
+
+    keys = spark.range(20_000).select(F.lit(5).cast("long").alias("k1"), F.xxhash64("id").alias("k2"), F.lit(10).cast("long").alias("size"))
+    keys = scratch.table(keys, "keys")
+    cut = splitters.find(keys, 1500, 0.001)
+    sizes = {r.p: r.n for r in cut.part(keys, "k1", "k2", "p").groupBy("p").agg(F.count("*").alias("n")).collect()}
+    assert len(sizes) == 1500 and sum(sizes.values()) == 20_000 and max(sizes.values()) <= 15
+
+
+WORKING = ["k1", "k2", "_part", "_row", "_cell", "_base", "_own", "_text", "_lines", "_ends", "_gone", "_pos", "_bucket", "_rank", "_n", "_before", "_range", "_copy", "_shadow", "_first", "_to", "_held", "_keeper", "c0", "c1", "c2", "_t_v", "_t_g", "a.b"]
+
+
+def test_columns_with_working_names_pass_unchanged(spark, texts):
+    rows = [(d, t) for d, t in texts if d < 130 or d in (130, 131, 132, 140, 141)] + [(0, texts[0][1])]
+    df = clashing(spark.createDataFrame(rows, SCHEMA).repartition(3), *WORKING)
+    old = tuple(f"old {n}" for n in WORKING)
+    same = lambda out: all(tuple(r[n] for n in WORKING) == old for r in out)
+    got = sharding.shard(df, shards=3).collect()
+    assert len(got) == len(rows) and same(got)
+    got = line_dedup.dedup(df).collect()
+    assert len(got) == len(rows) and same(got)
+    got = winnowing.with_next(winnowing.with_fingerprint(df, "text", "t"), ["text", "t"]).collect()
+    assert len(got) == len(rows) and same(got)
+    got = minhash.keep_one(df).collect()
+    assert same(got) and len({r.doc_id for r in got}) == len(got)
+    pieces = df.select("doc_id", *[f"`{n}`" for n in WORKING], F.lit(0).alias("piece"), (F.col("doc_id") % 50 + 1).cast("long").alias("length"), F.lit("x").alias("offset"))
+    got = packing.pack(pieces).collect()
+    assert len(got) == len(rows) and same(got) and all(isinstance(r.offset, int) for r in got)
+
+
+def test_held_out_texts_change_no_training_score(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "HEAD", 6)
+    docs = [(i, " ".join(f"w{j % (i + 3)}" for j in range(40))) for i in range(12)]
+
+    def scores(held):
+        df = spark.createDataFrame([*docs, (100, held)], SCHEMA)
+        return {r.doc_id: (r.base_score, r.score, r.n_known) for r in language_model.score(df, F.col("doc_id") < 100).collect() if r.doc_id < 100}
+
+    assert scores("zz zz zz yy yy yy w1") == scores("w5 w6 w7 w8 w9 " * 50)
+
+
+def test_tables_summed_in_two_levels_give_the_same(spark, monkeypatch, texts):
+    df = spark.createDataFrame(texts[:60], SCHEMA).repartition(12)
+    once = {r.doc_id: r.score for r in language_model.score(df, F.lit(True)).collect()}
+    monkeypatch.setattr(language_model, "SUMMED", 2)
+    monkeypatch.setattr(language_model, "TASK_TOKENS", 100)
+    assert {r.doc_id: r.score for r in language_model.score(df, F.lit(True)).collect()} == once
