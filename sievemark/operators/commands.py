@@ -79,6 +79,11 @@ def record(hits: DataFrame) -> DataFrame:
     return flat.groupBy("sid", "rule", "kind", "snippet").agg(F.min("ts").alias("ts"), F.bool_or("blocked").alias("blocked"))
 
 
+def hit_events(recorded: DataFrame) -> DataFrame:
+    """A CMDHIT event for each row of ``record``: the rule as its reason, the snippet's first 200 bytes as its message."""
+    return recorded.select("sid", F.lit("CMDHIT").alias("type"), F.col("rule").alias("reason"), "kind", F.lit(1).alias("count"), T.truncated(F.col("snippet"), 200).alias("message"), "blocked", "ts")
+
+
 def request_snippets(requests: DataFrame, rules: Rules | None = None) -> DataFrame:
     """sid and snippet of every command that a request (sid, text) holds itself."""
     each = [F.flatten(F.transform(windows(F.col("text")), lambda w: F.regexp_extract_all(w, F.lit(p), F.lit(0)))) for _, _, p in (P.COMMANDS if rules is None else rules)]  # noqa: B023

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import detector_queries, event_log, json_queries, mapping_queries, request_queries, signal_queries, stream_queries
+from . import detector_queries, event_log, flow_queries, json_queries, mapping_queries, request_queries, signal_queries, stream_queries
 
-MODULES = [detector_queries, event_log, json_queries, mapping_queries, request_queries, signal_queries, stream_queries]
+MODULES = [detector_queries, event_log, flow_queries, json_queries, mapping_queries, request_queries, signal_queries, stream_queries]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
