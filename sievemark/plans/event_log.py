@@ -22,23 +22,23 @@ def log(d) -> str:
     secs = "CAST(unix_timestamp(ts) AS BIGINT)" if d is Spark else "CAST(floor(epoch(ts)) AS BIGINT)"
     return f"""
 SELECT event_id AS id, {secs} AS ts, {day} AS day,
-  CASE event_id % 6 WHEN 0 THEN 'MASK' WHEN 1 THEN 'RESTORE' WHEN 2 THEN 'PASS' WHEN 3 THEN 'BYPASS' WHEN 4 THEN 'ALERT' ELSE 'BLOCK' END AS type,
-  CASE WHEN event_id % 7 = 0 THEN 503 WHEN event_id % 11 = 0 THEN 400 ELSE 200 END AS status,
-  CASE WHEN event_id % 7 = 0 THEN 'pipeline' WHEN event_id % 5 = 0 THEN 'readonly_method' ELSE '' END AS reason,
-  CASE event_id % 4 WHEN 0 THEN 'm-large' WHEN 1 THEN 'm-small' WHEN 2 THEN ' ' ELSE NULL END AS model,
-  'S' || CAST(user_id AS STRING) AS sid, event_id % 9 AS cnt, event_id % 4 AS n_items, event_id % 5 AS restored,
-  CAST(floor(value * 10) AS BIGINT) AS prompt_tokens, (event_id * 7) % 100 AS completion_tokens,
-  CASE event_id % 8 WHEN 0 THEN 'CRITICAL' WHEN 1 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
-  event_type AS kind, '{{"id":' || CAST(event_id AS STRING) || ',"type":"' || event_type || '","model":"m' || CAST(user_id % 3 AS STRING) || '","n":' || CAST(user_id AS STRING) || '}}' AS payload
-FROM events"""
+  CASE event_type WHEN 'view' THEN 'MASK' WHEN 'click' THEN 'RESTORE' WHEN 'purchase' THEN 'PASS' WHEN 'signup' THEN 'ALERT' WHEN 'error' THEN 'BLOCK' ELSE CASE WHEN value > 50 THEN 'ALERT' ELSE 'BYPASS' END END AS type,
+  CASE WHEN cents % 7 = 0 THEN 503 WHEN cents % 11 = 0 THEN 400 ELSE 200 END AS status,
+  CASE WHEN cents % 7 = 0 THEN 'pipeline' WHEN cents % 5 = 0 THEN 'readonly_method' ELSE '' END AS reason,
+  CASE user_id % 4 WHEN 0 THEN 'm-large' WHEN 1 THEN 'm-small' WHEN 2 THEN ' ' ELSE NULL END AS model,
+  'S' || CAST(user_id AS STRING) AS sid, cents % 9 AS cnt, cents % 4 AS n_items, cents % 5 AS restored, cents % 31 AS mark,
+  CAST(floor(value * 10) AS BIGINT) AS prompt_tokens, cents % 100 AS completion_tokens,
+  CASE cents % 8 WHEN 0 THEN 'CRITICAL' WHEN 1 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
+  event_type AS kind, '{{"id":' || CAST(event_id AS STRING) || ',"type":"' || event_type || '","model":"m' || CAST(user_id % 3 AS STRING) || '","n":' || CAST(user_id AS STRING) || ',"props":' || props || '}}' AS payload
+FROM (SELECT *, CAST(floor(value * 100) AS BIGINT) AS cents FROM events) e"""
 
 
 def items(d) -> str:
     """One row for each item of an event: label, word, whether it was restored."""
     each = "LATERAL VIEW explode(sequence(1, 3)) x AS k" if d is Spark else ", unnest([1, 2, 3]) x(k)"
     return f"""
-SELECT id, ts, day, sid, type, k, CASE (id + k) % 3 WHEN 0 THEN 'PHONE' WHEN 1 THEN 'EMAIL' ELSE 'CARD' END AS label,
-  'w' || CAST((id * 31 + k * 17) % 40 AS STRING) AS word, (id + k) % 2 = 0 AS restored FROM (SELECT * FROM log) l {each} WHERE k <= n_items"""
+SELECT id, ts, day, sid, type, k, CASE (mark + k) % 3 WHEN 0 THEN 'PHONE' WHEN 1 THEN 'EMAIL' ELSE 'CARD' END AS label,
+  'w' || CAST((mark * 31 + completion_tokens * 7 + k * 17) % 40 AS STRING) AS word, (completion_tokens + k) % 2 = 0 AS restored FROM (SELECT * FROM log) l {each} WHERE k <= n_items"""
 
 
 RANK = "CASE severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END"
@@ -63,7 +63,7 @@ SELECT day, count(*) AS requests, count(DISTINCT sid) AS distinct_sids, sum(CASE
     "agg15_warned": "SELECT sid, max(cnt) AS warned, count(DISTINCT label) AS labels FROM (SELECT l.sid, l.cnt, i.label FROM log l JOIN items i ON l.id = i.id) q GROUP BY sid",
     "agg16_distinct_originals": "SELECT sid, count(DISTINCT word) AS masked_total, count(*) - count(DISTINCT word) AS reused FROM items GROUP BY sid",
     "agg17_total": "SELECT count(*) AS n FROM log WHERE type = 'MASK'",
-    "agg18_id_watermark": "SELECT greatest(max(id), (SELECT max(k) FROM items)) + 1 AS next_id FROM log",
+    "agg18_id_watermark": "SELECT greatest(max(id), max(prompt_tokens), (SELECT max(id) FROM items)) + 1 AS next_id FROM log",
     "agg20_mapping_count": "SELECT count(DISTINCT label || '|' || word) AS n FROM items",
     "win01_regress": "SELECT sid, min(id) AS first_id FROM (SELECT sid, id, completion_tokens, lag(completion_tokens) OVER (PARTITION BY sid ORDER BY id) AS before FROM log) q WHERE completion_tokens < before GROUP BY sid",
     "win02_input_changes": "SELECT sid, count(*) AS n FROM (SELECT sid, prompt_tokens, first_value(prompt_tokens) OVER (PARTITION BY sid ORDER BY id) AS first_tokens FROM log) q WHERE prompt_tokens <> first_tokens GROUP BY sid",
@@ -146,8 +146,8 @@ def text_queries(d) -> dict[str, str]:
     lines = "size(split(text, '\\n'))" if d is Spark else "len(string_split(text, chr(10)))"
     return {
         "src05_lines": f"SELECT doc_id, CAST({lines} AS BIGINT) AS n_lines FROM documents",
-        "src06_content_type": "SELECT page_id, CASE WHEN lower(ct) LIKE '%event-stream%' THEN 'sse' WHEN lower(ct) LIKE '%ndjson%' THEN 'ndjson' WHEN lower(ct) LIKE '%json%' THEN 'json' ELSE 'other' END AS framing FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'text/Event-Stream' WHEN 1 THEN 'application/x-ndjson' WHEN 2 THEN 'application/json; charset=utf-8' ELSE 'text/html' END AS ct FROM pages) q",
-        "src11_encodings": "SELECT page_id, lower(trim(e)) AS enc, lower(trim(e)) IN ('', 'identity') AS plain, lower(trim(e)) IN ('gzip', 'x-gzip', 'deflate', 'br', 'zstd') AS decodable FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN ' GZip ' WHEN 1 THEN 'identity' ELSE 'zip' END AS e FROM pages) q",
+        "src06_content_type": "SELECT page_id, CASE WHEN lower(ct) LIKE '%event-stream%' THEN 'sse' WHEN lower(ct) LIKE '%ndjson%' THEN 'ndjson' WHEN lower(ct) LIKE '%json%' THEN 'json' ELSE 'other' END AS framing FROM (SELECT page_id, CASE length(html) % 4 WHEN 0 THEN 'text/Event-Stream' WHEN 1 THEN 'application/x-ndjson' WHEN 2 THEN 'application/json; charset=utf-8' ELSE 'text/html' END AS ct FROM pages) q",
+        "src11_encodings": "SELECT page_id, lower(trim(e)) AS enc, lower(trim(e)) IN ('', 'identity') AS plain, lower(trim(e)) IN ('gzip', 'x-gzip', 'deflate', 'br', 'zstd') AS decodable FROM (SELECT page_id, CASE length(html) % 3 WHEN 0 THEN ' GZip ' WHEN 1 THEN 'identity' ELSE 'zip' END AS e FROM pages) q",
         "prj10_first_user": "SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations WHERE role = 'user') q WHERE r = 1",
         "agg22_placeholders": f"SELECT doc_id, {d.count('t', r'\{\{[A-Z0-9]+_[a-z]{6}\}\}')} AS n FROM (SELECT doc_id, replace(text, ' the ', ' {{{{TERM_bcdfgh}}}} ') AS t FROM documents) q".replace("{{{{", "{{").replace("}}}}", "}}"),
     }
