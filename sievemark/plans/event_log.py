@@ -83,7 +83,7 @@ SELECT day, count(*) AS requests, count(DISTINCT sid) AS distinct_sids, sum(CASE
     "jon02_token_to_original": "SELECT i.id, i.k, m.word AS orig FROM items i LEFT JOIN (SELECT label, word, max(ts) AS created FROM items GROUP BY label, word) m ON i.label = m.label AND i.word = m.word AND i.ts >= m.created - 86400",
     "jon04_unique_suffix": "SELECT i.id, i.k, u.label FROM items i JOIN (SELECT label || word AS word, min(label) AS label FROM items GROUP BY label || word HAVING count(DISTINCT label) = 1) u ON i.label || i.word = u.word AND i.label = u.label",
     "jon05_request_response": "SELECT sid, max(CASE WHEN type = 'MASK' THEN id END) AS request_id, max(CASE WHEN type = 'RESTORE' THEN id END) AS response_id, sum(CASE WHEN type = 'MASK' THEN prompt_tokens ELSE 0 END) AS request_bytes FROM log GROUP BY sid",
-    "jon06_model_mismatch": "SELECT a.id, a.model AS asked, b.model AS got FROM log a JOIN log b ON a.id + 1 = b.id WHERE a.model <> b.model",
+    "jon06_model_mismatch": "SELECT a.sid, a.id, a.kind AS asked, b.kind AS got FROM (SELECT sid, id, kind, lead(id) OVER (PARTITION BY sid ORDER BY id) AS answer FROM log) a JOIN log b ON a.answer = b.id WHERE a.kind <> b.kind",
     "jon07_echo_anti": "SELECT DISTINCT i.sid, i.word FROM items i WHERE i.type = 'RESTORE' AND NOT EXISTS (SELECT 1 FROM items q WHERE q.type = 'MASK' AND q.sid = i.sid AND q.word = i.word)",
     "jon09_leaks_less_known": "SELECT i.id, i.k, i.label, i.word FROM items i LEFT ANTI JOIN (SELECT sid, word FROM items WHERE type = 'MASK') m ON i.sid = m.sid AND i.word = m.word WHERE i.type = 'PASS'",
     "jon15_seeded": "SELECT i.id, i.k FROM items i JOIN (SELECT label, word, min(ts) AS first_ts FROM items WHERE type = 'MASK' GROUP BY label, word) m ON i.label = m.label AND i.word = m.word WHERE i.type = 'RESTORE' AND i.ts > m.first_ts AND i.ts <= m.first_ts + 86400",
@@ -137,7 +137,6 @@ SELECT sid, last_id FROM (SELECT s.sid, s.last_id, t.newer + {run.replace('day O
         "prj06_model": f"SELECT id, coalesce({js('payload', 'model')}, '') AS model FROM log",
         "str01_digest": f"SELECT DISTINCT word, substr({d.sha('word')}, 1, 16) AS digest FROM items",
         "str04_safe_label": f"SELECT DISTINCT kind, coalesce(nullif(substr({d.sub('upper(kind)', '[^A-Z0-9]', '')}, 1, 12), ''), 'TERM') AS label FROM log",
-        "str05_token_parts": f"SELECT DISTINCT token, {d.first('token', 'LABEL_([a-z]{6})', 1)} AS suffix, {d.first('token', r'\A\{\{([A-Z]+)_', 1)} AS label FROM (SELECT '{{{{LABEL_' || CASE id % 3 WHEN 0 THEN 'bcdfgh' WHEN 1 THEN 'BCDFGH' ELSE 'zzzzzz' END || '}}}}' AS token FROM log) q",
     }
 
 

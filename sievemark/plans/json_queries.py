@@ -73,7 +73,7 @@ def described(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a request asks for a stream: only by the literal true."""
-    flag = F.element_at(F.array(*[F.lit(x) for x in ("true", "false", '"true"', "1", "null")]), (F.col("turn") % 5 + 1).cast("int"))
+    flag = F.element_at(F.array(*[F.lit(x) for x in ("true", "false", '"true"', "1", "null")]), (F.length("text") % 5 + 1).cast("int"))
     made = _conversations(spark, sf_dir).select(F.concat_ws(":", "conv_id", "turn").alias("row_id"), F.concat(F.lit('{"model":"m","stream":'), flag, F.lit("}")).alias("body"))
     return B.described(made).select("row_id", "stream")
 
@@ -178,7 +178,7 @@ SELECT row_id, CASE turn % 4 WHEN 0 THEN 'chat' WHEN 1 THEN 'anthropic' WHEN 2 T
     "jsn05_slots": f"SELECT row_id AS sid, 'c0.content' AS channel, sha256(text) AS digest, CAST(1 AS BIGINT) AS n_ends FROM ({_CONV})",
     "jsn04_stream_usage": f"SELECT row_id AS sid, length(text)::BIGINT AS prompt, CAST(3 AS BIGINT) AS completion FROM ({_CONV})",
     "src04_sse_events": f"SELECT row_id AS sid, (length(text) // 12 + 2)::BIGINT AS n_events, CAST(1 AS BIGINT) AS n_done, 'sse' AS framing FROM ({_CONV})",
-    "jsn02_stream_flag": f"SELECT row_id, turn % 5 = 0 AS stream FROM ({_CONV})",
+    "jsn02_stream_flag": f"SELECT row_id, length(text) % 5 = 0 AS stream FROM ({_CONV})",
     "jsn03_usage": f"SELECT row_id, CASE WHEN length(text) % 8 <= 5 THEN length(text) ELSE 0 END::BIGINT AS prompt, CASE WHEN length(text) % 8 <= 4 THEN turn ELSE 0 END::BIGINT AS completion FROM ({_CONV})",
     "prj09_dialog_head": r"""
 SELECT doc_id, sha256(CASE WHEN doc_id % 2 = 1 OR blank THEN left(CASE WHEN doc_id % 2 = 1 THEN text ELSE body END, 512) WHEN length(text) > 8000 THEN trim(left(text, 8000) || chr(10) || '…（已截断，原文更长）', ' ') ELSE trim(text, ' ') END) AS digest

@@ -210,9 +210,13 @@ MODELS = [("org/gamma-large", "gamma-large"), ("delta-small", "gamma-mini"), ("o
 
 
 def identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    conv = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    pick = lambda k: F.element_at(F.array(*[F.lit(m[k]) for m in MODELS]), (F.col("turn") % 7 + 1).cast("int"))
-    return signals.identity_swap(conv.select(F.concat_ws(":", "conv_id", "turn").alias("row_id"), pick(0).alias("asked"), pick(1).alias("got"))).drop("ord")
+    """Parts as models: each was asked for by its name, and its next number's answered; owners and spelling vary with the size."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    name = F.replace("p_name", F.lit(" "), F.lit("-"))
+    asked = part.select("p_partkey", F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("org/"), name)).when(F.col("p_size") % 3 == 1, F.upper(name)).otherwise(name).alias("asked"))
+    got = part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.when(F.col("p_size") % 10 == 0, F.lit(" ")).otherwise(F.concat(name, F.lit("-0613"))).alias("got"))
+    rows = asked.join(got, "p_partkey").withColumnRenamed("p_partkey", "row_id")
+    return signals.identity_swap(rows).drop("ord")
 
 
 def rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,11 +226,14 @@ def rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    conv = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    kind = F.when(F.col("turn") == 0, "message_start").when(F.col("turn") % 5 == 4, F.concat(F.lit("odd"), F.col("turn"))).otherwise("message_delta")
-    usage = F.to_json(F.struct(F.struct(((F.col("turn") * 7) % 10).alias("output_tokens"), (F.lit(5) + F.col("conv_id") % 2).alias("input_tokens")).alias("usage")))
-    data = F.when(F.col("turn") == 0, '{"message":{"usage":{"input_tokens":5}}}').when(F.col("turn") % 5 == 4, "{}").otherwise(usage)
-    return signals.stream_anomaly(conv.select(F.col("conv_id").alias("row_id"), F.col("turn").alias("seq"), kind.alias("type"), data.alias("data"))).drop("ord")
+    """The events of each user and day as a stream: views start messages, clicks tell usage by their value, errors have an empty signature, other types are no events of any protocol."""
+    log = spark.read.parquet(f"{sf_dir}/events.parquet")
+    n = F.floor("value").cast("long")
+    usage = F.to_json(F.struct(F.struct(n.alias("output_tokens"), (n % 3).alias("input_tokens")).alias("usage")))
+    data = F.when(F.col("event_type") == "view", F.to_json(F.struct(F.struct(F.struct((n % 3).alias("input_tokens")).alias("usage")).alias("message")))).when(F.col("event_type") == "click", usage).when(F.col("event_type") == "error", '{"signature_delta":" "}').otherwise("{}")
+    kind = F.when(F.col("event_type") == "view", "message_start").when(F.col("event_type").isin("click", "error"), "message_delta").otherwise(F.col("event_type"))
+    rows = log.select(F.concat_ws(":", "user_id", F.to_date("ts")).alias("row_id"), F.col("event_id").alias("seq"), kind.alias("type"), data.alias("data"))
+    return signals.stream_anomaly(rows).drop("ord")
 
 
 def canaries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,8 +270,12 @@ def _channel(column: str, k: int = 0):
 
 
 def channel_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return log.select("event_id", commands.channel_kind(_channel("event_id")).alias("kind"))
+    """Kinds of channels: one by the length of each text, and one that ends with each turn's first word."""
+    rows = responses(spark, sf_dir).withColumn("n", F.length(F.coalesce("text", F.lit(""))))
+    word = F.regexp_extract("text", r"[A-Za-z]+", 0)
+    named = F.concat(F.lit("c0."), F.when(F.col("n") % 2 == 0, word).otherwise(F.concat(F.lit("x"), word, F.lit("_tool_call"))))
+    both = rows.select("row_id", F.lit(0).alias("k"), _channel("n").alias("c")).unionByName(rows.where("text <> ''").select("row_id", F.lit(1).alias("k"), named.alias("c")))
+    return both.select("row_id", "k", commands.channel_kind(F.col("c")).alias("kind"))
 
 
 def _judged(spark: SparkSession, sf_dir: str, mode: str, channels: tuple[str, ...] = ("tool",)) -> DataFrame:
@@ -279,11 +290,10 @@ def first_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Family and tier words of model names."""
-    names = [*dict.fromkeys(n for m in MODELS for n in m), "Org/Omega-Pro-Mini-pro", "x"]
-    log = spark.read.parquet(f"{sf_dir}/events.parquet")
-    name = F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("event_id") % len(names) + 1).cast("int"))
-    return log.select("event_id", signals.family(name).alias("family"), F.array_join(signals.tiers(name), ",").alias("tiers"))
+    """Family and tier words of parts as models: name and type, some with an owner."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    name = F.concat(F.when(F.col("p_size") % 2 == 0, "Org/").otherwise(""), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("-"), "p_type", F.lit("."), F.col("p_size").cast("string"))
+    return part.select("p_partkey", signals.family(name).alias("family"), F.array_join(signals.tiers(name), ",").alias("tiers"))
 
 
 def displayed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -368,6 +378,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _NAMED = f"SELECT *, length(coalesce(text, '')) AS n FROM ({responses_sql()})"
 _KIND = "CASE n % 11 " + " ".join(f"WHEN {i} THEN '{k}'" for i, (_, k) in enumerate(CHANNELS)) + " END"
 _HITS = f"SELECT row_id AS sid, text, request, n, {_KIND} AS kind, {_hit_sql('text')} AS hit FROM ({_NAMED}) WHERE {_KIND} = 'tool'"
+_family_sql = lambda x: f"regexp_extract(lower({x}), '^[a-z0-9]*')"
+_tiers_sql = lambda x: f"list_sort(list_filter(regexp_split_to_array(lower({x}), '[^a-z0-9]'), lambda w: w IN ({', '.join(_q(t) for t in P.TIERS)})))"
 _WANT_MODELS = {1: ("HIGH", "model_mismatch", "model_mismatch: req=delta-small resp=gamma-mini"), 2: ("HIGH", "model_mismatch", "model_mismatch: req=org/gamma-large resp=delta-small"), 3: ("HIGH", "model_mismatch", "model_mismatch: req=delta-small resp=gamma-large"), 4: ("MEDIUM", "model_tier_mismatch", "model_tier_mismatch: req=org/gamma-large [large] resp=gamma-mini [mini]")}
 _WANT_HOOK = [(1, *_WANT_MODELS[1]), (2, *_WANT_MODELS[2]), (3, *_WANT_MODELS[3]), (4, *_WANT_MODELS[4])]
 _LENGTHS = f"SELECT row_id, length(coalesce(text, '')) AS n FROM ({responses_sql()})"
@@ -385,20 +397,31 @@ SELECT * FROM d UNION ALL SELECT * FROM i UNION ALL SELECT * FROM c UNION ALL SE
     "aud05_response_poison": _poison_sql(),
     "aud12_dangerous_action": _danger_sql(),
     "agg12_worst_findings": f"WITH a AS (SELECT * FROM ({_danger_sql()}) UNION ALL SELECT * FROM ({_poison_sql()})), k AS (SELECT row_id, signal, CASE severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END AS rank FROM a) SELECT row_id, max(rank) AS rank, count(*) AS total FROM k WHERE rank >= 3 OR signal = 'dangerous_action' GROUP BY row_id",
-    "aud02_identity_swap": "SELECT conv_id || ':' || turn AS row_id, 'identity_swap' AS signal, severity, kind, evidence FROM conversations JOIN (VALUES " + ", ".join(f"({k}, '{s}', '{n}', '{e}')" for k, (s, n, e) in _WANT_MODELS.items()) + ") w(k, severity, kind, evidence) ON turn % 7 = k",
+    "aud02_identity_swap": f"""
+WITH n AS (SELECT a.p_partkey AS row_id, CASE a.p_size % 3 WHEN 0 THEN 'org/' || x WHEN 1 THEN upper(x) ELSE x END AS asked, x, CASE WHEN b.p_size % 10 = 0 THEN ' ' ELSE y || '-0613' END AS got, y || '-0613' AS z, b.p_size % 10 = 0 AS blank
+  FROM (SELECT *, replace(p_name, ' ', '-') AS x FROM part) a JOIN (SELECT *, replace(p_name, ' ', '-') AS y FROM part) b ON b.p_partkey = a.p_partkey + 1),
+t AS (SELECT *, {_family_sql('x')} AS fx, {_family_sql('z')} AS fz, {_tiers_sql('x')} AS tx, {_tiers_sql('z')} AS tz FROM n WHERE NOT blank)
+SELECT row_id, 'identity_swap' AS signal, 'HIGH' AS severity, 'model_mismatch' AS kind, 'model_mismatch: req=' || asked || ' resp=' || got AS evidence FROM t WHERE fx <> fz
+UNION ALL SELECT row_id, 'identity_swap', 'MEDIUM', 'model_tier_mismatch', 'model_tier_mismatch: req=' || asked || ' [' || coalesce(nullif(array_to_string(tx, ','), ''), 'none') || '] resp=' || got || ' [' || coalesce(nullif(array_to_string(tz, ','), ''), 'none') || ']' FROM t WHERE fx = fz AND tx <> tz""",
     "aud03_tool_echo": "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'exact' WHEN 1 THEN CASE WHEN contains(trim(text), ' ') THEN 'whitespace' ELSE 'exact' END ELSE 'substituted' END AS echo FROM conversations WHERE text <> ''",
     "aud04_stream_anomaly": """
-WITH e AS (SELECT conv_id AS row_id, turn, turn = 0 AS start, turn > 0 AND turn % 5 = 4 AS odd, (turn * 7) % 10 AS o, 5 + conv_id % 2 AS i FROM conversations), d AS (SELECT *, lag(o) OVER (PARTITION BY row_id ORDER BY turn) AS before FROM e WHERE NOT start AND NOT odd),
-  falls AS (SELECT row_id, arg_min(before, turn) AS a, arg_min(o, turn) AS b FROM d WHERE o < before GROUP BY row_id)
-SELECT row_id, 'sse_anomaly' AS signal, 'LOW' AS severity, 'unknown_event' AS kind, 'unknown_event: odd' || turn AS evidence FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY turn) AS r FROM e WHERE odd) WHERE r <= 6
+WITH e AS (SELECT user_id || ':' || strftime(ts, '%Y-%m-%d') AS row_id, event_id AS seq, event_type AS t, floor(value)::BIGINT AS n FROM events), c AS (SELECT *, lag(n) OVER (PARTITION BY row_id ORDER BY seq) AS before FROM e WHERE t = 'click'),
+  falls AS (SELECT row_id, arg_min(before, seq) AS a, arg_min(n, seq) AS b FROM c WHERE n < before GROUP BY row_id), first AS (SELECT row_id, arg_max(n % 3, seq) AS s FROM e WHERE t = 'view' GROUP BY row_id),
+  u AS (SELECT row_id, 'unknown_event: ' || t AS evidence, count(*) AS k FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY seq) AS r FROM e WHERE t NOT IN ('view', 'click', 'error')) WHERE r <= 6 GROUP BY ALL)
+SELECT row_id, 'sse_anomaly' AS signal, 'LOW' AS severity, 'unknown_event' AS kind, evidence || CASE WHEN k > 1 THEN ' (x' || k || ')' ELSE '' END AS evidence FROM u
 UNION ALL SELECT row_id, 'sse_anomaly', 'LOW', 'usage_regress', 'output_tokens_regress: ' || a || ' -> ' || b FROM falls
-UNION ALL SELECT row_id, 'sse_anomaly', 'LOW', 'usage_inconsistent', 'input_tokens_inconsistent: first=5 samples=[' || array_to_string(list_slice(list(i ORDER BY turn), 1, 5), ', ') || ']' FROM d WHERE i <> 5 AND row_id IN (SELECT row_id FROM e WHERE start) GROUP BY row_id""",
+UNION ALL SELECT c.row_id, 'sse_anomaly', 'LOW', 'usage_inconsistent', 'input_tokens_inconsistent: first=' || s || ' samples=[' || array_to_string(list_slice(list(n % 3 ORDER BY seq), 1, 5), ', ') || ']' FROM c JOIN first USING (row_id) GROUP BY c.row_id, s HAVING bool_or(n % 3 <> s)
+UNION ALL SELECT row_id, 'sse_anomaly', 'LOW', 'empty_signature', 'empty_signature_delta: ' || count(*) FROM e WHERE t = 'error' GROUP BY row_id""",
     "jon10_canaries": f"SELECT row_id, sha256('prior_canary_recur: ' || nonce) AS digest FROM ({corpus_sql()}) JOIN (SELECT text AS nonce FROM benchmark UNION SELECT text FROM conversations) n ON contains(text, nonce) WHERE nonce <> ''",
     "det37_response_scan": _values_sql(),
-    "cmd04_channel_kind": "SELECT event_id, " + _KIND.replace("n %", "event_id %") + " AS kind FROM events",
+    "cmd04_channel_kind": f"""
+SELECT row_id, 0 AS k, {_KIND} AS kind FROM ({_NAMED}) UNION ALL
+SELECT row_id, 1, CASE WHEN w IN ({', '.join(_q(k) for k in P.META_KEYS)}) THEN 'text' WHEN {' OR '.join(f"contains(w, '{m.strip('.')}')" for m in ('thinking', 'reasoning'))} OR starts_with(w, 'reason') OR starts_with(w, 'think') THEN 'reason'
+  WHEN n % 2 = 1 OR regexp_matches(w, '^tool($|[0-9])') OR starts_with(w, 'fcall') OR starts_with(w, 'pj') OR starts_with(w, 'args') OR contains(w, 'arguments') THEN 'tool' ELSE 'text' END
+FROM (SELECT *, lower(regexp_extract(text, '[A-Za-z]+')) AS w FROM ({_NAMED}) WHERE text <> '')""",
     "cmd05_rewritten": f"SELECT sid, kind, hit, TRUE AS blocked, sha256({_rewritten_sql('text')}) AS digest FROM ({_HITS}) WHERE hit IS NOT NULL",
     "cmd02_first_rule": f"SELECT row_id, split_part(hit, '|', 1) AS id, substr(hit, length(split_part(hit, '|', 1)) + length(split_part(hit, '|', 2)) + 3) AS snippet FROM (SELECT row_id, {_hit_sql('text')} AS hit FROM ({responses_sql()})) WHERE hit IS NOT NULL",
-    "str12_model_family": "SELECT event_id, ['gamma', 'gamma', 'delta', 'gamma', 'delta', '', 'gamma', 'omega', 'x'][event_id % 9 + 1] AS family, ['large', 'large', 'small', 'mini', 'small', '', '', 'mini,pro,pro', ''][event_id % 9 + 1] AS tiers FROM events",
+    "str12_model_family": f"SELECT p_partkey, {_family_sql('x')} AS family, array_to_string({_tiers_sql('x')}, ',') AS tiers FROM (SELECT p_partkey, replace(p_name, ' ', '_') || '-' || p_type || '.' || p_size AS x FROM part)",
     "spn01_display_spans": "SELECT conv_id, turn, len(v)::BIGINT AS n_spans, coalesce(list_sum(list_transform(v, lambda x: length(x))), 0)::BIGINT AS covered, sha256(replace(replace(text, 'them', '<2>'), 'the', '<1>')) AS digest FROM (SELECT *, regexp_extract_all(text, 'them|the|e') AS v FROM conversations)",
     "cmd09_record": f"SELECT sid, split_part(hit, '|', 1) || ' ' || split_part(hit, '|', 2) AS rule, kind, n AS ts, TRUE AS blocked FROM ({_HITS}) WHERE hit IS NOT NULL",
     "cmd10_unechoed": f"SELECT row_id AS sid, split_part(hit, '|', 1) AS id FROM (SELECT row_id, request, {_hit_sql('text')} AS hit FROM ({responses_sql()})) WHERE hit IS NOT NULL AND request IS NULL",
