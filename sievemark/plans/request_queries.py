@@ -15,35 +15,32 @@ from .detector_queries import KEY, _redacted_sql, find_sql, token_sql
 from .json_queries import bodies
 
 
-def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("id", F.col("event_id"))
 
 
 def _every(n: int):
     return F.col("id") % n == 0
 
 
-BODY = "'{\"id\":' || id || CASE WHEN id % 5 = 0 THEN '' ELSE '}' END"
-
-
 def admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Admission of a request for each event; bodies of every fifth are no JSON."""
-    body = F.concat(F.lit('{"id":'), F.col("id").cast("string"), F.when(_every(5), "").otherwise("}"))
-    made = _log(spark, sf_dir).select(
-        "id", (~_every(97)).alias("routed"), F.when(_every(11), "get").otherwise("POST").alias("method"), _every(13).alias("paused"), F.when(_every(17), " GZip ").when(_every(19), "zip").otherwise("identity").alias("encoding"),
-        _every(34).alias("decoded"), F.when(_every(7), "text/plain").otherwise("Application/JSON").alias("content_type"), F.when(_every(101), F.repeat(body, 200)).otherwise(body).alias("body"), (~_every(3)).alias("known"), _every(23).alias("failed"), _every(29).alias("blocked"),
+    """Admission of each page as a request: routed by its host, its body the page as JSON, cut off or too large by its length, which decides the rest as well."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("id", F.length("html"))
+    body = F.concat(F.lit('{"html":'), F.regexp_extract(F.to_json(F.struct(F.col("html").alias("h"))), r'(?s)\A\{"h":(.*)\}\z', 1), F.when(_every(5), "").otherwise("}"))
+    made = pages.select(
+        "page_id", (~F.col("url").contains(".org/")).alias("routed"), F.when(_every(11), "get").otherwise("POST").alias("method"), _every(13).alias("paused"), F.when(_every(17), " GZip ").when(_every(19), "zip").otherwise("identity").alias("encoding"),
+        _every(34).alias("decoded"), F.when(_every(7), "text/plain").otherwise("Application/JSON").alias("content_type"), body.alias("body"), (~_every(3)).alias("known"), _every(23).alias("failed"), _every(29).alias("blocked"),
     )
     seen = made.withColumn("valid", udfs.json_valid("body"))
-    both = [requests.admitted(seen, closed, 1000).select("id", F.lit(closed).alias("fail_closed"), "type", "status", "reason") for closed in (True, False)]
+    both = [requests.admitted(seen, closed, 12_000).select("page_id", F.lit(closed).alias("fail_closed"), "type", "status", "reason") for closed in (True, False)]
     return both[0].unionByName(both[1])
 
 
 def _admission_sql() -> str:
     shut = lambda status, reason: f"CASE WHEN closed THEN ['BLOCK', '{status}', '{reason}'] ELSE ['BYPASS', '200', '{reason}'] END"
-    verdict = f"""CASE WHEN id % 97 = 0 THEN ['BLOCK', '502', 'no_reverse_route'] WHEN strlen(body) > 1000 THEN ['BLOCK', '413', 'too_large'] WHEN id % 11 = 0 THEN ['PASS', '200', 'readonly_method'] WHEN id % 13 = 0 THEN ['BYPASS', '200', 'filter_disabled']
+    verdict = f"""CASE WHEN contains(url, '.org/') THEN ['BLOCK', '502', 'no_reverse_route'] WHEN strlen(body) > 12000 THEN ['BLOCK', '413', 'too_large'] WHEN id % 11 = 0 THEN ['PASS', '200', 'readonly_method'] WHEN id % 13 = 0 THEN ['BYPASS', '200', 'filter_disabled']
  WHEN id % 17 = 0 AND id % 34 <> 0 THEN ['BLOCK', '415', 'unsupported_encoding'] WHEN id % 17 <> 0 AND id % 19 = 0 THEN ['BLOCK', '415', 'unsupported_encoding'] WHEN id % 7 = 0 THEN {shut(503, 'non_json')} WHEN NOT json_valid(body) THEN {shut(400, 'invalid_json')}
  WHEN id % 3 = 0 AND NOT closed THEN ['BYPASS', '200', 'unknown_shape'] WHEN id % 23 = 0 THEN ['BLOCK', '503', 'pipeline'] WHEN id % 29 = 0 THEN ['BLOCK', '503', 'rule_block'] ELSE ['MASK', '200', ''] END"""
-    return f"SELECT id, closed AS fail_closed, v[1] AS type, v[2]::INT AS status, v[3] AS reason FROM (SELECT id, closed, {verdict} AS v FROM (SELECT event_id AS id, closed, CASE WHEN event_id % 101 = 0 THEN repeat({BODY.replace('id ', 'event_id ').replace('|| id', '|| event_id')}, 200) ELSE {BODY.replace('id %', 'event_id %').replace('|| id', '|| event_id')} END AS body FROM events, (VALUES (TRUE), (FALSE)) c(closed)))"
+    body = """'{"html":' || to_json(html)::VARCHAR || CASE WHEN length(html) % 5 = 0 THEN '' ELSE '}' END"""
+    return f"SELECT page_id, closed AS fail_closed, v[1] AS type, v[2]::INT AS status, v[3] AS reason FROM (SELECT page_id, closed, {verdict} AS v FROM (SELECT page_id, url, length(html) AS id, closed, {body} AS body FROM pages, (VALUES (TRUE), (FALSE)) c(closed)))"
 
 
 def byte_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
