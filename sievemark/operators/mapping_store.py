@@ -120,6 +120,13 @@ class Versions:
             fs.delete(path(f"{self.path}/v{number:09d}-{batch}"), True)
 
 
+def clear_all(tables: dict[str, Versions], batch: str, keep: tuple[str, ...] = ("daily_stats",)) -> None:
+    """An empty version of each table but those in ``keep``: log, words and traces go, the day's counters stay. A retry changes nothing."""
+    for name, table in tables.items():
+        if name not in keep:
+            table.commit(batch, lambda now: now.limit(0))
+
+
 def lookup(values: DataFrame, mapping: DataFrame) -> DataFrame:
     """``values`` (label, value, ...) with the token that each has in ``mapping``, dictionary words first; null where it has none. A value that is a placeholder itself is its own token."""
     best = mapping.groupBy("value").agg(F.max_by("token", F.struct("custom", "touched", "token")).alias("token"))
