@@ -2,10 +2,11 @@
 
 A window of a document is compared with items of as many words. Only windows that share a shingle with an
 item can be similar to it, so windows are taken around shared shingles; that filter loses nothing. The SimHashes of all
-windows of one size are looked up in a multi-index of the SimHashes of the items of that size: of ``BLOCKS`` blocks
-of 32 bits, two fingerprints within ``RADIUS`` are within RADIUS // BLOCKS bits in at least one block, so the index
-lists every item within the radius, and about a tenth of the unrelated ones. What it lists and is within the radius
-is verified by the exact weighted similarity of the two multisets of shingles: the sum of least counts by the
+windows of one size are compared with the SimHashes of the items of that size block by block: of ``BLOCKS`` blocks
+of 32 bits, two fingerprints within ``RADIUS`` are within RADIUS // BLOCKS bits in at least one block, so the blocks
+list every item within the radius, and about a tenth of the unrelated ones. Blocks are compared, not looked up: at this
+radius blocks of 8 bits, whose near values a table could hold, would list 92 % of the unrelated ones. What is listed and within
+the radius is verified by the exact weighted similarity of the two multisets of shingles: the sum of least counts by the
 sum of greatest counts.
 
 At similarity 0.75 fingerprints of 128 bits differ in 22 bits on average with deviation about 4.3; the radius of
@@ -29,6 +30,8 @@ _U = np.uint64
 BITS, BLOCKS, RADIUS = 128, 4, 43
 #: Most items of one block of the query set; each block is one broadcast of bounded size.
 ITEMS = 20_000
+#: About the most bytes of texts in such a block.
+ITEM_BYTES = 64 << 20
 #: Most windows and items compared at a time.
 PAIRS = 1 << 20
 
@@ -135,10 +138,11 @@ def _index(token: str, items, width: int, threshold: float) -> Index:
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[tuple[str, object]]:
-    """Broadcasts of the benchmark's ids and texts, at most about ``ITEMS`` items each, with a token."""
+    """Broadcasts of the benchmark's ids and texts, at most about ``ITEMS`` items and ``ITEM_BYTES`` bytes each, with a token."""
     spark = benchmark.sparkSession
     slim = benchmark.select("item_id", "text").where("text IS NOT NULL")
-    blocks = max(1, -(-slim.count() // ITEMS))
+    n, size = slim.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, -(-n // ITEMS), -(-size // ITEM_BYTES))
     for b in range(blocks):
         own = slim if blocks == 1 else slim.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         table = own.toArrow().combine_chunks()
