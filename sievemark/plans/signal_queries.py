@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import texts as T
 from ..functions.detectors import RULES
-from ..operators import bodies as B
 from ..operators import commands, containment, detect, signals
 from ..sources.corpus import corpus, corpus_sql
 from .detector_queries import find_sql
