@@ -44,8 +44,8 @@ def codebooks(rows: DataFrame, sample: int = SAMPLE) -> np.ndarray:
                 yield pa.RecordBatch.from_pylist([{"part": part, "centres": _means(sent.value[:, part]).ravel().tolist()}])
 
     n = vec.shape[1]
-    got = spark.range(0, n, 1, n).mapInArrow(learn, "part long, centres array<double>").orderBy("part").toArrow()
-    return np.array(got["centres"].to_pylist()).reshape(n, -1, PART)
+    got = spark.range(0, n, 1, n).mapInArrow(learn, "part long, centres array<double>").collect()  # a few KB a part
+    return np.array([r["centres"] for r in sorted(got)]).reshape(n, -1, PART)
 
 
 def _parts(vec: np.ndarray) -> np.ndarray:
@@ -227,6 +227,9 @@ def mine(
     asked = scratch.table(anchors.join(scores.withColumnRenamed("anchor_row", "row"), "row"), "anchors")
     seconds = (_second_pass(indexed, books, c, negatives, low, high) for c in vectors.chunks(asked, width, ("label", "scores")))
     order = Window.partitionBy("anchor_row", "positive_score").orderBy(F.desc("negative_score"), "negative_id", "negative_row")
-    inside = scratch.union(spark, seconds, NEGATIVES, "far").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= negatives)
+    far = scratch.union(spark, seconds, NEGATIVES, "far")
+    for done in (indexed, rows, asked):
+        scratch.drop(done)
+    inside = far.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= negatives)
     columns = ("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score", "anchor_row", "positive_row", "negative_row")
     return pairs.join(inside, ["anchor_row", "positive_score"]).select(*columns)

@@ -92,7 +92,6 @@ class Block:
         order = order[: np.count_nonzero(impact)]
         bound[self.rows == own] = -np.inf
         few, step, i = max(n // 64, 4 * best.k), max(1, -(-len(order) // _LOOKS)), 0
-        left = np.arange(n)
         while i < len(order):
             part = order[i : i + step]
             i += step
@@ -145,6 +144,8 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, block: int = vectors.BLOC
     indexed = index(rows, block)
     passes = (_pass(indexed, c, k) for c in vectors.chunks(rows.where(is_query), vectors.widest(rows), ()))
     found = scratch.union(rows.sparkSession, passes, FOUND, "found")
+    scratch.drop(indexed)
+    scratch.drop(rows)
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "found_row")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_row", "query_id", "rank", "vec_id", "score", "found_row")
