@@ -214,8 +214,11 @@ def groups(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
         links = None
     else:
         wanted = scratch.table(shared.select("set_key").distinct(), "wanted")
+        scratch.release(docs.sparkSession)  # here and below: what earlier steps shuffled is as large as the input
         sets = scratch.table(_wanted_sets(docs, rows, wanted, width), "sets")
+        scratch.release(docs.sparkSession)
         near = scratch.table(confirmed(stars, sets, percent), "near")
+        scratch.release(docs.sparkSession)
         comps = components.connected(near)
         known = shared.where("n > 2").join(comps.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("comp", F.coalesce("root", "set_key"))
         known = scratch.table(known, "known")
@@ -226,6 +229,8 @@ def groups(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
         dealt = dealt.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "set_key", "comp")
         more = dealt.join(sets, "set_key").groupBy("band", "i", "j").applyInArrow(_blocks(percent), "a binary, b binary")
         links = near.union(scratch.table(more, "more"))
+        scratch.drop(sets)
+        scratch.release(docs.sparkSession)
     return _labelled(rows, classes.select("set_key", "first"), links)
 
 
@@ -256,8 +261,8 @@ def keep_one(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
     All columns are kept. If that doc_id has several rows, rows with equal texts count once.
     """
     kept = scratch.table(groups(docs, percent, width).where("kept").select("doc_id"), "kept")
-    once = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    some = docs.join(once.select("doc_id"), docs["doc_id"].eqNullSafe(once["doc_id"]), "left_semi")
+    once = scratch.table(kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "once")
+    some = scratch.by_ids(docs, once.select("doc_id"), "left_semi")  # texts are shuffled only where the ids are too many to broadcast
     if once.where("n > 1").isEmpty():
         return some
     some, named = scratch.apart(some, "doc_id", "text")

@@ -8,6 +8,7 @@ and deleted at exit; on a cluster without it there is no shared folder, and an e
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -62,6 +63,12 @@ def drop(df: DataFrame) -> None:
             p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of jobs that are over. Spark deletes them when the driver's collector finds their plans unused, which without a call may be half an hour later."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def apart(df: DataFrame, *own: str, without: tuple[str, ...] = ()) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """``df`` with plain names (c0, c1, ...) for all columns but ``own``, so that none can meet an operator's working names, and what gives them back.
 
