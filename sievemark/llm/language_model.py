@@ -27,6 +27,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 from math import ceil, log, log2, log10
 
 import numpy as np
@@ -274,7 +275,7 @@ class Coder:
         ids, starts = [], []
         for found in texts:
             starts.append(len(ids))
-            own = [index.get(w, -1) for w in found]
+            own = list(map(index.get, found, repeat(-1)))
             if -1 in own:
                 new: dict[bytes, int] = {}  # these words are told apart within their text
                 own = [i if i >= 0 else -1 - new.setdefault(w, len(new)) for i, w in zip(own, found)]
@@ -291,7 +292,7 @@ class Coder:
         before[1:], two[2:] = symbol[:-1], symbol[:-2]
         before[first] = two[first] = two[second] = self.start
         same = np.zeros(n, bool)
-        same[1:] = ident[1:] == ident[:-1]
+        np.equal(ident[1:], ident[:-1], out=same[1:])
         same[first] = same[ends] = False
         marked = np.maximum.accumulate(np.where(symbol < min(MARKERS, len(self.coded)), np.arange(n), -1))
         marker = np.full(n, self.start)
@@ -301,16 +302,20 @@ class Coder:
         return np.where(same, self.copy, symbol), np.stack([words.mix(r.astype(_U) + s) for r, s in zip(rows, _VIEW_SALT)]), at, ident
 
     def bits(self, symbol: np.ndarray, mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Of each bit of the symbols' codes: its symbol, depth and value; and its table slot for each view."""
+        """The number of bits of each symbol's code; of each bit its depth and value, and its table slot for each view."""
         begin = self.at[symbol]
         sizes = self.at[symbol + 1] - begin
-        ends = np.cumsum(sizes)
-        of = np.repeat(np.arange(len(symbol)), sizes)
-        depth = np.arange(len(of)) - (ends - sizes)[of]
-        flat = begin[of] + depth
+        flat = np.arange(sizes.sum()) + np.repeat(begin - np.cumsum(sizes) + sizes, sizes)
+        depth = np.minimum(flat - np.repeat(begin, sizes), DEPTHS - 1)
         node = self.mixed_node[flat]
-        place = [(((m[of] ^ node) * _C2) >> _U(64 - b)).view(np.int64) for m, b in zip(mixed, self.slot_bits)]
-        return of, np.minimum(depth, DEPTHS - 1), self.bit[flat], place
+        place = []
+        for m, b in zip(mixed, self.slot_bits):
+            slot = np.repeat(m, sizes)
+            slot ^= node
+            slot *= _C2
+            slot >>= _U(64 - b)
+            place.append(slot.view(np.int64))
+        return sizes, depth, self.bit[flat], place
 
 
 def start_weights() -> np.ndarray:
@@ -395,34 +400,37 @@ def log10_coded(symbols: np.ndarray, contexts: np.ndarray, starts: np.ndarray, c
     stretch[late] += (place[late] - STRETCHES[-1]) // (STRETCHES[-1] - STRETCHES[-2])
     order = np.argsort(stretch, kind="stable")
     cuts = np.searchsorted(stretch[order], np.arange(stretch.max() + 2))
-    weights = np.tile(start_weights(), (1, texts))
-    came = np.zeros(2 * texts * DEPTHS * REFINE, np.float32)  # zeros and ones, cell by cell
+    weights = np.ascontiguousarray(np.tile(start_weights(), (1, texts)).T)  # the four of a cell side by side, read at once
+    came = np.zeros((texts * DEPTHS * REFINE, 2), np.float32)  # zeros and ones of each cell
     out = np.empty(len(symbols))
     for t in range(len(cuts) - 1):
         those = order[cuts[t] : cuts[t + 1]]
-        of, depth, bit, slot = coder.bits(symbols[those], contexts[:, those])
+        sizes, depth, bit, slot = coder.bits(symbols[those], contexts[:, those])
         x = [np.take(table, p, mode="wrap") for table, p in zip(stretched, slot)]  # all are within; the mode spares a check
-        own = text[those][of] * DEPTHS + depth
+        own = np.repeat(text[those] * DEPTHS, sizes) + depth
         g = own * 4 + (x[1] != 0) * 2 + (x[2] != 0)
-        mixed = weights[-1][g] * np.float32(0.3)
-        for row, w in zip(x, weights):
-            mixed += row * w[g]
+        w = weights.view(np.complex128)[:, 0][g].view(np.float32).reshape(-1, VIEWS + 1)
+        mixed = w[:, VIEWS] * np.float32(0.3)
+        for i, row in enumerate(x):
+            mixed += row * w[:, i]
         np.clip(mixed, -12, 12, out=mixed)
         p = 1 / (1 + np.exp(-mixed))
-        like = 2 * (own * REFINE + (np.rint(np.clip(mixed * 2, -16, 16)).astype(np.int64) + 16))
-        zeros, ones = came[like], came[like + 1]
-        fine = (ones + np.float32(TRUST) * p) / (zeros + ones + np.float32(TRUST))
-        fine = (p + fine) / 2
-        hit = bit == 1
-        out[those] = np.bincount(of, np.log(np.maximum(np.where(hit, fine, 1 - fine), 1e-9)), len(those)) / log(10)
+        like = own * REFINE + (np.clip(mixed, -8, 8) * 2 + np.float32(16.5)).astype(np.int64)
+        seen = came.view(np.complex64)[:, 0][like]
+        fine = (seen.imag + np.float32(TRUST) * p) / (seen.real + seen.imag + np.float32(TRUST))
+        fine += p
+        fine *= np.float32(0.5)
+        real = bit.astype(np.float32)
+        chance = np.maximum(np.abs(fine + real - 1), np.float32(1e-9))
+        out[those] = np.add.reduceat(np.log(chance).astype(np.float64), np.cumsum(sizes) - sizes) / log(10)
         if t == len(cuts) - 2:
             break
-        error = bit - p
+        error = real - p
         n = np.bincount(g, minlength=texts * WORD_GATES) + np.float32(INERTIA)
-        for row, w in zip(x, weights):
-            w += (RATE * np.bincount(g, row * error, texts * WORD_GATES) / n).astype(np.float32)
-        weights[-1] += (RATE * 0.3 * np.bincount(g, error, texts * WORD_GATES) / n).astype(np.float32)
-        came += np.bincount(like + bit, minlength=len(came))
+        for i, row in enumerate(x):
+            weights[:, i] += RATE * np.bincount(g, row * error, texts * WORD_GATES) / n
+        weights[:, VIEWS] += RATE * 0.3 * np.bincount(g, error, texts * WORD_GATES) / n
+        came += np.bincount(2 * like + bit, minlength=2 * len(came)).reshape(-1, 2)
     return out
 
 
