@@ -63,22 +63,25 @@ def restore_bodies(bodies: DataFrame, mapping: DataFrame) -> DataFrame:
 CHANNELS = "row_id string, channel string, seq long, ord long, text string, snapshot boolean"
 
 
-def slots(bodies: DataFrame) -> DataFrame:
-    """Texts of the events of whole ``bodies`` (row_id, content_type, text): channel, seq of the event, ord in it, text, and whether it repeats whole arguments."""
+def slots(bodies: DataFrame, beside: tuple[str, ...] = ()) -> DataFrame:
+    """Texts of the events of whole ``bodies`` (row_id, content_type, text): channel, seq of the event, ord in it, text, and whether it repeats whole arguments; columns ``beside`` are carried."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for key, kind, body in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            at, out = [], []
+            for n, (key, kind, body) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(3)))):
                 for seq, data in enumerate(frames.events_of(body or "", kind or "")):
                     frames.merge_tool_calls(data)
                     both = [(s, False) for s in frames.text_slots(data)] + [(s, True) for s in frames.snapshot_slots(data)]
                     out += [(key, s.channel, seq, i, s.text, whole) for i, (s, whole) in enumerate(both)]
+                    at += [n] * len(both)
             kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
             columns = zip(*out) if out else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [c.split()[0] for c in CHANNELS.split(", ")])
+            carried = [batch.column(3 + k).take(pa.array(at, pa.int64())) for k in range(len(beside))]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds)), *carried], [*(c.split()[0] for c in CHANNELS.split(", ")), *beside])
 
-    return bodies.select(F.col("row_id").cast("string"), "content_type", "text").mapInArrow(run, CHANNELS)
+    schema = ", ".join([CHANNELS, *(f"`{c}` {bodies.schema[c].dataType.simpleString()}" for c in beside)])
+    return bodies.select(F.col("row_id").cast("string"), "content_type", "text", *beside).mapInArrow(run, schema)
 
 
 def kept_texts(fragments: DataFrame, by: tuple[str, ...] = ("sid",), order: tuple[str, ...] = ("seq", "ord"), most: int = KEPT_BYTES) -> DataFrame:

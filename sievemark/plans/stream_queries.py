@@ -11,6 +11,7 @@ from ..functions import udfs
 from ..functions.detectors import RULES
 from ..functions.masking import Settings
 from ..operators import decoding, masking, responses
+from ..operators.tables import spread
 from ..streaming import commands, mapping
 from .detector_queries import find_sql
 from .json_queries import _CONV, KEY, _conversations, _phone
@@ -22,8 +23,8 @@ _MASKED = [r for r in RULES if r.key in ("det18_mobile", "det19_email")]
 
 
 def _cut(text: Column, size: int) -> Column:
-    """Pieces of ``size`` characters; an empty text is one empty piece."""
-    return F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.length(text) - 1) / size), F.lit(0)).cast("int")), lambda i: F.substr(text, i * size + 1, F.lit(size)))
+    """Pieces of ``size`` characters, cut in one pass over the text; an empty text is one empty piece."""
+    return F.when(text != "", F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))).otherwise(F.array(text))
 
 
 def _pieces(spark: SparkSession, sf_dir: str, size: int = 37) -> DataFrame:
@@ -42,8 +43,9 @@ def _joined(rows: DataFrame) -> DataFrame:
 def guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts in which commands were rewritten while they passed in pieces, each joined again."""
     out = commands.guard_pieces(_pieces(spark, sf_dir), commands.How("rewrite"))
-    hit = out.where(F.size("hits") > 0).select("sid").distinct()
-    return _joined(out.join(hit, "sid", "left_semi")).select("sid", F.sha2("text", 256).alias("digest"))
+    ordered = F.array_sort(F.collect_list(F.struct("seq", "text")))
+    whole = out.groupBy("sid").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "").alias("text"), F.bool_or(F.size("hits") > 0).alias("hit"))
+    return whole.where("hit").select("sid", F.sha2("text", 256).alias("digest"))
 
 
 def _json(**fields: Column) -> Column:
@@ -85,18 +87,29 @@ def response_bodies(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFr
     return rows.withColumn("whole", whole).select("row_id", content_type.alias("content_type"), body.alias("text"))
 
 
+def spread_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """row_id, turn and text of all turns, with a number, dealt over all tasks: their file may be one, and each becomes many events."""
+    rows = spread(_conversations(spark, sf_dir), "conv_id", "turn")
+    return rows.select(F.concat_ws(":", "conv_id", "turn").alias("row_id"), "turn", F.concat("text", F.lit(" call "), _phone()).alias("text"))
+
+
 def whole_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masked texts of all turns, streamed in four protocols and restored as whole bodies: each channel's text as it was, and counts."""
-    turns = _conversations(spark, sf_dir).select(F.concat_ws(":", "conv_id", "turn").alias("row_id"), "turn", F.concat("text", F.lit(" call "), _phone()).alias("text"))
+    turns = spread_turns(spark, sf_dir)
     settings = Settings(rules=frozenset(r.key for r in _MASKED))
     known = masking.tokens(masking.found(masking.mask(turns, settings, KEY)), KEY)
     bodies = response_bodies(spark, sf_dir, masking.mask(turns, settings, KEY, known).select("row_id", "turn", "text"))
     back = responses.restore_bodies(bodies, known)
-    found = responses.slots(back).where("NOT snapshot")
+    return channel_digests(back)
+
+
+def channel_digests(bodies: DataFrame) -> DataFrame:
+    """row_id, channel, digest of each channel's text, and the counts of restored ``bodies``, which are made once."""
+    found = responses.slots(bodies, ("restored", "unresolved")).where("NOT snapshot")
     ordered = F.array_sort(F.collect_list(F.struct("seq", "ord", "text")))
-    channels = found.groupBy("row_id", "channel").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "").alias("text"))
+    channels = found.groupBy("row_id", "channel", "restored", "unresolved").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "").alias("text"))
     plain = F.when(F.col("channel").isin(*[SHAPES[k] for k in (1, 3, 5)]), F.get_json_object("text", "$.q")).otherwise(F.col("text"))
-    return channels.select("row_id", "channel", F.sha2(plain, 256).alias("digest")).join(back.select("row_id", "restored", "unresolved"), "row_id")
+    return channels.select("row_id", "channel", F.sha2(plain, 256).alias("digest"), "restored", "unresolved")
 
 
 def chunked_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:

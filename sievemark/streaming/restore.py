@@ -69,7 +69,7 @@ class Session:
         cut = "\n" if framing == "ndjson" else "\n\n"
         *whole, self.buffer = self.buffer.split(cut)
         out = [self.frame(f, framing, known, False) + cut for f in whole]
-        if len(self.buffer.encode()) > frames.EVENT_BYTES:
+        if 4 * len(self.buffer) > frames.EVENT_BYTES and len(self.buffer.encode()) > frames.EVENT_BYTES:
             error = '{"error":{"message":"single event exceeds 64 MiB"}}'
             out.append((f"data: {error}" if framing == "sse" else error) + cut)
             self.buffer = ""
@@ -111,16 +111,17 @@ class Session:
 
     def event(self, text: str, framing: str, known: dict, final: bool, bare: bool = False) -> str:
         """One restored event; what ends with it and was held comes first (for sse up to a zero character)."""
-        if not json_spans.valid(text):
+        data = json_spans.loaded(text)
+        if data is json_spans.INVALID:
             return self.count(M.restored(text, known))
-        data = json.loads(text)
         slots = [] if bare else frames.text_slots(data)
+        over = frames.ends(data)
         if not slots:
-            before = "" if bare or not isinstance(data, dict) else self._ended(data, framing, known)
+            before = "" if bare or not isinstance(data, dict) else self._ended(over, framing, known)
             return before + self.count(json_spans.restored(text, known))
-        over = frames.ends(data)
-        frames.merge_tool_calls(data)
-        slots = frames.text_slots(data)
+        if '"tool_calls"' in text or "\\u" in text:
+            frames.merge_tool_calls(data)
+            slots = frames.text_slots(data)
         for s in slots:
             last = final or over is None or any(s.channel.startswith(p) for p in over)
             one, later = feed(self.pending.pop(s.channel, ""), s.text, known, last, s.escape)
@@ -131,11 +132,10 @@ class Session:
         for s in slots:
             if s.channel in self.pending:
                 self.templates[s.channel] = compact
-        before = "" if final else self._ended(data, framing, known)
+        before = "" if final else self._ended(over, framing, known)
         return before + self.count(json_spans.restored(compact, known))
 
-    def _ended(self, data: dict, framing: str, known: dict) -> str:
-        over = frames.ends(data)
+    def _ended(self, over: list[str] | None, framing: str, known: dict) -> str:
         flushed = self.flush(framing, known, over) if over is None or over else ""
         return flushed + "\0" if flushed and framing == "sse" else flushed
 
@@ -171,10 +171,10 @@ def by_suffix(known: dict[str, str] | None) -> dict[str, dict[str, str]]:
 
 def _in_order(session: Session, batches: Iterator[pd.DataFrame], columns: list[str]) -> tuple[list[tuple], dict, str]:
     """Fragments whose turn has come, the session's tokens and its framing; others wait in the session."""
-    known, framing = {}, "sse"
+    last, framing = None, "sse"
     for batch in batches:
         for r in batch.itertuples():
-            known = dict(r.known) if r.known is not None else known
+            last = r.known if r.known is not None else last
             framing = getattr(r, "framing", framing)
             if r.seq >= session.following:
                 session.waiting[str(int(r.seq))] = [base64.b64encode(v).decode() if isinstance(v, bytes | bytearray) else v for v in (getattr(r, c) for c in columns)]
@@ -183,7 +183,7 @@ def _in_order(session: Session, batches: Iterator[pd.DataFrame], columns: list[s
         if str(session.following) in session.waiting:
             ready.append((session.following, *session.waiting.pop(str(session.following))))
         session.following += 1
-    return ready, by_suffix(known), framing
+    return ready, by_suffix(dict(last) if last is not None else {}), framing
 
 
 def _with_known(chunks: DataFrame, sessions: DataFrame) -> DataFrame:
