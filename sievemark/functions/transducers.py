@@ -64,8 +64,15 @@ class Stage:
         state[:] = [buffer[max(0, stop - BEFORE) : stop], buffer[stop:]]
         return "".join(out), hits
 
+    def opens(self, before: str, text: str, final: bool) -> bool:
+        """Whether a piece has a match, or the beginning of one, where nothing is held."""
+        m = self.pattern.search(before + text, len(before), partial=not final)
+        return m is not None and not (m.partial and m.start() == len(before + text))
+
     def _within(self, buffer: str, at: int) -> int:
         """The first position from which no more than the limit is left."""
+        if buffer.isascii():
+            return max(at, len(buffer) - self.hold)
         size, i = 0, len(buffer)
         while i > at and size + len(buffer[i - 1].encode()) <= self.hold:
             i -= 1
@@ -103,6 +110,9 @@ class Guard:
         found: list[Hit] = []
         counts = lambda h: h.snippet != "" and h.snippet not in echoes and not any(a.search(h.snippet) for a in self.allow)
         for stage, state in zip(self.stages, states):
+            if not state[1] and not stage.opens(state[0], text, final):
+                state[0] = (state[0] + text)[-BEFORE:]
+                continue
             text, hits = stage.feed(state, text, final, counts, self.notice if rewrite else None)
             found += hits
         return text, found

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from .tables import spread
 
 
 def carried(rows: DataFrame, make: Callable[[], Callable], schema: str) -> DataFrame:
@@ -15,19 +19,22 @@ def carried(rows: DataFrame, make: Callable[[], Callable], schema: str) -> DataF
     That is called with each row of the session, and with None at its end, for a list of rows of ``schema``. Rows are sorted
     within partitions and pass one by one; no session is gathered, so a long one costs time in one task, but no memory.
     """
-    names = T._parse_datatype_string(schema).names
+    kinds = to_arrow_schema(T._parse_datatype_string(schema))
+    columns = rows.columns
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = lambda out: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * len(kinds), kinds)], kinds.names)
+        row = namedtuple("row", columns)
         sid, one = None, None
         for batch in batches:
             out: list[tuple] = []
-            for r in batch.itertuples(index=False):
+            for r in map(row._make, zip(*(c.to_pylist() for c in batch.columns))):
                 if one is None or r.sid != sid:
                     out += one(None) if one else []
                     sid, one = r.sid, make()
                 out += one(r)
-            yield pd.DataFrame(out, columns=names)
+            yield made(out)
         if one:
-            yield pd.DataFrame(one(None), columns=names)
+            yield made(one(None))
 
-    return rows.repartition("sid").sortWithinPartitions("sid", "seq").mapInPandas(run, schema)
+    return spread(rows, "sid").sortWithinPartitions("sid", "seq").mapInArrow(run, schema)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,6 +24,7 @@ OUT = "sid string, channel string, seq long, kind string, text string, blocked b
 _COLUMNS = ["sid", "channel", "seq", "kind", "text", "blocked", "hits"]
 
 
+@lru_cache(4096)
 def kind_of(channel: str) -> str:
     """tool, text or reason, as ``operators.commands.channel_kind``."""
     low = channel.lower()
