@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import frames, udfs
 from ..functions.masking import Settings
 from ..operators import bodies as B
-from ..operators import commands, masking, requests, responses
+from ..operators import commands, masking, requests
 from ..operators.tables import shared_folder
 from ..sources.corpus import corpus, corpus_sql
 from ..streaming import mapping, restore
@@ -20,7 +20,7 @@ from .json_queries import _CONV, _conversations, _phone
 from .signal_queries import _HITS, _hit_sql, _judged, _values_sql, new_values
 from .signal_queries import responses as texts
 from .signal_queries import responses_sql as texts_sql
-from .stream_queries import _MASKED, SHAPES, _lives_sql, response_bodies
+from .stream_queries import _MASKED, _lives_sql, channel_digests, response_bodies, spread_turns
 from .stream_queries import ORACLES as STREAM_ORACLES
 
 _SETTINGS = Settings(rules=frozenset(r.key for r in _MASKED))
@@ -40,8 +40,7 @@ def _finished(stream: DataFrame, path: str) -> DataFrame:
 
 def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The responses of ``rst08_whole_responses`` as a stream of chunks of 50 bytes, restored in state, in all four protocols."""
-    turns = _conversations(spark, sf_dir).select(F.concat_ws(":", "conv_id", "turn").alias("row_id"), "turn", F.concat("text", F.lit(" call "), _phone()).alias("text"))
-    masked = masking.mask(turns, _SETTINGS, KEY)
+    masked = masking.mask(spread_turns(spark, sf_dir), _SETTINGS, KEY)
     known = masked.select(F.col("row_id").alias("sid"), F.map_from_entries(F.transform("hits", lambda h: F.struct(h["token"], h["value"]))).alias("known"))
     bodies = response_bodies(spark, sf_dir, masked.select("row_id", "turn", "text"))
     data, framing = F.encode("text", "utf-8"), F.when(F.col("content_type").contains("ndjson"), "ndjson").otherwise("sse")
@@ -54,11 +53,7 @@ def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = _finished(restore.restore_frames(spark.readStream.schema(rows.schema).parquet(f"{path}/in"), spark.read.parquet(f"{path}/known"), None), path)
     ordered = F.array_sort(F.collect_list(F.struct("seq", "text")))
     whole = pieces.groupBy(F.col("sid").alias("row_id")).agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "").alias("text"), F.sum("restored").alias("restored"), F.sum("unresolved").alias("unresolved"))
-    found = responses.slots(whole.withColumn("content_type", F.lit(""))).where("NOT snapshot")
-    listed = F.array_sort(F.collect_list(F.struct("seq", "ord", "text")))
-    channels = found.groupBy("row_id", "channel").agg(F.array_join(F.transform(listed, lambda x: x["text"]), "").alias("text"))
-    plain = F.when(F.col("channel").isin(*[SHAPES[k] for k in (1, 3, 5)]), F.get_json_object("text", "$.q")).otherwise(F.col("text"))
-    return channels.select("row_id", "channel", F.sha2(plain, 256).alias("digest")).join(whole.drop("text"), "row_id")
+    return channel_digests(whole.withColumn("content_type", F.lit("")))
 
 
 def expired(spark: SparkSession, sf_dir: str) -> DataFrame:
