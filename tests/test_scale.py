@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sievemark.functions import json_spans
 from sievemark.functions import masking as M
 from sievemark.functions.transducers import Guard
+from sievemark.operators import containment
 from sievemark.operators.tables import spread
 from sievemark.plans import flow_queries, stream_queries
 
@@ -52,3 +53,14 @@ def test_stages_that_nothing_opens_are_passed_by():
 def test_texts_without_a_suffix_hold_no_placeholder():
     assert not M.may_hold('{"finish_reason": "stop", "x_y": "{{PHONE}}"}') and M.may_hold("{{ phone_BCDFGH }}")
     assert json_spans.restored('{"a":"{{PHONE\\u005fbcdfgh}}"}', {"bcdfgh": {"{{PHONE_bcdfgh}}": "1"}}).text == '{"a":"1"}'
+
+
+def test_marks_ask_for_a_few_anchors(spark, monkeypatch):
+    kept_rows, real = [], containment.kept
+    monkeypatch.setattr(containment, "kept", lambda rows: kept_rows.append(real(rows)) or kept_rows[-1])
+    mark = "".join(chr(97 + (i * i * 7 + i * 3) % 26) for i in range(3000))
+    got = containment.occurrences(spark.createDataFrame([(1, "x" + mark), (2, mark[1:])], "row_id long, text string"), spark.createDataFrame([(mark,)], "mark string"))
+    assert [(r.row_id, r.mark) for r in got.collect()] == [(1, mark)]
+    held = next(r for r in kept_rows if set(r.columns) == {"row_id", "anchor"})
+    assert held.count() <= 2 * containment.ASKED
+    assert all("mark" not in r.columns or "anchor" not in r.columns for r in kept_rows)
