@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import blobs, frames, json_spans
+from .tables import sliced
 
 
 def _each(rows: DataFrame, column: str, key: str, schema: str, make: Callable[[str], Any]) -> DataFrame:
@@ -18,7 +19,7 @@ def _each(rows: DataFrame, column: str, key: str, schema: str, make: Callable[[s
     full = f"{key} {kind}, {schema}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             at, out = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 if text is not None:

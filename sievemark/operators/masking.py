@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import blobs, json_spans
 from ..functions import masking as M
-from .tables import BROADCAST_ROWS, kept
+from .tables import BROADCAST_ROWS, kept, sliced
 
 #: What a masked row carries besides its text.
 HITS = "array<struct<label: string, value: string, token: string>>"
@@ -78,7 +78,7 @@ def mask(corpus: DataFrame, settings: M.Settings = M.Settings(), key: str = "",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         masker = _masker(name, sent, key)
         known = shared.value if shared else {}
-        for batch in batches:
+        for batch in sliced(batches, len(kept_columns)):
             texts = batch.column(len(kept_columns)).to_pylist()
             lates = batch.column(len(kept_columns) + 1).to_pylist() if own else None
             done, states = [], []
@@ -199,7 +199,7 @@ def restore(masked: DataFrame, mapping: DataFrame, escape: bool = False, json: b
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in kept_columns), RESTORED])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, len(kept_columns)):
             n = len(kept_columns)
             texts = batch.column(n).to_pylist()
             mine = batch.column(n + 1).to_pylist() if own else None

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sievemark.functions import json_spans
 from sievemark.functions import masking as M
 from sievemark.functions.transducers import Guard
 from sievemark.operators import containment
-from sievemark.operators.tables import spread
+from sievemark.operators.tables import sliced, spread
 from sievemark.plans import flow_queries, stream_queries
 
 SF = "/root/testdata/sf0.001"
@@ -64,3 +65,11 @@ def test_marks_ask_for_a_few_anchors(spark, monkeypatch):
     held = next(r for r in kept_rows if set(r.columns) == {"row_id", "anchor"})
     assert held.count() <= 2 * containment.ASKED
     assert all("mark" not in r.columns or "anchor" not in r.columns for r in kept_rows)
+
+
+def test_batches_come_in_slices_of_bounded_bytes():
+    texts = ["x" * 400, None, "", "y" * 900, "z" * 5000, "中" * 200]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts)], ["k", "text"])
+    got = list(sliced([batch, batch.slice(0, 0)], 1, 1000))
+    assert [b.column(0).to_pylist() for b in got] == [[0, 1, 2], [3], [4], [5], []]
+    assert [t for b in got for t in b.column(1).to_pylist()] == texts
