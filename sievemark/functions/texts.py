@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -15,10 +16,16 @@ from .patterns import ECHOES, ORDERED, SECRETS
 FENCED = r"(?ms)^[^\S\n]*```.*?^[^\S\n]*```[^\n]*|^[^\S\n]*```.*\z"
 
 
+def named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of a column that is worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def truncated(text: Column, most: int) -> Column:
     """The longest start of ``text`` of at most ``most`` bytes that cuts no character."""
-    data = F.encode(text, "utf-8")
-    whole = F.coalesce(*[F.try_validate_utf8(F.substring(data, 1, max(0, most - k)).cast("string")) for k in range(4)])
+    # bytes as they are, which copies no more than is kept; encoded anew only where they are no valid text
+    both = (text.cast("binary"), F.encode(text, "utf-8"))
+    whole = F.coalesce(*[F.try_validate_utf8(F.substring(data, 1, max(0, most - k)).cast("string")) for data in both for k in range(4)])
     return F.when(F.octet_length(text) <= most, text).otherwise(whole)
 
 
@@ -30,10 +37,16 @@ def last_bytes(text: Column, most: int) -> Column:
 
 
 def entropy(text: Column) -> Column:
-    """Shannon entropy of the characters, in bits; 0 for an empty text."""
-    n = F.length(text)
-    parts = F.transform(F.array_distinct(F.filter(F.split(text, "", -1), lambda c: c != "")), lambda c: (n - F.length(F.replace(text, c, F.lit("")))) / F.length(c) / n)
-    return F.when(n == 0, 0.0).otherwise(F.aggregate(parts, F.lit(0.0), lambda acc, p: acc - p * F.log2(p)))
+    """Shannon entropy of the characters, in bits; 0 for an empty text. Characters are counted by taking them out one after another, so what is left to look through gets short."""
+    n, chars = F.length(text), F.array_distinct(F.filter(F.split(text, "", -1), lambda c: c != ""))
+
+    def without(acc: Column, c: Column) -> Column:
+        p = lambda rest: (F.octet_length(acc["rest"]) - F.octet_length(rest)) / F.octet_length(c) / acc["n"]
+        part = lambda rest: named(p(rest), lambda x: x * F.log2(x))
+        return named(F.replace(acc["rest"], c, F.lit("")), lambda rest: F.struct(rest.alias("rest"), acc["n"].alias("n"), (acc["bits"] - part(rest)).alias("bits")))
+
+    start = F.struct(text.alias("rest"), n.alias("n"), F.lit(0.0).alias("bits"))
+    return F.when(n == 0, 0.0).otherwise(F.aggregate(chars, start, without, lambda acc: acc["bits"]))
 
 
 def ordered(text: Column) -> Column:
@@ -61,17 +74,17 @@ def without_credentials(text: Column) -> Column:
 
 def prose(text: Column) -> Column:
     """``text`` with a line break in the place of each fenced stretch."""
-    return F.regexp_replace(text, FENCED, "\n")
+    return F.when(F.contains(text, F.lit("```")), F.regexp_replace(text, FENCED, "\n")).otherwise(text)
 
 
 def code(text: Column) -> Column:
     """Fenced stretches."""
-    return F.regexp_extract_all(text, F.lit(FENCED), F.lit(0))
+    return F.when(F.contains(text, F.lit("```")), F.regexp_extract_all(text, F.lit(FENCED), F.lit(0))).when(text.isNotNull(), F.array().cast("array<string>"))
 
 
 def json_escaped(text: Column) -> Column:
     """``text`` as it stands within a JSON string, other than ASCII kept."""
-    return F.regexp_extract(F.to_json(F.struct(text.alias("v"))), r'\A\{"v":"([\s\S]*)"\}\z', 1)
+    return F.when(text.isNull(), "").otherwise(named(F.to_json(F.struct(text.alias("v"))), lambda j: F.substr(j, F.lit(len('{"v":"') + 1), F.length(j) - len('{"v":""}'))))
 
 
 def json_unescaped(text: Column) -> Column:
@@ -106,8 +119,9 @@ def credential_preview(text: Column, label: Column) -> Column:
 
 
 def first_difference(a: Column, b: Column) -> Column:
-    """Place (from 0) of the first character in which the texts differ; -1 for equal ones."""
-    pairs = F.arrays_zip(F.split(a, "", -1).alias("p"), F.split(b, "", -1).alias("q"))
+    """Place (from 0) of the first character in which the texts differ; -1 for equal ones. Nothing beyond the shorter one's end is taken apart."""
+    most = F.least(F.length(a), F.length(b)) + 1
+    pairs = F.arrays_zip(F.split(F.substr(a, F.lit(1), most), "", -1).alias("p"), F.split(F.substr(b, F.lit(1), most), "", -1).alias("q"))
     at = F.array_position(F.transform(pairs, lambda x: ~x["p"].eqNullSafe(x["q"])), F.lit(True))
     return F.when(a == b, F.lit(-1).cast("long")).otherwise(at - 1)
 

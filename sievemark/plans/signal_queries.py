@@ -347,9 +347,9 @@ def scan_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Previews, escapes, truncation and entropy of all texts."""
     t = F.col("text")
-    rows = corpus(spark, sf_dir).where("text IS NOT NULL")
+    rows = corpus(spark, sf_dir).where("text IS NOT NULL").select("row_id", "text", T.json_escaped(t).alias("esc"))
     return rows.select(
-        "row_id", T.preview(t).alias("preview"), T.credential_preview(t, F.lit("API_KEY")).alias("cred"), F.sha2(T.json_escaped(t), 256).alias("escaped"), F.sha2(T.json_unescaped(T.json_escaped(t)), 256).alias("unescaped"),
+        "row_id", T.preview(t).alias("preview"), T.credential_preview(t, F.lit("API_KEY")).alias("cred"), F.sha2("esc", 256).alias("escaped"), F.sha2(T.json_unescaped(F.col("esc")), 256).alias("unescaped"),
         F.round(T.entropy(t), 6).alias("entropy"), T.ordered(t).alias("ordered"), T.evidence(t, F.lit("k")).alias("evidence"), T.human_bytes(F.octet_length(t) * 1777).alias("size"),
         T.first_difference(t, F.concat(F.substring(t, 1, 3), F.lit("\x01"))).alias("differs"), F.length(T.truncated(t, 7)).cast("long").alias("kept"), F.sha2(F.array_join(T.split_words(t), "|"), 256).alias("words"),
     )
