@@ -25,8 +25,8 @@ _QUOTES = "[\"'“”「」]?"
 class Rule:
     """left/right: what must not stand there (``\\z`` and ``\\A`` mark the side of the value).
 
-    markers: a text without any of these holds no candidate; digits: nor does one without ten digits in close order.
-    after: number of characters of a candidate after its value.
+    markers: a text without any of these holds no candidate; words: nor does one whose lower case has none of these; digits: nor
+    does one without ten digits in close order. after: number of characters of a candidate after its value.
     """
 
     key: str
@@ -40,6 +40,7 @@ class Rule:
     markers: tuple[str, ...] = ()
     digits: bool = False
     after: int = 0
+    words: tuple[str, ...] = ()
 
 
 def _mixed(sep1: str, sep2: str):
@@ -74,11 +75,12 @@ RULES = [
     Rule("det10_feishu_app", "API_KEY", "cli_[a-z0-9]{16,}", _L, r"\A[a-z0-9]", markers=("cli_",)),
     Rule("det11_dingtalk_key", "API_KEY", "ding[a-z0-9]{12,}", r"[A-Za-z]\z", r"\A[a-z0-9]", 0, lambda d, v, w, lft, r: d.has(v, "[0-9]"), markers=("ding",)),
     Rule("det12_aws_key_id", "ACCESS_KEY", "(?:AKIA|ASIA)[A-Z0-9]{16}", r"[A-Z0-9]\z", r"\A[A-Z0-9]", on=False, markers=("AKIA", "ASIA")),
-    Rule("det13_aws_secret", "ACCESS_KEY", "(?i:aws[_-]?secret[_-]?access[_-]?key[\"']?" + _WS + "*[:=]" + _WS + "*[\"']?)([A-Za-z0-9/+=]{40})", "", r"\A[A-Za-z0-9/+=]", 1, on=False),
+    Rule("det13_aws_secret", "ACCESS_KEY", "(?i:aws[_-]?secret[_-]?access[_-]?key[\"']?" + _WS + "*[:=]" + _WS + "*[\"']?)([A-Za-z0-9/+=]{40})", "", r"\A[A-Za-z0-9/+=]", 1, on=False, words=("aws",)),
     Rule("det14_jwt", "JWT", rf"eyJ{_B64URL}\.{_B64URL}\.{_B64URL}", _L, _R, 0, _plain(V.jwt), False, markers=("eyJ",)),
-    Rule("det15_bearer", "TOKEN", "(?i:Bearer)" + _WS + "+([A-Za-z0-9._~+/=-]{20,})", _WORD_L, "", 1, lambda d, v, w, lft, r: d.has(v, "[^A-Za-z]"), False),
+    Rule("det15_bearer", "TOKEN", "(?i:Bearer)" + _WS + "+([A-Za-z0-9._~+/=-]{20,})", _WORD_L, "", 1, lambda d, v, w, lft, r: d.has(v, "[^A-Za-z]"), False, words=("bearer",)),
     Rule("det16_secret_pair", "SECRET", f"(?i:{_SECRET_WORDS}){_QUOTES}{_WS}*[:=：＝]{_WS}*{_QUOTES}([A-Za-z0-9!@#$%^&*_~+=.:/#-]{{6,64}})", r"[A-Za-z0-9]\z", r"\A[A-Za-z0-9!@#$%^&*_~+=.:/#-]", 1,
-         lambda d, v, w, lft, r: f"({v} NOT LIKE '/%' AND ({d.has(v, '[0-9!@#$%^&*]')} OR (length({v}) >= 8 AND {d.has(v, '[._-]')} AND {d.has(v, r'\A[a-z._-]+\z')})))", False),
+         lambda d, v, w, lft, r: f"({v} NOT LIKE '/%' AND ({d.has(v, '[0-9!@#$%^&*]')} OR (length({v}) >= 8 AND {d.has(v, '[._-]')} AND {d.has(v, r'\A[a-z._-]+\z')})))", False,
+         words=("passw", "pwd", "secret", "token", "key", "密码", "口令", "令牌", "密钥", "秘钥", "密匙", "凭据", "凭证", "私钥", "授权码")),
     Rule("det17_connection_string", "CONNSTR", rf"[A-Za-z][A-Za-z0-9+.-]{{0,63}}://[^ \t\r\n:@/]+:([^ \t\r\n@/]{{4,}})@", r"[A-Za-z0-9_]\z", "", 1,
          lambda d, v, w, lft, r: V.connstr(d, v, w, r), markers=("://",), after=1),
     Rule("det18_mobile", "PHONE", _CN_PREFIX + r"[ \t-]?1[3-9][0-9]{9}|1[3-9][0-9]{9}|1[3-9][0-9][- ][0-9]{4}[- ][0-9]{4}", r"[A-Za-z0-9+]\z", _WORD_R, 0,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import texts as T
 from ..functions.detectors import CREDENTIALS, RULES, Rule, conditions
 from ..functions.dialect import Spark
 
@@ -17,9 +18,11 @@ def may_hit(text: Column, rule: Rule) -> Column:
     """Whether a text can hold a candidate, by plain substrings where the rule has any: much cheaper than its pattern."""
     if rule.digits:
         return text.rlike(TEN_DIGITS)
-    found = F.lit(not rule.markers)
+    found = F.lit(not rule.markers and not rule.words)
     for m in rule.markers:
         found = found | F.contains(text, F.lit(m))
+    for w in rule.words:
+        found = found | F.contains(F.lower(text), F.lit(w))
     return found
 
 
@@ -91,10 +94,15 @@ def redact(text, rules: list[Rule] | None = None):
     Only the prefix rule keeps its checks, as without them parts of plain identifiers would go; it comes last.
     """
     rules = rules or [r for r in RULES if r.label in CREDENTIALS]
-    for rule in rules:
-        if rule.key != "det00_prefix_key":
-            text = F.regexp_replace(text, rule.pattern, "[REDACTED]")
-    return F.regexp_replace(text, PREFIXED, "[REDACTED]") if any(r.key == "det00_prefix_key" for r in rules) else text
+    steps = [(r, r.pattern) for r in rules if r.key != "det00_prefix_key"] + [(r, PREFIXED) for r in rules if r.key == "det00_prefix_key"]
+
+    def cleaned(step: tuple[Rule, str]):
+        rule, pattern = step
+        return lambda t: F.when(may_hit(t, rule), F.regexp_replace(t, pattern, "[REDACTED]")).otherwise(t)
+
+    for step in steps:
+        text = T.named(text, cleaned(step))
+    return text
 
 
 #: The prefix rule with its checks: the left neighbour, the security key's type, and a digit in short tails.

@@ -34,3 +34,19 @@ def test_entropy_and_escapes(spark, text):
     assert row.j == text.replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n")
     assert row.d == next((i for i in range(max(len(text), 3)) if text[i : i + 1] != "abd"[i : i + 1]), -1)
     assert row.s == text.encode()[:7].decode(errors="ignore")
+
+
+def test_redaction_looks_for_marks_first(spark):
+    """A rule's pattern runs only where one of its words is, in any case."""
+    plan = _plan(spark.createDataFrame([("x",)], "t string").select(detect.redact(F.col("t"))))
+    assert plan.count("CASE WHEN") == plan.count("regexp_replace(") > 9
+    texts = ["AWS_Secret_Access_KEY: " + "a1" * 20, "BEARER " + "a1" * 12, "PassWord=abc12345", "密码：abc12345", "nothing"]
+    got = [r.c for r in spark.createDataFrame([(t,) for t in texts], "t string").select(detect.redact(F.col("t")).alias("c")).collect()]
+    assert ["[REDACTED]" in c for c in got] == [True] * 4 + [False]
+
+
+def test_rules_have_their_words():
+    """Every word in a rule's list of shapes is one without which it can't hit."""
+    for key, text in (("det13_aws_secret", "AwsSecretAccessKey=" + "a" * 40), ("det15_bearer", "bEarer " + "a" * 20), *(("det16_secret_pair", f"{w}=abcdef1") for w in "passwd PWD Secret TOKEN api_key accesskey Private-Key 口令 令牌 秘钥 密匙 凭据 凭证 私钥 授权码 访问密钥 接口密钥".split())):
+        rule = next(r for r in RULES if r.key == key)
+        assert re.search(rule.pattern, text) and any(w in text.lower() for w in rule.words)
