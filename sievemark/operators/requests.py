@@ -58,15 +58,17 @@ def forwarded(headers: Column) -> Column:
 def logged_headers(rows: DataFrame, headers: str = "headers", key: str = "row_id", plain: bool = False) -> DataFrame:
     """Headers for the log: names in lower case, at most 100 of at most 2048 characters and 16 KiB in all, credentials as stars.
 
-    Where any go beyond the limits, a last entry says so; ``plain`` keeps credentials.
+    Where any go beyond the limits, a last entry says so; ``plain`` keeps credentials. Each list is worked on within its row, and a
+    row without headers has none in the log.
     """
-    each = rows.select(key, F.posexplode(headers).alias("at", "h")).select(key, "at", F.lower("h.name").alias("name"), F.col("h.value").alias("value"))
-    shown = F.when(F.col("name").isin(*SECRET_HEADERS) & ~F.lit(plain), "***").when(F.octet_length("value") > HEADER_CHARS, F.concat(T.truncated(F.col("value"), HEADER_CHARS), F.lit("…"))).otherwise(F.col("value"))
-    sized = each.withColumn("value", shown).withColumn("_sum", F.sum(F.octet_length("name") + F.octet_length("value")).over(Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
-    fits = (F.col("at") < HEADER_COUNT) & (F.col("_sum") <= HEADER_BYTES)
-    kept = sized.groupBy(key).agg(F.array_sort(F.collect_list(F.when(fits, F.struct("at", "name", "value")))).alias("k"), F.count_if(~fits).alias("cut"))
-    more = F.when(F.col("cut") > 0, F.array(F.struct(F.lit(HEADERS_CUT[0]).alias("name"), F.lit(HEADERS_CUT[1]).alias("value")))).otherwise(F.array().cast("array<struct<name:string,value:string>>"))
-    return kept.select(key, F.concat(F.transform("k", lambda x: F.struct(x["name"].alias("name"), x["value"].alias("value"))), more).alias("headers"))
+    value = lambda h: F.when(F.lower(h["name"]).isin(*SECRET_HEADERS) & ~F.lit(plain), "***").when(F.octet_length(h["value"]) > HEADER_CHARS, F.concat(T.truncated(h["value"], HEADER_CHARS), F.lit("…"))).otherwise(h["value"])
+    first = lambda all_: F.transform(F.slice(all_, 1, HEADER_COUNT), lambda h: F.struct(F.lower(h["name"]).alias("name"), value(h).alias("value")))
+    size = lambda a, h: a["size"] + F.coalesce(F.octet_length(h["name"]) + F.octet_length(h["value"]), F.lit(0))
+    none = F.struct(F.lit(0).cast("long").alias("size"), F.lit(0).alias("fit"))
+    fit = lambda shown: F.aggregate(shown, none, lambda a, h: F.struct(size(a, h).alias("size"), F.when(size(a, h) <= HEADER_BYTES, a["fit"] + 1).otherwise(a["fit"]).alias("fit")), lambda a: a["fit"])
+    more = lambda cut: F.when(cut, F.array(F.struct(F.lit(HEADERS_CUT[0]).alias("name"), F.lit(HEADERS_CUT[1]).alias("value")))).otherwise(F.array().cast("array<struct<name:string,value:string>>"))
+    logged = lambda all_: T.named(first(all_), lambda shown: T.named(fit(shown), lambda k: F.concat(F.slice(shown, F.lit(1), k), more(F.size(all_) > k))))
+    return rows.select(key, F.explode(F.transform(F.filter(F.array(headers), lambda all_: F.size(all_) > 0), logged)).alias("headers"))
 
 
 def session_id(address: Column, content: Column, nonce: Column) -> Column:

@@ -10,6 +10,7 @@ from ..functions.detectors import RULES
 from ..functions.masking import Settings
 from ..operators import bodies as B
 from ..operators import masking, requests
+from ..operators.tables import spread
 from ..sources.corpus import corpus, corpus_sql
 from .detector_queries import KEY, _redacted_sql, find_sql, token_sql
 from .json_queries import bodies
@@ -52,7 +53,7 @@ def byte_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headers of each customer's request for the log: credentials as stars, long values and long lists cut."""
-    rows = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    rows = spread(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name"), "c_custkey")
     pair = lambda n, v: F.struct(F.lit(n).alias("name"), v.alias("value"))
     many = F.transform(F.sequence(F.lit(1), F.lit(3) + (F.col("c_custkey") % 12).cast("int")), lambda i: F.struct(F.concat(F.lit("X-"), i.cast("string")).alias("name"), F.repeat(F.lit("v"), 500 * i).alias("value")))
     listed = F.concat(F.array(pair("Authorization", F.col("c_name")), pair("Accept", F.lit("*/*")), pair("Connection", F.lit("close"))), many)

@@ -50,3 +50,14 @@ def test_rules_have_their_words():
     for key, text in (("det13_aws_secret", "AwsSecretAccessKey=" + "a" * 40), ("det15_bearer", "bEarer " + "a" * 20), *(("det16_secret_pair", f"{w}=abcdef1") for w in "passwd PWD Secret TOKEN api_key accesskey Private-Key 口令 令牌 秘钥 密匙 凭据 凭证 私钥 授权码 访问密钥 接口密钥".split())):
         rule = next(r for r in RULES if r.key == key)
         assert re.search(rule.pattern, text) and any(w in text.lower() for w in rule.words)
+
+
+def test_headers_are_logged_within_their_row(spark):
+    h = [("Accept", "*"), ("Cookie", "abc"), *((f"X-{i}", "é" * 2000) for i in range(9)), *((f"n{i}", "") for i in range(200))]
+    rows = spark.createDataFrame([(1, h), (2, [("A", None)]), (3, []), (4, None)], "row_id int, headers array<struct<name:string,value:string>>")
+    got = requests.logged_headers(rows)
+    assert "Window" not in _plan(got) and "Aggregate" not in _plan(got)
+    found = {r.row_id: [(x["name"], x["value"]) for x in r.headers] for r in got.collect()}
+    long_ = "é" * 1024 + "…"
+    # 7 of 2,054 bytes and the two before them are within 16 KiB
+    assert found == {1: [("accept", "*"), ("cookie", "***"), *((f"x-{i}", long_) for i in range(7)), ("x-shield-truncated", "true")], 2: [("a", None)]}
