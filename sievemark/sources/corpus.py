@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import validators as V
+from ..operators.tables import spread
 
 
 def _idcard(body: str) -> str:
@@ -61,7 +62,8 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         read("documents").select(F.concat(F.lit("doc:"), F.col("doc_id")).alias("row_id"), F.lit("doc").alias("src"), "text"),
         read("pages").select(F.concat(F.lit("page:"), F.col("page_id")).alias("row_id"), F.lit("page").alias("src"), F.col("html").alias("text")),
         read("conversations").select(F.concat(F.lit("conv:"), F.col("conv_id"), F.lit(":"), F.col("turn")).alias("row_id"), F.lit("conv").alias("src"), "text"),
-        read("customer").select(F.concat(F.lit("cust:"), key).alias("row_id"), F.lit("cust").alias("src"), made.alias("text")),
+        # a few bytes a row on disk, so all of them would go to one task; the work on each is as large as on other texts
+        spread(read("customer").select("c_custkey", "c_nationkey"), "c_custkey").select(F.concat(F.lit("cust:"), key).alias("row_id"), F.lit("cust").alias("src"), made.alias("text")),
         spark.createDataFrame([(f"case:{i}", "case", t) for i, t in enumerate(CASES)], "row_id string, src string, text string"),
     ]
     out = parts[0]

@@ -61,3 +61,8 @@ def test_headers_are_logged_within_their_row(spark):
     long_ = "é" * 1024 + "…"
     # 7 of 2,054 bytes and the two before them are within 16 KiB
     assert found == {1: [("accept", "*"), ("cookie", "***"), *((f"x-{i}", long_) for i in range(7)), ("x-shield-truncated", "true")], 2: [("a", None)]}
+
+
+def test_customers_are_dealt_out(spark):
+    cust = corpus(spark, SF).where("src = 'cust'").select(F.spark_partition_id().alias("p"))
+    assert cust.distinct().count() > 1
