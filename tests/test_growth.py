@@ -66,3 +66,7 @@ def test_headers_are_logged_within_their_row(spark):
 def test_customers_are_dealt_out(spark):
     cust = corpus(spark, SF).where("src = 'cust'").select(F.spark_partition_id().alias("p"))
     assert cust.distinct().count() > 1
+
+
+def test_texts_are_scanned_once_for_new_values(spark):
+    assert "parquet" not in signal_queries.new_values(spark, SF)._jdf.queryExecution().executedPlan().toString().lower()
