@@ -101,8 +101,15 @@ def without_echoes(hits: DataFrame, requests: DataFrame, rules: Rules | None = N
 def body_hits(bodies: DataFrame, body: str = "body", key: str = "row_id", rules: Rules | None = None, channels: tuple[str, ...] = ("tool",)) -> DataFrame:
     """Commands in the strings of JSON bodies, also within JSON text in tool arguments: key, path, kind, id, label and snippet.
 
-    A string under a key of tool arguments is a tool's at any depth; other strings go by their key.
+    A string under a key of tool arguments is a tool's at any depth; other strings go by their key. Bodies without any word that
+    a rule needs aren't parsed; those with characters as numbers are.
     """
+    names = [r[0] for r in (P.COMMANDS if rules is None else rules)]
+    if all(n in HINTS for n in names):
+        may = F.contains(body, F.lit("\\u"))
+        for word in sorted({w.strip("/") for n in names for w in HINTS[n]}):
+            may = may | F.contains(F.lower(body), F.lit(word))
+        bodies = bodies.where(may)
     tools = F.array(*[F.lit(k) for k in ("arguments", "partial_json", "tool_input", "tool_args", "input_json")])
     found = B.leaves(bodies, body, key).where("kind = 'string'")
     inner = F.when(F.arrays_overlap(F.transform("path", lambda p: F.lower(p)), tools), "arguments").otherwise(F.coalesce("key", F.lit("")))

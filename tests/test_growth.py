@@ -70,3 +70,9 @@ def test_customers_are_dealt_out(spark):
 
 def test_texts_are_scanned_once_for_new_values(spark):
     assert "parquet" not in signal_queries.new_values(spark, SF)._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_bodies_without_commands_are_not_parsed(spark):
+    rows = spark.createDataFrame([("a", '{"arguments":"hello"}'), ("b", '{"arguments":"\\u0072m -rf /"}'), ("c", '{"arguments":"dd if=x of=\\/dev\\/sda"}')], "row_id string, body string")
+    got = commands.body_hits(rows)
+    assert "Filter" in _plan(got).split("MapInArrow")[-1] and {r.row_id for r in got.collect()} == {"b", "c"}
