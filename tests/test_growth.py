@@ -76,3 +76,9 @@ def test_bodies_without_commands_are_not_parsed(spark):
     rows = spark.createDataFrame([("a", '{"arguments":"hello"}'), ("b", '{"arguments":"\\u0072m -rf /"}'), ("c", '{"arguments":"dd if=x of=\\/dev\\/sda"}')], "row_id string, body string")
     got = commands.body_hits(rows)
     assert "Filter" in _plan(got).split("MapInArrow")[-1] and {r.row_id for r in got.collect()} == {"b", "c"}
+
+
+def test_signals_are_worked_out_where_they_can_be(spark):
+    rows = spark.createDataFrame([("a", "Tel 138 c1@mail.example.com", None)], "row_id string, text string, request string")
+    staged = signals._staged(rows)
+    assert len(signals._poison_parts()) == 1 and staged.select(F.size(signals._poison_parts()[0])).first()[0] == 0
