@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -156,20 +157,37 @@ def derived(text: Column, items: Column) -> Column:
 def marked(text: Column, needles: Column) -> Column:
     """start, end and kind (placeholder or value) of what a display shows: placeholders first, then the longest needles, none overlapping."""
 
-    @F.pandas_udf("array<struct<start: int, end: int, kind: string>>")
-    def run(texts: pd.Series, all_needles: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else _marks(t, [n for n in (s if s is not None else []) if n]) for t, s in zip(texts, all_needles)], dtype=object)
+    @F.arrow_udf("array<struct<start: int, end: int, kind: string>>")
+    def run(texts: pa.Array, all_needles: pa.Array) -> pa.Array:
+        at, starts, ends, kinds = array("i", [0]), array("i"), array("i"), array("b")
+        absent = []
+        for t, s in zip(texts, all_needles):
+            text = t.as_py()
+            absent.append(text is None)
+            for a, b, kind in [] if text is None else _marks(text, [n for n in s.as_py() or [] if n]):
+                starts.append(a)
+                ends.append(b)
+                kinds.append(kind)
+            at.append(len(starts))
+        spans = pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(KINDS).take(pa.array(kinds, pa.int8()))], ["start", "end", "kind"])
+        return pa.ListArray.from_arrays(pa.array(at, pa.int32()), spans, mask=pa.array(absent, pa.bool_()))
 
     return run(text, needles)
 
 
-def _marks(text: str, needles: list[str]) -> list[dict]:
-    found = [(m.start(), m.end(), "placeholder") for m in re.finditer(PLACEHOLDER, text)]
-    for needle in sorted(set(needles), key=lambda n: (-len(n), n)):
-        for m in re.finditer(re.escape(needle), text):
-            if all(m.end() <= a or m.start() >= b for a, b, _ in found):
-                found.append((m.start(), m.end(), "value"))
-    return [{"start": a, "end": b, "kind": k} for a, b, k in sorted(found)]
+KINDS = ["placeholder", "value"]
+
+
+def _marks(text: str, needles: list[str]) -> list[tuple[int, int, int]]:
+    """start, end and number of the kind of each span, in order; what is taken is marked by character."""
+    found, taken = [], bytearray(len(text))
+    for kind, pattern in [(0, PLACEHOLDER), *((1, re.escape(n)) for n in sorted(set(needles), key=lambda n: (-len(n), n)))]:
+        for m in re.finditer(pattern, text):
+            a, b = m.span()
+            if taken.find(1, a, b) < 0:
+                taken[a:b] = b"\1" * (b - a)
+                found.append((a, b, kind))
+    return sorted(found)
 
 
 def target(url: Column) -> Column:

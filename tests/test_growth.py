@@ -82,3 +82,11 @@ def test_signals_are_worked_out_where_they_can_be(spark):
     rows = spark.createDataFrame([("a", "Tel 138 c1@mail.example.com", None)], "row_id string, text string, request string")
     staged = signals._staged(rows)
     assert len(signals._poison_parts()) == 1 and staged.select(F.size(signals._poison_parts()[0])).first()[0] == 0
+
+
+def test_spans_take_little_memory(spark):
+    """A span is two numbers and a kind until it leaves the worker, and finding takes time in proportion to the text."""
+    rows = spark.createDataFrame([("the them {{PHONE_bcdfgh}} e",), (None,), ("",), ("é" + "e" * 200_000,)], "t string")
+    got = [r.s for r in rows.coalesce(1).select(T.marked(F.col("t"), F.array(F.lit("the"), F.lit("them"), F.lit("e"), F.lit(""))).alias("s")).collect()]
+    assert [(x.start, x.end, x.kind) for x in got[0]] == [(0, 3, "value"), (4, 8, "value"), (9, 25, "placeholder"), (26, 27, "value")]
+    assert got[1] is None and got[2] == [] and len(got[3]) == 200_000
