@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import blobs, json_spans
 from ..functions import masking as M
-from .tables import BROADCAST_ROWS, kept, sliced
+from .tables import BROADCAST_ROWS, kept, sliced, written
 
 #: What a masked row carries besides its text.
 HITS = "array<struct<label: string, value: string, token: string>>"
@@ -69,11 +69,16 @@ def mask(corpus: DataFrame, settings: M.Settings = M.Settings(), key: str = "",
         if n <= BROADCAST_ROWS:
             shared = corpus.sparkSession.sparkContext.broadcast({(r.label, r.value): r.token for r in late.collect()})
         else:
-            rows = _with_late(rows, mask(corpus, settings, key, None, json), late)
+            of_row = _late_of_rows(mask(corpus, settings, key, None, json), late)
+            rows = rows.join(of_row, "row_id", "left")
+    return _masked_rows(rows, kept_columns, settings, key, json, shared)
+
+
+def _masked_rows(rows: DataFrame, kept_columns: list[str], settings: M.Settings, key: str, json: bool, shared: Broadcast | None = None) -> DataFrame:
+    """What ``mask`` returns, of rows with the kept columns, text and, where none is shared, the late tokens of each row's values (``late``)."""
     own = "late" in rows.columns
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in kept_columns), MASKED, *(["status string"] if json else [])])
-
-    sent, name = corpus.sparkSession.sparkContext.broadcast(settings), uuid.uuid4().hex
+    sent, name = rows.sparkSession.sparkContext.broadcast(settings), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         masker = _masker(name, sent, key)
@@ -112,11 +117,32 @@ def _masker(name: str, settings: Broadcast, key: str) -> M.Masker:
     return _maskers[name]
 
 
-def _with_late(rows: DataFrame, masked: DataFrame, late: DataFrame) -> DataFrame:
-    """``rows`` (row_id, ...) with the late tokens of the values that each holds."""
-    found = masked.select("row_id", F.explode("hits").alias("h")).select("row_id", "h.label", "h.value")
-    of_row = kept(found.join(late, ["label", "value"]).groupBy("row_id").agg(F.collect_set(F.struct("label", "value", "token")).alias("late")))
-    return rows.join(of_row, "row_id", "left")
+def _late_of_rows(masked: DataFrame, late: DataFrame) -> DataFrame:
+    """row_id and the late tokens of the values that the row holds, of rows that hold any."""
+    held = found(masked).select("row_id", "label", "value")
+    return kept(held.join(late, ["label", "value"]).groupBy("row_id").agg(F.collect_set(F.struct("label", "value", "token")).alias("late")))
+
+
+def mask_apart(corpus: DataFrame, settings: M.Settings = M.Settings(), key: str = "", json: bool = False, changed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``corpus`` (row_id, text, ...) as ``mask`` masks it with the mapping of its own values, and that mapping.
+
+    Texts are masked once and written, with the text that each was (``before``); only rows with a late value are masked
+    again. ``changed``: only rows in which something was replaced.
+    """
+    first = mask(corpus.withColumn("before", F.col("text")), settings, key, None, json)
+    hit = F.size("hits") > 0
+    first = written(first.where(hit) if changed else first.withColumn("before", F.when(hit, F.col("before"))), "masked")
+    mapping = tokens(found(first), key)
+    late = mapping.where("counter > 0").select("label", "value", "token")
+    before = F.when(hit, F.col("before")).otherwise(F.col("text"))  # where nothing was replaced, it is written once
+    if not (n := late.count()):
+        return first.withColumn("before", before), mapping
+    of_row = _late_of_rows(first.where(hit), F.broadcast(late) if n <= BROADCAST_ROWS else late)
+    of_row = F.broadcast(of_row) if of_row.count() <= BROADCAST_ROWS else of_row
+    columns = [c for c in corpus.columns if c not in ("text", "hits", "warned", "warned_labels", "blocked_labels", "before", *(["status"] if json else []))] + ["before"]
+    again = first.where(hit).join(of_row, "row_id").select(*columns, F.col("before").alias("text"), "late")
+    out = first.where(hit).join(of_row, "row_id", "left_anti").select(first.columns).unionByName(_masked_rows(again, columns, settings, key, json))
+    return (out if changed else out.unionByName(first.where(~hit))).withColumn("before", before), mapping
 
 
 def found(masked: DataFrame) -> DataFrame:
@@ -146,17 +172,24 @@ def tokens(values: DataFrame, key: str) -> DataFrame:
     """
     rows = values.select("label", "value").distinct().withColumn("counter", F.lit(0))
     rows = kept(rows.withColumn("token", token(F.col("label"), F.col("value"), key)))
+    late: DataFrame | None = None  # values that have counted on; all others are as in ``rows``
+    wanted = kept(rows.groupBy("token").count().where("count > 1").select("token"))
     first = Window.partitionBy("token").orderBy("counter", "value")
     for _ in range(ROUNDS):
-        twice = kept(rows.groupBy("token").count().where("count > 1").select("token"))
-        if twice.isEmpty():
-            return rows
-        held = rows.join(twice, "token", "left_semi")
-        counted = held.withColumn("late", F.row_number().over(first) > 1).withColumn("counter", F.col("counter") + F.col("late").cast("int"))
-        again = F.when(F.col("late"), token(F.col("label"), F.col("value"), key, F.col("counter"))).otherwise(F.col("token"))
-        moved = counted.select("label", "value", "counter", again.alias("token"))
-        rows = kept(rows.join(twice, "token", "left_anti").select("label", "value", "counter", "token").unionByName(moved))
-    raise ValueError("a label has too many values for suffixes of six consonants")
+        if not (n := wanted.count()):
+            break
+        some = F.broadcast(wanted) if n <= BROADCAST_ROWS else wanted
+        held = rows.join(some, "token", "left_semi")
+        if late is not None:
+            held = held.join(late, ["label", "value"], "left_anti").select(late.columns).unionByName(late.join(some, "token", "left_semi").select(late.columns))
+        moved = held.withColumn("place", F.row_number().over(first)).where("place > 1").withColumn("counter", F.col("counter") + 1)
+        moved = kept(moved.select("label", "value", "counter", token(F.col("label"), F.col("value"), key, F.col("counter")).alias("token")))
+        late = moved if late is None else kept(late.join(moved, ["label", "value"], "left_anti").select(moved.columns).unionByName(moved))
+        wanted = kept(moved.select("token").distinct())  # no other token can have come to two values
+    else:
+        raise ValueError("a label has too many values for suffixes of six consonants")
+    rows = rows.select("label", "value", "counter", "token")
+    return rows if late is None else kept(rows.join(late, ["label", "value"], "left_anti").select(rows.columns).unionByName(late))
 
 
 RESTORED = "text string, restored long, degraded long, unresolved long, samples array<string>"
@@ -171,7 +204,7 @@ def restore_bodies(bodies: DataFrame, mapping: DataFrame) -> DataFrame:
     return restore(bodies, mapping, json=True)
 
 
-def restore(masked: DataFrame, mapping: DataFrame, escape: bool = False, json: bool = False, each: Callable[..., M.Restored] | None = None, beside: str = "") -> DataFrame:
+def restore(masked: DataFrame, mapping: DataFrame, escape: bool = False, json: bool = False, each: Callable[..., M.Restored] | None = None, beside: str = "", own_hits: bool = False) -> DataFrame:
     """``masked`` (row_id, text, ...) with known placeholders of ``mapping`` (token, value) put back, and counts.
 
     Placeholders are known with white space or in other case within their braces, with escaped braces, and bare or half
@@ -180,21 +213,24 @@ def restore(masked: DataFrame, mapping: DataFrame, escape: bool = False, json: b
     (null: true) says whether the row's session is; where it isn't, nothing is restored and placeholders only count.
     Null texts stay null. A mapping of at most BROADCAST_ROWS tokens is broadcast, a larger one is joined to the suffixes that
     texts hold. Two values of one token are refused. ``each`` restores a text in a way of its own: it gets the text, the known tokens by
-    suffix, whether the session is known, and the row's value of the column ``beside``.
+    suffix, whether the session is known, and the row's value of the column ``beside``. ``own_hits``: ``masked`` and ``mapping`` are of one
+    ``mask_apart``, so the tokens in ``hits`` are the mapping's, and of those joined only suffixes that ``before`` held are looked up.
     """
     pairs = mapping.select("token", "value").distinct()
-    if not pairs.groupBy("token").count().where("count > 1").isEmpty():
+    sizes = pairs.groupBy("token").count().agg(F.max("count").alias("most"), F.sum("count").alias("n")).first()
+    if (sizes["most"] or 0) > 1:
         raise ValueError("a token has two values")
     kept_columns = [c for c in masked.columns if c not in ("text", "restored", "degraded", "unresolved", "samples")]
     rows = masked.select(*kept_columns, "text")
     shared, own = None, False
-    if pairs.count() <= BROADCAST_ROWS:
+    if (sizes["n"] or 0) <= BROADCAST_ROWS:
         by_suffix: dict[str, dict[str, str]] = {}
         for r in pairs.collect():
             by_suffix.setdefault(r.token[-8:-2], {})[r.token] = r.value
         shared = masked.sparkSession.sparkContext.broadcast(by_suffix)
     else:
-        rows, own = _with_known(rows, pairs), True
+        rows, own = _with_others(rows, pairs) if own_hits else _with_known(rows, pairs), True
+    hits_at = kept_columns.index("hits") if own and own_hits else -1
     session = kept_columns.index("known") if "known" in kept_columns else -1
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in kept_columns), RESTORED])
 
@@ -204,13 +240,14 @@ def restore(masked: DataFrame, mapping: DataFrame, escape: bool = False, json: b
             texts = batch.column(n).to_pylist()
             mine = batch.column(n + 1).to_pylist() if own else None
             sessions = batch.column(session).to_pylist() if session >= 0 else [True] * len(texts)
+            hits = batch.column(hits_at).to_pylist() if hits_at >= 0 else None
             others = batch.column(kept_columns.index(beside)).to_pylist() if beside else [None] * len(texts)
             done = []
             for i, t in enumerate(texts):
                 known = shared.value if shared else {}
                 if own:
                     known = {}
-                    for x in mine[i] or []:
+                    for x in [*(hits[i] if hits else ()), *(mine[i] or [])]:
                         known.setdefault(x["token"][-8:-2], {})[x["token"]] = x["value"]
                 here = sessions[i] is not False
                 if t and each:
@@ -230,17 +267,29 @@ def restore(masked: DataFrame, mapping: DataFrame, escape: bool = False, json: b
     return rows.mapInArrow(run, schema)
 
 
-def _with_known(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``rows`` (row_id, text, ...) with all tokens of the suffixes that each text holds."""
-    suffix = F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(f"_(?i:{M.SUFFIX})"), F.lit(0)), lambda s: F.lower(F.substring(s, 2, 6)))))
+def _with_known(rows: DataFrame, pairs: DataFrame, text: str = "text") -> DataFrame:
+    """``rows`` (row_id, text, ...) with all tokens of the suffixes that the column ``text`` holds."""
+    suffix = F.explode(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_SUFFIXED), F.lit(0)), lambda s: F.lower(F.substring(s, 2, 6)))))
     held = rows.select("row_id", suffix.alias("suffix"))
     of_row = held.join(pairs.withColumn("suffix", F.substring("token", -8, 6)), "suffix").groupBy("row_id").agg(F.collect_list(F.struct("token", "value")).alias("mine"))
     return rows.join(of_row, "row_id", "left")
 
 
-def round_trip(corpus: DataFrame, settings: M.Settings = M.Settings(), key: str = "") -> DataFrame:
-    """``corpus`` (row_id, text) with masked, hits, restored text, and restored and unresolved counts: a test of settings on texts."""
-    mapping = tokens(found(mask(corpus, settings, key)), key)
-    masked = mask(corpus, settings, key, mapping)
-    back = restore(masked.withColumn("masked", F.col("text")), mapping)
-    return back.select("row_id", "masked", "hits", F.col("text").alias("restored_text"), "restored", "unresolved")
+_SUFFIXED = f"_(?i:{M.SUFFIX})"
+
+
+def _with_others(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``rows`` (row_id, before, ...), those whose text held suffixes before it was masked with all tokens of these; the others meet no join."""
+    held = F.coalesce(F.contains("before", F.lit("_")) & F.regexp_like("before", F.lit(_SUFFIXED)), F.lit(False))
+    looked_up = _with_known(rows.where(held), pairs, "before")
+    return looked_up.unionByName(rows.where(~held).withColumn("mine", F.lit(None).cast(looked_up.schema["mine"].dataType)))
+
+
+def round_trip(corpus: DataFrame, settings: M.Settings = M.Settings(), key: str = "", changed: bool = False) -> DataFrame:
+    """``corpus`` (row_id, text) with before, masked, hits, restored text, and restored and unresolved counts: a test of settings on texts.
+
+    ``changed``: only rows in which something was replaced.
+    """
+    masked, mapping = mask_apart(corpus, settings, key, changed=changed)
+    back = restore(masked.withColumn("masked", F.col("text")), mapping, own_hits=True)
+    return back.select("row_id", "before", "masked", "hits", F.col("text").alias("restored_text"), "restored", "unresolved")

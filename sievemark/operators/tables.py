@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -37,6 +38,13 @@ def kept(rows: DataFrame) -> DataFrame:
     return rows.checkpoint()
 
 
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` with texts, computed once and written as Parquet, so that further reads take only the columns they want."""
+    path = f"{shared_folder(rows.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    rows.write.option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def spread(rows: DataFrame, *keys: str) -> DataFrame:
     """``rows`` by ``keys`` over as many partitions as shuffles have: small rows whose work is large would else be put together into few tasks."""
     spark = rows.sparkSession

@@ -151,9 +151,8 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def isolated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A test of settings on all texts: what was found, and that it comes back."""
-    back = masking.round_trip(corpus(spark, sf_dir).where("text IS NOT NULL"), _SETTINGS, KEY)
-    source = corpus(spark, sf_dir).select("row_id", F.col("text").alias("before"))
-    return back.join(source, "row_id").where("size(hits) > 0").select("row_id", F.size("hits").cast("long").alias("n_values"), "restored", (F.col("restored_text") == F.col("before")).alias("same"))
+    back = masking.round_trip(corpus(spark, sf_dir).where("text IS NOT NULL"), _SETTINGS, KEY, changed=True)
+    return back.select("row_id", F.size("hits").cast("long").alias("n_values"), "restored", (F.col("restored_text") == F.col("before")).alias("same"))
 
 
 _FOUND = " UNION ALL ".join(f"(SELECT * FROM ({find_sql(r)}))" for r in _MASKED)

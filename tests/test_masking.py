@@ -1,5 +1,6 @@
 """Masking and restoring: expected values written out, adversarial texts, collisions, deformed placeholders."""
 
+import hashlib
 import re
 import time
 
@@ -238,3 +239,64 @@ def test_round_trip_of_texts(spark):
 def test_redaction_keeps_identifiers(spark):
     df = spark.createDataFrame([("ask_user_question sk-abcdefghijklmnopqrstuvwxyz123456 sk-demo123x sk_learn_utils_loader",)], "t string")
     assert df.select(detect.redact(F.col("t")).alias("t")).first().t == "ask_user_question [REDACTED] [REDACTED] sk_learn_utils_loader"
+
+
+@pytest.mark.parametrize("most", [250_000, 0])
+def test_a_round_trip_reads_texts_once(spark, monkeypatch, most):
+    first, second = _twins()
+    token = M.token_of("k", "PHONE", first)
+    texts = [f"call {first} or {second}", f"{second}", f"tel {first}, not {token}", f"{token} and PHONE_bcdfgh", "nothing", "", None, f"mail jo_abcdef@corp.com, {second}"]
+    plain = spark.createDataFrame(list(enumerate(texts)), "row_id int, text string")
+    mapping = masking.tokens(masking.found(masking.mask(plain, key="k")), "k")
+    assert mapping.where("counter > 0").count() == 1
+    masked = {r.row_id: r for r in masking.mask(plain, key="k", mapping=mapping).collect()}
+    back = {r.row_id: r for r in masking.restore(masking.mask(plain, key="k", mapping=mapping), mapping).collect()}
+    monkeypatch.setattr(masking, "BROADCAST_ROWS", most)
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        seen.add(1)
+        return text
+
+    rows = plain.repartition(2).withColumn("text", counted("text"))
+    got = {r.row_id: r for r in masking.round_trip(rows, key="k").collect()}
+    assert seen.value == len(texts) == len(got)
+    for i, text in enumerate(texts):
+        assert (got[i].before, got[i].masked, sorted(got[i].hits)) == (text, masked[i].text, sorted(masked[i].hits))
+        assert (got[i].restored_text, got[i].restored, got[i].unresolved) == (back[i].text, back[i].restored, back[i].unresolved)
+    assert {r.row_id for r in masking.round_trip(plain, key="k", changed=True).collect()} == {0, 1, 2, 7}
+
+
+@pytest.mark.parametrize("most", [250_000, 0])
+def test_values_count_on_until_none_share_a_token(spark, monkeypatch, most):
+    monkeypatch.setattr(masking, "BROADCAST_ROWS", most)
+    monkeypatch.setattr(M, "CONSONANTS", "bc" * 9 + "b")  # 64 suffixes, so that most values move, some of them often
+    values = [("A", str(i)) for i in range(50)] + [("B", str(i)) for i in range(5)]
+    got = {(r.label, r.value): (r.token, r.counter) for r in masking.tokens(spark.createDataFrame(values, "label string, value string"), "k").collect()}
+    counters = dict.fromkeys(values, 0)
+
+    def token(label, value):
+        digest = hashlib.sha256(f"k|{counters[label, value]}|{value}".encode()).digest()
+        return "{{%s_%s}}" % (label, "".join(M.CONSONANTS[b % 19] for b in digest[:6]))
+
+    while True:
+        held = {}
+        for v in values:
+            held.setdefault(token(*v), []).append(v)
+        late = [v for some in held.values() for v in sorted(some, key=lambda v: (counters[v], v[1]))[1:]]
+        if not late:
+            break
+        for v in late:
+            counters[v] += 1
+    assert got == {v: (token(*v), counters[v]) for v in values} and max(counters.values()) > 3
+
+
+def _twins() -> tuple[str, str]:
+    """Two mobile numbers that want one token."""
+    seen: dict[str, str] = {}
+    for i in range(1_000_000):
+        value = f"139{i:08d}"
+        if (other := seen.setdefault(M.token_of("k", "PHONE", value), value)) != value:
+            return other, value
+    raise AssertionError("no pair")
