@@ -49,9 +49,9 @@ def tree_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tree_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bodies masked by all rules that are on and restored: byte by byte as they were."""
     source = bodies(spark, sf_dir).withColumnRenamed("body", "text")
-    mapping = masking.tokens(masking.found(masking.mask_bodies(source, Settings(), KEY)), KEY)
-    back = masking.restore_bodies(masking.mask_bodies(source, Settings(), KEY, mapping), mapping)
-    return back.join(source.withColumnRenamed("text", "before"), "row_id").select("row_id", (F.col("text") == F.col("before")).alias("same"), "unresolved")
+    masked, mapping = masking.mask_apart(source, Settings(), KEY, json=True)
+    back = masking.restore_bodies(masked, mapping)
+    return back.select("row_id", (F.col("text") == F.col("before")).alias("same"), "unresolved")
 
 
 def described(spark: SparkSession, sf_dir: str) -> DataFrame:

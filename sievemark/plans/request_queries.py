@@ -110,8 +110,8 @@ def restore_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of responses: those that masked texts give when restored from a mapping that misses every value of odd length; one without a text of its own is blocked."""
     settings = Settings(rules=frozenset(["det18_mobile", "det19_email"]))
     source = corpus(spark, sf_dir)
-    mapping = masking.tokens(masking.found(masking.mask(source, settings, KEY)), KEY)
-    back = masking.restore(masking.mask(source, settings, KEY, mapping), mapping.where(F.length("value") % 2 == 0))
+    masked, mapping = masking.mask_apart(source, settings, KEY)
+    back = masking.restore(masked, mapping.where(F.length("value") % 2 == 0))
     made = back.select(F.col("row_id").alias("sid"), F.coalesce(F.length("text") < 3, F.lit(True)).alias("blocked"), "restored", "unresolved", "samples", F.length("text").alias("first_byte_ms"), F.lit(0).alias("upstream_ms"))
     return requests.restore_events(made.where("sid NOT LIKE 'case:%'")).select("sid", "restore_status", "restored", "unresolved", F.col("first_byte_ms").isNull().alias("no_time"))
 

@@ -97,8 +97,8 @@ def whole_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masked texts of all turns, streamed in four protocols and restored as whole bodies: each channel's text as it was, and counts."""
     turns = spread_turns(spark, sf_dir)
     settings = Settings(rules=frozenset(r.key for r in _MASKED))
-    known = masking.tokens(masking.found(masking.mask(turns, settings, KEY)), KEY)
-    bodies = response_bodies(spark, sf_dir, masking.mask(turns, settings, KEY, known).select("row_id", "turn", "text"))
+    masked, known = masking.mask_apart(turns, settings, KEY)
+    bodies = response_bodies(spark, sf_dir, masked.select("row_id", "turn", "text"))
     back = responses.restore_bodies(bodies, known)
     return channel_digests(back)
 
