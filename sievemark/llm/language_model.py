@@ -27,7 +27,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 from math import ceil, log, log2, log10
 
 import numpy as np
@@ -57,6 +57,8 @@ GROUP = 1 << 17
 HEAD = 200_000
 #: Most tables of counting tasks that are summed in one group; where there are more, they are summed in two levels.
 SUMMED = 256
+#: Tokens, about, of which scoring takes the bits at a time.
+PIECE = 4096
 _FLUSH = 200_000
 #: Very frequent words, one of which is a context until the next comes.
 MARKERS = 64
@@ -258,8 +260,8 @@ class Coder:
         self.coded, self.slot_bits = coded, [min(slot_bits, most) for most in MOST_BITS]
         self.once = np.append(counts == 1, np.zeros(4, bool))
         self.end, self.escape, self.copy, self.start = len(coded), len(coded) + 1, len(coded) + 2, len(coded) + 3
-        self.at, self.node, self.bit = prefix_codes(np.concatenate([counts, [max(ends, 1), max(rest, 1)]]))
-        self.mixed_node = (self.node.astype(_U) + _U(1)) * _C1
+        self.at, node, bit = prefix_codes(np.concatenate([counts, [max(ends, 1), max(rest, 1)]]))
+        self.code = (node.astype(np.uint32) + np.uint32(1)) << np.uint32(1) | bit  # both in one array: they are read together
         #: Number of slots of each view's table.
         self.slots = [1 << b for b in self.slot_bits]
 
@@ -272,18 +274,18 @@ class Coder:
         ``index`` holds the coded words first, by their symbols; further words are escaped. Words outside it have
         negative places.
         """
-        ids, starts = [], []
-        for found in texts:
-            starts.append(len(ids))
-            own = list(map(index.get, found, repeat(-1)))
-            if -1 in own:
-                new: dict[bytes, int] = {}  # these words are told apart within their text
-                own = [i if i >= 0 else -1 - new.setdefault(w, len(new)) for i, w in zip(own, found)]
-            ids.extend(own)
-            ids.append(self.end)
-        ident, at = np.array(ids, np.int64), np.array(starts, np.int64)
-        n = len(ident)
-        ends = np.append(at[1:], n) - 1
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        ends = np.cumsum(sizes) - 1
+        at, n = ends + 1 - sizes, int(sizes.sum())
+        inner = np.ones(n, bool)
+        inner[ends] = False
+        ident = np.full(n, self.end)
+        ident[inner] = np.fromiter(map(index.get, chain.from_iterable(texts), repeat(-1)), np.int64, n - len(texts))
+        unknown = np.flatnonzero(ident < 0)
+        of_text = np.searchsorted(ends, unknown)
+        new: dict[tuple[int, bytes], int] = {}  # these words are told apart within their text
+        for i, t, j in zip(unknown.tolist(), of_text.tolist(), (unknown - at[of_text]).tolist()):
+            ident[i] = -1 - new.setdefault((t, texts[t][j]), len(new))
         begin = np.repeat(at, ends - at + 1)
         first, second = at, at[ends > at] + 1
         symbol = np.where((ident < 0) | (ident >= len(self.coded)), self.escape, ident)
@@ -305,9 +307,14 @@ class Coder:
         """The number of bits of each symbol's code; of each bit its depth and value, and its table slot for each view."""
         begin = self.at[symbol]
         sizes = self.at[symbol + 1] - begin
-        flat = np.arange(sizes.sum()) + np.repeat(begin - np.cumsum(sizes) + sizes, sizes)
-        depth = np.minimum(flat - np.repeat(begin, sizes), DEPTHS - 1)
-        node = self.mixed_node[flat]
+        depth = np.arange(sizes.sum())
+        depth -= np.repeat(np.cumsum(sizes) - sizes, sizes)
+        flat = np.repeat(begin, sizes)
+        flat += depth
+        np.minimum(depth, DEPTHS - 1, out=depth)
+        code = self.code[flat]
+        node = (code >> np.uint32(1)).astype(_U)
+        node *= _C1
         place = []
         for m, b in zip(mixed, self.slot_bits):
             slot = np.repeat(m, sizes)
@@ -315,7 +322,7 @@ class Coder:
             slot *= _C2
             slot >>= _U(64 - b)
             place.append(slot.view(np.int64))
-        return sizes, depth, self.bit[flat], place
+        return sizes, depth, (code & np.uint32(1)).astype(np.uint8), place
 
 
 def start_weights() -> np.ndarray:
@@ -398,42 +405,66 @@ def log10_coded(symbols: np.ndarray, contexts: np.ndarray, starts: np.ndarray, c
     stretch = np.searchsorted(STRETCHES, place, side="right")
     late = stretch == len(STRETCHES)
     stretch[late] += (place[late] - STRETCHES[-1]) // (STRETCHES[-1] - STRETCHES[-2])
-    order = np.argsort(stretch, kind="stable")
-    cuts = np.searchsorted(stretch[order], np.arange(stretch.max() + 2))
+    final = stretch == stretch[np.append(starts[1:], len(symbols)) - 1][text]  # nothing of these texts comes after, so they needn't learn
+    key = 2 * stretch + final
+    order = np.argsort(key, kind="stable")
     weights = np.ascontiguousarray(np.tile(start_weights(), (1, texts)).T)  # the four of a cell side by side, read at once
     came = np.zeros((texts * DEPTHS * REFINE, 2), np.float32)  # zeros and ones of each cell
     out = np.empty(len(symbols))
-    for t in range(len(cuts) - 1):
-        those = order[cuts[t] : cuts[t + 1]]
+    for begin, end in _pieces(key[order], text[order]):
+        those = order[begin:end]
+        low, high = text[those[0]], text[those[-1]] + 1
+        cells, seen_cells = weights[low * WORD_GATES : high * WORD_GATES], came[low * DEPTHS * REFINE : high * DEPTHS * REFINE]
         sizes, depth, bit, slot = coder.bits(symbols[those], contexts[:, those])
         x = [np.take(table, p, mode="wrap") for table, p in zip(stretched, slot)]  # all are within; the mode spares a check
-        own = np.repeat(text[those] * DEPTHS, sizes) + depth
-        g = own * 4 + (x[1] != 0) * 2 + (x[2] != 0)
-        w = weights.view(np.complex128)[:, 0][g].view(np.float32).reshape(-1, VIEWS + 1)
+        own = np.repeat((text[those] - low) * DEPTHS, sizes)
+        own += depth
+        g = own * 4
+        g += ((x[1] != 0).view(np.uint8) << 1) | (x[2] != 0).view(np.uint8)
+        w = np.take(cells.view(np.complex128)[:, 0], g, mode="wrap").view(np.float32).reshape(-1, VIEWS + 1)
         mixed = w[:, VIEWS] * np.float32(0.3)
         for i, row in enumerate(x):
             mixed += row * w[:, i]
         np.clip(mixed, -12, 12, out=mixed)
         p = 1 / (1 + np.exp(-mixed))
-        like = own * REFINE + (np.clip(mixed, -8, 8) * 2 + np.float32(16.5)).astype(np.int64)
-        seen = came.view(np.complex64)[:, 0][like]
+        np.clip(mixed, -8, 8, out=mixed)
+        mixed *= 2
+        mixed += np.float32(16.5)
+        like = own
+        like *= REFINE
+        like += mixed.astype(np.uint8)
+        seen = np.take(seen_cells.view(np.complex64)[:, 0], like, mode="wrap")
         fine = (seen.imag + np.float32(TRUST) * p) / (seen.real + seen.imag + np.float32(TRUST))
         fine += p
         fine *= np.float32(0.5)
         real = bit.astype(np.float32)
-        chance = np.maximum(np.abs(fine + real - 1), np.float32(1e-9))
-        out[those] = np.add.reduceat(np.log(chance).astype(np.float64), np.cumsum(sizes) - sizes) / log(10)
-        if t == len(cuts) - 2:
-            break
+        fine += real
+        fine -= 1
+        chance = np.maximum(np.abs(fine, out=fine), np.float32(1e-9), out=fine)
+        out[those] = np.add.reduceat(np.log(chance, out=chance).astype(np.float64), np.cumsum(sizes) - sizes) / log(10)
+        if final[those[0]]:
+            continue
         error = real - p
-        n = np.bincount(g, minlength=texts * WORD_GATES) + np.float32(INERTIA)
+        n = np.bincount(g, minlength=len(cells)) + np.float32(INERTIA)
         for i, row in enumerate(x):
-            weights[:, i] += RATE * np.bincount(g, row * error, texts * WORD_GATES) / n
-        weights[:, VIEWS] += RATE * 0.3 * np.bincount(g, error, texts * WORD_GATES) / n
-        came += np.bincount(2 * like + bit, minlength=2 * len(came)).reshape(-1, 2)
+            cells[:, i] += RATE * np.bincount(g, row * error, len(cells)) / n
+        cells[:, VIEWS] += RATE * 0.3 * np.bincount(g, error, len(cells)) / n
+        like *= 2
+        like += bit
+        seen_cells += np.bincount(like, minlength=2 * len(seen_cells)).reshape(-1, 2)
     return out
 
 
+def _pieces(key: np.ndarray, text: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Stretches of equal ``key``, cut where a text ends once a piece has PIECE tokens: its arrays stay in a core's cache."""
+    cuts = np.append(np.flatnonzero((np.diff(key) != 0) | (np.diff(text) != 0)) + 1, len(key)).tolist()
+    begin = 0
+    for cut in cuts:
+        if cut - begin >= PIECE or cut == len(key) or key[cut] != key[begin]:
+            yield begin, cut
+            begin = cut
+
+
 def _counted(docs: DataFrame) -> DataFrame:
     """kind 0: word, its training count n, its count m in all texts; 2: training texts."""
 
@@ -441,10 +472,9 @@ def _counted(docs: DataFrame) -> DataFrame:
         trained, other, texts = Counter(), Counter(), 0
 
         def rows() -> pa.RecordBatch:
-            every = list(trained.keys() | other.keys())
-            n = [trained[w] for w in every]
-            m = [a + other[w] for a, w in zip(n, every)]
-            return pa.RecordBatch.from_arrays([pa.array([0] * len(every), pa.int32()), pa.array(every, pa.binary()), pa.array(n, pa.int64()), pa.array(m, pa.int64())], names=["kind", "word", "n", "m"])
+            own, rest = list(trained.values()), list(other.values())  # a word of both has two rows, which are summed below
+            n, m = np.array(own + [0] * len(rest), np.int64), np.array(own + rest, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), pa.array([*trained, *other], pa.binary()), pa.array(n), pa.array(m)], names=["kind", "word", "n", "m"])
 
         for batch in batches:
             for text, train in zip(batch.column(0), batch.column(1).to_pylist()):
