@@ -27,7 +27,6 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, repeat
 from math import ceil, log, log2, log10
 
 import numpy as np
@@ -59,7 +58,10 @@ HEAD = 200_000
 SUMMED = 256
 #: Tokens, about, of which scoring takes the bits at a time.
 PIECE = 4096
-_FLUSH = 200_000
+#: Bytes of texts, about, whose words are looked up at a time.
+CHUNK = 1 << 19
+#: Short words that a task holds, and different long ones, before it hands on their counts.
+POOL, _FLUSH = 1 << 21, 200_000
 #: Very frequent words, one of which is a context until the next comes.
 MARKERS = 64
 _SALT = words.mix(np.arange(1, ORDERS + 1, dtype=_U))
@@ -88,11 +90,16 @@ def contexts(some: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return flat, starts, at, np.stack([words.mix(r + s) for r, s in zip(rows, _SALT)])
 
 
-def slots(mixed: np.ndarray, flat: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Table slots of bit ``k`` in each order, and the bit."""
-    so_far = (1 << k) | (flat.astype(np.int64) >> (8 - k))
-    place = ((mixed ^ (so_far.astype(_U) * _C1)[None, :]) * _C2) >> _U(64 - SLOT_BITS)
-    return place.astype(np.int64), (flat >> (7 - k)) & 1
+def slots(mixed: np.ndarray, flat: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each of the eight bits: its number, its table slots in each order, and its values. Four bits' slots are side by side: one line of a core's cache."""
+    for half in (0, 4):
+        above, byte = (flat >> 4) + np.uint8(16) if half else np.ones(len(flat), np.uint8), flat.astype(np.int64)
+        line = mixed ^ (above.astype(_U) * _C1)[None, :]
+        line *= _C2
+        line >>= _U(64 - SLOT_BITS)
+        for k in range(half, half + 4):
+            within = (1 << (k - half)) | ((byte >> (8 - k)) & ((1 << (k - half)) - 1))
+            yield k, line.view(np.int64) ^ within[None, :], (flat >> (7 - k)) & 1
 
 
 def _batches(column: pa.Array, each: int = 512) -> Iterator[list[bytes]]:
@@ -117,9 +124,9 @@ def inputs(tables: np.ndarray, place: np.ndarray, bit: np.ndarray) -> np.ndarray
 
 
 def mixed_of(x: np.ndarray, weights: np.ndarray, gates: np.ndarray) -> np.ndarray:
-    total = x[0] * weights[0][gates]
+    total = x[0] * np.take(weights[0], gates)
     for row, w in zip(x[1:], weights[1:]):
-        total += row * w[gates]
+        total += row * np.take(w, gates)
     return total
 
 
@@ -137,10 +144,9 @@ def log10_spelled(some: list[bytes], stretched: np.ndarray, weights: np.ndarray,
     total = np.zeros(len(flat))
     weights, part = weights.T.astype(np.float32), (3 * (refined[1] + 0.5) / (refined.sum(axis=0) + 1)) / 4
     x = np.full((INPUTS, len(flat)), 0.3, np.float32)
-    for k in range(8):
-        place, bit = slots(mixed, flat, k)
+    for k, place, bit in slots(mixed, flat):
         for o in range(ORDERS):
-            x[o] = stretched[o][place[o]]
+            np.take(stretched[o], place[o], out=x[o], mode="wrap")  # all are within; the mode spares a check
         y = mixed_of(x, weights, gate(k, at))
         p = squash(y) / 4 + part[k][_bucket(y)]
         total += np.log(np.clip(np.where(bit == 1, p, 1 - p), 1e-9, 1))
@@ -160,10 +166,11 @@ def _count_tables(vocabulary: DataFrame, n_words: int) -> np.ndarray:
             for some in _batches(batch.column(0), 4096):
                 flat, _, _, mixed = contexts(some)
                 one = np.ones(len(flat), np.int32)
-                for k in range(8):
-                    place, bit = slots(mixed, flat, k)
+                for _, place, bit in slots(mixed, flat):
+                    place *= 2
+                    place += bit
                     for o in range(ORDERS):
-                        np.add.at(tables[o], 2 * place[o] + bit, one)
+                        np.add.at(tables[o], place[o], one)
         flat = tables.reshape(-1, BLOCK)
         used = np.flatnonzero(flat.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([flat[i].tobytes() for i in used], pa.binary())], names=["block", "n"])
@@ -190,8 +197,7 @@ def _weights(once: DataFrame, tables) -> tuple[np.ndarray, np.ndarray]:
         for some in _batches(pa.array(sorted(group.column("word").to_pylist()), pa.binary())):
             flat, _, at, mixed = contexts(some)
             rate = 0.3 / (1 + seen / 20_000) ** 0.5
-            for k in range(8):
-                place, bit = slots(mixed, flat, k)
+            for k, place, bit in slots(mixed, flat):
                 x = inputs(tables.value, place, bit)
                 g = gate(k, at)
                 mixed_x = mixed_of(x, weights, g)
@@ -261,32 +267,40 @@ class Coder:
         self.once = np.append(counts == 1, np.zeros(4, bool))
         self.end, self.escape, self.copy, self.start = len(coded), len(coded) + 1, len(coded) + 2, len(coded) + 3
         self.at, node, bit = prefix_codes(np.concatenate([counts, [max(ends, 1), max(rest, 1)]]))
-        self.code = (node.astype(np.uint32) + np.uint32(1)) << np.uint32(1) | bit  # both in one array: they are read together
+        depth = np.arange(len(bit), dtype=np.uint32) - np.repeat(self.at[:-1].astype(np.uint32), np.diff(self.at))
+        level, within = depth & 3, np.ones(len(bit), np.uint32)  # subtrees of four levels have 16 slots side by side: one line of a core's cache
+        for k in (3, 2, 1):
+            deep = np.flatnonzero(level >= k)
+            within[deep] = within[deep] << np.uint32(1) | bit[deep - k]
+        #: Top of the subtree, place within it, depth and value of each bit in one array: they are read together.
+        self.code = (node[np.arange(len(bit), dtype=np.uint32) - level].astype(np.uint32) + np.uint32(1)) << np.uint32(9)
+        self.code |= within << np.uint32(5)
+        self.code |= np.minimum(depth, np.uint32(DEPTHS - 1)) << np.uint32(1)
+        self.code |= bit
         #: Number of slots of each view's table.
         self.slots = [1 << b for b in self.slot_bits]
 
-    def index(self) -> dict[bytes, int]:
-        return {w: i for i, w in enumerate(self.coded)}
+    def index(self) -> words.Index:
+        return words.Index(self.coded)
 
-    def tokens(self, texts: list[list[bytes]], index: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def tokens(self, texts: list[list[bytes]], index: words.Index) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """:meth:`of_words` for texts that are lists of words."""
+        return self.of_words(words.Cut([b" ".join(t) for t in texts]), index)
+
+    def of_words(self, found: words.Cut, index: words.Index) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Symbol of each token, ends included; the mixed contexts, a row for each view; where texts start; places in ``index``.
 
         ``index`` holds the coded words first, by their symbols; further words are escaped. Words outside it have
         negative places.
         """
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        sizes = np.diff(found.first) + 1
         ends = np.cumsum(sizes) - 1
         at, n = ends + 1 - sizes, int(sizes.sum())
         inner = np.ones(n, bool)
         inner[ends] = False
         ident = np.full(n, self.end)
-        ident[inner] = np.fromiter(map(index.get, chain.from_iterable(texts), repeat(-1)), np.int64, n - len(texts))
-        unknown = np.flatnonzero(ident < 0)
-        of_text = np.searchsorted(ends, unknown)
-        new: dict[tuple[int, bytes], int] = {}  # these words are told apart within their text
-        for i, t, j in zip(unknown.tolist(), of_text.tolist(), (unknown - at[of_text]).tolist()):
-            ident[i] = -1 - new.setdefault((t, texts[t][j]), len(new))
-        begin = np.repeat(at, ends - at + 1)
+        ident[inner] = index.places(found)
+        begin = np.repeat(at, sizes)
         first, second = at, at[ends > at] + 1
         symbol = np.where((ident < 0) | (ident >= len(self.coded)), self.escape, ident)
         symbol[ends] = self.end
@@ -294,8 +308,8 @@ class Coder:
         before[1:], two[2:] = symbol[:-1], symbol[:-2]
         before[first] = two[first] = two[second] = self.start
         same = np.zeros(n, bool)
-        np.equal(ident[1:], ident[:-1], out=same[1:])
-        same[first] = same[ends] = False
+        same[inner] = found.repeats()
+        same[first] = False
         marked = np.maximum.accumulate(np.where(symbol < min(MARKERS, len(self.coded)), np.arange(n), -1))
         marker = np.full(n, self.start)
         marker[1:] = np.where(marked[:-1] >= begin[1:], symbol[marked[:-1]], self.start)
@@ -305,24 +319,48 @@ class Coder:
 
     def bits(self, symbol: np.ndarray, mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
         """The number of bits of each symbol's code; of each bit its depth and value, and its table slot for each view."""
-        begin = self.at[symbol]
-        sizes = self.at[symbol + 1] - begin
-        depth = np.arange(sizes.sum())
-        depth -= np.repeat(np.cumsum(sizes) - sizes, sizes)
+        sizes, depth, bit, code = self.codes(symbol)
+        return sizes, depth, bit, self.places(list(mixed), sizes, code, self.slot_bits)
+
+    def codes(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The number of bits of each symbol's code; of each bit its depth, its value and its entry in ``code``."""
+        begin = np.take(self.at, symbol)
+        sizes = np.take(self.at, symbol + 1) - begin
+        begin -= np.cumsum(sizes)
+        begin += sizes
         flat = np.repeat(begin, sizes)
-        flat += depth
-        np.minimum(depth, DEPTHS - 1, out=depth)
-        code = self.code[flat]
-        node = (code >> np.uint32(1)).astype(_U)
-        node *= _C1
-        place = []
-        for m, b in zip(mixed, self.slot_bits):
+        flat += np.arange(len(flat))
+        code = np.take(self.code, flat, mode="wrap")  # all are within; the mode spares a check
+        return sizes, ((code >> np.uint32(1)) & np.uint32(15)).astype(np.uint8), (code & np.uint32(1)).astype(np.uint8), code
+
+    def places(self, mixed: list[np.ndarray], sizes: np.ndarray, code: np.ndarray, slot_bits: list[int]) -> list[np.ndarray]:
+        """Table slots for each of the contexts: that of the top of the bit's subtree, hashed with the context, turned by the bit's place within, so it stays in 16 slots side by side."""
+        top = (code >> np.uint32(9)).astype(_U)
+        top *= _C1
+        within = ((code >> np.uint32(5)) & np.uint32(15)).astype(_U)
+        out = []
+        for m, bits in zip(mixed, slot_bits):
             slot = np.repeat(m, sizes)
-            slot ^= node
+            slot ^= top
             slot *= _C2
-            slot >>= _U(64 - b)
-            place.append(slot.view(np.int64))
-        return sizes, depth, (code & np.uint32(1)).astype(np.uint8), place
+            slot >>= _U(64 - bits)
+            slot ^= within
+            out.append(slot.view(np.int64))
+        return out
+
+
+def _count_bits(tables: list[np.ndarray], coder: Coder, found: words.Cut, index: words.Index) -> None:
+    """Add the zeros and ones of the bits of all symbols in their contexts."""
+    symbols, contexts, _, _ = coder.of_words(found, index)
+    new = coder.once[symbols]
+    symbols, contexts = np.concatenate([symbols, np.full(int(new.sum()), coder.escape)]), np.concatenate([contexts, contexts[:, new]], axis=1)
+    for i in range(0, len(symbols), PIECE):
+        _, _, bit, place = coder.bits(symbols[i : i + PIECE], contexts[:, i : i + PIECE])
+        one = np.ones(len(bit), np.int32)
+        for t, p in zip(tables, place):
+            p *= 2
+            p += bit
+            np.add.at(t, p, one)
 
 
 def start_weights() -> np.ndarray:
@@ -332,36 +370,22 @@ def start_weights() -> np.ndarray:
     return np.ascontiguousarray(np.tile(by_seen, (DEPTHS, 1)).T)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], column: int, least: int) -> Iterator[tuple[pa.RecordBatch, int, list[list[bytes]]]]:
-    """Words of consecutive texts, ``least`` or more at a time but at the end of a batch: batch, first row, texts."""
+def _chunks(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterator[tuple[pa.RecordBatch, int, words.Cut]]:
+    """Words of consecutive texts of about ``limit`` bytes: batch, first row, words."""
     for batch in batches:
-        first, held, size = 0, [], 0
-        for i, text in enumerate(batch.column(column)):
-            held.append((text.as_py() or "").encode().lower().split())
-            size += len(held[-1]) + 1
-            if size >= least:
-                yield batch, first, held
-                first, held, size = i + 1, [], 0
-        if held:
-            yield batch, first, held
-
-
-def _tables(docs: DataFrame, coder, n_tokens: int) -> list[np.ndarray]:
+        for first, texts in words.chunks(batch.column(column), limit):
+            yield batch, first, words.Cut(texts)
+
+
+def _tables(docs: DataFrame, coder, index, n_tokens: int) -> list[np.ndarray]:
     """Stretched counts of the bits of all training texts (of ``n_tokens`` tokens), a table for each view."""
     sizes = coder.value.slots
     first = np.cumsum([0, *sizes]) // BLOCK
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = coder.value
-        index, tables = own.index(), [np.zeros(2 * n, np.int32) for n in sizes]
-        for _, _, texts in _chunks(batches, 0, 4096):
-            symbols, contexts, _, _ = own.tokens(texts, index)
-            new = own.once[symbols]
-            symbols = np.concatenate([symbols, np.full(int(new.sum()), own.escape)])
-            _, _, bit, place = own.bits(symbols, np.concatenate([contexts, contexts[:, new]], axis=1))
-            one = np.ones(len(bit), np.int32)
-            for t, p in zip(tables, place):
-                np.add.at(t, 2 * p + bit, one)
+        tables = [np.zeros(2 * n, np.int32) for n in sizes]
+        for _, _, found in _chunks(batches, 0, CHUNK):
+            _count_bits(tables, coder.value, found, index.value)
         for v, t in enumerate(tables):
             blocks = t.reshape(-1, 2 * BLOCK)
             used = np.flatnonzero(blocks.any(axis=1))
@@ -465,30 +489,55 @@ def _pieces(key: np.ndarray, text: np.ndarray) -> Iterator[tuple[int, int]]:
             begin = cut
 
 
+def _tail(found: words.Cut, text: np.ndarray, texts: int, rest: np.ndarray, fresh: np.ndarray) -> pa.Array:
+    """For each text a list of its words in ``rest``, how often they are there (c), and how often ``fresh`` (s). A long word may be listed more than once."""
+    some = np.flatnonzero(rest)
+    some = some[np.lexsort((found.head[1][some], found.head[0][some], text[some]))]
+    new = np.ones(len(some), bool)
+    new[1:] = (np.diff(text[some]) != 0) | (np.diff(found.head[:, some]) != 0).any(axis=0) | (found.sizes[some[1:]] > words.HELD) | (found.sizes[some[:-1]] > words.HELD)
+    begin = np.flatnonzero(new)
+    count = np.diff(np.append(begin, len(some)))
+    spelled = np.add.reduceat(fresh[some].astype(np.int64), begin) if len(begin) else begin
+    of_text = np.searchsorted(text[some[begin]], np.arange(texts + 1)).astype(np.int32)
+    rows = pa.StructArray.from_arrays([found.listed(some[begin]), pa.array(count, pa.int64()), pa.array(spelled, pa.int64())], names=["word", "c", "s"])
+    return pa.ListArray.from_arrays(pa.array(of_text), rows)
+
+
 def _counted(docs: DataFrame) -> DataFrame:
     """kind 0: word, its training count n, its count m in all texts; 2: training texts."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trained, other, texts = Counter(), Counter(), 0
+    def rows(found: pa.Array, n: np.ndarray, m: np.ndarray, kind: int = 0) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), found, pa.array(n), pa.array(m)], names=["kind", "word", "n", "m"])
 
-        def rows() -> pa.RecordBatch:
-            own, rest = list(trained.values()), list(other.values())  # a word of both has two rows, which are summed below
-            n, m = np.array(own + [0] * len(rest), np.int64), np.array(own + rest, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), pa.array([*trained, *other], pa.binary()), pa.array(n), pa.array(m)], names=["kind", "word", "n", "m"])
-
-        for batch in batches:
-            for text, train in zip(batch.column(0), batch.column(1).to_pylist()):
-                found = (text.as_py() or "").encode().lower().split()
-                (trained if train else other).update(found)
-                if train:
-                    texts += 1
-                if len(trained) + len(other) > _FLUSH:
-                    yield rows()
-                    trained.clear()
-                    other.clear()
-        if trained or other:
-            yield rows()
-        yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([b""], pa.binary()), pa.array([texts], pa.int64()), pa.array([0], pa.int64())], names=["kind", "word", "n", "m"])
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, marked, size, texts = [], [], 0, 0
+        trained, every = Counter(), Counter()  # of words that are told apart by more than their heads
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if size:
+                yield rows(*words.short_counts(np.concatenate(held, axis=1), np.concatenate(marked)))
+            if every:
+                yield rows(pa.array(list(every), pa.binary()), np.array([trained[w] for w in every], np.int64), np.array(list(every.values()), np.int64))
+            for x in (held, marked, trained, every):
+                x.clear()
+
+        for batch, first, found in _chunks(batches, 0, CHUNK):
+            train = batch.column(1).slice(first, len(found.first) - 1).to_numpy(zero_copy_only=False).astype(bool)
+            texts += int(train.sum())
+            of_word = np.repeat(train, np.diff(found.first))
+            short = found.sizes <= words.HELD
+            for i in np.flatnonzero(~short).tolist():
+                every[found.word(i)] += 1
+                if of_word[i]:
+                    trained[found.word(i)] += 1
+            held.append(found.head[:, short])
+            marked.append(of_word[short])
+            size += len(marked[-1])
+            if size >= POOL or len(every) > _FLUSH:
+                yield from flush()
+                size = 0
+        yield from flush()
+        yield rows(pa.array([b""], pa.binary()), np.array([texts], np.int64), np.zeros(1, np.int64), 2)
 
     partial = docs.select("text", "_train").mapInArrow(count, "kind int, word binary, n long, m long")
     return partial.groupBy("kind", "word").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
@@ -540,34 +589,36 @@ def score(docs: DataFrame, train) -> DataFrame:
     slot_bits = max(LEAST_BITS, ceil(log2(16 * (v + 1))))
     escapes = n - ends - int(known.sum()) + int((known == 1).sum())
     coder = spark.sparkContext.broadcast(Coder([w for w, _ in coded], known, ends, escapes, slot_bits))
-    model = spark.sparkContext.broadcast(_tables(docs, coder, n))
-    scratch.drop(counted)
     order = {w: i for i, (w, _) in enumerate(coded)}
     place = np.array(sorted(range(len(names)), key=lambda i: (order.get(names[i], len(order)), names[i])), np.int64)  # coded words first
-    top = spark.sparkContext.broadcast(([names[i] for i in place], counts[place], logs[place]))
+    index = spark.sparkContext.broadcast(words.Index([names[i] for i in place]))
+    model = spark.sparkContext.broadcast(_tables(docs, coder, index, n))
+    scratch.drop(counted)
     base_of = -log10(n + v + 1)
     end = (log10(ends + 1) + base_of, int(ends > 0))
+    top = spark.sparkContext.broadcast((np.log10(counts[place] + 1.0) + base_of, counts[place] > 0, logs[place]))
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, counts, logs = top.value
         own, stretched = coder.value, model.value
-        index = {w: i for i, w in enumerate(names)}
-        base, known, logs = np.append(np.log10(counts + 1.0) + base_of, 0.0), np.append(counts > 0, False).astype(np.int64), np.append(logs, 0.0)
-        missing = len(names)
-        for batch, first, texts in _chunks(batches, 1, 16384):
-            symbols, contexts, at, ident = own.tokens(texts, index)
+        base, known, logs = (np.append(x, 0.0) for x in top.value)  # the last is for words that meet their counts below
+        for batch, first, found in _chunks(batches, 1, CHUNK):
+            symbols, contexts, at, ident = own.of_words(found, index.value)
             lps = np.add.reduceat(log10_coded(symbols, contexts, at, own, stretched), at)
-            out = []
-            for found, begin, lp in zip(texts, at.tolist(), lps.tolist()):
-                place = ident[begin : begin + len(found)]
-                place = np.where(place < 0, missing, place)
-                fresh = symbols[begin : begin + len(found)] == own.escape  # spelled here, not copied
-                rest = place == missing
-                some = Counter(found[i] for i in np.flatnonzero(rest))
-                costs = Counter(found[i] for i in np.flatnonzero(rest & fresh))
-                out.append((len(found) + 1, float(base[place].sum()) + end[0], int(known[place].sum()) + end[1], lp + float(logs[place[fresh]].sum()), [{"word": w, "c": c, "s": costs[w]} for w, c in some.items()]))
+            texts = len(at)
+            text = np.repeat(np.arange(texts), np.diff(found.first))
+            inner = np.arange(len(found)) + text  # a word's token: each text before it has an end
+            place, fresh = ident[inner], symbols[inner] == own.escape  # spelled here, not copied
+            total = lambda x: np.bincount(text, x, texts)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(first, len(texts)), batch.column(2).slice(first, len(texts)), pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.float64()), pa.array([o[2] for o in out], pa.int64()), pa.array([o[3] for o in out], pa.float64()), pa.array([o[4] for o in out], pa.list_(pa.struct([("word", pa.binary()), ("c", pa.int64()), ("s", pa.int64())])))],
+                [
+                    batch.column(0).slice(first, texts),
+                    batch.column(2).slice(first, texts),
+                    pa.array(np.diff(found.first) + 1, pa.int64()),
+                    pa.array(total(base[place]) + end[0]),
+                    pa.array(total(known[place]).astype(np.int64) + end[1]),
+                    pa.array(lps + total(np.where(fresh, logs[place], 0.0))),
+                    _tail(found, text, texts, place < 0, fresh),
+                ],
                 names=["doc_id", "_train", "n_tokens", "base", "known", "lp", "tail"],
             )
 
