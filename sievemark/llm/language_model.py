@@ -117,8 +117,8 @@ def inputs(tables: np.ndarray, place: np.ndarray, bit: np.ndarray) -> np.ndarray
     out = np.empty((INPUTS, place.shape[1]), np.float32)
     own = bit.astype(np.float32)
     for o in range(ORDERS):
-        twice = 2 * place[o]
-        out[o] = np.log((tables[o][twice + 1] - own + np.float32(0.2)) / (tables[o][twice] - (1 - own) + np.float32(0.2)))
+        both = np.take(tables[o].view(np.complex64), place[o], mode="wrap")  # zeros and ones are side by side; all are within
+        out[o] = np.log((both.imag - own + np.float32(0.2)) / (both.real - (1 - own) + np.float32(0.2)))
     out[-1] = 0.3
     return out
 
