@@ -222,14 +222,24 @@ def restore(masked: DataFrame, mapping: DataFrame, escape: bool = False, json: b
         raise ValueError("a token has two values")
     kept_columns = [c for c in masked.columns if c not in ("text", "restored", "degraded", "unresolved", "samples")]
     rows = masked.select(*kept_columns, "text")
+
+    def one(t: str | None, known: dict, here: bool, other: str | None) -> M.Restored:
+        if not t:
+            return M.Restored(t)
+        if each:
+            return each(t, known, here, other)
+        return json_spans.restored(t, known, here) if json and json_spans.valid(t) else M.restored(t, known, escape, here)
+
     shared, own = None, False
     if (sizes["n"] or 0) <= BROADCAST_ROWS:
         by_suffix: dict[str, dict[str, str]] = {}
         for r in pairs.collect():
             by_suffix.setdefault(r.token[-8:-2], {})[r.token] = r.value
         shared = masked.sparkSession.sparkContext.broadcast(by_suffix)
+    elif own_hits:
+        rows, own = _with_others(rows, pairs), True
     else:
-        rows, own = _with_others(rows, pairs) if own_hits else _with_known(rows, pairs), True
+        rows, own = _joined(rows, _known_of(_asked(rows, one, bool(each), json, beside), pairs)), True
     hits_at = kept_columns.index("hits") if own and own_hits else -1
     session = kept_columns.index("known") if "known" in kept_columns else -1
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in kept_columns), RESTORED])
@@ -249,11 +259,7 @@ def restore(masked: DataFrame, mapping: DataFrame, escape: bool = False, json: b
                     known = {}
                     for x in [*(hits[i] if hits else ()), *(mine[i] or [])]:
                         known.setdefault(x["token"][-8:-2], {})[x["token"]] = x["value"]
-                here = sessions[i] is not False
-                if t and each:
-                    done.append(each(t, known, here, others[i]))
-                else:
-                    done.append(M.Restored(t) if not t else json_spans.restored(t, known, here) if json and json_spans.valid(t) else M.restored(t, known, escape, here))
+                done.append(one(t, known, sessions[i] is not False, others[i]))
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns[:n],
@@ -267,22 +273,59 @@ def restore(masked: DataFrame, mapping: DataFrame, escape: bool = False, json: b
     return rows.mapInArrow(run, schema)
 
 
-def _with_known(rows: DataFrame, pairs: DataFrame, text: str = "text") -> DataFrame:
-    """``rows`` (row_id, text, ...) with all tokens of the suffixes that the column ``text`` holds."""
-    suffix = F.explode(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_SUFFIXED), F.lit(0)), lambda s: F.lower(F.substring(s, 2, 6)))))
-    held = rows.select("row_id", suffix.alias("suffix"))
-    of_row = held.join(pairs.withColumn("suffix", F.substring("token", -8, 6)), "suffix").groupBy("row_id").agg(F.collect_list(F.struct("token", "value")).alias("mine"))
-    return rows.join(of_row, "row_id", "left")
+def _suffixes(rows: DataFrame, text: str = "text") -> DataFrame:
+    """row_id and each suffix that stands in the column ``text``, in lower case."""
+    return rows.select("row_id", F.explode(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_SUFFIXED), F.lit(0)), lambda s: F.lower(F.substring(s, 2, 6))))).alias("suffix"))
+
+
+def _asked(rows: DataFrame, one: Callable[..., M.Restored], framed: bool, json: bool, beside: str) -> DataFrame:
+    """row_id and each suffix that restoring a row's text looks for.
+
+    Plain texts hold them as they are. JSON may write them with escapes, and events cut them into pieces; there it is the restoring itself that tells (``one``, with nothing known).
+    """
+    if not framed and not json:
+        return _suffixes(rows)
+    escaped = F.contains("text", F.lit("\\u"))
+    columns = ["row_id", "text", *([beside] if beside else []), *(["known"] if "known" in rows.columns else [])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 1):
+            at, found = [], []
+            texts = batch.column(1).to_pylist()
+            others = batch.column(2).to_pylist() if beside else [None] * len(texts)
+            sessions = batch.column(len(columns) - 1).to_pylist() if columns[-1] == "known" else [True] * len(texts)
+            for i, t in enumerate(texts):
+                if t and sessions[i] is not False:
+                    asked = M.Asked()
+                    one(t, asked, True, others[i])
+                    suffixes = M.suffixes(t) | set(asked)
+                    at += [i] * len(suffixes)
+                    found += suffixes
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.string())], ["row_id", "suffix"])
+
+    told = (rows if framed else rows.where(escaped)).select(*columns).mapInArrow(run, f"row_id {rows.schema['row_id'].dataType.simpleString()}, suffix string")
+    return told if framed else told.unionByName(_suffixes(rows.where(~escaped)))
+
+
+def _known_of(held: DataFrame, pairs: DataFrame) -> DataFrame:
+    """row_id and all tokens of the suffixes of ``held`` (row_id, suffix)."""
+    return held.join(pairs.withColumn("suffix", F.substring("token", -8, 6)), "suffix").groupBy("row_id").agg(F.collect_list(F.struct("token", "value")).alias("mine"))
+
+
+def _joined(rows: DataFrame, of_row: DataFrame) -> DataFrame:
+    return rows.join(of_row, "row_id", "left").select(*rows.columns, "mine")
 
 
 _SUFFIXED = f"_(?i:{M.SUFFIX})"
 
 
 def _with_others(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``rows`` (row_id, before, ...), those whose text held suffixes before it was masked with all tokens of these; the others meet no join."""
+    """``rows`` (row_id, before, ...), those whose text held suffixes before it was masked with all tokens of these; the others meet no shuffle."""
     held = F.coalesce(F.contains("before", F.lit("_")) & F.regexp_like("before", F.lit(_SUFFIXED)), F.lit(False))
-    looked_up = _with_known(rows.where(held), pairs, "before")
-    return looked_up.unionByName(rows.where(~held).withColumn("mine", F.lit(None).cast(looked_up.schema["mine"].dataType)))
+    of_row = kept(_known_of(_suffixes(rows.where(held), "before"), pairs))
+    if of_row.count() <= BROADCAST_ROWS:
+        return _joined(rows, F.broadcast(of_row))
+    return _joined(rows.where(held), of_row).unionByName(rows.where(~held).withColumn("mine", F.lit(None).cast(of_row.schema["mine"].dataType)))
 
 
 def round_trip(corpus: DataFrame, settings: M.Settings = M.Settings(), key: str = "", changed: bool = False) -> DataFrame:

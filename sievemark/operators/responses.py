@@ -51,14 +51,15 @@ def restored(body: str, known: dict, here: bool = True, content_type: str | None
     return M.Restored(text, *session.counts, session.samples)
 
 
-def restore_bodies(bodies: DataFrame, mapping: DataFrame) -> DataFrame:
+def restore_bodies(bodies: DataFrame, mapping: DataFrame, own_hits: bool = False) -> DataFrame:
     """Response ``bodies`` (row_id, content_type, text, ...) restored whole; columns as of ``masking.restore``.
 
     JSON, server-sent events and lines of JSON of all four protocols; a broken body goes by its own look, so that no placeholder
-    gets out for a wrong content type. Content that is no text stays as it is. One pass over the bodies; the mapping is
-    broadcast up to a bound and joined by suffix beyond it. Equal to ``streaming.restore.restore_frames`` over any cut of the body.
+    gets out for a wrong content type. Content that is no text stays as it is. The mapping is broadcast up to a bound; beyond
+    it a pass of its own tells the suffixes that each body asks for, however its events cut them, and these are joined, or, with
+    ``own_hits`` (see ``masking.restore``), only those that the texts held before. Equal to ``streaming.restore.restore_frames`` over any cut of the body.
     """
-    return masking.restore(bodies, mapping, each=restored, beside="content_type")
+    return masking.restore(bodies, mapping, each=restored, beside="content_type", own_hits=own_hits)
 
 
 CHANNELS = "row_id string, channel string, seq long, ord long, text string, snapshot boolean"

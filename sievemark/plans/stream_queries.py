@@ -61,7 +61,7 @@ SHAPES = ["c0.content", "c0.tool1", "a0.text", "a1.pj", "r0.text@m1", "r1.args@f
 
 
 def response_bodies(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
-    """Streamed responses (row_id, content_type, text) of ``rows`` (row_id, turn, text), cut every nine characters: chat, blocks, response items and lines of JSON, as text or as tool arguments."""
+    """Streamed responses (row_id, content_type, text, and other columns) of ``rows`` (row_id, turn, text, ...), cut every nine characters: chat, blocks, response items and lines of JSON, as text or as tool arguments."""
     kind = F.pmod("turn", F.lit(len(SHAPES)))
     tool = kind.isin(1, 3, 5)
     whole = F.when(tool, F.to_json(F.struct(F.col("text").alias("q")))).otherwise(F.col("text"))
@@ -84,7 +84,8 @@ def response_bodies(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFr
         lines = F.array_join(frames_, "\n") if k == 6 else F.array_join(F.transform(frames_, lambda x: F.concat(lit("data: "), x)), "\r\n\r\n")
         body = F.when(kind == k, F.concat(lines, lit("\n" if k == 6 else "\r\n\r\n"))).otherwise(body)
     content_type = F.when(kind == 6, "application/x-ndjson").otherwise("text/event-stream; charset=utf-8")
-    return rows.withColumn("whole", whole).select("row_id", content_type.alias("content_type"), body.alias("text"))
+    others = [c for c in rows.columns if c not in ("row_id", "turn", "text")]
+    return rows.withColumn("whole", whole).select("row_id", content_type.alias("content_type"), body.alias("text"), *others)
 
 
 def spread_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,11 +96,12 @@ def spread_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def whole_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masked texts of all turns, streamed in four protocols and restored as whole bodies: each channel's text as it was, and counts."""
-    turns = spread_turns(spark, sf_dir)
+    turns = spread_turns(spark, sf_dir).withColumn("before", F.col("text"))
     settings = Settings(rules=frozenset(r.key for r in _MASKED))
-    masked, known = masking.mask_apart(turns, settings, KEY)
-    bodies = response_bodies(spark, sf_dir, masked.select("row_id", "turn", "text"))
-    back = responses.restore_bodies(bodies, known)
+    known = masking.tokens(masking.found(masking.mask(turns, settings, KEY)), KEY)
+    masked = masking.mask(turns, settings, KEY, known)  # the same again, which takes far less than writing or restoring it
+    bodies = response_bodies(spark, sf_dir, masked.select("row_id", "turn", "text", "hits", "before"))
+    back = responses.restore_bodies(bodies, known, own_hits=True)
     return channel_digests(back)
 
 
