@@ -14,7 +14,7 @@ Rules = list[tuple[str, str, str]]
 
 
 def windows(text: Column) -> Column:
-    """What of a text is scanned: all of up to 1 MiB, else 64 KiB at both ends."""
+    """All of a text of up to 1 MiB, else 64 KiB at both ends: what a proxy has time for. Commands are looked for in whole texts."""
     return F.when(F.octet_length(text) <= P.SCAN_WHOLE, F.array(text)).otherwise(F.array(T.truncated(text, P.SCAN_EDGE), T.last_bytes(text, P.SCAN_EDGE)))
 
 
@@ -26,9 +26,9 @@ HINTS = {
 
 
 def first_hit(text: Column, rules: Rules | None = None, allow: tuple[str, ...] = ()) -> Column:
-    """id, label and snippet (120 characters) of the first rule that hits, null if none does.
+    """id, label and snippet (120 characters) of the first rule that hits anywhere in the text, null if none does.
 
-    Of each window of a rule only its first hit is looked at; one that an allowed pattern matches doesn't count.
+    Of a rule the first hit that no allowed pattern matches counts.
     """
     hits = []
     low = F.lower(text)
@@ -36,7 +36,7 @@ def first_hit(text: Column, rules: Rules | None = None, allow: tuple[str, ...] =
         may = F.lit(id_ not in HINTS)
         for word in HINTS.get(id_, ()):
             may = may | F.contains(low, F.lit(word))
-        found = F.transform(windows(text), lambda w: F.btrim(F.regexp_extract(w, pattern, 0), F.lit(" \t\n\r\x0b\x0c")))  # noqa: B023
+        found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda v: F.btrim(v, F.lit(" \t\n\r\x0b\x0c")))
         kept = F.filter(found, lambda v: (v != "") & ~F.coalesce(*[F.when(v.rlike(a), True) for a in allow], F.lit(False)))
         hits.append(F.when(may & (F.size(kept) > 0), F.struct(F.lit(id_).alias("id"), F.lit(label).alias("label"), F.substring(F.get(kept, F.lit(0)), 1, P.SNIPPET).alias("snippet"))))
     return F.coalesce(*hits)
@@ -86,7 +86,7 @@ def hit_events(recorded: DataFrame) -> DataFrame:
 
 def request_snippets(requests: DataFrame, rules: Rules | None = None) -> DataFrame:
     """sid and snippet of every command that a request (sid, text) holds itself."""
-    each = [F.flatten(F.transform(windows(F.col("text")), lambda w: F.regexp_extract_all(w, F.lit(p), F.lit(0)))) for _, _, p in (P.COMMANDS if rules is None else rules)]  # noqa: B023
+    each = [F.regexp_extract_all("text", F.lit(p), F.lit(0)) for _, _, p in (P.COMMANDS if rules is None else rules)]
     cut = F.transform(F.concat(*each), lambda v: F.substring(F.btrim(v, F.lit(" \t\n\r\x0b\x0c")), 1, P.SNIPPET))
     return requests.where("text IS NOT NULL").select("sid", F.explode(F.array_distinct(cut)).alias("snippet")).where("snippet <> ''").distinct()
 

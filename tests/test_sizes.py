@@ -5,9 +5,10 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from sievemark.functions import masking as M
-from sievemark.operators import masking, responses
+from sievemark.operators import commands, masking, responses
 from sievemark.plans import stream_queries
 
 SF = "/root/testdata/sf0.001"
@@ -37,3 +38,14 @@ def test_whole_responses_of_any_number_of_values(spark, monkeypatch):
     want = rows()
     monkeypatch.setattr(masking, "BROADCAST_ROWS", 0)
     assert rows() == want and want and all(r[3] > 0 and r[4] == 0 for r in want)
+
+
+def test_commands_are_found_anywhere_in_long_texts(spark):
+    text = "é" * 400_000 + " rm -rf / " + "é" * 400_000
+    body = json.dumps({"input": {"arguments": json.dumps({"cmd": text}, ensure_ascii=False)}}, ensure_ascii=False)
+    hits = commands.body_hits(spark.createDataFrame([("b", body)], "row_id string, body string")).collect()
+    assert [(r.kind, r.id) for r in hits] == [("tool", "builtin-rm-root")]
+    rows = spark.createDataFrame([("s", "c0.tool0", text)], "sid string, channel string, text string")
+    assert commands.judged(rows, allow=("-rf",)).first().hit is None and commands.without_echoes(commands.judged(rows), rows).count() == 0
+    two = spark.createDataFrame([("drop table a; DROP table b",)], "t string").select(commands.first_hit(F.col("t"), allow=("drop",)).alias("h")).first().h
+    assert two.snippet == "DROP table"
