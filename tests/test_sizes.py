@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sievemark.functions import masking as M
 from sievemark.operators import commands, masking, responses
-from sievemark.plans import stream_queries
+from sievemark.plans import flow_queries, signal_queries, stream_queries
 
 SF = "/root/testdata/sf0.001"
 TOKEN = M.token_of("k", "PHONE", "13812345678")
@@ -49,3 +49,10 @@ def test_commands_are_found_anywhere_in_long_texts(spark):
     assert commands.judged(rows, allow=("-rf",)).first().hit is None and commands.without_echoes(commands.judged(rows), rows).count() == 0
     two = spark.createDataFrame([("drop table a; DROP table b",)], "t string").select(commands.first_hit(F.col("t"), allow=("drop",)).alias("h")).first().h
     assert two.snippet == "DROP table"
+
+
+def test_values_are_found_beyond_the_first_512_kib(spark, monkeypatch):
+    rows = spark.createDataFrame([("a", "doc", "é" * 300_000 + " call 13812345678 now")], "row_id string, src string, text string")
+    monkeypatch.setattr(signal_queries, "corpus", lambda *_: rows)
+    assert [tuple(r) for r in signal_queries.new_values(spark, SF).collect()] == [("a", "PHONE", "13812345678")]
+    assert [tuple(r) for r in flow_queries.scan_events(spark, SF).collect()] == [("a", "SCANWARN", 1, "PHONE")]
