@@ -42,10 +42,10 @@ def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The responses of ``rst08_whole_responses`` as a stream of chunks of 50 bytes, restored in state, in all four protocols."""
     masked = masking.mask(spread_turns(spark, sf_dir), _SETTINGS, KEY)
     known = masked.select(F.col("row_id").alias("sid"), F.map_from_entries(F.transform("hits", lambda h: F.struct(h["token"], h["value"]))).alias("known"))
-    bodies = response_bodies(spark, sf_dir, masked.select("row_id", "turn", "text"))
-    data, framing = F.encode("text", "utf-8"), F.when(F.col("content_type").contains("ndjson"), "ndjson").otherwise("sse")
-    starts = F.sequence(F.lit(0), F.floor((F.octet_length("text") - 1) / 50).cast("int"))
-    cut = bodies.select(F.col("row_id").alias("sid"), framing.alias("framing"), "content_type", F.size(starts).alias("n"), F.posexplode(F.transform(starts, lambda i: F.substr(data, i * 50 + 1, F.lit(50)))).alias("seq", "chunk"))
+    framing = F.when(F.col("content_type").contains("ndjson"), "ndjson").otherwise("sse")
+    bodies = response_bodies(spark, sf_dir, masked.select("row_id", "turn", "text")).select(F.col("row_id").alias("sid"), framing.alias("framing"), F.encode("text", "utf-8").alias("data"))
+    starts = F.sequence(F.lit(0), F.floor((F.octet_length("data") - 1) / 50).cast("int"))
+    cut = bodies.select("sid", "framing", F.size(starts).alias("n"), F.posexplode(F.transform(starts, lambda i: F.substr(F.col("data"), i * 50 + 1, F.lit(50)))).alias("seq", "chunk"))
     path = _folder(spark, "responses")
     rows = cut.select("sid", F.col("seq").cast("long").alias("seq"), "framing", "chunk", (F.col("seq") == F.col("n") - 1).alias("final"))
     rows.write.parquet(f"{path}/in")

@@ -54,6 +54,11 @@ class Session:
 
     def decoded(self, data: bytes, final: bool) -> str:
         """Text of the bytes so far; up to three of a cut character wait."""
+        if not self.tail:
+            try:
+                return data.decode()
+            except UnicodeDecodeError:
+                pass
         decoder = codecs.getincrementaldecoder("utf-8")("replace")
         whole = base64.b64decode(self.tail) + data
         text = decoder.decode(whole, final)
@@ -81,6 +86,8 @@ class Session:
         return "".join(out)
 
     def count(self, one: M.Restored) -> str:
+        if not (one.restored or one.unresolved):
+            return one.text
         for i, n in enumerate((one.restored, one.degraded, one.unresolved)):
             self.counts[i] += n
         self.samples = list(dict.fromkeys([*self.samples, *one.samples]))[:5]
@@ -90,7 +97,7 @@ class Session:
         if framing == "ndjson":
             return self.event(frame.strip(), framing, known, final) if frame.strip() else frame
         lines = frame.split("\n")
-        if not any(x.lstrip().startswith("data:") for x in lines):
+        if not (frame.startswith("data:") or any(x.lstrip().startswith("data:") for x in lines)):
             return frame if not frame.strip() else self.event(frame.strip(), framing, known, final, bare=True)
         out: list[str] = []
         for line in lines:
@@ -128,7 +135,7 @@ class Session:
             frames.put(data, s.path, self.count(one))
             if later:
                 self.pending[s.channel] = later
-        compact = json.dumps(data, ensure_ascii=False, separators=(",", ":"))
+        compact = _COMPACT(data)
         for s in slots:
             if s.channel in self.pending:
                 self.templates[s.channel] = compact
@@ -156,12 +163,15 @@ class Session:
                     data["done"] = False
             else:
                 data = {"text": text}
-            body = json.dumps(data, ensure_ascii=False, separators=(",", ":"))
+            body = _COMPACT(data)
             named = f"event: {data['type']}\n" if isinstance(data.get("type"), str) else ""
             out.append(f"{body}\n" if framing == "ndjson" else f"{named}data: {body}\n\n")
         return "".join(out)
 
 
+_COMPACT = json.JSONEncoder(ensure_ascii=False, separators=(",", ":")).encode
+
+
 def by_suffix(known: dict[str, str] | None) -> dict[str, dict[str, str]]:
     out: dict[str, dict[str, str]] = {}
     for token, value in (known or {}).items():
@@ -173,22 +183,22 @@ def _in_order(session: Session, batches: Iterator[pd.DataFrame], columns: list[s
     """Fragments whose turn has come, the session's tokens and its framing; others wait in the session."""
     last, framing = None, "sse"
     for batch in batches:
-        for r in batch.itertuples():
-            last = r.known if r.known is not None else last
-            framing = getattr(r, "framing", framing)
-            if r.seq >= session.following:
-                session.waiting[str(int(r.seq))] = [base64.b64encode(v).decode() if isinstance(v, bytes | bytearray) else v for v in (getattr(r, c) for c in columns)]
+        last = next((k for k in reversed(batch["known"].tolist()) if isinstance(k, str)), last)
+        framing = batch["framing"].iloc[-1] if "framing" in batch.columns and len(batch) else framing
+        for seq, *values in zip(batch["seq"].tolist(), *(batch[c].tolist() for c in columns)):
+            if seq >= session.following:
+                session.waiting[str(int(seq))] = values
     ready = []
     while session.waiting and (str(session.following) in session.waiting or len(session.waiting) > WAITING):
         if str(session.following) in session.waiting:
             ready.append((session.following, *session.waiting.pop(str(session.following))))
         session.following += 1
-    return ready, by_suffix(dict(last) if last is not None else {}), framing
+    return ready, by_suffix(json.loads(last) if last is not None else {}), framing
 
 
 def _with_known(chunks: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Each fragment with the tokens of its session (sid, known: map of token to value); read anew for each batch of a stream."""
-    return chunks.join(sessions.select("sid", "known"), "sid", "left")
+    """Each fragment with the tokens of its session (sid, known: map of token to value) as JSON, of which only the last one is read; joined anew for each batch of a stream."""
+    return chunks.join(sessions.select("sid", F.to_json("known").alias("known")), "sid", "left")
 
 
 OUT = "sid string, channel string, seq long, text string, restored long, unresolved long"
@@ -248,7 +258,7 @@ def restore_frames(chunks: DataFrame, sessions: DataFrame, idle_ms: int | None =
             known, framing, over = found or known, named or framing, False
             for seq, chunk, final in ready:
                 session.counts = [0, 0, 0]
-                text = session.push(base64.b64decode(chunk or ""), framing, known, bool(final))
+                text = session.push(chunk or b"", framing, known, bool(final))
                 out.append((*key, seq, text, *session.counts))
                 over = over or bool(final)
             _keep(state, session, known, framing, over, idle_ms)
@@ -264,8 +274,11 @@ def _timeout(idle_ms: int | None) -> str:
 def _loaded(state: GroupState) -> tuple[Session, dict, str]:
     if not state.exists:
         return Session(), {}, "sse"
-    session, known, framing = state.get
-    return Session(**json.loads(session)), json.loads(known), framing
+    loaded, known, framing = state.get
+    session = Session(**json.loads(loaded))
+    if framing:  # chunks of frames, which are bytes
+        session.waiting = {k: [base64.b64decode(v[0] or ""), *v[1:]] for k, v in session.waiting.items()}
+    return session, json.loads(known), framing
 
 
 def _keep(state: GroupState, session: Session, known: dict, framing: str, over: bool, idle_ms: int | None) -> None:
@@ -273,6 +286,7 @@ def _keep(state: GroupState, session: Session, known: dict, framing: str, over:
         if state.exists:
             state.remove()
         return
+    session.waiting = {k: [base64.b64encode(v).decode() if isinstance(v, bytes | bytearray) else v for v in values] for k, values in session.waiting.items()}
     state.update((json.dumps(asdict(session)), json.dumps(known), framing))
     if idle_ms is not None:
         state.setTimeoutDuration(idle_ms)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sievemark.functions import masking as M
 from sievemark.operators import commands, masking, responses
 from sievemark.plans import flow_queries, signal_queries, stream_queries
+from sievemark.streaming import restore
 
 SF = "/root/testdata/sf0.001"
 TOKEN = M.token_of("k", "PHONE", "13812345678")
@@ -56,3 +57,24 @@ def test_values_are_found_beyond_the_first_512_kib(spark, monkeypatch):
     monkeypatch.setattr(signal_queries, "corpus", lambda *_: rows)
     assert [tuple(r) for r in signal_queries.new_values(spark, SF).collect()] == [("a", "PHONE", "13812345678")]
     assert [tuple(r) for r in flow_queries.scan_events(spark, SF).collect()] == [("a", "SCANWARN", 1, "PHONE")]
+
+
+def test_chunks_of_a_stream_are_cut_from_bytes_once_and_carry_known_tokens_as_text(spark):
+    rows = spark.createDataFrame([("s", 0, "sse", b"x", True)], "sid string, seq long, framing string, chunk binary, final boolean")
+    known = spark.createDataFrame([("s", {TOKEN: "1"})], "sid string, known map<string,string>")
+    assert dict(restore._with_known(rows, known).dtypes)["known"] == "string"
+
+
+def test_chunks_that_wait_in_the_state_come_in_order(spark, tmp_path):
+    data = _stream(["é" + TOKEN[:6], TOKEN[6:]]).replace("\\u00e9", "é").encode()
+    cut = [data[i : i + 7] for i in range(0, len(data), 7)]
+    rows = [("s", i, "sse", c, i == len(cut) - 1) for i, c in enumerate(cut)]
+    schema = "sid string, seq long, framing string, chunk binary, final boolean"
+    for n, part in enumerate((rows[5:], rows[:5])):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/n{n}")
+    known = spark.createDataFrame([("s", {TOKEN: "13812345678"})], "sid string, known map<string,string>")
+    stream = restore.restore_frames(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in"), known, None)
+    stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.schema(stream.schema).parquet(f"{tmp_path}/out").orderBy("seq").collect()
+    text = "".join(r.text for r in got)
+    assert sum(r.restored for r in got) == 1 and "13812345678" in text and "é" in text and TOKEN not in text
