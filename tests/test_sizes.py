@@ -78,3 +78,11 @@ def test_chunks_that_wait_in_the_state_come_in_order(spark, tmp_path):
     got = spark.read.schema(stream.schema).parquet(f"{tmp_path}/out").orderBy("seq").collect()
     text = "".join(r.text for r in got)
     assert sum(r.restored for r in got) == 1 and "13812345678" in text and "é" in text and TOKEN not in text
+
+
+def test_more_values_than_suffixes_are_refused_at_once(spark, monkeypatch):
+    monkeypatch.setattr(masking, "SUFFIXES", 3)
+    values = spark.createDataFrame([("PHONE", str(i)) for i in range(4)] + [("EMAIL", "a")], "label string, value string")
+    assert masking.tokens(values.where("value <> '3'"), "k").count() == 4
+    with pytest.raises(ValueError, match="too many values"):
+        masking.tokens(values, "k")
