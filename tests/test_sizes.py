@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievemark.functions import masking as M
-from sievemark.operators import commands, masking, responses
+from sievemark.operators import commands, containment, masking, responses
 from sievemark.plans import flow_queries, signal_queries, stream_queries
 from sievemark.streaming import restore
 
@@ -86,3 +86,11 @@ def test_more_values_than_suffixes_are_refused_at_once(spark, monkeypatch):
     assert masking.tokens(values.where("value <> '3'"), "k").count() == 4
     with pytest.raises(ValueError, match="too many values"):
         masking.tokens(values, "k")
+
+
+def test_only_texts_that_may_hold_a_mark_are_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(containment, "BROADCAST_BYTES", 0)
+    texts = spark.createDataFrame([("a", "x needle y"), ("b", "nothing"), ("a", "x needle y"), (None, "needle")], "row_id string, text string")
+    got = containment.occurrences(texts, spark.createDataFrame([("needle",), ("other words",)], "mark string"))
+    assert [tuple(r) for r in got.collect()] == [("a", "needle")]
+    assert "LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()
