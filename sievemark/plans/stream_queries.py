cmd08_guarded_stream: join a session's pieces where they are judged

Symptom: cmd08_guarded_stream wrote and read 511 MB of shuffle over 0.14 GB of input, 3.7 times what it reads, and all text went over the network twice.
Evidence: 253 MB of it is the pieces dealt out by session for judging; the other half was the same text again, grouped by session after the Python step, which hides from Spark that its rows are already together, only for the few sessions with a hit to be kept.
Fix: guard_pieces can give each session as one row, its judged pieces joined by seq in the task that judged them, and the query takes that; every piece is still judged as before, and no aggregate holds lists of pieces in the JVM.
Effect: at 1 GB of input CPU 5533 -> 5623 s, shuffle 5.03 -> 2.51 GB, spill 0.00 -> 0.00 GB, read 1.36 -> 1.36 GB, longest task 36 -> 35 s, most memory of a task 75 -> 75 MB; at 6 GB of input CPU 34465 -> 31834 s, shuffle 30.59 -> 15.24 GB, spill 0.00 -> 0.00 GB, read 8.25 -> 8.25 GB, longest task 199 -> 191 s, most memory of a task 302 -> 302 MB; with hot keys, at 1 GB of input CPU 1734 -> 2031 s, shuffle 1.26 -> 0.65 GB, spill 0.00 -> 0.00 GB, read 0.29 -> 0.29 GB, longest task 13 -> 15 s, most memory of a task 38 -> 38 MB.

@@ -42,9 +42,7 @@ def _joined(rows: DataFrame) -> DataFrame:
 
 def guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts in which commands were rewritten while they passed in pieces, each joined again."""
-    out = commands.guard_pieces(_pieces(spark, sf_dir), commands.How("rewrite"))
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "text")))
-    whole = out.groupBy("sid").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "").alias("text"), F.bool_or(F.size("hits") > 0).alias("hit"))
+    whole = commands.guard_pieces(_pieces(spark, sf_dir), commands.How("rewrite"), joined=True)
     return whole.where("hit").select("sid", F.sha2("text", 256).alias("digest"))
 
 

@@ -15,6 +15,7 @@ from sievemark.functions.decoding import Decoder
 from sievemark.functions.transducers import Guard
 from sievemark.operators import commands as whole_commands
 from sievemark.operators import decoding, responses
+from sievemark.plans import stream_queries
 from sievemark.streaming import commands, mapping, restore
 
 TEXTS = [
@@ -272,3 +273,21 @@ def test_warm_start_takes_the_newest_and_no_nested_ones(spark):
     log = [(1, "EMAIL", "a", "{{EMAIL_bcdfgh}}"), (5, "EMAIL", "a", "{{EMAIL_ghjkmn}}"), (2, "PHONE", "b", "{{PHONE_bcdfgh}}"), (9, "PHONE", "{{PHONE_bcdfgh}}", "{{PHONE_zzzzzz}}"), (8, "PHONE", "", "t"), (7, "PHONE", "c", ""), (6, None, "d", "{{TERM_bcdfgh}}"), (3, "X", None, "t")]
     got = mapping.warm_start(spark.createDataFrame(log, "event_id long, label string, value string, token string"), 2).orderBy("rank").collect()
     assert [(r.label, r.value, r.token, r["rank"]) for r in got] == [(None, "d", "{{TERM_bcdfgh}}", 1), ("EMAIL", "a", "{{EMAIL_ghjkmn}}", 2)]
+
+
+def test_sessions_joined_as_judged_are_those_of_their_pieces(spark):
+    rows = _pieces(random.Random(5))
+    rows += [(None, "c0.tool0", i, t, False) for i, t in enumerate(["rm -r", None, "f / ", ""])]  # without an end or a number of its own
+    rows += [r for r in rows for _ in range(2) if r[0] in ("s0", "s3", None)]  # rows that come more than once
+    rows += [("empty", "c0.tool0", 0, None, True), ("other", "c0.content", 0, "rm -rf / ", True), ("thought", "c0.reason", None, "rm -rf / ", True), ("two", "c0.tool0", 0, "rm -rf", False), ("two", "c0.tool1", 1, "rm -rf / ", False)]
+    pieces = spark.createDataFrame(rows, "sid string, channel string, seq long, text string, final boolean").repartition(5)
+    ordered = F.array_sort(F.collect_list(F.struct("seq", "text")))
+    for mode in ("rewrite", "block", "observe"):
+        apart = commands.guard_pieces(pieces, commands.How(mode)).groupBy("sid").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "").alias("text"), F.bool_or(F.size("hits") > 0).alias("hit"))
+        joined = commands.guard_pieces(pieces, commands.How(mode), joined=True)
+        assert sorted(map(tuple, joined.collect()), key=repr) == sorted(map(tuple, apart.collect()), key=repr)
+
+
+def test_guarded_pieces_are_dealt_out_once(spark):
+    plan = stream_queries.guarded(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(sid") == 1 and "Aggregate" not in plan
