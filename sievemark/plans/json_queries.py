@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import frames, udfs
@@ -117,8 +117,9 @@ def slot_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fragments of streamed events by channel, joined again, and how many events end their channel."""
     found = B.slots(_events(spark, sf_dir).withColumn("row_id", F.struct("sid", "seq")).select("row_id", "data"))
     flat = found.select("row_id.sid", "row_id.seq", "ord", "channel", "text", "ends")
-    texts = B.channel_texts(flat)
-    return texts.join(flat.groupBy("sid").agg(F.sum(F.col("ends").cast("long")).alias("n_ends")), "sid").select("sid", "channel", F.sha2("text", 256).alias("digest"), "n_ends")
+    texts = B.channel_texts(flat.where("sid IS NOT NULL"), F.sum(F.col("ends").cast("long")).alias("n_ends"))
+    digests = texts.select("sid", "channel", F.sha2("text", 256).alias("digest"), "n_ends")
+    return digests.withColumn("n_ends", F.sum("n_ends").over(Window.partitionBy("sid")))
 
 
 def stream_usage(spark: SparkSession, sf_dir: str) -> DataFrame:

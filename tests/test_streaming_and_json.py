@@ -1,3 +1,4 @@
+import hashlib
 import json
 import random
 import time
@@ -235,3 +236,32 @@ def test_bodies_hold_whole_texts(spark, tmp_path):
     body = json_queries.bodies(spark, str(tmp_path)).first().body
     assert json.loads(body)["messages"][0]["content"] == f"{text} call 13900000100"
     assert [tuple(r[k] for k in ("n_tokens", "n_values", "valid")) for r in json_queries.tree_masked(spark, str(tmp_path)).collect()] == [(3, 2, True)]
+
+
+def test_slots_of_streams_are_looked_for_once(spark, tmp_path):
+    rows = [(1, 0, "user", "twelve chars and more of them"), (1, 1, "assistant", ""), (2, 0, "user", None), (None, 1, None, "no number"), (None, None, None, "neither"), (3, 2, "user", "é漢字 \"q\" \\ " * 9), (3, 2, "user", "é漢字 \"q\" \\ " * 9)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = json_queries.slot_texts(spark, str(tmp_path))
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    events = json_queries._events(spark, str(tmp_path)).withColumn("row_id", F.struct("sid", "seq"))
+    flat = B.slots(events).select("row_id.sid", "row_id.seq", "ord", "channel", "text", "ends")
+    ends = flat.groupBy("sid").agg(F.sum(F.col("ends").cast("long")).alias("n_ends"))
+    apart = B.channel_texts(flat).join(ends, "sid").select("sid", "channel", F.sha2("text", 256).alias("digest"), "n_ends")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, apart.collect())) and got.count() == 5
+
+
+def test_channel_texts_with_other_aggregates(spark):
+    rows = [("s", 1, 0, "a", "y", True), ("s", 0, 1, "a", "x", False), ("s", 0, 0, "b", None, None), ("s", 1, 1, "b", "z", True), (None, 0, 0, "a", "n", True), ("t", 0, 0, None, "o", None)]
+    found = spark.createDataFrame(rows, "sid string, seq int, ord int, channel string, text string, ends boolean")
+    got = B.channel_texts(found, F.sum(F.col("ends").cast("long")).alias("n")).collect()
+    assert {tuple(r) for r in got} == {("s", "a", "xy", 1), ("s", "b", "z", 1), (None, "a", "n", 1), ("t", None, "o", None)}
+
+
+def test_ends_of_a_stream_count_over_all_its_channels(spark, monkeypatch):
+    delta = lambda end=None, **own: json.dumps({"choices": [{"delta": own, "finish_reason": end}]})
+    call = lambda text: [{"index": 0, "function": {"arguments": text}}]
+    rows = [("a", 0, delta(content="x", reasoning="r")), ("a", 1, delta(tool_calls=call("{"))), ("a", 2, delta("stop", content="y", tool_calls=call("}"))), ("b", 0, delta(content="only")), ("b", 1, "no JSON"), ("b", 2, None), (None, 0, delta("stop", content="lost"))]
+    monkeypatch.setattr(json_queries, "_events", lambda spark, sf_dir: spark.createDataFrame(rows, "sid string, seq int, data string").repartition(3))
+    got = json_queries.slot_texts(spark, "").select("sid", "channel", "n_ends", "digest").collect()
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    assert {tuple(r) for r in got} == {("a", "c0.content", 2, sha("xy")), ("a", "c0.reason2", 2, sha("r")), ("a", "c0.tool0", 2, sha("{}")), ("b", "c0.content", 0, sha("only"))}
